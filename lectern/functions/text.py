@@ -71,3 +71,10 @@ def normalise_token(col: Column | str) -> Column:
 
 def is_capitalised(col: Column | str) -> Column:
     return _c(col).rlike(UPPER_INITIAL)
+
+
+def ordered_join(col: str, sep: str, *order: str) -> Column:
+    """``listagg(col, sep) WITHIN GROUP (ORDER BY order...)`` (NULLs skipped)."""
+    keys = ", ".join(f"`{o}`" for o in order)
+    escaped = sep.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(f"listagg(`{col}`, '{escaped}') WITHIN GROUP (ORDER BY {keys})")

@@ -9,7 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.functions import html as H
+from lectern.operators import layout as L
+from lectern.operators import segment as S
 from lectern.operators import vocabulary as V
 from lectern.sources import adapters as A
 
@@ -26,7 +30,76 @@ def vocabulary_report(spark: SparkSession, sf_dir: str, lang: str = "en",
     return V.uncommon_words(A.doc_paragraphs(docs), frequency, lexicon, threshold)
 
 
+_QUERIES: dict[str, Query] = {"vocabulary_report": vocabulary_report}
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "vocabulary_report": vocabulary_report,
-    }
+    return dict(_QUERIES)
+
+
+# --------------------------------------------------------------------------
+# Paragraph segmentation (P1-P3, P9 text route) over conversations
+# --------------------------------------------------------------------------
+
+def blank_line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank-line paragraphs of each conversation text (stripped, non-empty)."""
+    conv = A.conv_docs(spark, sf_dir)
+    return S.explode_paragraphs(conv, S.blank_line_split("text"), [F.col("conv_id").alias("submission_id")])
+
+
+def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 text route: P1 -> P2 newline collapse -> P3 clean, length >= 100."""
+    conv = A.conv_docs(spark, sf_dir)
+    return S.explode_paragraphs(conv, S.text_paragraph_list("text"), [F.col("conv_id").alias("submission_id")])
+
+
+# --------------------------------------------------------------------------
+# HTML (P4, P5, S10)
+# --------------------------------------------------------------------------
+
+def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full text of every <p> of each page, in order, unstripped."""
+    pages = A.pages(spark, sf_dir)
+    return S.explode_paragraphs(pages, H.paragraph_texts("html"), ["page_id"])
+
+
+def html_clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 html route: P4 -> P2 -> P3 (length >= 100)."""
+    pages = A.pages(spark, sf_dir)
+    paras = S.clean_min_length(S.one_line(H.paragraph_texts("html")))
+    return S.explode_paragraphs(pages, paras, ["page_id"])
+
+
+def page_article_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 + P5: stripped paragraph texts inside <article> (else <body>)."""
+    pages = A.pages(spark, sf_dir)
+    return S.explode_paragraphs(pages, H.stripped_paragraph_texts(H.scope("html", "article")),
+                                ["page_id", "url"])
+
+
+# --------------------------------------------------------------------------
+# Layout blocks
+# --------------------------------------------------------------------------
+
+def layout_body_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 + P7: paragraph nodes in pre-order that pass the body-block filter."""
+    blocks = L.body_blocks(L.flatten_layout(A.layout_blocks(spark, sf_dir)))
+    return blocks.select("doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path_key"), "text",
+                         "page_start", "page_end")
+
+
+def cross_page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 -> P7 -> P8: paragraphs stitched across page breaks."""
+    blocks = L.body_blocks(L.flatten_layout(A.layout_blocks(spark, sf_dir)))
+    return L.stitch_pages(blocks)
+
+
+_QUERIES.update({
+    "blank_line_split": blank_line_split,
+    "text_paragraphs": text_paragraphs,
+    "html_paragraphs": html_paragraphs,
+    "html_clean_paragraphs": html_clean_paragraphs,
+    "page_article_paragraphs": page_article_paragraphs,
+    "layout_body_blocks": layout_body_blocks,
+    "cross_page_paragraphs": cross_page_paragraphs,
+})

@@ -130,7 +130,122 @@ def _with(ctes: str, select: str) -> str:
     return "WITH " + ctes.strip() + "\n" + select
 
 
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def strip(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+def explode_list(keys: str, lst: str, src: str) -> str:
+    """posexplode twin: one row per element with a 0-based INTEGER position."""
+    return (f"SELECT {keys}, unnest(l) AS text, unnest(range(len(l)))::INTEGER AS paragraph_number "
+            f"FROM (SELECT *, {lst} AS l FROM {src})")
+
+
+CONV_CTE = """conv AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
+                  FROM conversations GROUP BY conv_id)"""
+
+P1 = f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+def p3(lst: str, min_length: int = 100) -> str:
+    return f"list_filter(list_transform({lst}, lambda x: {clean('x')}), lambda x: length(x) >= {min_length})"
+
+
+def p2(lst: str) -> str:
+    return f"list_transform({lst}, lambda x: regexp_replace(x, '[\n\r]+', ' ', 'g'))"
+
+
+def _decode(x: str) -> str:
+    from lectern.functions.html import ENTITIES
+    for entity, char in ENTITIES:
+        lit = "chr(160)" if char == "\u00a0" else "'" + char.replace("'", "''") + "'"
+        x = f"replace({x}, '{entity}', {lit})"
+    return x
+
+
+def _visible(x: str) -> str:
+    from lectern.functions.html import INVISIBLE
+    return f"regexp_replace({x}, '{INVISIBLE}', '', 'g')"
+
+
+def _fragments(x: str) -> str:
+    from lectern.functions.html import BOUNDARY, P_OPEN
+    marked = f"regexp_replace(regexp_replace({x}, '{BOUNDARY}', chr(2), 'g'), '{P_OPEN}', chr(1), 'g')"
+    return f"list_transform(string_split({marked}, chr(1))[2:], lambda f: split_part(f, chr(2), 1))"
+
+
+def p4(x: str) -> str:
+    untagged = "regexp_replace(t, '<[^>]*>', '', 'g')"
+    return f"list_transform({_fragments(_visible(x))}, lambda t: {_decode(untagged)})"
+
+
+def p5(inner: str) -> str:
+    node = strip(_decode("n"))
+    return (f"list_filter(list_transform({_fragments(inner)}, lambda t: array_to_string("
+            f"list_transform(regexp_split_to_array(t, '<[^>]*>'), lambda n: {node}), '')), lambda t: t <> '')")
+
+
+def scope(x: str, element: str = "article") -> str:
+    v = _visible(x)
+    inner = rf"'(?is)<{element}\b[^>]*>(.*?)</{element}\s*>'"
+    return (f"CASE WHEN regexp_matches({v}, {inner}) THEN regexp_extract({v}, {inner}, 1) "
+            rf"ELSE regexp_extract({v}, '(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)', 1) END")
+
+
+LAYOUT_CTES = r"""
+lwords AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') AS w FROM documents),
+lblocks AS (
+  SELECT doc_id, unnest(list_transform(range(0, greatest(ceil(len(w) / 12)::INTEGER, 1)),
+                                       lambda i: array_to_string(w[i * 12 + 1 : i * 12 + 12], ' '))) AS text,
+         unnest(range(0, greatest(ceil(len(w) / 12)::INTEGER, 1)))::INTEGER AS block_no
+  FROM lwords
+),
+blocks AS (
+  SELECT doc_id, [block_no // 3, block_no] AS path, 'paragraph' AS type, text,
+         block_no // 3 AS page_start, block_no // 3 AS page_end FROM lblocks
+),
+body AS (
+  SELECT doc_id, path, page_start, page_end, t AS text FROM (
+    SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM blocks WHERE type = 'paragraph')
+  WHERE length(t) > 40
+    AND NOT (length(t) <= 80 AND regexp_matches(t, '[\p{Lu}\p{Lt}]') AND NOT regexp_matches(t, '\p{Ll}'))
+)"""
+
+STITCH_CTES = LAYOUT_CTES + r""",
+flagged AS (
+  SELECT doc_id, path, text,
+         lag(text) OVER w IS NOT NULL AS has_prev,
+         page_start IS DISTINCT FROM lag(page_end) OVER w AS top_of_page,
+         coalesce(regexp_matches(lag(text) OVER w, '[\p{L}\p{N}_][—-]$'), false) AS prev_mid_word,
+         coalesce(regexp_matches(lag(text) OVER w, '[a-z]$'), false) AS prev_mid_sentence
+  FROM body WINDOW w AS (PARTITION BY doc_id ORDER BY path)
+),
+joined AS (
+  SELECT *, has_prev AND top_of_page AND regexp_matches(text, '^[a-z]')
+            AND (prev_mid_word OR prev_mid_sentence) AS is_join FROM flagged
+),
+numbered AS (
+  SELECT doc_id, path,
+         CASE WHEN is_join AND NOT prev_mid_word THEN ' ' ELSE '' END || text AS piece,
+         (sum(CASE WHEN is_join THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY path
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1)::INTEGER AS paragraph_number
+  FROM joined
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["vocabulary_report"] = _with(vocabulary_ctes("en"), "SELECT * FROM ranked")
+    q["blank_line_split"] = _with(CONV_CTE, explode_list("conv_id AS submission_id", P1, "conv"))
+    q["text_paragraphs"] = _with(CONV_CTE, explode_list("conv_id AS submission_id", p3(p2(P1)), "conv"))
+    q["html_paragraphs"] = explode_list("page_id", p4("html"), "pages")
+    q["html_clean_paragraphs"] = explode_list("page_id", p3(p2(p4("html"))), "pages")
+    q["page_article_paragraphs"] = explode_list("page_id, url", p5(scope("html")), "pages")
+    q["layout_body_blocks"] = _with(LAYOUT_CTES, "SELECT doc_id, array_to_string(path, '.') AS path_key, "
+                                    "text, page_start, page_end FROM body")
+    q["cross_page_paragraphs"] = _with(STITCH_CTES, "SELECT doc_id, paragraph_number, "
+                                       "string_agg(piece, '' ORDER BY path) AS text FROM numbered "
+                                       "GROUP BY doc_id, paragraph_number")
     return q

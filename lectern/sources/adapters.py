@@ -52,11 +52,43 @@ def quality_texts(spark: SparkSession, sf_dir: str, lang: str | None = None) ->
 
 
 def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text per conversation: turns in order joined by ``\\n\\n``.
-
-    (user_id=role of turn 0 is not meaningful, so user_id is a constant
-    owner per conversation id.)
-    """
+    """One text per conversation: its turns in order joined by a blank line
+    (a plain-text upload whose paragraphs are the turns)."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     return (conv.groupBy("conv_id")
-            .agg(F.listagg("text", "\n\n").withinGroup(F.col("turn")).alias("text")))
+            .agg(T.ordered_join("text", "\n\n", "turn").alias("text")))
+
+
+WORDS_PER_BLOCK = 12
+BLOCKS_PER_PAGE = 3
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat OCR layout tree built from ``documents``.
+
+    The words of each document are laid out in blocks of 12, three blocks
+    to a page.  Each page is a container node ``path=[page]`` of type
+    ``page`` whose children ``path=[page, block]`` are ``paragraph`` nodes
+    with ``page_start = page_end = page``.
+    """
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    words = F.split(T.strip_ws("text"), r"(?U)\s+", -1)
+    n_blocks = F.ceil(F.size(words) / WORDS_PER_BLOCK).cast("int")
+    texts = F.transform(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))),
+                        lambda i: F.array_join(F.slice(words, i * WORDS_PER_BLOCK + 1, WORDS_PER_BLOCK), " "))
+    blocks = docs.select("doc_id", F.posexplode(texts).alias("block_no", "text"))
+    page = (F.col("block_no") / BLOCKS_PER_PAGE).cast("int")
+    paragraphs = blocks.select(
+        "doc_id", F.array(page, F.col("block_no")).alias("path"), F.lit("paragraph").alias("type"),
+        "text", page.alias("page_start"), page.alias("page_end"))
+    n_pages = F.ceil(n_blocks / BLOCKS_PER_PAGE).cast("int")
+    containers = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(n_pages - 1, F.lit(0))))
+                             .alias("page"))
+    pages = containers.select(
+        "doc_id", F.array("page").alias("path"), F.lit("page").alias("type"), F.lit("").alias("text"),
+        F.col("page").alias("page_start"), F.col("page").alias("page_end"))
+    return paragraphs.unionByName(pages)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages", "page_id", "url", "html")

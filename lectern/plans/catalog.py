@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions import html as H
 from lectern.operators import layout as L
 from lectern.operators import segment as S
+from lectern.operators import summaries as M
 from lectern.operators import vocabulary as V
 from lectern.sources import adapters as A
 
@@ -103,3 +104,54 @@ _QUERIES.update({
     "layout_body_blocks": layout_body_blocks,
     "cross_page_paragraphs": cross_page_paragraphs,
 })
+
+
+# --------------------------------------------------------------------------
+# Summarisation (M1-M10) over document paragraphs
+# --------------------------------------------------------------------------
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.doc_paragraphs(A.documents(spark, sf_dir))
+
+
+def summary_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + M2: qualifying paragraphs (>= 300 chars) in batches of 20."""
+    return M.batch_paragraphs(_paragraphs(spark, sf_dir)).drop("text")
+
+
+def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + M4: one prompt (with its response schema) per batch."""
+    return M.build_prompts(M.batch_paragraphs(_paragraphs(spark, sf_dir)))
+
+
+def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 stand-in (with injected faults) + M5 verdict per batch."""
+    prompts = M.build_prompts(M.batch_paragraphs(_paragraphs(spark, sf_dir)))
+    return M.validate_responses(M.call_model(prompts, faults=True)).drop("response")
+
+
+def paragraph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M8: persisted summary rows; submissions with a failed batch have none."""
+    rows, _ = M.summarise(_paragraphs(spark, sf_dir), faults=True)
+    return rows
+
+
+def single_paragraph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: every paragraph summarised on its own (a one-paragraph submission)."""
+    paras = _paragraphs(spark, sf_dir)
+    single = paras.select(
+        F.concat_ws("/", "user_id", F.col("submission_id").cast("string")).alias("user_id"),
+        F.col("paragraph_number").alias("submission_id"), F.lit(0).alias("paragraph_number"), "text")
+    rows, _ = M.summarise(single)
+    return rows.select(F.split("user_id", "/")[0].alias("user_id"),
+                       F.split("user_id", "/")[1].cast("bigint").alias("submission_id"),
+                       F.col("submission_id").alias("paragraph_number"), "summary")
+
+
+_QUERIES.update({
+    "summary_batches": summary_batches,
+    "summary_prompts": summary_prompts,
+    "summary_validation": summary_validation,
+    "paragraph_summaries": paragraph_summaries,
+    "single_paragraph_summaries": single_paragraph_summaries,
+})

@@ -248,4 +248,119 @@ def oracle_sql() -> dict[str, str]:
     q["cross_page_paragraphs"] = _with(STITCH_CTES, "SELECT doc_id, paragraph_number, "
                                        "string_agg(piece, '' ORDER BY path) AS text FROM numbered "
                                        "GROUP BY doc_id, paragraph_number")
+    _summary_oracles(q)
     return q
+
+
+# --------------------------------------------------------------------------
+# Summarisation
+# --------------------------------------------------------------------------
+
+def lit(s: str) -> str:
+    """A DuckDB string literal holding exactly ``s`` (newlines included)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _summary_ctes(faults: bool) -> str:
+    from lectern.operators import summaries as M
+    head, tail = M.ITEM_MARKER.split("{n}")
+    mid, _ = tail.split("{text}")
+    sentence1 = r"string_split(regexp_replace(texts[i + 1], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]"
+    fault = f"length(user_prompt) % {M.FAULT_MODULUS}" if faults else "-1"
+    sep = lit("\n\n")
+    return doc_paragraphs_cte() + f""",
+q AS (
+  SELECT user_id, submission_id, paragraph_number, text,
+         row_number() OVER (PARTITION BY user_id, submission_id ORDER BY paragraph_number) - 1 AS rn
+  FROM paras WHERE length({strip('text')}) >= {M.MIN_SUMMARY_CHARS}
+),
+batches AS (
+  SELECT user_id, submission_id, paragraph_number, text,
+         (rn // {M.BATCH_SIZE})::INTEGER AS batch_no, (rn % {M.BATCH_SIZE} + 1)::INTEGER AS item_no FROM q
+),
+grouped AS (
+  SELECT user_id, submission_id, batch_no, count(*)::INTEGER AS n_items,
+         string_agg({lit(head)} || item_no || {lit(mid)} || text, {sep} ORDER BY item_no) AS items
+  FROM batches GROUP BY user_id, submission_id, batch_no
+),
+prompts AS (
+  SELECT user_id, submission_id, batch_no, n_items,
+         {strip(lit("Summarise each of the ") + " || n_items || " + lit(" paragraphs below in one sentence.\n---\n\n")
+                + " || items || " + lit("\n\n---\n\nReturn exactly ") + " || n_items || "
+                + lit(" summaries, one per paragraph, numbered as marked."))} AS user_prompt,
+         {lit(M.SYSTEM_PROMPT.format(subject="").replace("  ", " "))} AS system_prompt,
+         {lit('{"type":"json_schema","json_schema":{"name":"paragraph_summaries","strict":true,'
+              '"schema":{"type":"object","properties":{"summaries":{"type":"array",'
+              '"description":"exactly ')} || n_items || {lit(
+              ' paragraph summaries","items":{"type":"object","properties":{'
+              '"paragraph_number":{"type":"integer"},"summary":{"type":"string"}},'
+              '"required":["paragraph_number","summary"],"additionalProperties":false}}},'
+              '"required":["summaries"],"additionalProperties":false}}}')} AS response_format
+  FROM grouped
+),
+parsed AS (
+  SELECT *, {fault} AS fault,
+         regexp_extract_all(user_prompt, '{M.ITEM_PATTERN}', 1) AS nums,
+         regexp_extract_all(user_prompt, '{M.ITEM_PATTERN}', 2) AS texts
+  FROM prompts
+),
+answered AS (
+  SELECT *, list_transform(range(len(nums)), lambda i: {{'paragraph_number': nums[i + 1]::INTEGER,
+                                                       'summary': {sentence1}}}) AS it0
+  FROM parsed
+),
+faulted AS (
+  SELECT *, CASE
+      WHEN fault = {M.FAULT_MISSING} THEN it0[1:len(it0) - 1]
+      WHEN fault = {M.FAULT_DUPLICATE} THEN list_transform(range(len(it0)), lambda i: CASE WHEN i = len(it0) - 1
+           THEN {{'paragraph_number': 1, 'summary': it0[i + 1].summary}} ELSE it0[i + 1] END)
+      WHEN fault = {M.FAULT_EXTRA} THEN list_append(it0, {{'paragraph_number': (len(it0) + 1)::INTEGER,
+                                                         'summary': 'Extra sentence.'}})
+      ELSE it0 END AS it
+  FROM answered
+),
+verdicts AS (
+  SELECT user_id, submission_id, batch_no, n_items, it, CASE
+      WHEN fault = {M.FAULT_BAD_JSON} THEN 'invalid json'
+      WHEN len(it) <> n_items THEN 'wrong count'
+      WHEN len(list_distinct(list_filter(list_transform(it, lambda x: x.paragraph_number),
+                                         lambda p: p BETWEEN 1 AND n_items))) <> n_items THEN 'missing numbers'
+      ELSE 'ok' END AS status
+  FROM faulted
+),
+failed AS (SELECT DISTINCT user_id, submission_id FROM verdicts WHERE status <> 'ok'),
+items AS (
+  SELECT user_id, submission_id, batch_no, unnest(it).paragraph_number AS item_no, unnest(it).summary AS summary
+  FROM verdicts WHERE status = 'ok'
+),
+placed AS (
+  SELECT b.user_id, b.submission_id, b.paragraph_number, i.summary
+  FROM batches b JOIN items i USING (user_id, submission_id, batch_no, item_no)
+),
+scattered AS (
+  SELECT p.user_id, p.submission_id, p.paragraph_number, p.text, coalesce(pl.summary, p.text) AS summary
+  FROM paras p LEFT JOIN placed pl USING (user_id, submission_id, paragraph_number)
+  WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.user_id = p.user_id AND f.submission_id = p.submission_id)
+),
+summary_rows AS (
+  SELECT user_id, submission_id, paragraph_number,
+         array_to_string(regexp_split_to_array({strip('text')}, '\\s+')[1:{M.INTRO_WORDS}], ' ') AS paragraph_start,
+         summary
+  FROM scattered WHERE paragraph_number <= {M.SUMMARY_CAP}
+)"""
+
+
+def _summary_oracles(q: dict[str, str]) -> None:
+    q["summary_batches"] = _with(_summary_ctes(False),
+                                 "SELECT user_id, submission_id, paragraph_number, batch_no, item_no FROM batches")
+    q["summary_prompts"] = _with(_summary_ctes(False), "SELECT * FROM prompts")
+    q["summary_validation"] = _with(_summary_ctes(True),
+                                    "SELECT user_id, submission_id, batch_no, n_items, status FROM verdicts")
+    q["paragraph_summaries"] = _with(_summary_ctes(True), "SELECT * FROM summary_rows")
+    # M9: each paragraph alone -> qualifying ones get their first sentence.
+    q["single_paragraph_summaries"] = _with(doc_paragraphs_cte(), r"""
+SELECT user_id, submission_id, paragraph_number,
+       CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 300
+            THEN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]
+            ELSE text END AS summary
+FROM paras""")

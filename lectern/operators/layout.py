@@ -29,7 +29,7 @@ ENDS_MID_SENTENCE = r"[a-z]$"
 STARTS_MID_SENTENCE = r"^[a-z]"
 
 
-def flatten_layout(blocks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+def flatten_layout(blocks: DataFrame) -> DataFrame:
     """Paragraph-typed nodes of the tree (pre-order via ``path``)."""
     return blocks.filter(F.col("type") == "paragraph")
 
@@ -47,19 +47,20 @@ def body_blocks(blocks: DataFrame) -> DataFrame:
     return stripped.filter((n > MIN_BODY_CHARS) & ~heading)
 
 
-def stitch_pages(blocks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+def stitch_pages(blocks: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
     """Join a block to the previous paragraph when it opens a new page
     with a lower-case letter and the previous block ended mid-word
     (joined without a space, hyphen kept) or mid-sentence (one space).
 
     Input: qualifying blocks (after P6+P7).  Output:
-    ``(doc_id, paragraph_number, text)``.
+    ``(*key, paragraph_number, text)``.
     """
-    w = Window.partitionBy(doc_col).orderBy("path")
+    key = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*key).orderBy("path")
     prev_text = F.lag("text").over(w)
     prev_end = F.lag("page_end").over(w)
     flagged = blocks.select(
-        doc_col, "path", "text",
+        *key, "path", "text",
         prev_text.isNotNull().alias("has_prev"),
         (~F.col("page_start").eqNullSafe(prev_end)).alias("top_of_page"),
         prev_text.rlike(ENDS_MID_WORD).alias("prev_mid_word"),
@@ -68,8 +69,8 @@ def stitch_pages(blocks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
              & (F.col("prev_mid_word") | F.col("prev_mid_sentence")))
     sep = F.when(~joins, "").when(F.col("prev_mid_word"), "").otherwise(" ")
     numbered = flagged.select(
-        doc_col, "path", F.concat(sep, "text").alias("piece"),
+        *key, "path", F.concat(sep, "text").alias("piece"),
         (F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
         .cast("int").alias("paragraph_number"))
-    return (numbered.groupBy(doc_col, "paragraph_number")
+    return (numbered.groupBy(*key, "paragraph_number")
             .agg(T.ordered_join("piece", "", "path").alias("text")))

@@ -12,11 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import html as H
+from lectern.functions import labels as LB
+from lectern.functions import text as T
+from lectern.operators import guide as G
+from lectern.operators import keyed as K
 from lectern.operators import layout as L
 from lectern.operators import segment as S
 from lectern.operators import summaries as M
 from lectern.operators import vocabulary as V
 from lectern.sources import adapters as A
+from lectern.sources import files as FS
+from lectern.sources import notifications as N
+from lectern.sources import uploads as U
+from lectern.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,3 +163,231 @@ _QUERIES.update({
     "paragraph_summaries": paragraph_summaries,
     "single_paragraph_summaries": single_paragraph_summaries,
 })
+
+
+# --------------------------------------------------------------------------
+# Sources (S2-S9)
+# --------------------------------------------------------------------------
+
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 submission id of every document's bytes."""
+    docs = A.documents(spark, sf_dir)
+    return docs.select(F.col("source").alias("user_id"), "doc_id", U.content_hash(F.col("text")).alias("submission_id"))
+
+
+def format_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route of every upload; unsupported or unbuilt routes carry a reason."""
+    ok, bad = FS.split_routes(A.uploads(spark, sf_dir))
+    cols = ["user_id", "submission_id", "file_name", "route"]
+    return ok.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(bad.select(*cols, "reason"))
+
+
+def extract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route -> extract (text, html, pdf layout blocks) -> P2 -> P3."""
+    paras, _ = FS.extract_paragraphs(A.uploads(spark, sf_dir), A.upload_blocks(spark, sf_dir))
+    return paras
+
+
+def object_key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S3: decode queue messages (topic envelopes too), keep puts,
+    parse object keys into (user, submission) or a quarantine reason."""
+    recs = N.decode_notifications(A.notifications(spark, sf_dir))
+    return N.parse_object_keys(recs).drop("event_name")
+
+
+def paragraph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph sink format, one JSON array per submission."""
+    return U.paragraphs_to_json(_paragraphs(spark, sf_dir))
+
+
+def paragraph_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 -> S6: write the JSON arrays, read them back as numbered rows."""
+    good, _ = U.paragraphs_from_json(U.paragraphs_to_json(_paragraphs(spark, sf_dir)))
+    return good
+
+
+def _registration(spark: SparkSession, sf_dir: str):
+    return U.register_uploads(A.upload_requests(spark, sf_dir).drop("doc_id"))
+
+
+def upload_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + K3: the submissions table after every registration request
+    (re-registering a hash resets its row)."""
+    table, _ = _registration(spark, sf_dir)
+    return table
+
+
+def rejected_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests missing a required field."""
+    _, rejected = _registration(spark, sf_dir)
+    return rejected.select("user_id", "file_hash", "requested_at", "reason")
+
+
+def input_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + Z1: file > url > text precedence, size and length gates
+    (byte limit lowered to 16 KiB so it bites at test scale)."""
+    docs = A.documents(spark, sf_dir)
+    req = docs.select("doc_id", F.lit(None).cast("binary").alias("file_bytes"),
+                      F.lit(None).cast("binary").alias("url_bytes"), "text")
+    gated = U.gate_inputs(req, max_bytes=16 * 1024, max_chars=U.MAX_TEXT_CHARS)
+    return gated.select("doc_id", F.octet_length("content").cast("bigint").alias("n_bytes"), "status", "reason")
+
+
+# --------------------------------------------------------------------------
+# Keyed tables
+# --------------------------------------------------------------------------
+
+def summary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: composite sort keys of every paragraph row."""
+    p = _paragraphs(spark, sf_dir)
+    return p.select("user_id", "submission_id", "paragraph_number",
+                    K.summary_key(F.col("submission_id"), F.col("paragraph_number")).alias("sort_key"))
+
+
+def vocabulary_key_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: decode vocabulary sort keys built from web-page paragraphs
+    (their first word may hold ``#``); bad keys get a reason."""
+    pages = A.pages(spark, sf_dir)
+    paras = S.explode_paragraphs(pages, H.paragraph_texts("html"), ["page_id"])
+    first = F.get(F.split(T.strip_ws("text"), r"(?U)\s+", -1), 0)
+    keys = paras.select(F.concat_ws("#", F.lit("VOCAB"), F.concat(F.lit("p"), F.col("page_id").cast("string")),
+                                    F.col("paragraph_number").cast("string"), first).alias("sort_key"))
+    return K.decode_keys(keys, "sort_key", 4)
+
+
+def submission_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 bulk form: look up each conversation turn and each document as a
+    (user, content hash) request; absent ones come back with found=false."""
+    table = upload_registration(spark, sf_dir).select("user_id", "submission_id", "state", "filename")
+    docs = A.documents(spark, sf_dir).select(F.col("source").alias("user_id"),
+                                             F.sha2("text", 256).alias("submission_id"))
+    conv = read_table(spark, sf_dir, "conversations", "role", "text").select(
+        F.col("role").alias("user_id"), F.sha2("text", 256).alias("submission_id"))
+    return K.lookup(table, docs.unionByName(conv).distinct(), ["user_id", "submission_id"])
+
+
+def user_submissions(spark: SparkSession, sf_dir: str, user_id: str = "src3") -> DataFrame:
+    """K6: all submissions of one user."""
+    return K.scan_user(upload_registration(spark, sf_dir), user_id)
+
+
+def summary_key_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: paragraph rows of each submission in byte order of their sort key."""
+    return K.scan_prefix(summary_keys(spark, sf_dir), "sort_key", ["user_id", "submission_id"])
+
+
+def submissions_by_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: a user's submissions with a given file name."""
+    return K.filter_filename(upload_registration(spark, sf_dir), "src7", "doc_7.xlsx")
+
+
+def delete_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: submissions left after deleting those of documents labelled toxic."""
+    req = A.upload_requests(spark, sf_dir)
+    toxic = read_table(spark, sf_dir, "labels", "doc_id", "toxic").filter(F.col("toxic") == 1)
+    tomb = req.join(toxic, "doc_id", "left_semi").select("user_id", F.col("file_hash").alias("submission_id"))
+    return K.delete(upload_registration(spark, sf_dir), tomb, ["user_id", "submission_id"])
+
+
+def stage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State per key as arithmetic sum (faithful) and bit mask."""
+    ev = A.stage_events(spark, sf_dir).filter(~F.col("failed"))
+    return K.accumulate_state(ev, ["user_id"])
+
+
+def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document submission gets paragraph_count set by the
+    paragraph stage (0 when no paragraph survives)."""
+    docs = A.documents(spark, sf_dir)
+    table = docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"),
+                        F.lit(0).alias("state"))
+    kept = F.filter(F.transform(F.split("text", "\n", -1), lambda x: T.clean_paragraph(x)),
+                    lambda x: F.length(x) >= S.MIN_LENGTH)
+    updates = docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"),
+                          F.size(kept).alias("paragraph_count"), F.lit(1).alias("ts"))
+    return K.set_attribute(table, updates, ["user_id", "submission_id"], "paragraph_count")
+
+
+# --------------------------------------------------------------------------
+# Read side
+# --------------------------------------------------------------------------
+
+def submission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status label of every accumulated state."""
+    st = stage_state(spark, sf_dir)
+    return st.select("user_id", "state_sum", LB.status_label(F.col("state_sum")).alias("status"))
+
+
+def submission_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6 + D10: listing rows (default name, status, date, link flag), newest first."""
+    return G.listing(upload_registration(spark, sf_dir))
+
+
+def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Human-readable size of every document."""
+    docs = A.documents(spark, sf_dir)
+    n = F.octet_length("text").cast("bigint")
+    return docs.select("doc_id", n.alias("n_bytes"), LB.file_size(n).alias("size_label"))
+
+
+def upload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D12 + D13: MIME class, upload-form acceptance and service route per upload."""
+    up = A.uploads(spark, sf_dir)
+    mime = A.mime_type(FS.suffix(F.col("file_name")))
+    return up.select("user_id", "submission_id", "file_name", mime.alias("mime"),
+                     LB.mime_class(mime).alias("icon"), LB.ui_accepts(F.col("file_name")).alias("ui_accepts"),
+                     FS.route(F.col("file_name")).alias("route"))
+
+
+def type_acceptance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extensions one side accepts and the other rejects (EXCEPT both ways)."""
+    t = upload_types(spark, sf_dir).select(FS.suffix(F.col("file_name")).alias("ext"), "ui_accepts", "route")
+    ui = t.filter("ui_accepts").select("ext")
+    svc = t.filter(F.col("route").isin(*FS.BUILT_ROUTES, "docx", "rtf")).select("ext")
+    return (ui.subtract(svc).withColumn("gap", F.lit("form only"))
+            .unionByName(svc.subtract(ui).withColumn("gap", F.lit("service only"))))
+
+
+def word_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flatten dictionary responses to (definition, partOfSpeech)."""
+    return G.definitions(A.dictionary_entries(spark, sf_dir))
+
+
+def submission_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each submission's paragraphs joined by blank lines."""
+    return G.submission_text(_paragraphs(spark, sf_dir))
+
+
+def paragraph_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collapsed and expanded display text of every summarised paragraph."""
+    return G.paragraph_display(paragraph_summaries(spark, sf_dir), _paragraphs(spark, sf_dir))
+
+
+_QUERIES.update({
+    "content_hash": content_hash,
+    "format_routing": format_routing,
+    "extract_paragraphs": extract_paragraphs,
+    "object_key_parse": object_key_parse,
+    "paragraph_json": paragraph_json,
+    "paragraph_json_roundtrip": paragraph_json_roundtrip,
+    "upload_registration": upload_registration,
+    "rejected_uploads": rejected_uploads,
+    "input_gate": input_gate,
+    "summary_keys": summary_keys,
+    "vocabulary_key_decode": vocabulary_key_decode,
+    "submission_lookup": submission_lookup,
+    "user_submissions": user_submissions,
+    "summary_key_scan": summary_key_scan,
+    "submissions_by_filename": submissions_by_filename,
+    "delete_toxic": delete_toxic,
+    "stage_state": stage_state,
+    "paragraph_counts": paragraph_counts,
+    "submission_status": submission_status,
+    "submission_listing": submission_listing,
+    "document_sizes": document_sizes,
+    "upload_types": upload_types,
+    "type_acceptance_gaps": type_acceptance_gaps,
+    "word_definitions": word_definitions,
+    "submission_text": submission_text,
+    "paragraph_display": paragraph_display,
+})

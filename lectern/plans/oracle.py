@@ -249,6 +249,7 @@ def oracle_sql() -> dict[str, str]:
                                        "string_agg(piece, '' ORDER BY path) AS text FROM numbered "
                                        "GROUP BY doc_id, paragraph_number")
     _summary_oracles(q)
+    _keyed_oracles(q)
     return q
 
 
@@ -364,3 +365,220 @@ SELECT user_id, submission_id, paragraph_number,
             THEN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]
             ELSE text END AS summary
 FROM paras""")
+
+
+# --------------------------------------------------------------------------
+# Sources, keyed tables, read side
+# --------------------------------------------------------------------------
+
+def _list(values) -> str:
+    return "[" + ", ".join(lit(v) for v in values) + "]"
+
+
+def _case(expr: str, mapping: dict, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {expr} = {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) \
+        + f" ELSE {lit(default)} END"
+
+
+def _suffix(name: str) -> str:
+    return f"lower(regexp_extract(string_split({name}, '/')[-1], '^.+(\\.[^./]+)$', 1))"
+
+
+def _route(name: str) -> str:
+    from lectern.sources.files import ROUTES
+    return _case(_suffix(name), ROUTES, "unsupported")
+
+
+def _uploads_cte() -> str:
+    from lectern.sources.adapters import DOC_EXTENSIONS
+    return f"""uploads AS (
+  SELECT source AS user_id, doc_id::VARCHAR AS submission_id,
+         'doc_' || doc_id || {_list(DOC_EXTENSIONS)}[doc_id % {len(DOC_EXTENSIONS)} + 1] AS file_name, text AS content
+  FROM documents
+  UNION ALL
+  SELECT 'web', 'p' || page_id, 'page_' || page_id || '.html', html FROM pages
+)"""
+
+
+def _requests_cte() -> str:
+    from lectern.sources.adapters import DOC_EXTENSIONS, EPOCH_BASE, MISSING_NAME_EVERY
+    m = MISSING_NAME_EVERY
+    return f"""requests AS (
+  SELECT doc_id, source AS user_id,
+         CASE WHEN doc_id % {m} <> {m - 1}
+              THEN 'doc_' || doc_id || {_list(DOC_EXTENSIONS)}[doc_id % {len(DOC_EXTENSIONS)} + 1] END AS file_name,
+         sha256(text) AS file_hash, ({EPOCH_BASE} + doc_id * 60)::BIGINT AS requested_at, doc_id AS seq
+  FROM documents
+),
+valid_requests AS (
+  SELECT * FROM requests
+  WHERE coalesce(user_id, '') <> '' AND coalesce(file_name, '') <> '' AND coalesce(file_hash, '') <> ''
+),
+registration AS (
+  SELECT user_id, file_hash AS submission_id, 0 AS state,
+         arg_max(file_name, (requested_at, seq)) AS filename,
+         arg_max(requested_at, (requested_at, seq)) AS created_at,
+         arg_max('uploads/' || user_id || '/' || file_hash
+                 || regexp_extract(file_name, '^\\.*[^.].*(\\.[^.]*)$', 1), (requested_at, seq)) AS object_key
+  FROM valid_requests GROUP BY user_id, file_hash
+)"""
+
+
+def _status(state: str) -> str:
+    return (f"CASE WHEN {state} IS NULL THEN 'Invalid state' WHEN {state} = 0 THEN 'received' "
+            f"WHEN {state} < 7 THEN 'processing' WHEN {state} = 7 THEN 'complete' ELSE {state}::VARCHAR END")
+
+
+def _stage_bits_case() -> str:
+    from lectern.sources.adapters import EVENT_STAGE_BITS
+    return "CASE " + " ".join(f"WHEN event_type = {lit(t)} THEN {b}" for t, b in EVENT_STAGE_BITS.items()) + " END"
+
+
+STAGE_STATE_SQL = f"""SELECT user_id, sum(bit)::BIGINT AS state_sum, bit_or(bit)::INTEGER AS state_mask
+FROM (SELECT user_id, {{bits}} AS bit FROM events WHERE event_type <> 'error') GROUP BY user_id"""
+
+
+def _mime(ext: str) -> str:
+    from lectern.sources.adapters import EXTENSION_MIME
+    return _case(ext, EXTENSION_MIME, "application/octet-stream")
+
+
+def _icon(mime: str) -> str:
+    from lectern.functions.labels import MIME_RULES
+    parts = []
+    for label, needles in MIME_RULES:
+        cond = " OR ".join(f"contains({mime}, {lit(n)})" for n in needles)
+        parts.append(f"WHEN {cond} THEN {lit(label)}")
+    return "CASE " + " ".join(parts) + " ELSE 'other' END"
+
+
+def _ui_accepts(name: str) -> str:
+    from lectern.functions.labels import UI_ACCEPTED_EXTENSIONS
+    return f"list_contains({_list(UI_ACCEPTED_EXTENSIONS)}, '.' || lower(string_split({name}, '.')[-1]))"
+
+
+def _keyed_oracles(q: dict[str, str]) -> None:
+    q["content_hash"] = "SELECT source AS user_id, doc_id, sha256(text) AS submission_id FROM documents"
+    routed = f"SELECT *, {_route('file_name')} AS route FROM uploads"
+    q["format_routing"] = _with(_uploads_cte(), f"""
+SELECT user_id, submission_id, file_name, route,
+       CASE WHEN route IN ('text', 'html', 'pdf') THEN NULL
+            WHEN route = 'unsupported' THEN 'unsupported file type: ' || file_name
+            ELSE 'no extractor for route ' || route END AS reason
+FROM ({routed})""")
+    q["extract_paragraphs"] = _with(STITCH_CTES + ",\n" + _uploads_cte() + f""",
+routed AS ({routed}),
+stitched AS (
+  SELECT doc_id, paragraph_number, string_agg(piece, '' ORDER BY path) AS text
+  FROM numbered GROUP BY doc_id, paragraph_number
+),
+pdf_docs AS (SELECT user_id, submission_id FROM routed WHERE route = 'pdf'),
+pdf_clean AS (
+  SELECT p.user_id, p.submission_id, s.paragraph_number, {clean("regexp_replace(s.text, '[\\n\\r]+', ' ', 'g')")} AS text
+  FROM stitched s JOIN pdf_docs p ON p.submission_id = s.doc_id::VARCHAR
+)""", f"""
+{explode_list("user_id, submission_id", p3(p2(P1.replace("text", "content"))), "(SELECT * FROM routed WHERE route = 'text')")}
+UNION ALL
+{explode_list("user_id, submission_id", p3(p2(p4("content"))), "(SELECT * FROM routed WHERE route = 'html')")}
+UNION ALL
+SELECT user_id, submission_id, text,
+       (row_number() OVER (PARTITION BY user_id, submission_id ORDER BY paragraph_number) - 1)::INTEGER
+FROM pdf_clean WHERE length(text) >= 100""")
+    q["object_key_parse"] = r"""
+SELECT event_id, 'uploads-bucket' AS bucket, key,
+       CASE WHEN ok THEN parts[2] END AS user_id,
+       CASE WHEN ok THEN regexp_replace(parts[3], '^(\.*[^.].*)\.[^.]*$', '\1') END AS submission_id,
+       CASE WHEN NOT ok THEN 'invalid object key: ' || key END AS reason
+FROM (
+  SELECT event_id, key, string_split(key, '/') AS parts,
+         len(string_split(key, '/')) >= 3 AND string_split(key, '/')[1] = 'uploads' AS ok
+  FROM (SELECT event_id,
+               CASE WHEN event_type = 'error' THEN 'incoming/' || event_id
+                    ELSE 'uploads/u' || user_id || '/' || sha256(event_id::VARCHAR) || '.txt' END AS key
+        FROM events WHERE event_type IN ('click', 'error')))"""
+    q["paragraph_json"] = _with(doc_paragraphs_cte(), """
+SELECT user_id, submission_id, to_json(list(text ORDER BY paragraph_number))::VARCHAR AS paragraphs_json
+FROM paras GROUP BY user_id, submission_id""")
+    q["paragraph_json_roundtrip"] = _with(doc_paragraphs_cte(),
+                                          "SELECT user_id, submission_id, paragraph_number, text FROM paras")
+    q["upload_registration"] = _with(_requests_cte(), "SELECT * FROM registration")
+    q["rejected_uploads"] = _with(_requests_cte(), """
+SELECT user_id, file_hash, requested_at, 'Missing required fields: user_id, file_name, file_hash' AS reason
+FROM requests WHERE NOT (coalesce(user_id, '') <> '' AND coalesce(file_name, '') <> '' AND coalesce(file_hash, '') <> '')""")
+    q["input_gate"] = """
+SELECT doc_id, CASE WHEN coalesce(text, '') <> '' THEN strlen(text)::BIGINT END AS n_bytes,
+       CASE WHEN coalesce(text, '') = '' THEN 400
+            WHEN strlen(text) > 16384 OR length(text) > 200000 THEN 413 ELSE 200 END AS status,
+       CASE WHEN coalesce(text, '') = '' THEN 'No file uploaded'
+            WHEN strlen(text) > 16384 OR length(text) > 200000 THEN 'File exceeds the size limit' END AS reason
+FROM documents"""
+    keys = "SELECT user_id, submission_id, paragraph_number, 'SUMMARY#' || submission_id || '#' || paragraph_number AS sort_key FROM paras"
+    q["summary_keys"] = _with(doc_paragraphs_cte(), keys)
+    first = "regexp_split_to_array(" + strip("text") + ", '\\s+')[1]"
+    q["vocabulary_key_decode"] = f"""
+SELECT sort_key, parts[2] AS submission_id, CASE WHEN reason IS NULL THEN num END AS paragraph_number, reason,
+       CASE WHEN reason IS NULL THEN parts[4] END AS word
+FROM (
+  SELECT sort_key, parts, TRY_CAST(parts[3] AS INTEGER) AS num,
+         CASE WHEN len(parts) <> 4 THEN 'expected 4 parts'
+              WHEN TRY_CAST(parts[3] AS INTEGER) IS NULL THEN 'paragraph number is not an integer' END AS reason
+  FROM (SELECT sort_key, string_split(sort_key, '#') AS parts FROM (
+    SELECT 'VOCAB#p' || page_id || '#' || paragraph_number || '#' || {first} AS sort_key
+    FROM ({explode_list("page_id", p4("html"), "pages")}))))"""
+    q["submission_lookup"] = _with(_requests_cte(), """
+SELECT r.user_id, r.submission_id, t.state, t.filename, t.submission_id IS NOT NULL AS found
+FROM (SELECT DISTINCT user_id, submission_id FROM (
+        SELECT source AS user_id, sha256(text) AS submission_id FROM documents
+        UNION ALL SELECT role, sha256(text) FROM conversations)) r
+LEFT JOIN registration t USING (user_id, submission_id)""")
+    q["user_submissions"] = _with(_requests_cte(), "SELECT * FROM registration WHERE user_id = 'src3'")
+    q["summary_key_scan"] = _with(doc_paragraphs_cte(), f"""
+SELECT *, row_number() OVER (PARTITION BY user_id, submission_id ORDER BY sort_key)::INTEGER AS scan_position
+FROM ({keys})""")
+    q["submissions_by_filename"] = _with(_requests_cte(),
+                                         "SELECT * FROM registration WHERE user_id = 'src7' AND filename = 'doc_7.xlsx'")
+    q["delete_toxic"] = _with(_requests_cte(), """
+SELECT * FROM registration t WHERE NOT EXISTS (
+  SELECT 1 FROM requests r JOIN labels l ON l.doc_id = r.doc_id
+  WHERE l.toxic = 1 AND r.user_id = t.user_id AND r.file_hash = t.submission_id)""")
+    stage = STAGE_STATE_SQL.format(bits=_stage_bits_case())
+    q["stage_state"] = stage
+    q["paragraph_counts"] = f"""
+SELECT source AS user_id, doc_id AS submission_id, 0 AS state,
+       len({p3("string_split(text, chr(10))")})::INTEGER AS paragraph_count
+FROM documents"""
+    q["submission_status"] = f"SELECT user_id, state_sum, {_status('state_sum')} AS status FROM ({stage})"
+    q["submission_listing"] = _with(_requests_cte(), f"""
+SELECT user_id, submission_id AS id, coalesce(filename, 'Unnamed Document') AS filename, created_at,
+       {_status('state')} AS status, make_timestamp(created_at * 1000000)::DATE AS created_date,
+       {_status('state')} = 'complete' AS details_link
+FROM registration""")
+    q["document_sizes"] = """
+SELECT doc_id, n AS n_bytes,
+       CASE WHEN n = 0 THEN '0 Bytes'
+            ELSE regexp_replace(round(n / pow(1024, i), 2)::VARCHAR, '\\.0$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB'][i + 1] END
+         AS size_label
+FROM (SELECT doc_id, n, least(floor(ln(n::DOUBLE) / ln(1024.0))::INTEGER, 3) AS i
+      FROM (SELECT doc_id, strlen(text)::BIGINT AS n FROM documents))"""
+    types = (f"SELECT user_id, submission_id, file_name, mime, {_icon('mime')} AS icon, "
+             f"{_ui_accepts('file_name')} AS ui_accepts, {_route('file_name')} AS route "
+             f"FROM (SELECT *, {_mime(_suffix('file_name'))} AS mime FROM uploads)")
+    q["upload_types"] = _with(_uploads_cte(), types)
+    q["type_acceptance_gaps"] = _with(_uploads_cte() + f",\nt AS (SELECT {_suffix('file_name')} AS ext, * FROM ({types}))", """
+SELECT ext, 'form only' AS gap FROM (
+  SELECT ext FROM t WHERE ui_accepts EXCEPT SELECT ext FROM t WHERE route IN ('text', 'html', 'pdf', 'docx', 'rtf'))
+UNION ALL
+SELECT ext, 'service only' FROM (
+  SELECT ext FROM t WHERE route IN ('text', 'html', 'pdf', 'docx', 'rtf') EXCEPT SELECT ext FROM t WHERE ui_accepts)""")
+    q["word_definitions"] = """
+SELECT p_partkey AS word_id, p_name AS word, d AS definition, lower(p_type) AS "partOfSpeech"
+FROM (SELECT *, unnest(['A ' || p_name || '.', '', 'Kind of ' || string_split(p_name, ' ')[2] || '.']) AS d
+      FROM part WHERE NOT coalesce(p_size > 45, false))
+WHERE d IS NOT NULL AND d <> ''"""
+    q["submission_text"] = _with(doc_paragraphs_cte(), """
+SELECT user_id, submission_id, string_agg(text, chr(10) || chr(10) ORDER BY paragraph_number) AS text
+FROM paras GROUP BY user_id, submission_id""")
+    q["paragraph_display"] = _with(_summary_ctes(True), """
+SELECT s.user_id, s.submission_id, s.paragraph_number, s.paragraph_start || '...' AS collapsed,
+       coalesce(p.text, s.paragraph_start || '...') AS expanded
+FROM summary_rows s LEFT JOIN paras p USING (user_id, submission_id, paragraph_number)""")

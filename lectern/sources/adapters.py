@@ -92,3 +92,121 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+
+
+# --------------------------------------------------------------------------
+# Upload-side stand-ins built from documents / pages / events / part
+# --------------------------------------------------------------------------
+
+# Fixed values of the stand-in upload names: documents are given these
+# extensions in turn (by doc_id), pages are HTML files.
+DOC_EXTENSIONS = [".txt", ".md", ".pdf", ".docx", ".rtf", ".csv", ".png", ".xlsx"]
+EXTENSION_MIME = {
+    ".txt": "text/plain", ".md": "text/markdown", ".pdf": "application/pdf",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".rtf": "application/rtf", ".csv": "text/csv", ".png": "image/png",
+    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    ".html": "text/html",
+}
+EPOCH_BASE = 1_700_000_000   # created_at of doc 0; one minute per doc_id
+MISSING_NAME_EVERY = 50      # every 50th document is registered without a file name
+
+
+def _doc_ext(doc_id) -> F.Column:
+    exts = F.array(*[F.lit(e) for e in DOC_EXTENSIONS])
+    return F.element_at(exts, (doc_id % len(DOC_EXTENSIONS) + 1).cast("int"))
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed upload set: documents as files with assorted extensions
+    (content = text), pages as ``.html`` files (content = html)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    pg = read_table(spark, sf_dir, "pages", "page_id", "html")
+    d = docs.select(F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("submission_id"),
+                    F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), _doc_ext(F.col("doc_id")))
+                    .alias("file_name"), F.col("text").alias("content"))
+    p = pg.select(F.lit("web").alias("user_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"))
+                  .alias("submission_id"),
+                  F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_name"),
+                  F.col("html").alias("content"))
+    return d.unionByName(p)
+
+
+def upload_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout blocks keyed like ``uploads`` (OCR output of the PDF uploads)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source")
+    blocks = layout_blocks(spark, sf_dir)
+    return blocks.join(docs, "doc_id").select(
+        F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("submission_id"),
+        "path", "type", "text", "page_start", "page_end")
+
+
+def mime_type(ext) -> F.Column:
+    expr = None
+    for e, m in EXTENSION_MIME.items():
+        expr = F.when(ext == e, m) if expr is None else expr.when(ext == e, m)
+    return expr.otherwise("application/octet-stream")
+
+
+def upload_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registration requests: one per document (user=source, hash of the text)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), _doc_ext(F.col("doc_id")))
+    return docs.select(
+        "doc_id", F.col("source").alias("user_id"),
+        F.when(F.col("doc_id") % MISSING_NAME_EVERY != MISSING_NAME_EVERY - 1, name).alias("file_name"),
+        F.sha2("text", 256).alias("file_hash"),
+        (F.lit(EPOCH_BASE) + F.col("doc_id") * 60).cast("bigint").alias("requested_at"),
+        F.col("doc_id").alias("seq"))
+
+
+# Fixed values of the stage stand-in: event types mapped to stage bits.
+EVENT_STAGE_BITS = {"signup": 0, "view": 1, "click": 2, "purchase": 4}
+
+
+def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage completions from ``events``: (user_id, event_id, ts, bit, failed)."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    bit = None
+    for t, b in EVENT_STAGE_BITS.items():
+        bit = F.when(F.col("event_type") == t, b) if bit is None else bit.when(F.col("event_type") == t, b)
+    return ev.select("user_id", "event_id", "ts", bit.alias("bit"),
+                     (F.col("event_type") == "error").alias("failed"))
+
+
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue messages from ``events``: clicks and errors are object puts,
+    everything else another event; messages of even ``event_id`` come wrapped in a
+    topic envelope, and a wrapped ``signup`` carries an unparsable message;
+    ``error`` events point at a key outside the upload layout."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    key = F.when(F.col("event_type") == "error", F.concat(F.lit("incoming/"), F.col("event_id").cast("string"))) \
+        .otherwise(F.concat(F.lit("uploads/u"), F.col("user_id").cast("string"), F.lit("/"),
+                            F.sha2(F.col("event_id").cast("string"), 256), F.lit(".txt")))
+    put = F.col("event_type").isin("click", "error")
+    name = F.when(put, F.lit("ObjectCreated:Put")).otherwise(F.lit("ObjectRemoved:Delete"))
+    record = F.struct(name.alias("eventName"), F.struct(
+        F.struct(F.lit("uploads-bucket").alias("name")).alias("bucket"),
+        F.struct(key.alias("key")).alias("object")).alias("s3"))
+    inner = F.to_json(F.struct(F.array(record).alias("Records")))
+    wrapped_msg = F.when(F.col("event_type") == "signup", F.lit("not json")).otherwise(inner)
+    envelope = F.to_json(F.struct(F.lit("Notification").alias("Type"),
+                                  F.lit("arn:topic:paragraphs").alias("TopicArn"), wrapped_msg.alias("Message")))
+    body = F.when(F.col("event_id") % 2 == 0, envelope).otherwise(inner)
+    return ev.select("event_id", body.alias("body"))
+
+
+def dictionary_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary responses built from ``part``: the part name is the
+    headword, its type the part of speech; parts of size above 45 answer
+    with a non-list error object."""
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size")
+    entry = F.array(F.struct(F.array(F.struct(
+        F.lower("p_type").alias("partOfSpeech"),
+        F.array(F.struct(F.concat(F.lit("A "), F.col("p_name"), F.lit(".")).alias("definition")),
+                F.struct(F.lit("").alias("definition")),
+                F.struct(F.concat(F.lit("Kind of "), F.get(F.split("p_name", " "), 1), F.lit(".")).alias("definition")))
+        .alias("definitions"))).alias("meanings")))
+    body = F.when(F.col("p_size") > 45, F.to_json(F.struct(F.lit("No Definitions Found").alias("title")))) \
+        .otherwise(F.to_json(entry))
+    return part.select(F.col("p_partkey").alias("word_id"), F.col("p_name").alias("word"), body.alias("entry_json"))

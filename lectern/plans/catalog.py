@@ -16,6 +16,8 @@ from lectern.functions import labels as LB
 from lectern.functions import text as T
 from lectern.operators import guide as G
 from lectern.operators import keyed as K
+from lectern.operators import product as Z
+from lectern.plans import guide as PG
 from lectern.operators import layout as L
 from lectern.operators import segment as S
 from lectern.operators import summaries as M
@@ -391,3 +393,95 @@ _QUERIES.update({
     "submission_text": submission_text,
     "paragraph_display": paragraph_display,
 })
+
+
+# --------------------------------------------------------------------------
+# Vocabulary stages on their own, all languages
+# --------------------------------------------------------------------------
+
+def word_frequency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative frequency of every word per language over all documents."""
+    return V.word_frequencies(A.documents(spark, sf_dir))
+
+
+def lemma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6 + V7 + V10: lemma of every corpus word that has one in the lexicon."""
+    docs = A.documents(spark, sf_dir)
+    words = V.word_frequencies(docs).select("lang", "word")
+    return V.lemmatise(words, V.lexicon_from(A.quality_texts(spark, sf_dir)))
+
+
+def vocabulary_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V13 with each document's own language tables (threshold 2e-4)."""
+    return vocabulary_report(spark, sf_dir, lang=None, threshold=2e-4)
+
+
+def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persisted projection of the English vocabulary report."""
+    return V.vocabulary_rows(vocabulary_report(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Study guide (D1-D4) and product features
+# --------------------------------------------------------------------------
+
+def study_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per completed submission, dense paragraph rows with vocabulary
+    (words of that paragraph), summary and paragraph start."""
+    guide = PG.study_guide(spark, sf_dir)
+    return guide.withColumn("vocabulary", F.array_join("vocabulary", " "))
+
+
+def guide_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study guide of each submission exported as Markdown."""
+    return G.markdown_export(PG.study_guide(spark, sf_dir))
+
+
+def duplicate_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose exact text the same user already submitted."""
+    docs = A.documents(spark, sf_dir)
+    subs = docs.select(F.col("source").alias("user_id"), "doc_id", F.sha2("text", 256).alias("submission_id"),
+                       (F.lit(A.EPOCH_BASE) + F.col("doc_id") * 60).cast("bigint").alias("created_at"))
+    return Z.duplicate_submissions(subs, ["user_id"], "submission_id", ["created_at", "doc_id"])
+
+
+def upload_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3: uploads (object puts) per user per minute against the limit of 10."""
+    ev = read_table(spark, sf_dir, "events", "user_id", "ts", "event_type").filter(F.col("event_type") == "click")
+    return Z.rate_per_minute(ev, "user_id", "ts")
+
+
+THRESHOLDS = [1e-5, 2e-5, 5e-5, 1e-4]
+
+
+def threshold_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncommon-word counts per submission at several thresholds, from
+    one vocabulary run at the largest threshold."""
+    words = vocabulary_report(spark, sf_dir, threshold=max(THRESHOLDS))
+    return Z.threshold_profile(words, THRESHOLDS)
+
+
+def recent_submissions(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """Each user's five newest submissions."""
+    return Z.top_k_recent(upload_registration(spark, sf_dir), k)
+
+
+def resume_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages each key still has to run (required bits minus reported ones)."""
+    ev = A.stage_events(spark, sf_dir).filter(~F.col("failed"))
+    return Z.missing_stages(ev, ["user_id"])
+
+
+_QUERIES.update({
+    "word_frequency_table": word_frequency_table,
+    "lemma_table": lemma_table,
+    "vocabulary_all_languages": vocabulary_all_languages,
+    "vocabulary_table": vocabulary_table,
+    "study_guide": study_guide,
+    "guide_markdown": guide_markdown,
+    "duplicate_submissions": duplicate_submissions,
+    "upload_rate": upload_rate,
+    "threshold_profile": threshold_profile,
+    "recent_submissions": recent_submissions,
+    "resume_stages": resume_stages,
+})

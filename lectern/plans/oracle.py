@@ -250,6 +250,7 @@ def oracle_sql() -> dict[str, str]:
                                        "GROUP BY doc_id, paragraph_number")
     _summary_oracles(q)
     _keyed_oracles(q)
+    _guide_oracles(q)
     return q
 
 
@@ -262,14 +263,14 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _summary_ctes(faults: bool) -> str:
+def _summary_ctes(faults: bool, with_paragraphs: bool = True) -> str:
     from lectern.operators import summaries as M
     head, tail = M.ITEM_MARKER.split("{n}")
     mid, _ = tail.split("{text}")
     sentence1 = r"string_split(regexp_replace(texts[i + 1], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]"
     fault = f"length(user_prompt) % {M.FAULT_MODULUS}" if faults else "-1"
     sep = lit("\n\n")
-    return doc_paragraphs_cte() + f""",
+    return (doc_paragraphs_cte() if with_paragraphs else "") + f""",
 q AS (
   SELECT user_id, submission_id, paragraph_number, text,
          row_number() OVER (PARTITION BY user_id, submission_id ORDER BY paragraph_number) - 1 AS rn
@@ -582,3 +583,80 @@ FROM paras GROUP BY user_id, submission_id""")
 SELECT s.user_id, s.submission_id, s.paragraph_number, s.paragraph_start || '...' AS collapsed,
        coalesce(p.text, s.paragraph_start || '...') AS expanded
 FROM summary_rows s LEFT JOIN paras p USING (user_id, submission_id, paragraph_number)""")
+
+
+# --------------------------------------------------------------------------
+# Vocabulary stages, study guide, product features
+# --------------------------------------------------------------------------
+
+def _guide_ctes() -> str:
+    return vocabulary_ctes("") + _summary_ctes(True, with_paragraphs=False) + """,
+done AS (
+  SELECT source AS user_id, doc_id AS submission_id FROM docs d
+  WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.user_id = d.source AND f.submission_id = d.doc_id)
+),
+gwords AS (
+  SELECT r.user_id, r.submission_id, r.first_paragraph AS paragraph_index,
+         list(r.word ORDER BY 'VOCAB#' || r.submission_id || '#' || r.first_paragraph || '#' || r.word) AS vocabulary
+  FROM ranked r JOIN done USING (user_id, submission_id)
+  GROUP BY r.user_id, r.submission_id, r.first_paragraph
+),
+gsums AS (
+  SELECT s.user_id, s.submission_id, s.paragraph_number AS paragraph_index, s.summary, s.paragraph_start
+  FROM summary_rows s JOIN done USING (user_id, submission_id)
+),
+sizes AS (
+  SELECT d.user_id, d.submission_id, greatest(coalesce(w.nw, 0), coalesce(s.ns, 0)) AS n
+  FROM done d
+  LEFT JOIN (SELECT user_id, submission_id, count(*) AS nw FROM gwords GROUP BY ALL) w USING (user_id, submission_id)
+  LEFT JOIN (SELECT user_id, submission_id, count(*) AS ns FROM gsums GROUP BY ALL) s USING (user_id, submission_id)
+),
+gidx AS (SELECT user_id, submission_id, unnest(range(n))::INTEGER AS paragraph_index FROM sizes WHERE n > 0),
+guide AS (
+  SELECT i.user_id, i.submission_id, i.paragraph_index, coalesce(w.vocabulary, []::VARCHAR[]) AS vocabulary,
+         coalesce(s.summary, '') AS summary, coalesce(s.paragraph_start, '') AS paragraph_start
+  FROM gidx i LEFT JOIN gwords w USING (user_id, submission_id, paragraph_index)
+  LEFT JOIN gsums s USING (user_id, submission_id, paragraph_index)
+)"""
+
+
+def _guide_oracles(q: dict[str, str]) -> None:
+    from lectern.operators.product import threshold_column
+    from lectern.plans.catalog import THRESHOLDS
+    q["word_frequency_table"] = _with(vocabulary_ctes(""),
+                                      "SELECT c.lang, c.word, c.n, f.freq FROM counts c JOIN wfreq f USING (lang, word)")
+    q["lemma_table"] = _with(vocabulary_ctes(""), "SELECT lang, word, lemma FROM best")
+    q["vocabulary_all_languages"] = _with(vocabulary_ctes("", 2e-4), "SELECT * FROM ranked")
+    q["vocabulary_table"] = _with(vocabulary_ctes("en"), "SELECT user_id, submission_id, "
+                                  "first_paragraph AS paragraph_number, word FROM ranked")
+    q["study_guide"] = _with(_guide_ctes(), "SELECT user_id, submission_id, paragraph_index, "
+                             "array_to_string(vocabulary, ' ') AS vocabulary, summary, paragraph_start FROM guide")
+    nl2 = "chr(10) || chr(10)"
+    q["guide_markdown"] = _with(_guide_ctes(), f"""
+SELECT user_id, submission_id,
+       string_agg('## ' || paragraph_start || '...' || {nl2} || summary
+                  || CASE WHEN len(vocabulary) > 0 THEN {nl2} || '**Vocabulary:** ' || array_to_string(vocabulary, ', ')
+                          ELSE '' END, {nl2} ORDER BY paragraph_index) AS markdown
+FROM guide GROUP BY user_id, submission_id""")
+    q["duplicate_submissions"] = """
+SELECT user_id, submission_id, doc_id, created_at,
+       count(*) OVER (PARTITION BY user_id, submission_id) AS copies,
+       row_number() OVER (PARTITION BY user_id, submission_id ORDER BY created_at, doc_id) > 1 AS is_duplicate
+FROM (SELECT source AS user_id, doc_id, sha256(text) AS submission_id,
+             (1700000000 + doc_id * 60)::BIGINT AS created_at FROM documents)"""
+    q["upload_rate"] = """
+SELECT user_id, time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) AS uploads,
+       count(*) > 10 AS over_limit
+FROM events WHERE event_type = 'click' GROUP BY user_id, time_bucket(INTERVAL '1 minute', ts)"""
+    cols = ", ".join(f"count_if(language_frequency < {t!r}) AS {threshold_column(t)}" for t in sorted(THRESHOLDS))
+    q["threshold_profile"] = _with(vocabulary_ctes("en", max(THRESHOLDS)),
+                                   f"SELECT user_id, submission_id, {cols} FROM ranked GROUP BY user_id, submission_id")
+    q["recent_submissions"] = _with(_requests_cte(), """
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(created_at, 0) DESC, submission_id)::INTEGER
+         AS position FROM registration) WHERE position <= 5""")
+    q["resume_stages"] = f"""
+WITH done AS (SELECT user_id, {_stage_bits_case()} AS bit FROM events WHERE event_type <> 'error'),
+wanted AS (SELECT user_id, unnest([1, 2, 4]) AS stage FROM (SELECT DISTINCT user_id FROM done))
+SELECT w.user_id, w.stage FROM wanted w
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.user_id = w.user_id AND d.bit = w.stage)"""

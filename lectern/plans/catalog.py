@@ -18,6 +18,7 @@ from lectern.operators import guide as G
 from lectern.operators import keyed as K
 from lectern.operators import product as Z
 from lectern.plans import guide as PG
+from lectern.streaming import uploads as ST
 from lectern.operators import layout as L
 from lectern.operators import segment as S
 from lectern.operators import summaries as M
@@ -485,3 +486,26 @@ _QUERIES.update({
     "recent_submissions": recent_submissions,
     "resume_stages": resume_stages,
 })
+
+
+# --------------------------------------------------------------------------
+# Streaming (X1-X4): run to completion with availableNow, return the sink
+# --------------------------------------------------------------------------
+
+def streamed_stage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X3 + X4: stage state accumulated by a deduplicating stream;
+    equals the batch ``stage_state``."""
+    return ST.run_stage_state(spark, sf_dir)
+
+
+def streamed_upload_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X2: upload keys parsed by the stream, fanned out to a key table
+    and a quarantine table; equals the batch ``object_key_parse``."""
+    keys, quarantine = ST.run_upload_keys(spark, sf_dir)
+    return keys.unionByName(quarantine)
+
+
+_QUERIES.update({
+    "streamed_stage_state": streamed_stage_state,
+    "streamed_upload_keys": streamed_upload_keys,
+})

@@ -251,6 +251,8 @@ def oracle_sql() -> dict[str, str]:
     _summary_oracles(q)
     _keyed_oracles(q)
     _guide_oracles(q)
+    q["streamed_stage_state"] = q["stage_state"]
+    q["streamed_upload_keys"] = q["object_key_parse"]
     return q
 
 

@@ -164,9 +164,9 @@ def upload_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_STAGE_BITS = {"signup": 0, "view": 1, "click": 2, "purchase": 4}
 
 
-def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage completions from ``events``: (user_id, event_id, ts, bit, failed)."""
-    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+def stage_rows(ev: DataFrame) -> DataFrame:
+    """Stage completions from events: (user_id, event_id, ts, bit, failed).
+    Works on batch and streaming DataFrames alike."""
     bit = None
     for t, b in EVENT_STAGE_BITS.items():
         bit = F.when(F.col("event_type") == t, b) if bit is None else bit.when(F.col("event_type") == t, b)
@@ -174,12 +174,19 @@ def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("event_type") == "error").alias("failed"))
 
 
+def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage_rows(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"))
+
+
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue messages from ``events``: clicks and errors are object puts,
+    return notification_messages(read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type"))
+
+
+def notification_messages(ev: DataFrame) -> DataFrame:
+    """Queue messages from ``events`` (batch or stream): clicks and errors are object puts,
     everything else another event; messages of even ``event_id`` come wrapped in a
     topic envelope, and a wrapped ``signup`` carries an unparsable message;
     ``error`` events point at a key outside the upload layout."""
-    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
     key = F.when(F.col("event_type") == "error", F.concat(F.lit("incoming/"), F.col("event_id").cast("string"))) \
         .otherwise(F.concat(F.lit("uploads/u"), F.col("user_id").cast("string"), F.lit("/"),
                             F.sha2(F.col("event_id").cast("string"), 256), F.lit(".txt")))

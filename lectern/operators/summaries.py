@@ -114,8 +114,10 @@ def stand_in_model(prompts: DataFrame, faults: bool = False) -> DataFrame:
     """
     nums = F.regexp_extract_all("user_prompt", F.lit(ITEM_PATTERN), 1)
     texts = F.regexp_extract_all("user_prompt", F.lit(ITEM_PATTERN), 2)
-    items = F.transform(F.arrays_zip(nums.alias("n"), texts.alias("t")), lambda x: F.struct(
-        x["n"].cast("int").alias("paragraph_number"), T.sentences(x["t"])[0].alias("summary")))
+    answered = prompts.withColumn("_items", F.transform(
+        F.arrays_zip(nums.alias("n"), texts.alias("t")), lambda x: F.struct(
+            x["n"].cast("int").alias("paragraph_number"), T.sentences(x["t"])[0].alias("summary"))))
+    items = F.col("_items")   # a column, so lambdas below do not re-parse the prompt
     fault = F.length("user_prompt") % FAULT_MODULUS if faults else F.lit(-1)
     k = F.size(items)
     items = (F.when(fault == FAULT_MISSING, F.slice(items, 1, F.greatest(k - 1, F.lit(0))))
@@ -128,7 +130,7 @@ def stand_in_model(prompts: DataFrame, faults: bool = False) -> DataFrame:
     body = F.to_json(F.struct(items.alias("summaries")))
     if faults:  # truncated JSON text
         body = F.when(fault == FAULT_BAD_JSON, body.substr(F.lit(1), F.length(body) - 2)).otherwise(body)
-    return prompts.withColumn("response", body)
+    return answered.withColumn("response", body).drop("_items")
 
 
 def call_model(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.Series] | None = None,
@@ -161,8 +163,10 @@ def validate_responses(responses: DataFrame) -> DataFrame:
     invalid json, wrong count (not exactly ``n_items`` summaries), missing
     numbers (numbers in 1..n not all present once).
     """
-    parsed = F.from_json("response", RESPONSE_DDL)
-    items = F.coalesce(parsed["summaries"], F.array().cast("array<struct<paragraph_number:int,summary:string>>"))
+    staged = responses.withColumn("_items", F.coalesce(
+        F.from_json("response", RESPONSE_DDL)["summaries"],
+        F.array().cast("array<struct<paragraph_number:int,summary:string>>")))
+    items = F.col("_items")
     n = F.col("n_items")
     numbers = F.array_distinct(F.filter(F.transform(items, lambda x: x["paragraph_number"]),
                                         lambda p: p.between(1, n)))
@@ -171,7 +175,7 @@ def validate_responses(responses: DataFrame) -> DataFrame:
               .when(F.size(items) != n, "wrong count")
               .when(F.size(numbers) != n, "missing numbers")
               .otherwise("ok"))
-    return responses.select(*_KEY, "batch_no", "n_items", "response", status.alias("status"))
+    return staged.select(*_KEY, "batch_no", "n_items", "response", status.alias("status"))
 
 
 def failed_submissions(verdicts: DataFrame) -> DataFrame:

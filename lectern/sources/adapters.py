@@ -71,8 +71,11 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``page`` whose children ``path=[page, block]`` are ``paragraph`` nodes
     with ``page_start = page_end = page``.
     """
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    words = F.split(T.strip_ws("text"), r"(?U)\s+", -1)
+    # The word array is a column of its own: a lambda that referenced the
+    # split expression would re-split the text for every block.
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id", F.split(T.strip_ws("text"), r"(?U)\s+", -1).alias("words"))
+    words = F.col("words")
     n_blocks = F.ceil(F.size(words) / WORDS_PER_BLOCK).cast("int")
     texts = F.transform(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))),
                         lambda i: F.array_join(F.slice(words, i * WORDS_PER_BLOCK + 1, WORDS_PER_BLOCK), " "))

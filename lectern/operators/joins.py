@@ -39,3 +39,9 @@ def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Bounded:
     frozen = df.checkpoint(eager=True)
     rows = frozen.count()
     return Bounded(frozen, rows, rows <= max_rows)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the reliable checkpoint folder (lineage cut)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.joins import DEFAULT_BROADCAST_ROWS, measure
+from lectern.operators.joins import DEFAULT_BROADCAST_ROWS, materialise, measure
 
 DEFAULT_THRESHOLD = 2e-5
 
@@ -106,28 +106,48 @@ def lemma_class(tag: Column) -> Column:
     return expr.otherwise("noun")
 
 
-def _candidates(word: Column, cls: Column) -> Column:
-    """The word itself plus every rule result for its class, as
-    ``struct(len, ord, lemma)`` so that ``min`` picks shortest-then-first."""
-    items = [F.struct(F.length(word).alias("len"), F.lit(0).alias("ord"), word.alias("lemma"))]
-    order = 0
+def _rules() -> list[tuple[int, str, str, str]]:
+    """(rule number from 1, class, suffix, ending) in trial order."""
+    out, order = [], 0
     for pos, rules in DETACHMENT_RULES.items():
         for suffix, ending in rules:
             order += 1
-            base = F.concat(word.substr(F.lit(1), F.length(word) - len(suffix)), F.lit(ending))
-            items.append(F.when((cls == pos) & word.endswith(suffix),
-                                F.struct(F.length(base).alias("len"), F.lit(order).alias("ord"),
-                                         base.alias("lemma"))))
+            out.append((order, pos, suffix, ending))
+    return out
+
+
+def _apply_rule(word: Column, suffix: str, ending: str) -> Column:
+    return F.concat(word.substr(F.lit(1), F.length(word) - len(suffix)), F.lit(ending))
+
+
+def _candidates(word: Column, cls: Column) -> Column:
+    """The word itself (rule 0) plus every rule result for its class, as
+    ``struct(rank, lemma)``; ``rank = length * 64 + rule`` orders shortest
+    first, then the word itself, then rule order."""
+    items = [F.struct((F.length(word) * 64).alias("rank"), word.alias("lemma"))]
+    for order, pos, suffix, ending in _rules():
+        base = _apply_rule(word, suffix, ending)
+        items.append(F.when((cls == pos) & word.endswith(suffix),
+                            F.struct((F.length(base) * 64 + order).alias("rank"), base.alias("lemma"))))
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+def _lemma_of(word: Column, rule: Column) -> Column:
+    """Recompute the candidate of ``rule`` for ``word`` (rule 0 = itself)."""
+    expr = F.when(rule == 0, word)
+    for order, _, suffix, ending in _rules():
+        expr = expr.when(rule == order, _apply_rule(word, suffix, ending))
+    return expr
+
+
 def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None = None) -> DataFrame:
     """V6+V7+V10 on distinct words: ``(lang, word) -> lemma`` for valid words only.
 
     A candidate counts only if it is in ``lexicon(lang, word)``; the
     shortest wins (ties: the word itself, then rule order).  Words with no
     candidate in the lexicon keep themselves as lemma and are invalid, so
-    they are not returned.
+    they are not returned.  The winner is found with an integer ``min``
+    (hash aggregate) and its text recomputed from (word, rule).
     """
     if pos_tags is not None:
         tagged = words.join(pos_tags.select("word", "tag"), "word", "left")
@@ -135,12 +155,26 @@ def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None =
     else:
         tagged = words
         tag = heuristic_tag(F.col("word"))
-    cands = tagged.select("lang", "word", F.explode(_candidates(F.col("word"), lemma_class(tag))).alias("c"))
-    lex = lexicon.select("lang", F.col("word").alias("lemma_key"))
-    found = cands.join(lex, (cands.lang == lex.lang) & (F.col("c.lemma") == F.col("lemma_key")),
+    classed = tagged.select("lang", "word", lemma_class(tag).alias("cls"))
+    cands = classed.select("lang", "word", F.explode(_candidates(F.col("word"), F.col("cls"))).alias("c"))
+    lex = lexicon.select(F.col("lang").alias("lex_lang"), F.col("word").alias("lemma_key"))
+    found = cands.join(lex, (F.col("lang") == F.col("lex_lang")) & (F.col("c.lemma") == F.col("lemma_key")),
                        "left_semi")
-    return (found.groupBy("lang", "word").agg(F.min("c").alias("c"))
-            .select("lang", "word", F.col("c.lemma").alias("lemma")))
+    best = found.groupBy("lang", "word").agg(F.min("c.rank").alias("rank"))
+    return best.select("lang", "word", _lemma_of(F.col("word"), F.col("rank") % 64).alias("lemma"))
+
+
+def _normalised_words(texts: DataFrame, text_col: str, *extra: str) -> DataFrame:
+    return (texts.select("lang", *extra, F.explode(T.letter_tokens(text_col)).alias("token"))
+            .select("lang", *extra, T.normalise_token("token").alias("word"))
+            .filter(F.col("word") != ""))
+
+
+def _with_frequency(counts: DataFrame) -> DataFrame:
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))   # one row per language
+    return (counts.join(F.broadcast(totals), "lang")
+            .withColumn("freq", F.col("n").cast("double") / F.col("total").cast("double"))
+            .drop("total"))
 
 
 def word_frequencies(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -149,22 +183,30 @@ def word_frequencies(texts: DataFrame, text_col: str = "text") -> DataFrame:
     Two-level aggregate: counts per (lang, word) with map-side partial
     aggregation, totals per language (one row per language, broadcast).
     """
-    words = (texts.select("lang", F.explode(T.letter_tokens(text_col)).alias("token"))
-             .select("lang", T.normalise_token("token").alias("word"))
-             .filter(F.col("word") != ""))
-    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return (counts.join(F.broadcast(totals), "lang")
-            .select("lang", "word", "n",
-                    (F.col("n").cast("double") / F.col("total").cast("double")).alias("freq")))
+    counts = _normalised_words(texts, text_col).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return _with_frequency(counts).select("lang", "word", "n", "freq")
 
 
 def lexicon_from(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Valid-word list: distinct normalised tokens per language."""
-    return (texts.select("lang", F.explode(T.letter_tokens(text_col)).alias("token"))
-            .select("lang", T.normalise_token("token").alias("word"))
-            .filter(F.col("word") != "")
-            .distinct())
+    return _normalised_words(texts, text_col).distinct()
+
+
+def corpus_statistics(texts: DataFrame, lexicon_doc_ids: DataFrame, text_col: str = "text",
+                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """V8b and the lexicon in one pass over the corpus:
+    ``(lang, word, n, freq, in_lexicon)``; ``in_lexicon`` is true when the
+    word occurs in a document listed in ``lexicon_doc_ids(doc_id)``.
+
+    The id list is broadcast only if its measured size allows; otherwise
+    the flag comes from a shuffle join on ``doc_id``.
+    """
+    ids = measure(lexicon_doc_ids.select("doc_id").distinct().withColumn("_lex", F.lit(True)),
+                  max_broadcast_rows)
+    flagged = texts.join(ids.side(), "doc_id", "left").withColumn("_lex", F.coalesce("_lex", F.lit(False)))
+    counts = (_normalised_words(flagged, text_col, "_lex").groupBy("lang", "word")
+              .agg(F.count(F.lit(1)).alias("n"), F.bool_or("_lex").alias("in_lexicon")))
+    return _with_frequency(counts).select("lang", "word", "n", "freq", "in_lexicon")
 
 
 def lookup_frequency(df: DataFrame, frequency: DataFrame, key: str = "lemma") -> DataFrame:
@@ -178,12 +220,20 @@ def uncommon(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     return df.filter(F.col("freq") < F.lit(float(threshold)))
 
 
-def uncommon_lemma_map(frequency: DataFrame, lexicon: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                       pos_tags: DataFrame | None = None) -> DataFrame:
+def uncommon_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
+                       threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None) -> DataFrame:
     """V6-V10 on the distinct words of the frequency table:
-    ``(lang, word, lemma, freq)`` for valid, uncommon lemmas only."""
-    words = frequency.select("lang", "word")
-    return uncommon(lookup_frequency(lemmatise(words, lexicon, pos_tags), frequency), threshold)
+    ``(lang, word, lemma, freq)`` for valid, uncommon lemmas only.
+
+    The frequency table is used twice (as the word list and for the lemma
+    lookup), so it is materialised once with a reliable checkpoint.  With
+    ``lexicon=None`` the lexicon is the table's ``in_lexicon`` words.
+    """
+    freq = materialise(frequency)
+    if lexicon is None:
+        lexicon = freq.filter("in_lexicon").select("lang", "word")
+    words = freq.select("lang", "word")
+    return uncommon(lookup_frequency(lemmatise(words, lexicon, pos_tags), freq), threshold)
 
 
 # --------------------------------------------------------------------------
@@ -213,7 +263,7 @@ def rank_words(words: DataFrame) -> DataFrame:
         "language_frequency", F.row_number().over(w).alias("rank"))
 
 
-def uncommon_words(paragraphs: DataFrame, frequency: DataFrame, lexicon: DataFrame,
+def uncommon_words(paragraphs: DataFrame, frequency: DataFrame, lexicon: DataFrame | None = None,
                    threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """V13 ``parse_paragraphs`` for every submission at once.

@@ -37,9 +37,8 @@ def vocabulary_report(spark: SparkSession, sf_dir: str, lang: str = "en",
     """Flagship: per document, its uncommon words with count, first sentence,
     first paragraph, frequency and rarity rank (V1-V13)."""
     docs = A.documents(spark, sf_dir, lang)
-    frequency = V.word_frequencies(docs)
-    lexicon = V.lexicon_from(A.quality_texts(spark, sf_dir, lang))
-    return V.uncommon_words(A.doc_paragraphs(docs), frequency, lexicon, threshold)
+    stats = V.corpus_statistics(docs, A.quality_ids(spark, sf_dir))
+    return V.uncommon_words(A.doc_paragraphs(docs), stats, None, threshold)
 
 
 _QUERIES: dict[str, Query] = {"vocabulary_report": vocabulary_report}
@@ -408,8 +407,8 @@ def word_frequency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lemma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6 + V7 + V10: lemma of every corpus word that has one in the lexicon."""
     docs = A.documents(spark, sf_dir)
-    words = V.word_frequencies(docs).select("lang", "word")
-    return V.lemmatise(words, V.lexicon_from(A.quality_texts(spark, sf_dir)))
+    stats = V.corpus_statistics(docs, A.quality_ids(spark, sf_dir))
+    return V.lemmatise(stats.select("lang", "word"), stats.filter("in_lexicon").select("lang", "word"))
 
 
 def vocabulary_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

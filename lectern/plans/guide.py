@@ -42,9 +42,8 @@ def study_guide_parts(spark: SparkSession, sf_dir: str, threshold: float = V.DEF
                       faults: bool = True):
     docs = A.documents(spark, sf_dir)
     paragraphs = A.doc_paragraphs(docs)
-    frequency = V.word_frequencies(docs)
-    lexicon = V.lexicon_from(A.quality_texts(spark, sf_dir))
-    words = V.uncommon_words(paragraphs, frequency, lexicon, threshold)
+    stats = V.corpus_statistics(docs, A.quality_ids(spark, sf_dir))
+    words = V.uncommon_words(paragraphs, stats, None, threshold)
     summary_rows, verdicts = M.summarise(paragraphs, faults=faults)
     subs = docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"))
     summarized = subs.join(M.failed_submissions(verdicts), _KEY, "left_anti")

@@ -46,6 +46,11 @@ def doc_paragraphs(docs: DataFrame, min_length: int = 100) -> DataFrame:
         F.posexplode(kept).alias("paragraph_number", "text"))
 
 
+def quality_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents labelled ``quality = 1`` (the lexicon's sources)."""
+    return read_table(spark, sf_dir, "labels", "doc_id", "quality").filter(F.col("quality") == 1).select("doc_id")
+
+
 def quality_texts(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels", "doc_id", "quality").filter(F.col("quality") == 1)
     return documents(spark, sf_dir, lang).join(labels.select("doc_id"), "doc_id", "left_semi")

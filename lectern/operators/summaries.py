@@ -25,6 +25,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.functions import text as T
 
@@ -143,7 +144,7 @@ def call_model(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.Series] |
     """
     if model is None:
         return stand_in_model(prompts, faults)
-    schema = prompts.schema.add("response", "string")
+    schema = StructType([*prompts.schema.fields, StructField("response", StringType())])
 
     def run(frames):
         for pdf in frames:

@@ -144,7 +144,8 @@ def explode_list(keys: str, lst: str, src: str) -> str:
 
 
 CONV_CTE = """conv AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
-                  FROM conversations GROUP BY conv_id)"""
+                  FROM conversations GROUP BY conv_id
+                  HAVING sum(strlen(text) + 2) - 2 <= 104857600)"""
 
 P1 = f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
 

@@ -56,10 +56,23 @@ def quality_texts(spark: SparkSession, sf_dir: str, lang: str | None = None) ->
     return documents(spark, sf_dir, lang).join(labels.select("doc_id"), "doc_id", "left_semi")
 
 
-def conv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+MAX_UPLOAD_BYTES = 100 * 1024 * 1024
+
+
+def conv_docs(spark: SparkSession, sf_dir: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """One text per conversation: its turns in order joined by a blank line
-    (a plain-text upload whose paragraphs are the turns)."""
+    (a plain-text upload whose paragraphs are the turns).
+
+    Conversations whose joined text would exceed the upload limit are left
+    out (the upload gate rejects them), and the check runs on a partial
+    aggregate of sizes *before* any text is gathered, so no group larger
+    than one upload is ever assembled in a task.
+    """
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    sizes = (conv.groupBy("conv_id")
+             .agg((F.sum(F.octet_length("text") + 2) - 2).alias("n_bytes"))
+             .filter(F.col("n_bytes") <= max_bytes))
+    conv = conv.join(sizes.select("conv_id"), "conv_id", "left_semi")
     return (conv.groupBy("conv_id")
             .agg(T.ordered_join("text", "\n\n", "turn").alias("text")))
 

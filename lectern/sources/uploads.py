@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators.keyed import STAGE_RECEIVED, upsert
+from lectern.sources.adapters import MAX_UPLOAD_BYTES
 
 # Fixed values.
-MAX_UPLOAD_BYTES = 100 * 1024 * 1024
 MAX_TEXT_CHARS = 200_000
 DEFAULT_SUBMISSION_STATE = STAGE_RECEIVED
 

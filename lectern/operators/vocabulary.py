@@ -243,10 +243,17 @@ def uncommon_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
 _KEY = ["user_id", "submission_id"]
 
 
+# Group-key order for V11: the first occurrence keeps its sentence text in
+# the aggregation buffer, so the partial aggregate is sort based; leading
+# with the numeric submission id then the lemma gives the sorter a
+# discriminating key prefix (a leading user id is constant per document).
+_AGG_KEY = ["submission_id", "lemma", "user_id"]
+
+
 def aggregate_words(hits: DataFrame) -> DataFrame:
     """Count, first occurrence and frequency per (submission, lemma)."""
     first = F.struct("paragraph_number", "sentence_number", "token_number", "sentence")
-    return (hits.groupBy(*_KEY, "lemma")
+    return (hits.groupBy(*_AGG_KEY)
             .agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("first"),
                  F.max("freq").alias("language_frequency")))
 
@@ -285,9 +292,9 @@ def uncommon_words(paragraphs: DataFrame, frequency: DataFrame, lexicon: DataFra
         return rank_words(aggregate_words(hits))
     # Large map: one row per distinct (submission, word) before the shuffle join.
     first = F.struct("paragraph_number", "sentence_number", "token_number", "sentence")
-    pre = kept.groupBy(*_KEY, "lang", "word").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
+    pre = kept.groupBy("submission_id", "word", "lang", "user_id").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
     joined = pre.join(lemma_map.df, ["lang", "word"])
-    words = (joined.groupBy(*_KEY, "lemma")
+    words = (joined.groupBy(*_AGG_KEY)
              .agg(F.sum("n").alias("count"), F.min("first").alias("first"),
                   F.max("freq").alias("language_frequency")))
     return rank_words(words)

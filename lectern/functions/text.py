@@ -66,7 +66,7 @@ def letter_tokens(col: Column | str) -> Column:
 
 def normalise_token(col: Column | str) -> Column:
     """V5: remove non-word characters and lower-case."""
-    return F.lower(F.regexp_replace(_c(col), NON_WORD_IN_LETTERS, ""))
+    return F.lower(F.translate(_c(col), NON_WORD_IN_LETTERS.strip("[]"), ""))
 
 
 def is_capitalised(col: Column | str) -> Column:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lectern.functions import text as T
+from lectern.operators.joins import materialise
 
 # Fixed values.
 MIN_SUMMARY_CHARS = 300      # shorter paragraphs are their own summary
@@ -209,5 +210,8 @@ def summarise(paragraphs: DataFrame, model=None, faults: bool = False, subject:
               batch_size: int = BATCH_SIZE, cap: int = SUMMARY_CAP) -> tuple[DataFrame, DataFrame]:
     """M1-M10 end to end: returns (summary rows, batch verdicts)."""
     batches = batch_paragraphs(paragraphs, batch_size)
-    verdicts = validate_responses(call_model(build_prompts(batches, subject), model, faults))
+    # Model answers are an expensive, possibly non-deterministic side effect
+    # read by several consumers: compute them once, into reliable storage.
+    responses = materialise(call_model(build_prompts(batches, subject), model, faults))
+    verdicts = validate_responses(responses)
     return summary_rows(scatter_summaries(paragraphs, batches, verdicts), cap), verdicts

@@ -508,3 +508,30 @@ _QUERIES.update({
     "streamed_stage_state": streamed_stage_state,
     "streamed_upload_keys": streamed_upload_keys,
 })
+
+
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: sentences of every document paragraph."""
+    return V.split_sentences(_paragraphs(spark, sf_dir))
+
+
+def paragraph_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2-V5: tokens per paragraph, kept after the proper-noun filter, and distinct words."""
+    toks = V.tokenize(V.split_sentences(_paragraphs(spark, sf_dir)))
+    kept = ~F.col("is_proper") & (F.col("word") != "")
+    return (toks.groupBy("user_id", "submission_id", "paragraph_number")
+            .agg(F.count(F.lit(1)).alias("tokens"), F.count_if(kept).alias("kept_tokens"),
+                 F.count_distinct(F.when(kept, F.col("word"))).alias("distinct_words")))
+
+
+def streamed_upload_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3 as a stream: per-user tumbling-minute upload counts with a
+    watermark, emitted once each window closes."""
+    return ST.run_upload_rate(spark, sf_dir)
+
+
+_QUERIES.update({
+    "sentence_split": sentence_split,
+    "paragraph_token_counts": paragraph_token_counts,
+    "streamed_upload_rate": streamed_upload_rate,
+})

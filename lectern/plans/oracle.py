@@ -254,6 +254,21 @@ def oracle_sql() -> dict[str, str]:
     _guide_oracles(q)
     q["streamed_stage_state"] = q["stage_state"]
     q["streamed_upload_keys"] = q["object_key_parse"]
+    q["streamed_upload_rate"] = q["upload_rate"]
+    q["sentence_split"] = _with(doc_paragraphs_cte(), r"""
+SELECT user_id, submission_id, lang, paragraph_number,
+       unnest(ss) AS sentence, unnest(range(len(ss)))::INTEGER AS sentence_number
+FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM paras)""")
+    q["paragraph_token_counts"] = _with(vocabulary_ctes("") + """,
+all_toks AS (
+  SELECT user_id, submission_id, paragraph_number, lower(regexp_replace(token, '[×÷]', '', 'g')) AS word,
+         (regexp_matches(token, '^[A-ZÀ-ÖØ-Þ]') AND token_number > 0) AS is_proper
+  FROM toks
+)""", """
+SELECT user_id, submission_id, paragraph_number, count(*) AS tokens,
+       count_if(NOT is_proper AND word <> '') AS kept_tokens,
+       count(DISTINCT CASE WHEN NOT is_proper AND word <> '' THEN word END) AS distinct_words
+FROM all_toks GROUP BY user_id, submission_id, paragraph_number""")
     return q
 
 

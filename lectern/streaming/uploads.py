@@ -111,3 +111,31 @@ def run_upload_keys(spark: SparkSession, sf_dir: str, base: str | None = None) -
     cols = ["event_id", "bucket", "key", "user_id", "submission_id", "reason"]
     return (spark.read.parquet(f"{base}/keys").select(*cols),
             spark.read.parquet(f"{base}/quarantine").select(*cols))
+
+
+RATE_WATERMARK = "10 minutes"
+
+
+def upload_rate_stream(events: DataFrame, watermark: str = RATE_WATERMARK) -> DataFrame:
+    """Z3 on a stream: uploads per user per tumbling minute.  Counts are
+    emitted in update mode as windows change; state for windows older than
+    the watermark is dropped and later events for them are ignored."""
+    from lectern.operators.product import RATE_LIMIT_PER_MINUTE
+    puts = events.filter(F.col("event_type") == "click").withColumn("event_time", F.col("ts").cast("timestamp"))
+    counts = (puts.withWatermark("event_time", watermark)
+              .groupBy("user_id", F.window("event_time", "1 minute").alias("w"))
+              .agg(F.count(F.lit(1)).alias("uploads")))
+    return counts.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "uploads",
+                         (F.col("uploads") > RATE_LIMIT_PER_MINUTE).alias("over_limit"))
+
+
+def run_upload_rate(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """Run Z3's stream to completion; the table is the latest count per
+    (user, window)."""
+    base = base or _base(spark, "upload-rate")
+    q = (upload_rate_stream(event_stream(spark, sf_dir)).writeStream.outputMode("update")
+         .option("checkpointLocation", f"{base}/_checkpoint")
+         .foreachBatch(_epoch_writer(base, {"rate": lambda b: b}))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return latest_per_key(spark, f"{base}/rate", ["user_id", "window_start"])

@@ -296,3 +296,49 @@ def test_input_gate_precedence(spark):
     rows = U.gate_inputs(df, max_bytes=10).collect()
     assert [bytes(r.content) if r.content else None for r in rows][:3] == [b"file", b"url", b"text"]
     assert [r.status for r in rows] == [200, 200, 200, 400, 413]
+
+
+# K4, Z4, Z6, Z2, Z9 ----------------------------------------------------------
+
+def test_bulk_insert_appends_with_run_time(spark, tmp_path):
+    rows = spark.createDataFrame([("u", "s", 0, "w")], "user_id string, submission_id string, "
+                                                       "paragraph_number int, word string")
+    K.append(K.with_write_time(rows, 1234567890), str(tmp_path / "vocab"))
+    K.append(K.with_write_time(rows, 1234567891), str(tmp_path / "vocab"))
+    back = spark.read.parquet(str(tmp_path / "vocab")).filter("user_id = 'u'")
+    assert sorted(r.created_at for r in back.collect()) == [1234567890, 1234567891]
+
+
+def test_word_marks_latest_wins_and_hide_known(spark):
+    from lectern.operators import product as Z
+    vocab = spark.createDataFrame([("u", "alpha"), ("u", "beta"), ("u", "gamma")], "user_id string, word string")
+    marks = spark.createDataFrame([("u", "alpha", "learned", 1), ("u", "alpha", "known", 2),
+                                   ("u", "beta", "not interested", 1)],
+                                  "user_id string, word string, mark string, ts long")
+    got = {r.word: r.mark for r in Z.word_marks(vocab, marks).collect()}
+    assert got == {"alpha": "known", "beta": "not interested", "gamma": "unmarked"}
+    assert sorted(r.word for r in Z.hide_known(vocab, marks).collect()) == ["beta", "gamma"]
+
+
+def test_rename_latest_wins(spark):
+    from lectern.operators import product as Z
+    subs = spark.createDataFrame([("u", "s", "a.txt"), ("u", "t", "b.txt")],
+                                 "user_id string, submission_id string, filename string")
+    ren = spark.createDataFrame([("u", "s", "x.txt", 1), ("u", "s", "y.txt", 2)],
+                                "user_id string, submission_id string, filename string, ts long")
+    assert {r.submission_id: r.filename for r in Z.rename(subs, ren).collect()} == {"s": "y.txt", "t": "b.txt"}
+
+
+def test_duplicates_flag_later_copies(spark):
+    from lectern.operators import product as Z
+    subs = spark.createDataFrame([("u", 1, "h", 10), ("u", 2, "h", 20), ("u", 3, "g", 30), ("v", 4, "h", 40)],
+                                 "user_id string, doc_id long, submission_id string, created_at long")
+    got = {r.doc_id: (r.copies, r.is_duplicate) for r in
+           Z.duplicate_submissions(subs, ["user_id"], "submission_id", ["created_at", "doc_id"]).collect()}
+    assert got == {1: (2, False), 2: (2, True), 3: (1, False), 4: (1, False)}
+
+
+def test_missing_stages(spark):
+    from lectern.operators import product as Z
+    done = spark.createDataFrame([("u", 1), ("u", 2), ("v", 1), ("v", 2), ("v", 4)], "user_id string, bit int")
+    assert [(r.user_id, r.stage) for r in Z.missing_stages(done, ["user_id"]).collect()] == [("u", 4)]

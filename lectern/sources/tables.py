@@ -20,8 +20,41 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+# Text tables and the id that keys their rows.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+REBALANCE_CONF = "lectern.scan.rebalance"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    key = TEXT_KEYS.get(name)
+    return spread(df, key) if key and key in df.columns else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a text table by its id when the scan alone would leave
+    cores idle.
+
+    Text passes (splitting, regex tokenising) are CPU bound and run where
+    the scan runs.  A large table already yields far more scan tasks than
+    cores, and then nothing changes (no extra shuffle).  A table read as
+    fewer partitions than ``defaultParallelism`` (small inputs, or files
+    written as one row group) is spread by ``key``; downstream per-document
+    aggregates and windows reuse that partitioning.  ``lectern.scan.rebalance``
+    = ``auto`` (default), ``true`` or ``false``.
+    """
+    spark = df.sparkSession
+    mode = spark.conf.get(REBALANCE_CONF, "auto").lower()
+    if mode == "false":
+        return df
+    target = spark.sparkContext.defaultParallelism
+    if mode != "true":
+        try:
+            if df.rdd.getNumPartitions() >= target:
+                return df
+        except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
+            return df
+    return df.repartition(target, key)

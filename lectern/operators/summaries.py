@@ -81,10 +81,11 @@ def build_prompts(batches: DataFrame, subject: str = "") -> DataFrame:
     head, tail = ITEM_MARKER.split("{n}")
     mid, _ = tail.split("{text}")
     item = F.concat(F.lit(head), F.col("item_no").cast("string"), F.lit(mid), F.col("text"))
-    grouped = (batches.select(*_KEY, "batch_no", "item_no", item.alias("item"))
+    grouped = (batches.select(*_KEY, "batch_no", "item_no", "paragraph_number", item.alias("item"))
                .groupBy(*_KEY, "batch_no")
                .agg(F.count(F.lit(1)).cast("int").alias("n_items"),
-                    T.ordered_join("item", "\n\n", "item_no").alias("items")))
+                    T.ordered_join("item", "\n\n", "item_no").alias("items"),
+                    F.array_sort(F.collect_list(F.struct("item_no", "paragraph_number"))).alias("_members")))
     n = F.col("n_items").cast("string")
     user = T.strip_ws(F.concat(
         F.lit("Summarise each of the "), n, F.lit(" paragraphs below in one sentence.\n---\n\n"),
@@ -93,7 +94,8 @@ def build_prompts(batches: DataFrame, subject: str = "") -> DataFrame:
     return grouped.select(
         *_KEY, "batch_no", "n_items", user.alias("user_prompt"),
         F.lit(SYSTEM_PROMPT.format(subject=subject).replace("  ", " ")).alias("system_prompt"),
-        response_format(F.col("n_items")).alias("response_format"))
+        response_format(F.col("n_items")).alias("response_format"),
+        F.transform("_members", lambda m: m["paragraph_number"]).alias("paragraph_numbers"))
 
 
 # --------------------------------------------------------------------------
@@ -177,7 +179,8 @@ def validate_responses(responses: DataFrame) -> DataFrame:
               .when(F.size(items) != n, "wrong count")
               .when(F.size(numbers) != n, "missing numbers")
               .otherwise("ok"))
-    return staged.select(*_KEY, "batch_no", "n_items", "response", status.alias("status"))
+    extra = ["paragraph_numbers"] if "paragraph_numbers" in responses.columns else []
+    return staged.select(*_KEY, "batch_no", "n_items", "response", *extra, status.alias("status"))
 
 
 def failed_submissions(verdicts: DataFrame) -> DataFrame:
@@ -186,15 +189,19 @@ def failed_submissions(verdicts: DataFrame) -> DataFrame:
             .filter("failed").select(*_KEY))
 
 
-def scatter_summaries(paragraphs: DataFrame, batches: DataFrame, verdicts: DataFrame) -> DataFrame:
+def scatter_summaries(paragraphs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """M6: each paragraph gets its batch item's summary, else its own text;
-    submissions with a failed batch get no rows."""
+    submissions with a failed batch get no rows.
+
+    Each verdict row carries its batch's ``paragraph_numbers`` (item i is
+    element i), so items map back to paragraphs without recomputing the
+    batching.
+    """
     ok = verdicts.filter(F.col("status") == "ok")
-    items = ok.select(*_KEY, "batch_no", F.explode(
+    items = ok.select(*_KEY, "paragraph_numbers", F.explode(
         F.from_json("response", RESPONSE_DDL)["summaries"]).alias("s"))
-    items = items.select(*_KEY, "batch_no", F.col("s.paragraph_number").alias("item_no"),
-                         F.col("s.summary").alias("summary"))
-    placed = batches.join(items, [*_KEY, "batch_no", "item_no"]).select(*_KEY, "paragraph_number", "summary")
+    placed = items.select(*_KEY, F.element_at("paragraph_numbers", F.col("s.paragraph_number")).alias(
+        "paragraph_number"), F.col("s.summary").alias("summary"))
     alive = paragraphs.join(failed_submissions(verdicts), _KEY, "left_anti")
     return (alive.join(placed, [*_KEY, "paragraph_number"], "left")
             .select(*_KEY, "paragraph_number", "text", F.coalesce("summary", "text").alias("summary")))
@@ -214,4 +221,4 @@ def summarise(paragraphs: DataFrame, model=None, faults: bool = False, subject:
     # read by several consumers: compute them once, into reliable storage.
     responses = materialise(call_model(build_prompts(batches, subject), model, faults))
     verdicts = validate_responses(responses)
-    return summary_rows(scatter_summaries(paragraphs, batches, verdicts), cap), verdicts
+    return summary_rows(scatter_summaries(paragraphs, verdicts), cap), verdicts

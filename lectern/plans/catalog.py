@@ -131,13 +131,15 @@ def summary_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + M4: one prompt (with its response schema) per batch."""
-    return M.build_prompts(M.batch_paragraphs(_paragraphs(spark, sf_dir)))
+    prompts = M.build_prompts(M.batch_paragraphs(_paragraphs(spark, sf_dir)))
+    members = F.array_join(F.transform("paragraph_numbers", lambda x: x.cast("string")), ",")
+    return prompts.withColumn("paragraph_numbers", members)
 
 
 def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M10 stand-in (with injected faults) + M5 verdict per batch."""
     prompts = M.build_prompts(M.batch_paragraphs(_paragraphs(spark, sf_dir)))
-    return M.validate_responses(M.call_model(prompts, faults=True)).drop("response")
+    return M.validate_responses(M.call_model(prompts, faults=True)).drop("response", "paragraph_numbers")
 
 
 def paragraph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,14 +26,12 @@ from lectern.sources import adapters as A
 _KEY = ["user_id", "submission_id"]
 
 
-def stage_ledger(received: DataFrame, paragraphed: DataFrame, vocabularized: DataFrame,
-                 summarized: DataFrame) -> DataFrame:
-    """One row per (submission, stage bit) a stage reported; K10 sums them."""
-    parts = [(received, K.STAGE_RECEIVED), (paragraphed, K.STAGE_PARAGRAPHS),
-             (vocabularized, K.STAGE_VOCABULARY), (summarized, K.STAGE_SUMMARIES)]
+def stage_ledger(*reports: tuple[DataFrame, list[int]]) -> DataFrame:
+    """K10 over stage reports: each ``(submissions, bits)`` says those
+    submissions reported those stage bits; one row per (submission, bit)."""
     out = None
-    for df, bit in parts:
-        rows = df.select(*_KEY, F.lit(bit).alias("bit"))
+    for df, bits in reports:
+        rows = df.select(*_KEY, F.explode(F.array(*[F.lit(b) for b in bits])).alias("bit"))
         out = rows if out is None else out.unionByName(rows)
     return K.accumulate_state(out, _KEY)
 
@@ -47,7 +45,9 @@ def study_guide_parts(spark: SparkSession, sf_dir: str, threshold: float = V.DEF
     summary_rows, verdicts = M.summarise(paragraphs, faults=faults)
     subs = docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"))
     summarized = subs.join(M.failed_submissions(verdicts), _KEY, "left_anti")
-    state = stage_ledger(subs, subs, subs, summarized).select(*_KEY, F.col("state_sum").alias("state"))
+    every = [K.STAGE_RECEIVED, K.STAGE_PARAGRAPHS, K.STAGE_VOCABULARY]
+    state = stage_ledger((subs, every), (summarized, [K.STAGE_SUMMARIES])) \
+        .select(*_KEY, F.col("state_sum").alias("state"))
     return V.vocabulary_rows(words), summary_rows, state
 
 

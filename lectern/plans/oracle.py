@@ -300,7 +300,8 @@ batches AS (
 ),
 grouped AS (
   SELECT user_id, submission_id, batch_no, count(*)::INTEGER AS n_items,
-         string_agg({lit(head)} || item_no || {lit(mid)} || text, {sep} ORDER BY item_no) AS items
+         string_agg({lit(head)} || item_no || {lit(mid)} || text, {sep} ORDER BY item_no) AS items,
+         string_agg(paragraph_number::VARCHAR, ',' ORDER BY item_no) AS paragraph_numbers
   FROM batches GROUP BY user_id, submission_id, batch_no
 ),
 prompts AS (
@@ -315,7 +316,8 @@ prompts AS (
               ' paragraph summaries","items":{"type":"object","properties":{'
               '"paragraph_number":{"type":"integer"},"summary":{"type":"string"}},'
               '"required":["paragraph_number","summary"],"additionalProperties":false}}},'
-              '"required":["summaries"],"additionalProperties":false}}}')} AS response_format
+              '"required":["summaries"],"additionalProperties":false}}}')} AS response_format,
+         paragraph_numbers
   FROM grouped
 ),
 parsed AS (

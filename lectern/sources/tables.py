@@ -20,8 +20,8 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Text tables and the id that keys their rows.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+# Text tables: (id that keys their rows, the text column).
+TEXT_KEYS = {"documents": ("doc_id", "text"), "pages": ("page_id", "html"), "conversations": ("conv_id", "text")}
 REBALANCE_CONF = "lectern.scan.rebalance"
 
 
@@ -30,8 +30,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
-    key = TEXT_KEYS.get(name)
-    return spread(df, key) if key and key in df.columns else df
+    key, text = TEXT_KEYS.get(name, (None, None))
+    if key in df.columns and text in df.columns:   # only text passes are CPU bound
+        return spread(df, key)
+    return df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

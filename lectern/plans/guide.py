@@ -46,8 +46,10 @@ def study_guide_parts(spark: SparkSession, sf_dir: str, threshold: float = V.DEF
     subs = docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"))
     summarized = subs.join(M.failed_submissions(verdicts), _KEY, "left_anti")
     every = [K.STAGE_RECEIVED, K.STAGE_PARAGRAPHS, K.STAGE_VOCABULARY]
+    # The gate reads the idempotent mask: a redelivered stage report would
+    # push the arithmetic sum past "complete" (the original's quirk).
     state = stage_ledger((subs, every), (summarized, [K.STAGE_SUMMARIES])) \
-        .select(*_KEY, F.col("state_sum").alias("state"))
+        .select(*_KEY, F.col("state_mask").alias("state"))
     return V.vocabulary_rows(words), summary_rows, state
 
 

@@ -79,6 +79,14 @@ def paragraphs_to_json(paragraphs: DataFrame, key: list[str] | None = None) -> D
             .select(*key, F.to_json(F.transform("ps", lambda x: x["text"])).alias("paragraphs_json")))
 
 
+def write_paragraphs(paragraphs: DataFrame, path: str, key: list[str] | None = None) -> None:
+    """S5 sink: one JSON array per submission, laid out by user so a user's
+    reads prune to their folder."""
+    key = key or ["user_id", "submission_id"]
+    (paragraphs_to_json(paragraphs, key).write.mode("overwrite")
+     .partitionBy(key[0]).parquet(path))
+
+
 def paragraphs_from_json(df: DataFrame, json_col: str = "paragraphs_json") -> tuple[DataFrame, DataFrame]:
     """JSON array -> rows numbered from 0; anything but an array of
     strings goes to quarantine."""

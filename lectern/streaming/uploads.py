@@ -86,15 +86,28 @@ def _base(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def stage_failures(events: DataFrame) -> DataFrame:
+    """Failed stage reports, kept with a reason instead of being acked away."""
+    return (A.stage_rows(events).filter(F.col("failed"))
+            .select("user_id", "event_id", "ts", F.lit("stage reported an error").alias("reason")))
+
+
 def run_stage_state(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
-    """Run X1+X3+X4 to completion over what is available; return the state table."""
+    """Run X1+X3+X4 to completion over what is available; return the state
+    table.  Failed reports go to ``base/quarantine`` from a second query
+    over the same deduplicated source."""
     base = base or _base(spark, "stage-state")
-    updates = stage_state_updates(deduplicated(event_stream(spark, sf_dir)))
-    q = (updates.writeStream.outputMode("update")
+    events = deduplicated(event_stream(spark, sf_dir))
+    q = (stage_state_updates(events).writeStream.outputMode("update")
          .option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(_epoch_writer(base, {"state": lambda b: b}))
          .trigger(availableNow=True).start())
+    bad = (stage_failures(events).writeStream.outputMode("append")
+           .option("checkpointLocation", f"{base}/_checkpoint_quarantine")
+           .foreachBatch(_epoch_writer(base, {"quarantine": lambda b: b}))
+           .trigger(availableNow=True).start())
     q.awaitTermination()
+    bad.awaitTermination()
     return latest_per_key(spark, f"{base}/state", ["user_id"])
 
 

@@ -342,3 +342,29 @@ def test_missing_stages(spark):
     from lectern.operators import product as Z
     done = spark.createDataFrame([("u", 1), ("u", 2), ("v", 1), ("v", 2), ("v", 4)], "user_id string, bit int")
     assert [(r.user_id, r.stage) for r in Z.missing_stages(done, ["user_id"]).collect()] == [("u", 4)]
+
+
+def test_user_scan_prunes_partitions(spark, tmp_path):
+    import contextlib
+    import io
+    paras = spark.createDataFrame([("u1", 1, 0, "a"), ("u1", 1, 1, "b"), ("u2", 2, 0, "c")],
+                                  "user_id string, submission_id long, paragraph_number int, text string")
+    U.write_paragraphs(paras, str(tmp_path / "paragraphs"))
+    table = spark.read.parquet(str(tmp_path / "paragraphs"))
+    one = K.scan_user(table, "u1")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        one.explain()
+    assert "PartitionFilters: [isnotnull(user_id" in buf.getvalue()
+    good, _ = U.paragraphs_from_json(one)
+    assert sorted(r.text for r in good.collect()) == ["a", "b"]
+
+
+def test_stage_stream_quarantines_failures(spark):
+    from lectern.session import ensure_checkpoint_dir
+    from lectern.streaming import uploads as ST
+    base = ensure_checkpoint_dir(spark).rstrip("/") + "/streams/quarantine-test"
+    ST.run_stage_state(spark, "/root/testdata/sf0.001", base)
+    failed = spark.read.parquet(base + "/quarantine")
+    expected = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_type = 'error'").count()
+    assert failed.count() == expected > 0

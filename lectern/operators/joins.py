@@ -33,12 +33,19 @@ class Bounded:
         return F.broadcast(self.df) if self.broadcastable else self.df
 
 
-def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Bounded:
-    """Materialise ``df`` reliably and decide whether it may be broadcast."""
-    ensure_checkpoint_dir(df.sparkSession)
-    frozen = df.checkpoint(eager=True)
-    rows = frozen.count()
-    return Bounded(frozen, rows, rows <= max_rows)
+def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, freeze: bool = True) -> Bounded:
+    """Count ``df`` and decide whether it may be broadcast.
+
+    With ``freeze`` (for sides that are expensive to recompute) the rows are
+    first written to the reliable checkpoint folder, so the broadcast reads
+    exactly what was counted; a cheap side (a filtered scan of a small
+    table) is counted directly and recomputed when broadcast.
+    """
+    if freeze:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
+    rows = df.count()
+    return Bounded(df, rows, rows <= max_rows)
 
 
 def materialise(df: DataFrame) -> DataFrame:

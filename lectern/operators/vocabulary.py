@@ -202,7 +202,7 @@ def corpus_statistics(texts: DataFrame, lexicon_doc_ids: DataFrame, text_col: st
     the flag comes from a shuffle join on ``doc_id``.
     """
     ids = measure(lexicon_doc_ids.select("doc_id").distinct().withColumn("_lex", F.lit(True)),
-                  max_broadcast_rows)
+                  max_broadcast_rows, freeze=False)
     flagged = texts.join(ids.side(), "doc_id", "left").withColumn("_lex", F.coalesce("_lex", F.lit(False)))
     counts = (_normalised_words(flagged, text_col, "_lex").groupBy("lang", "word")
               .agg(F.count(F.lit(1)).alias("n"), F.bool_or("_lex").alias("in_lexicon")))

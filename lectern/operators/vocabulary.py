@@ -270,17 +270,27 @@ def rank_words(words: DataFrame) -> DataFrame:
         "language_frequency", F.row_number().over(w).alias("rank"))
 
 
-def uncommon_words(paragraphs: DataFrame, frequency: DataFrame, lexicon: DataFrame | None = None,
+def prepare_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
+                      threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
+                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS):
+    """The reference side of V13, computed once, checkpointed and measured
+    (reusable across batches of a stream)."""
+    return measure(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags), max_broadcast_rows)
+
+
+def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexicon: DataFrame | None = None,
                    threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, lemma_map=None) -> DataFrame:
     """V13 ``parse_paragraphs`` for every submission at once.
 
     ``paragraphs``: (user_id, submission_id, lang, paragraph_number, text).
+    Either ``frequency`` (and optionally ``lexicon``) or a ``lemma_map``
+    from ``prepare_lemma_map`` supplies the reference side.
     Returns (user_id, submission_id, word, count, first_sentence,
     first_paragraph, language_frequency, rank).
     """
-    lemma_map = measure(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags),
-                        max_broadcast_rows)
+    if lemma_map is None:
+        lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, max_broadcast_rows)
     toks = tokenize(split_sentences(paragraphs.select(*_KEY, "lang", "paragraph_number", "text")))
     if pos_tags is not None:
         proper = pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct()

@@ -537,3 +537,21 @@ _QUERIES.update({
     "paragraph_token_counts": paragraph_token_counts,
     "streamed_upload_rate": streamed_upload_rate,
 })
+
+
+def streamed_study_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + X2 end to end: documents arrive as a stream, each micro-batch
+    fans out to the vocabulary and summary stages; the study guide joins
+    what the stages wrote.  Equals the batch ``study_guide``."""
+    from lectern.operators import guide as G2
+    docs = A.documents(spark, sf_dir)
+    lemma_map = V.prepare_lemma_map(V.corpus_statistics(docs, A.quality_ids(spark, sf_dir)))
+    base = ST.run_document_pipeline(spark, sf_dir, lemma_map)
+    vocab = spark.read.parquet(f"{base}/vocabulary").drop("epoch")
+    sums = spark.read.parquet(f"{base}/summaries").drop("epoch")
+    state = (K.accumulate_state(spark.read.parquet(f"{base}/stages"), ["user_id", "submission_id"])
+             .select("user_id", "submission_id", F.col("state_mask").alias("state")))
+    return G2.study_guide(vocab, sums, state).withColumn("vocabulary", F.array_join("vocabulary", " "))
+
+
+_QUERIES["streamed_study_guide"] = streamed_study_guide

@@ -255,6 +255,7 @@ def oracle_sql() -> dict[str, str]:
     q["streamed_stage_state"] = q["stage_state"]
     q["streamed_upload_keys"] = q["object_key_parse"]
     q["streamed_upload_rate"] = q["upload_rate"]
+    q["streamed_study_guide"] = q["study_guide"]
     q["sentence_split"] = _with(doc_paragraphs_cte(), r"""
 SELECT user_id, submission_id, lang, paragraph_number,
        unnest(ss) AS sentence, unnest(range(len(ss)))::INTEGER AS sentence_number

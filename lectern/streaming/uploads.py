@@ -152,3 +152,51 @@ def run_upload_rate(spark: SparkSession, sf_dir: str, base: str | None = None) -
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return latest_per_key(spark, f"{base}/rate", ["user_id", "window_start"])
+
+
+# --------------------------------------------------------------------------
+# X1 + X2: documents stream -> paragraphs -> vocabulary and summaries
+# --------------------------------------------------------------------------
+
+DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+
+
+def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+    return (spark.readStream.schema(DOCUMENTS_SCHEMA)
+            .option("pathGlobFilter", "documents*.parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger)
+            .parquet(sf_dir))
+
+
+def run_document_pipeline(spark: SparkSession, sf_dir: str, lemma_map, base: str | None = None,
+                          faults: bool = True) -> str:
+    """Each micro-batch of new documents is split into paragraphs once
+    (persisted), then both stages run from it: vocabulary rows (V13/V14)
+    and summary rows (M1-M10), plus the stage reports each stage emits.
+    Every output folder is keyed by the batch id (replays overwrite).
+    Returns the base folder holding ``vocabulary``, ``summaries``, ``stages``."""
+    from lectern.operators import summaries as M
+    from lectern.operators import vocabulary as V
+
+    base = base or _base(spark, "documents")
+
+    def fan_out(batch: DataFrame, epoch_id: int) -> None:
+        paragraphs = A.doc_paragraphs(batch.select("doc_id", "source", "lang", "text")).persist()
+        try:
+            subs = batch.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"))
+            words = V.vocabulary_rows(V.uncommon_words(paragraphs, lemma_map=lemma_map))
+            rows, verdicts = M.summarise(paragraphs, faults=faults)
+            done = subs.join(M.failed_submissions(verdicts), ["user_id", "submission_id"], "left_anti")
+            stages = (subs.select("*", F.explode(F.array(*[F.lit(b) for b in (
+                K.STAGE_RECEIVED, K.STAGE_PARAGRAPHS, K.STAGE_VOCABULARY)])).alias("bit"))
+                .unionByName(done.withColumn("bit", F.lit(K.STAGE_SUMMARIES))))
+            for name, df in (("vocabulary", words), ("summaries", rows), ("stages", stages)):
+                df.write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch_id}")
+        finally:
+            paragraphs.unpersist()
+
+    q = (document_stream(spark, sf_dir).writeStream
+         .option("checkpointLocation", f"{base}/_checkpoint")
+         .foreachBatch(fan_out).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return base

@@ -293,8 +293,12 @@ def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, le
         lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, max_broadcast_rows)
     toks = tokenize(split_sentences(paragraphs.select(*_KEY, "lang", "paragraph_number", "text")))
     if pos_tags is not None:
-        proper = pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct()
-        toks = toks.join(proper.withColumn("_p", F.lit(True)), "word", "left") \
+        # Proper-noun words from the tag table, size-checked before it is
+        # broadcast; beyond the bound the token join shuffles on ``word`` and
+        # AQE splits hot words.
+        proper = measure(pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct()
+                         .withColumn("_p", F.lit(True)), max_broadcast_rows)
+        toks = toks.join(proper.side(), "word", "left") \
             .withColumn("is_proper", F.coalesce("_p", F.lit(False))).drop("_p")
     kept = toks.filter(~F.col("is_proper") & (F.col("word") != ""))
     if lemma_map.broadcastable:
@@ -302,7 +306,8 @@ def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, le
         return rank_words(aggregate_words(hits))
     # Large map: one row per distinct (submission, word) before the shuffle join.
     first = F.struct("paragraph_number", "sentence_number", "token_number", "sentence")
-    pre = kept.groupBy("submission_id", "word", "lang", "user_id").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
+    pre = (kept.groupBy("submission_id", "word", "lang", "user_id")
+           .agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")))
     joined = pre.join(lemma_map.df, ["lang", "word"])
     words = (joined.groupBy(*_AGG_KEY)
              .agg(F.sum("n").alias("count"), F.min("first").alias("first"),

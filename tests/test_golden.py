@@ -368,3 +368,30 @@ def test_stage_stream_quarantines_failures(spark):
     failed = spark.read.parquet(base + "/quarantine")
     expected = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_type = 'error'").count()
     assert failed.count() == expected > 0
+
+
+def test_large_lemma_map_path_gives_same_words(spark, sf_small):
+    from lectern.sources import adapters as A
+    docs = A.documents(spark, sf_small, "en")
+    stats = V.corpus_statistics(docs, A.quality_ids(spark, sf_small))
+    paras = A.doc_paragraphs(docs)
+    small = V.uncommon_words(paras, stats)                          # broadcast map
+    large = V.uncommon_words(paras, stats, max_broadcast_rows=0)    # shuffle join after pre-aggregation
+    import re
+    plan = large._jdf.queryExecution().simpleString()
+    assert re.search(r"key=\[submission_id#\d+L, word#", plan)   # pre-aggregated per (submission, word)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    assert small.count() > 0
+
+
+def test_pos_tag_table_marks_proper_nouns(spark):
+    paras = spark.createDataFrame([("u", 1, "en", 0, "Rare words about Obscure things. Obscure people.")],
+                                  "user_id string, submission_id long, lang string, paragraph_number int, text string")
+    freq = spark.createDataFrame([("en", w, 1, 1e-6, True) for w in ["obscure", "rare"]],
+                                 "lang string, word string, n long, freq double, in_lexicon boolean")
+    tags = spark.createDataFrame([("obscure", "NNP")], "word string, tag string")
+    # heuristic: the mid-sentence "Obscure" is a proper noun, the sentence-initial one is not
+    assert {r.word for r in V.uncommon_words(paras, freq).collect()} == {"rare", "obscure"}
+    assert {r.word for r in V.uncommon_words(paras, freq, pos_tags=tags).collect()} == {"rare"}
+    tags2 = spark.createDataFrame([("rare", "NNP")], "word string, tag string")
+    assert {r.word for r in V.uncommon_words(paras, freq, pos_tags=tags2).collect()} == {"obscure"}

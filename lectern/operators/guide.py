@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import labels as LB
 from lectern.functions import text as T
-from lectern.operators.keyed import STATE_COMPLETE, summary_key, vocab_key
+from lectern.operators.keyed import STATE_COMPLETE, vocab_key
 
 _KEY = ["user_id", "submission_id"]
 
@@ -83,7 +83,9 @@ def submission_text(paragraphs: DataFrame) -> DataFrame:
 
 
 def listing(submissions: DataFrame) -> DataFrame:
-    """D6 + D7 + D10: one user's list, newest first (missing date sorts as 0)."""
+    """D6 + D7 + D10: every user's list, newest first (a missing date sorts
+    as 0).  A global sort: range partitioning splits a user with many
+    submissions across partitions instead of gathering them in one task."""
     return (submissions.select(
         "user_id", F.col("submission_id").alias("id"),
         F.coalesce("filename", F.lit(LB.DEFAULT_NAME)).alias("filename"),
@@ -124,6 +126,3 @@ def markdown_export(guide: DataFrame) -> DataFrame:
     return (guide.select(*_KEY, "paragraph_index", section.alias("section"))
             .groupBy(*_KEY).agg(T.ordered_join("section", "\n\n", "paragraph_index").alias("markdown")))
 
-
-def summary_keys(summaries: DataFrame) -> DataFrame:
-    return summaries.withColumn("sort_key", summary_key(F.col("submission_id"), F.col("paragraph_number")))

@@ -47,8 +47,7 @@ def decode_keys(df: DataFrame, key_col: str, n_parts: int) -> DataFrame:
     otherwise).
     """
     parts = F.split(F.col(key_col), KEY_SEP, -1)
-    number = F.get(parts, 2).try_cast("int") if hasattr(Column, "try_cast") else F.expr(
-        f"try_cast(get(split(`{key_col}`, '{KEY_SEP}', -1), 2) AS INT)")
+    number = F.get(parts, 2).try_cast("int")
     reason = (F.when(F.size(parts) != n_parts, F.lit(f"expected {n_parts} parts"))
               .when(number.isNull(), F.lit("paragraph number is not an integer")))
     out = df.select("*", F.get(parts, 1).alias("submission_id"),

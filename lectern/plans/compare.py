@@ -34,3 +34,16 @@ def differences(s_cols, s_rows, d_cols, d_rows) -> list[str]:
         if diff:
             problems.append(f"{len(diff)} differing rows, first: spark={diff[0][0]!r:.300} duck={diff[0][1]!r:.300}")
     return problems
+
+
+# Spark simple type names and the DuckDB types that hold the same values.
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                   "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+                   "timestamp": "TIMESTAMP WITH TIME ZONE", "binary": "BLOB"}
+
+
+def type_differences(spark_schema, duck_columns, duck_types) -> dict:
+    s = {f.name: SPARK_TO_DUCKDB.get(f.dataType.simpleString(), f.dataType.simpleString())
+         for f in spark_schema.fields}
+    d = {c: str(t) for c, t in zip(duck_columns, duck_types)}
+    return {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}

@@ -267,7 +267,7 @@ all_toks AS (
   FROM toks
 )""", """
 SELECT user_id, submission_id, paragraph_number, count(*) AS tokens,
-       count_if(NOT is_proper AND word <> '') AS kept_tokens,
+       count_if(NOT is_proper AND word <> '')::BIGINT AS kept_tokens,
        count(DISTINCT CASE WHEN NOT is_proper AND word <> '' THEN word END) AS distinct_words
 FROM all_toks GROUP BY user_id, submission_id, paragraph_number""")
     return q
@@ -669,7 +669,8 @@ FROM (SELECT source AS user_id, doc_id, sha256(text) AS submission_id,
 SELECT user_id, time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) AS uploads,
        count(*) > 10 AS over_limit
 FROM events WHERE event_type = 'click' GROUP BY user_id, time_bucket(INTERVAL '1 minute', ts)"""
-    cols = ", ".join(f"count_if(language_frequency < {t!r}) AS {threshold_column(t)}" for t in sorted(THRESHOLDS))
+    cols = ", ".join(f"count_if(language_frequency < {t!r})::BIGINT AS {threshold_column(t)}"
+                     for t in sorted(THRESHOLDS))
     q["threshold_profile"] = _with(vocabulary_ctes("en", max(THRESHOLDS)),
                                    f"SELECT user_id, submission_id, {cols} FROM ranked GROUP BY user_id, submission_id")
     q["recent_submissions"] = _with(_requests_cte(), """

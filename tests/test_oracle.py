@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from lectern.plans.compare import differences
+from lectern.plans.compare import differences, type_differences
 from lectern.sources.tables import TABLES
 
 from .conftest import SF_SMALL
@@ -31,6 +31,8 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     s_rows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(E.oracle_sql()[name])
+    assert type_differences(df.schema, rel.columns, rel.types) == {}
     res = duck.execute(E.oracle_sql()[name])
     d_cols = [c[0] for c in res.description]
     assert differences(df.columns, s_rows, d_cols, res.fetchall()) == []

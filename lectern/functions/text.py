@@ -59,9 +59,34 @@ def sentences(col: Column | str) -> Column:
     return F.split(marked, SENTENCE_MARK, -1)
 
 
-def letter_tokens(col: Column | str) -> Column:
-    """V2+V3: maximal runs of letters; every other character separates tokens."""
-    return F.regexp_extract_all(_c(col), F.lit(LETTER_RUN), 0)
+# The Penn Treebank contraction splits that change letter
+# runs (apostrophes already separate tokens here), as (pattern, replacement).
+TREEBANK_CONTRACTIONS = [
+    (r"(?i)\b(can)(not)\b", "$1 $2"),
+    (r"(?i)\b(d)('ye)\b", "$1 $2"),
+    (r"(?i)\b(gim)(me)\b", "$1 $2"),
+    (r"(?i)\b(gon)(na)\b", "$1 $2"),
+    (r"(?i)\b(got)(ta)\b", "$1 $2"),
+    (r"(?i)\b(lem)(me)\b", "$1 $2"),
+    (r"(?i)\b(more)('n)\b", "$1 $2"),
+    (r"(?i)\b(wan)(na)(\s)", "$1 $2$3"),
+    (r"(?i)([^'\s])(n't)\b", "$1 $2"),
+]
+
+
+def split_contractions(col: Column | str) -> Column:
+    """Treebank-style contraction splitting (``can't`` -> ``ca n't``)."""
+    out = _c(col)
+    for pattern, replacement in TREEBANK_CONTRACTIONS:
+        out = F.regexp_replace(out, pattern, replacement)
+    return out
+
+
+def letter_tokens(col: Column | str, contractions: bool = False) -> Column:
+    """V2+V3: maximal runs of letters; every other character separates tokens.
+    With ``contractions`` the Treebank splits are applied first."""
+    text = split_contractions(col) if contractions else _c(col)
+    return F.regexp_extract_all(text, F.lit(LETTER_RUN), 0)
 
 
 def normalise_token(col: Column | str) -> Column:

@@ -74,14 +74,15 @@ def split_sentences(paragraphs: DataFrame, text_col: str = "text") -> DataFrame:
         *keep, F.posexplode(T.sentences(text_col)).alias("sentence_number", "sentence"))
 
 
-def tokenize(sentences: DataFrame) -> DataFrame:
+def tokenize(sentences: DataFrame, contractions: bool = False) -> DataFrame:
     """V2-V5: letter tokens with position, proper-noun flag and normalised word.
 
     Proper-noun test (stand-in for NNP/NNPS tags): capitalised and not the
-    first token of its sentence.
+    first token of its sentence.  ``contractions`` applies the Treebank
+    contraction splits before tokenising.
     """
     toks = sentences.select(
-        "*", F.posexplode(T.letter_tokens("sentence")).alias("token_number", "token"))
+        "*", F.posexplode(T.letter_tokens("sentence", contractions)).alias("token_number", "token"))
     return (toks
             .withColumn("is_proper", T.is_capitalised("token") & (F.col("token_number") > 0))
             .withColumn("word", T.normalise_token("token"))
@@ -140,7 +141,8 @@ def _lemma_of(word: Column, rule: Column) -> Column:
     return expr
 
 
-def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None = None) -> DataFrame:
+def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None = None,
+              exceptions: DataFrame | None = None) -> DataFrame:
     """V6+V7+V10 on distinct words: ``(lang, word) -> lemma`` for valid words only.
 
     A candidate counts only if it is in ``lexicon(lang, word)``; the
@@ -148,6 +150,11 @@ def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None =
     candidate in the lexicon keep themselves as lemma and are invalid, so
     they are not returned.  The winner is found with an integer ``min``
     (hash aggregate) and its text recomputed from (word, rule).
+
+    ``exceptions(word, cls, lemma)`` lists irregular forms (``geese`` ->
+    ``goose``): for a listed (word, class) the candidates are the word and
+    its listed lemmas instead of the rule results (ties: the word, then
+    the lemmas in alphabetical order).
     """
     if pos_tags is not None:
         tagged = words.join(pos_tags.select("word", "tag"), "word", "left")
@@ -156,16 +163,30 @@ def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None =
         tagged = words
         tag = heuristic_tag(F.col("word"))
     classed = tagged.select("lang", "word", lemma_class(tag).alias("cls"))
-    cands = classed.select("lang", "word", F.explode(_candidates(F.col("word"), F.col("cls"))).alias("c"))
     lex = lexicon.select(F.col("lang").alias("lex_lang"), F.col("word").alias("lemma_key"))
+    if exceptions is None:
+        cands = classed.select("lang", "word", F.explode(_candidates(F.col("word"), F.col("cls"))).alias("c"))
+        found = cands.join(lex, (F.col("lang") == F.col("lex_lang")) & (F.col("c.lemma") == F.col("lemma_key")),
+                           "left_semi")
+        best = found.groupBy("lang", "word").agg(F.min("c.rank").alias("rank"))
+        return best.select("lang", "word", _lemma_of(F.col("word"), F.col("rank") % 64).alias("lemma"))
+    listed = measure(exceptions.groupBy("word", "cls").agg(F.array_sort(F.collect_set("lemma")).alias("exc")))
+    classed = classed.join(listed.side(), ["word", "cls"], "left")
+    irregular = F.transform(F.col("exc"), lambda l, i: F.struct(
+        (F.length(l) * 64 + i + 1).alias("rank"), l.alias("lemma")))
+    own = F.array(F.struct((F.length("word") * 64).alias("rank"), F.col("word").alias("lemma")))
+    options = F.when(F.col("exc").isNotNull(), F.concat(own, irregular)) \
+        .otherwise(_candidates(F.col("word"), F.col("cls")))
+    cands = classed.select("lang", "word", F.explode(options).alias("c"))
     found = cands.join(lex, (F.col("lang") == F.col("lex_lang")) & (F.col("c.lemma") == F.col("lemma_key")),
                        "left_semi")
-    best = found.groupBy("lang", "word").agg(F.min("c.rank").alias("rank"))
-    return best.select("lang", "word", _lemma_of(F.col("word"), F.col("rank") % 64).alias("lemma"))
+    # Listed lemmas cannot be recomputed from a rule number: keep the text.
+    best = found.groupBy("lang", "word").agg(F.min_by("c.lemma", "c.rank").alias("lemma"))
+    return best.select("lang", "word", "lemma")
 
 
-def _normalised_words(texts: DataFrame, text_col: str, *extra: str) -> DataFrame:
-    return (texts.select("lang", *extra, F.explode(T.letter_tokens(text_col)).alias("token"))
+def _normalised_words(texts: DataFrame, text_col: str, *extra: str, contractions: bool = False) -> DataFrame:
+    return (texts.select("lang", *extra, F.explode(T.letter_tokens(text_col, contractions)).alias("token"))
             .select("lang", *extra, T.normalise_token("token").alias("word"))
             .filter(F.col("word") != ""))
 
@@ -193,7 +214,7 @@ def lexicon_from(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def corpus_statistics(texts: DataFrame, lexicon_doc_ids: DataFrame, text_col: str = "text",
-                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, contractions: bool = False) -> DataFrame:
     """V8b and the lexicon in one pass over the corpus:
     ``(lang, word, n, freq, in_lexicon)``; ``in_lexicon`` is true when the
     word occurs in a document listed in ``lexicon_doc_ids(doc_id)``.
@@ -204,7 +225,7 @@ def corpus_statistics(texts: DataFrame, lexicon_doc_ids: DataFrame, text_col: st
     ids = measure(lexicon_doc_ids.select("doc_id").distinct().withColumn("_lex", F.lit(True)),
                   max_broadcast_rows, freeze=False)
     flagged = texts.join(ids.side(), "doc_id", "left").withColumn("_lex", F.coalesce("_lex", F.lit(False)))
-    counts = (_normalised_words(flagged, text_col, "_lex").groupBy("lang", "word")
+    counts = (_normalised_words(flagged, text_col, "_lex", contractions=contractions).groupBy("lang", "word")
               .agg(F.count(F.lit(1)).alias("n"), F.bool_or("_lex").alias("in_lexicon")))
     return _with_frequency(counts).select("lang", "word", "n", "freq", "in_lexicon")
 
@@ -221,7 +242,8 @@ def uncommon(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
 
 
 def uncommon_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
-                       threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None) -> DataFrame:
+                       threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
+                       exceptions: DataFrame | None = None) -> DataFrame:
     """V6-V10 on the distinct words of the frequency table:
     ``(lang, word, lemma, freq)`` for valid, uncommon lemmas only.
 
@@ -233,7 +255,7 @@ def uncommon_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
     if lexicon is None:
         lexicon = freq.filter("in_lexicon").select("lang", "word")
     words = freq.select("lang", "word")
-    return uncommon(lookup_frequency(lemmatise(words, lexicon, pos_tags), freq), threshold)
+    return uncommon(lookup_frequency(lemmatise(words, lexicon, pos_tags, exceptions), freq), threshold)
 
 
 # --------------------------------------------------------------------------
@@ -272,26 +294,28 @@ def rank_words(words: DataFrame) -> DataFrame:
 
 def prepare_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
                       threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
-                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS):
+                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, exceptions: DataFrame | None = None):
     """The reference side of V13, computed once, checkpointed and measured
     (reusable across batches of a stream)."""
-    return measure(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags), max_broadcast_rows)
+    return measure(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions), max_broadcast_rows)
 
 
 def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexicon: DataFrame | None = None,
                    threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, lemma_map=None) -> DataFrame:
+                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, lemma_map=None,
+                   exceptions: DataFrame | None = None, contractions: bool = False) -> DataFrame:
     """V13 ``parse_paragraphs`` for every submission at once.
 
     ``paragraphs``: (user_id, submission_id, lang, paragraph_number, text).
-    Either ``frequency`` (and optionally ``lexicon``) or a ``lemma_map``
-    from ``prepare_lemma_map`` supplies the reference side.
+    Either ``frequency`` (and optionally ``lexicon`` and ``exceptions``) or
+    a ``lemma_map`` from ``prepare_lemma_map`` supplies the reference side;
+    ``contractions`` applies the Treebank contraction splits to the text.
     Returns (user_id, submission_id, word, count, first_sentence,
     first_paragraph, language_frequency, rank).
     """
     if lemma_map is None:
-        lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, max_broadcast_rows)
-    toks = tokenize(split_sentences(paragraphs.select(*_KEY, "lang", "paragraph_number", "text")))
+        lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, max_broadcast_rows, exceptions)
+    toks = tokenize(split_sentences(paragraphs.select(*_KEY, "lang", "paragraph_number", "text")), contractions)
     if pos_tags is not None:
         # Proper-noun words from the tag table, size-checked before it is
         # broadcast; beyond the bound the token join shuffles on ``word`` and

@@ -395,3 +395,22 @@ def test_pos_tag_table_marks_proper_nouns(spark):
     assert {r.word for r in V.uncommon_words(paras, freq, pos_tags=tags).collect()} == {"rare"}
     tags2 = spark.createDataFrame([("rare", "NNP")], "word string, tag string")
     assert {r.word for r in V.uncommon_words(paras, freq, pos_tags=tags2).collect()} == {"obscure"}
+
+
+def test_treebank_contractions(spark):
+    df = spark.createDataFrame([("I can't go, we cannot stay; don't wanna see it.",)], "s string")
+    plain = df.select(T.letter_tokens("s").alias("t")).first().t
+    split = df.select(T.letter_tokens("s", contractions=True).alias("t")).first().t
+    assert plain == ["I", "can", "t", "go", "we", "cannot", "stay", "don", "t", "wanna", "see", "it"]
+    assert split == ["I", "ca", "n", "t", "go", "we", "can", "not", "stay", "do", "n", "t", "wan", "na", "see", "it"]
+
+
+def test_exception_table_overrides_rules(spark):
+    words = spark.createDataFrame([("en", w) for w in ["geese", "boxes", "mice"]], "lang string, word string")
+    lex = spark.createDataFrame([("en", w) for w in ["goose", "box", "mouse", "mice"]], "lang string, word string")
+    exc = spark.createDataFrame([("geese", "noun", "goose"), ("mice", "noun", "mouse")],
+                                "word string, cls string, lemma string")
+    got = {r.word: r.lemma for r in V.lemmatise(words, lex, exceptions=exc).collect()}
+    # "mice" is itself in the lexicon and shorter than "mouse": the shortest wins.
+    assert got == {"geese": "goose", "boxes": "box", "mice": "mice"}
+    assert {r.word: r.lemma for r in V.lemmatise(words, lex).collect()} == {"boxes": "box", "mice": "mice"}

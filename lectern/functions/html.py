@@ -39,7 +39,38 @@ def visible(html: Column | str) -> Column:
     return F.regexp_replace(_c(html), INVISIBLE, "")
 
 
+# Numeric character references: decimal or hex, the ';' optional.
+NUMERIC_REF = r"&#([0-9]{1,8}|[xX][0-9a-fA-F]{1,8});?"
+REPLACEMENT_CHAR = "\ufffd"
+# References to U+0080..U+009F name windows-1252 characters (HTML rule);
+# bytes that code page leaves undefined stand for themselves.
+C1_AS_CP1252 = [bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xA0)]
+
+
+def _char_of(cp: Column) -> Column:
+    utf32 = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+    c1 = F.element_at(F.array(*[F.lit(c) for c in C1_AS_CP1252]), (cp - 0x7F).cast("int"))
+    invalid = cp.isNull() | (cp == 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF)
+    return F.when(invalid, F.lit(REPLACEMENT_CHAR)).when(cp.between(0x80, 0x9F), c1).otherwise(utf32)
+
+
+def decode_numeric_refs(col: Column) -> Column:
+    """``&#233;`` / ``&#xE9;`` -> the character.  The text is split at the
+    references and re-joined with each one decoded, all in array functions;
+    texts without ``&#`` are returned untouched."""
+    pieces = F.split(col, NUMERIC_REF, -1)
+    refs = F.regexp_extract_all(col, F.lit(NUMERIC_REF), 1)
+    cps = F.transform(refs, lambda r: F.when(F.lower(F.substring(r, 1, 1)) == "x",
+                                             F.conv(F.substring(r, 2, 8), 16, 10)).otherwise(r).try_cast("long"))
+    chars = F.concat(F.transform(cps, _char_of), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(pieces, chars, lambda p, c: F.concat(p, c)), "")
+    return F.when(col.contains("&#"), joined).otherwise(col)
+
+
 def decode_entities(col: Column) -> Column:
+    """Numeric references, then the named ones in ``ENTITIES`` (``&amp;``
+    last, so ``&amp;lt;`` stays ``&lt;``)."""
+    col = decode_numeric_refs(col)
     for entity, char in ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
     return col

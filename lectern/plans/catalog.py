@@ -547,9 +547,10 @@ def streamed_study_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = A.documents(spark, sf_dir)
     lemma_map = V.prepare_lemma_map(V.corpus_statistics(docs, A.quality_ids(spark, sf_dir)))
     base = ST.run_document_pipeline(spark, sf_dir, lemma_map)
-    vocab = spark.read.parquet(f"{base}/vocabulary").drop("epoch")
-    sums = spark.read.parquet(f"{base}/summaries").drop("epoch")
-    state = (K.accumulate_state(spark.read.parquet(f"{base}/stages"), ["user_id", "submission_id"])
+    vocab = ST.read_sink(spark, f"{base}/vocabulary", ST.VOCABULARY_SCHEMA).drop("epoch")
+    sums = ST.read_sink(spark, f"{base}/summaries", ST.SUMMARIES_SCHEMA).drop("epoch")
+    stages = ST.read_sink(spark, f"{base}/stages", ST.STAGES_SCHEMA)
+    state = (K.accumulate_state(stages, ["user_id", "submission_id"])
              .select("user_id", "submission_id", F.col("state_mask").alias("state")))
     return G2.study_guide(vocab, sums, state).withColumn("vocabulary", F.array_join("vocabulary", " "))
 

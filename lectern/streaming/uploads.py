@@ -33,12 +33,23 @@ EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type
 DEDUP_WATERMARK = "1 hour"
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str,
+                 max_files_per_trigger: int = 1) -> DataFrame:
+    """File stream over a table stored either as one Parquet file
+    (``<dir>/<name>.parquet``: the folder is watched for files of that name)
+    or as a folder of part files (the folder itself is watched)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    files = spark.read.parquet(path).inputFiles()
+    single_file = len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if single_file:
+        return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    return reader.parquet(path)
+
+
 def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """X1 source: new event files in ``sf_dir`` as they arrive."""
-    return (spark.readStream.schema(EVENTS_SCHEMA)
-            .option("pathGlobFilter", "events*.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(sf_dir))
+    """X1 source: new event files as they arrive."""
+    return table_stream(spark, sf_dir, "events", EVENTS_SCHEMA, max_files_per_trigger)
 
 
 def deduplicated(events: DataFrame, watermark: str = DEDUP_WATERMARK) -> DataFrame:
@@ -74,9 +85,20 @@ def _epoch_writer(base: str, branches: dict):
     return write
 
 
-def latest_per_key(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+def read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A sink folder, or no rows of ``schema`` if no micro-batch wrote it."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema).withColumn("epoch", F.lit(None).cast("int"))
+
+
+def latest_per_key(spark: SparkSession, path: str, key: list[str], schema) -> DataFrame:
     """Last-write-wins view over an epoch-partitioned update log."""
-    log = spark.read.parquet(path)
+    log = read_sink(spark, path, schema)
     values = [c for c in log.columns if c not in key and c != "epoch"]
     return (log.groupBy(*key).agg(F.max_by(F.struct(*values), F.col("epoch")).alias("_v"))
             .select(*key, *[F.col(f"_v.{c}").alias(c) for c in values]))
@@ -98,7 +120,8 @@ def run_stage_state(spark: SparkSession, sf_dir: str, base: str | None = None) -
     over the same deduplicated source."""
     base = base or _base(spark, "stage-state")
     events = deduplicated(event_stream(spark, sf_dir))
-    q = (stage_state_updates(events).writeStream.outputMode("update")
+    updates = stage_state_updates(events)
+    q = (updates.writeStream.outputMode("update")
          .option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(_epoch_writer(base, {"state": lambda b: b}))
          .trigger(availableNow=True).start())
@@ -108,7 +131,7 @@ def run_stage_state(spark: SparkSession, sf_dir: str, base: str | None = None) -
            .trigger(availableNow=True).start())
     q.awaitTermination()
     bad.awaitTermination()
-    return latest_per_key(spark, f"{base}/state", ["user_id"])
+    return latest_per_key(spark, f"{base}/state", ["user_id"], updates.schema)
 
 
 def run_upload_keys(spark: SparkSession, sf_dir: str, base: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,8 +145,8 @@ def run_upload_keys(spark: SparkSession, sf_dir: str, base: str | None = None) -
          .trigger(availableNow=True).start())
     q.awaitTermination()
     cols = ["event_id", "bucket", "key", "user_id", "submission_id", "reason"]
-    return (spark.read.parquet(f"{base}/keys").select(*cols),
-            spark.read.parquet(f"{base}/quarantine").select(*cols))
+    return (read_sink(spark, f"{base}/keys", parsed.schema).select(*cols),
+            read_sink(spark, f"{base}/quarantine", parsed.schema).select(*cols))
 
 
 RATE_WATERMARK = "10 minutes"
@@ -146,12 +169,13 @@ def run_upload_rate(spark: SparkSession, sf_dir: str, base: str | None = None) -
     """Run Z3's stream to completion; the table is the latest count per
     (user, window)."""
     base = base or _base(spark, "upload-rate")
-    q = (upload_rate_stream(event_stream(spark, sf_dir)).writeStream.outputMode("update")
+    rates = upload_rate_stream(event_stream(spark, sf_dir))
+    q = (rates.writeStream.outputMode("update")
          .option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(_epoch_writer(base, {"rate": lambda b: b}))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_per_key(spark, f"{base}/rate", ["user_id", "window_start"])
+    return latest_per_key(spark, f"{base}/rate", ["user_id", "window_start"], rates.schema)
 
 
 # --------------------------------------------------------------------------
@@ -161,11 +185,15 @@ def run_upload_rate(spark: SparkSession, sf_dir: str, base: str | None = None) -
 DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
 
+# Output schemas of the document pipeline's stage tables.
+VOCABULARY_SCHEMA = "user_id STRING, submission_id BIGINT, paragraph_number INT, word STRING"
+SUMMARIES_SCHEMA = ("user_id STRING, submission_id BIGINT, paragraph_number INT, "
+                    "paragraph_start STRING, summary STRING")
+STAGES_SCHEMA = "user_id STRING, submission_id BIGINT, bit INT"
+
+
 def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(DOCUMENTS_SCHEMA)
-            .option("pathGlobFilter", "documents*.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(sf_dir))
+    return table_stream(spark, sf_dir, "documents", DOCUMENTS_SCHEMA, max_files_per_trigger)
 
 
 def run_document_pipeline(spark: SparkSession, sf_dir: str, lemma_map, base: str | None = None,

@@ -546,7 +546,7 @@ def streamed_study_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.operators import guide as G2
     docs = A.documents(spark, sf_dir)
     lemma_map = V.prepare_lemma_map(V.corpus_statistics(docs, A.quality_ids(spark, sf_dir)))
-    base = ST.run_document_pipeline(spark, sf_dir, lemma_map)
+    base = ST.run_document_stages(spark, sf_dir, lemma_map)
     vocab = ST.read_sink(spark, f"{base}/vocabulary", ST.VOCABULARY_SCHEMA).drop("epoch")
     sums = ST.read_sink(spark, f"{base}/summaries", ST.SUMMARIES_SCHEMA).drop("epoch")
     stages = ST.read_sink(spark, f"{base}/stages", ST.STAGES_SCHEMA)

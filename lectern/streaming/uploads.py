@@ -196,7 +196,7 @@ def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int
     return table_stream(spark, sf_dir, "documents", DOCUMENTS_SCHEMA, max_files_per_trigger)
 
 
-def run_document_pipeline(spark: SparkSession, sf_dir: str, lemma_map, base: str | None = None,
+def run_document_stages(spark: SparkSession, sf_dir: str, lemma_map, base: str | None = None,
                           faults: bool = True) -> str:
     """Each micro-batch of new documents is split into paragraphs once
     (persisted), then both stages run from it: vocabulary rows (V13/V14)

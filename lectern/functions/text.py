@@ -7,6 +7,8 @@ stay inside whole-stage codegen.  Java regexes need ``(?U)`` to give
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,10 +55,25 @@ def intro_words(col: Column | str, n: int = 10) -> Column:
     return F.array_join(F.slice(words, 1, n), " ")
 
 
-def sentences(col: Column | str) -> Column:
-    """V1: rule-based sentence split (``.``, ``!``, ``?`` followed by whitespace)."""
-    marked = F.regexp_replace(_c(col), SENTENCE_END, "$1" + SENTENCE_MARK)
-    return F.split(marked, SENTENCE_MARK, -1)
+ABBREVIATION_GUARD = "\u0003"
+
+
+def sentences(col: Column | str, abbreviations: list[str] | None = None) -> Column:
+    """V1: rule-based sentence split (``.``, ``!``, ``?`` followed by whitespace).
+
+    ``abbreviations`` (e.g. ``["Mr", "Dr", "e.g"]``, matched case-insensitively
+    as whole words) do not end a sentence: the whitespace after such a dot
+    is guarded before splitting and restored afterwards.
+    """
+    text = _c(col)
+    if abbreviations:
+        alternatives = "|".join(re.escape(a.rstrip(".")) for a in abbreviations)
+        text = F.regexp_replace(text, rf"(?iU)\b({alternatives})\.(\s+)", "$1." + ABBREVIATION_GUARD + "$2")
+    marked = F.regexp_replace(text, SENTENCE_END, "$1" + SENTENCE_MARK)
+    parts = F.split(marked, SENTENCE_MARK, -1)
+    if abbreviations:
+        parts = F.transform(parts, lambda x: F.replace(x, F.lit(ABBREVIATION_GUARD), F.lit("")))
+    return parts
 
 
 # The Penn Treebank contraction splits that change letter

@@ -67,11 +67,12 @@ PROPER_TAGS = ("NNP", "NNPS")
 # V1-V5: document side, narrow
 # --------------------------------------------------------------------------
 
-def split_sentences(paragraphs: DataFrame, text_col: str = "text") -> DataFrame:
+def split_sentences(paragraphs: DataFrame, text_col: str = "text",
+                    abbreviations: list[str] | None = None) -> DataFrame:
     """V1: one row per sentence with its 0-based ``sentence_number``."""
     keep = [c for c in paragraphs.columns if c != text_col]
     return paragraphs.select(
-        *keep, F.posexplode(T.sentences(text_col)).alias("sentence_number", "sentence"))
+        *keep, F.posexplode(T.sentences(text_col, abbreviations)).alias("sentence_number", "sentence"))
 
 
 def tokenize(sentences: DataFrame, contractions: bool = False) -> DataFrame:
@@ -303,19 +304,22 @@ def prepare_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
 def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexicon: DataFrame | None = None,
                    threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, lemma_map=None,
-                   exceptions: DataFrame | None = None, contractions: bool = False) -> DataFrame:
+                   exceptions: DataFrame | None = None, contractions: bool = False,
+                   abbreviations: list[str] | None = None) -> DataFrame:
     """V13 ``parse_paragraphs`` for every submission at once.
 
     ``paragraphs``: (user_id, submission_id, lang, paragraph_number, text).
     Either ``frequency`` (and optionally ``lexicon`` and ``exceptions``) or
     a ``lemma_map`` from ``prepare_lemma_map`` supplies the reference side;
-    ``contractions`` applies the Treebank contraction splits to the text.
+    ``contractions`` applies the Treebank contraction splits to the text;
+    ``abbreviations`` lists words whose trailing dot does not end a sentence.
     Returns (user_id, submission_id, word, count, first_sentence,
     first_paragraph, language_frequency, rank).
     """
     if lemma_map is None:
         lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, max_broadcast_rows, exceptions)
-    toks = tokenize(split_sentences(paragraphs.select(*_KEY, "lang", "paragraph_number", "text")), contractions)
+    toks = tokenize(split_sentences(paragraphs.select(*_KEY, "lang", "paragraph_number", "text"),
+                                    abbreviations=abbreviations), contractions)
     if pos_tags is not None:
         # Proper-noun words from the tag table, size-checked before it is
         # broadcast; beyond the bound the token join shuffles on ``word`` and

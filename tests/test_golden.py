@@ -414,3 +414,11 @@ def test_exception_table_overrides_rules(spark):
     # "mice" is itself in the lexicon and shorter than "mouse": the shortest wins.
     assert got == {"geese": "goose", "boxes": "box", "mice": "mice"}
     assert {r.word: r.lemma for r in V.lemmatise(words, lex).collect()} == {"boxes": "box", "mice": "mice"}
+
+
+def test_sentence_split_with_abbreviations(spark):
+    df = spark.createDataFrame([("Mr. Smith met Dr. Jones. They talked, e.g. about rain! Done?  Yes.",)], "s string")
+    plain = df.select(T.sentences("s").alias("x")).first().x
+    guarded = df.select(T.sentences("s", ["Mr", "Dr", "e.g"]).alias("x")).first().x
+    assert plain == ["Mr.", "Smith met Dr.", "Jones.", "They talked, e.g.", "about rain!", "Done?", "Yes."]
+    assert guarded == ["Mr. Smith met Dr. Jones.", "They talked, e.g. about rain!", "Done?", "Yes."]

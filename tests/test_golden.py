@@ -422,3 +422,37 @@ def test_sentence_split_with_abbreviations(spark):
     guarded = df.select(T.sentences("s", ["Mr", "Dr", "e.g"]).alias("x")).first().x
     assert plain == ["Mr.", "Smith met Dr.", "Jones.", "They talked, e.g.", "about rain!", "Done?", "Yes."]
     assert guarded == ["Mr. Smith met Dr. Jones.", "They talked, e.g. about rain!", "Done?", "Yes."]
+
+
+def test_format_router(spark):
+    from lectern.sources import files as FS
+    names = ["a.PDF", "b.docx", "c.doc", "d.Html", "e.htm", "f.txt", "g.md", "h.csv", "i.json", "j.xml",
+             "k.xlsx", "l.pptx", "m.rtf", "n.png", "noext", ".hidden", "dir.x/file", "a.b.TXT"]
+    df = spark.createDataFrame([(n,) for n in names], "file_name string")
+    got = {r.file_name: r.route for r in df.select("file_name", FS.route(F.col("file_name")).alias("route")).collect()}
+    assert got == {"a.PDF": "pdf", "b.docx": "docx", "c.doc": "docx", "d.Html": "html", "e.htm": "html",
+                   "f.txt": "text", "g.md": "text", "h.csv": "text", "i.json": "text", "j.xml": "text",
+                   "k.xlsx": "not implemented", "l.pptx": "not implemented", "m.rtf": "rtf",
+                   "n.png": "unsupported", "noext": "unsupported", ".hidden": "unsupported",
+                   "dir.x/file": "unsupported", "a.b.TXT": "text"}
+    ok, bad = FS.split_routes(df)
+    assert sorted(r.file_name for r in ok.collect()) == sorted(
+        ["a.PDF", "d.Html", "e.htm", "f.txt", "g.md", "h.csv", "i.json", "j.xml", "a.b.TXT"])
+    reasons = {r.file_name: r.reason for r in bad.collect()}
+    assert reasons["m.rtf"] == "no extractor for route rtf" and reasons["n.png"].startswith("unsupported file type")
+
+
+def test_extract_paragraphs_routes_text_html_and_pdf(spark):
+    from lectern.sources import files as FS
+    long = "word " * 30
+    uploads = spark.createDataFrame(
+        [("u", "t", "a.txt", f"{long}\n\n\n{long}end"), ("u", "h", "b.html", f"<p>{long}</p><p>short</p>"),
+         ("u", "p", "c.pdf", None), ("u", "x", "d.png", "binary")],
+        "user_id string, submission_id string, file_name string, content string")
+    blocks = spark.createDataFrame(
+        [("u", "p", [0], "paragraph", long + "of the", 0, 0), ("u", "p", [1], "paragraph", "house " + long, 1, 1)],
+        "user_id string, submission_id string, path array<int>, type string, text string, page_start int, page_end int")
+    paras, bad = FS.extract_paragraphs(uploads, blocks)
+    got = sorted((r.submission_id, r.paragraph_number) for r in paras.collect())
+    assert got == [("h", 0), ("p", 0), ("t", 0), ("t", 1)]
+    assert [r.submission_id for r in bad.collect()] == ["x"]

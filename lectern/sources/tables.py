@@ -60,3 +60,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
         except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
             return df
     return df.repartition(target, key)
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:
+    """Store ``df`` as a table bucketed and sorted by ``key`` at ``path``.
+
+    Tables bucketed the same way on the same key join and aggregate on that
+    key without a shuffle: the documents and their labels stored this way
+    let the lexicon flag be joined on ``doc_id`` without moving any text,
+    even when the id list is too large to broadcast.
+    """
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)

@@ -49,3 +49,23 @@ def test_stream_replay_is_idempotent(spark):
     first = sorted(map(tuple, ST.run_stage_state(spark, SF_SMALL, base).collect()))
     again = sorted(map(tuple, ST.run_stage_state(spark, SF_SMALL, base).collect()))
     assert first == again and len(first) > 0
+
+
+def test_bucketed_tables_join_on_doc_id_without_shuffling_text(spark, tmp_path):
+    from lectern.operators import vocabulary as V
+    from lectern.sources import adapters as A
+    from lectern.sources.tables import save_bucketed
+    docs = save_bucketed(A.documents(spark, SF_SMALL), "docs_by_id", "doc_id", 4, str(tmp_path / "docs"))
+    ids = save_bucketed(A.quality_ids(spark, SF_SMALL), "quality_ids_by_id", "doc_id", 4, str(tmp_path / "ids"))
+    # As if the id list were too large to broadcast: no size-based broadcast at all.
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stats = V.corpus_statistics(docs, ids, max_broadcast_rows=0)
+        plan = plan_of(stats)
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning(doc_id" not in plan, plan
+        got = sorted(map(tuple, stats.select("lang", "word", "n", "in_lexicon").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    plain = V.corpus_statistics(A.documents(spark, SF_SMALL), A.quality_ids(spark, SF_SMALL))
+    assert got == sorted(map(tuple, plain.select("lang", "word", "n", "in_lexicon").collect()))

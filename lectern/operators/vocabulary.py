@@ -344,5 +344,8 @@ def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, le
 
 
 def vocabulary_rows(words: DataFrame) -> DataFrame:
-    """The persisted projection (count, sentence, frequency dropped)."""
-    return words.select(*_KEY, F.col("first_paragraph").alias("paragraph_number"), "word")
+    """The persisted projection (count, sentence, frequency dropped).
+
+    The rarity ``rank`` is kept (the original computed it and then lost it
+    on persist), so readers can list words by rarity as well as by key."""
+    return words.select(*_KEY, F.col("first_paragraph").alias("paragraph_number"), "word", "rank")

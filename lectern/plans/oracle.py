@@ -649,7 +649,7 @@ def _guide_oracles(q: dict[str, str]) -> None:
     q["lemma_table"] = _with(vocabulary_ctes(""), "SELECT lang, word, lemma FROM best")
     q["vocabulary_all_languages"] = _with(vocabulary_ctes("", 2e-4), "SELECT * FROM ranked")
     q["vocabulary_table"] = _with(vocabulary_ctes("en"), "SELECT user_id, submission_id, "
-                                  "first_paragraph AS paragraph_number, word FROM ranked")
+                                  "first_paragraph AS paragraph_number, word, rank FROM ranked")
     q["study_guide"] = _with(_guide_ctes(), "SELECT user_id, submission_id, paragraph_index, "
                              "array_to_string(vocabulary, ' ') AS vocabulary, summary, paragraph_start FROM guide")
     nl2 = "chr(10) || chr(10)"

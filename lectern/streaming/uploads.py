@@ -186,7 +186,7 @@ DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_ch
 
 
 # Output schemas of the document pipeline's stage tables.
-VOCABULARY_SCHEMA = "user_id STRING, submission_id BIGINT, paragraph_number INT, word STRING"
+VOCABULARY_SCHEMA = "user_id STRING, submission_id BIGINT, paragraph_number INT, word STRING, rank INT"
 SUMMARIES_SCHEMA = ("user_id STRING, submission_id BIGINT, paragraph_number INT, "
                     "paragraph_start STRING, summary STRING")
 STAGES_SCHEMA = "user_id STRING, submission_id BIGINT, bit INT"

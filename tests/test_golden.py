@@ -456,3 +456,13 @@ def test_extract_paragraphs_routes_text_html_and_pdf(spark):
     got = sorted((r.submission_id, r.paragraph_number) for r in paras.collect())
     assert got == [("h", 0), ("p", 0), ("t", 0), ("t", 1)]
     assert [r.submission_id for r in bad.collect()] == ["x"]
+
+
+def test_study_guide_word_order_by_key_or_rank(spark):
+    vocab = spark.createDataFrame([("u", 1, 0, "zeta", 1), ("u", 1, 0, "alpha", 2)],
+                                  "user_id string, submission_id long, paragraph_number int, word string, rank int")
+    sums = spark.createDataFrame([], "user_id string, submission_id long, paragraph_number int, "
+                                     "paragraph_start string, summary string")
+    state = spark.createDataFrame([("u", 1, 7)], "user_id string, submission_id long, state int")
+    assert G.study_guide(vocab, sums, state).first().vocabulary == ["alpha", "zeta"]
+    assert G.study_guide(vocab, sums, state, order="rank").first().vocabulary == ["zeta", "alpha"]

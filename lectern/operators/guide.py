@@ -51,13 +51,15 @@ def summaries_by_paragraph(summaries: DataFrame) -> DataFrame:
 
 
 def study_guide(vocabulary: DataFrame, summaries: DataFrame, submissions: DataFrame,
-                order: str = "word") -> DataFrame:
+                order: str = "word", dense: str = "count") -> DataFrame:
     """``(user_id, submission_id, paragraph_index, vocabulary,
     summary, paragraph_start)`` for completed submissions.
 
     The index runs densely from 0 to max(#paragraphs with words,
     #paragraphs with a summary) - 1 (counts, not the largest index, as in
-    the original); missing sides default to ``[]`` and ``""``.
+    the original); ``dense='max_index'`` sizes it by the largest paragraph
+    number seen instead, so no paragraph is cut off.  Missing sides default
+    to ``[]`` and ``""``.
 
     One shuffle: word rows, summary rows and state rows are tagged,
     unioned and hash-partitioned by submission once; the per-paragraph
@@ -90,8 +92,10 @@ def study_guide(vocabulary: DataFrame, summaries: DataFrame, submissions: DataFr
         F.max("state").alias("state"),
         F.count_if(real & (F.size("wd") > 0)).alias("nw"),
         F.count_if(real & F.col("sm").isNotNull()).alias("ns"),
+        F.max(F.when(real & ((F.size("wd") > 0) | F.col("sm").isNotNull()), F.col("paragraph_number")))
+        .alias("top"),
         F.map_from_entries(F.collect_list(F.when(real, F.struct("paragraph_number", entry)))).alias("by_par"))
-    n = F.greatest("nw", "ns").cast("int")
+    n = (F.greatest("nw", "ns") if dense == "count" else F.coalesce(F.col("top") + 1, F.lit(0))).cast("int")
     dense = (per_sub.filter((F.col("state") == STATE_COMPLETE) & (n > 0))            # D1
              .select(*_KEY, F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
                  i.alias("paragraph_index"), F.try_element_at("by_par", i).alias("e")))).alias("d")))

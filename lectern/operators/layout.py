@@ -47,10 +47,11 @@ def body_blocks(blocks: DataFrame) -> DataFrame:
     return stripped.filter((n > MIN_BODY_CHARS) & ~heading)
 
 
-def stitch_pages(blocks: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
+def stitch_pages(blocks: DataFrame, key: str | list[str] = "doc_id", drop_hyphen: bool = False) -> DataFrame:
     """Join a block to the previous paragraph when it opens a new page
     with a lower-case letter and the previous block ended mid-word
     (joined without a space, hyphen kept) or mid-sentence (one space).
+    ``drop_hyphen`` removes the hyphen of a word broken across the pages.
 
     Input: qualifying blocks (after P6+P7).  Output:
     ``(*key, paragraph_number, text)``.
@@ -68,8 +69,14 @@ def stitch_pages(blocks: DataFrame, key: str | list[str] = "doc_id") -> DataFram
     joins = (F.col("has_prev") & F.col("top_of_page") & F.col("text").rlike(STARTS_MID_SENTENCE)
              & (F.col("prev_mid_word") | F.col("prev_mid_sentence")))
     sep = F.when(~joins, "").when(F.col("prev_mid_word"), "").otherwise(" ")
+    text = F.col("text")
+    if drop_hyphen:
+        # This block's hyphen goes when the next block continues the word.
+        flagged = flagged.withColumn("_joins", joins).withColumn("_mid", F.col("prev_mid_word"))
+        next_glues = F.coalesce(F.lead(F.col("_joins") & F.col("_mid")).over(w), F.lit(False))
+        text = F.when(next_glues, F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
     numbered = flagged.select(
-        *key, "path", F.concat(sep, "text").alias("piece"),
+        *key, "path", F.concat(sep, text).alias("piece"),
         (F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
         .cast("int").alias("paragraph_number"))
     return (numbered.groupBy(*key, "paragraph_number")

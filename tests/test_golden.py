@@ -466,3 +466,21 @@ def test_study_guide_word_order_by_key_or_rank(spark):
     state = spark.createDataFrame([("u", 1, 7)], "user_id string, submission_id long, state int")
     assert G.study_guide(vocab, sums, state).first().vocabulary == ["alpha", "zeta"]
     assert G.study_guide(vocab, sums, state, order="rank").first().vocabulary == ["zeta", "alpha"]
+
+
+def test_stitch_can_drop_the_broken_hyphen(spark):
+    a = LONG + " the experi-"
+    b = "mental results " + LONG
+    out = L.stitch_pages(L.body_blocks(_blocks(spark, [(a, 1, 1), (b, 2, 2)])), drop_hyphen=True)
+    assert [r.text for r in out.collect()] == [a[:-1] + b]
+
+
+def test_study_guide_dense_by_max_index(spark):
+    vocab = spark.createDataFrame([("u", 1, 0, "alpha", 1), ("u", 1, 5, "beta", 2)],
+                                  "user_id string, submission_id long, paragraph_number int, word string, rank int")
+    sums = spark.createDataFrame([("u", 1, 0, "Start", "Sum.")], "user_id string, submission_id long, "
+                                 "paragraph_number int, paragraph_start string, summary string")
+    state = spark.createDataFrame([("u", 1, 7)], "user_id string, submission_id long, state int")
+    rows = G.study_guide(vocab, sums, state, dense="max_index").orderBy("paragraph_index").collect()
+    assert [r.paragraph_index for r in rows] == [0, 1, 2, 3, 4, 5]
+    assert rows[5].vocabulary == ["beta"] and rows[3].vocabulary == []

@@ -65,7 +65,7 @@ def test_file_name_parts_match_python(spark, names):
         assert r.suffix == PurePosixPath(n).suffix.lower() if n and not n.endswith("/") else True
 
 
-def _stitch_python(blocks):
+def _stitch_python(blocks, drop_hyphen=False):
     """The stitching rules stated directly as a loop over the blocks."""
     out, prev, page = [], None, None
     for text, start, end in blocks:
@@ -75,7 +75,7 @@ def _stitch_python(blocks):
         joined = False
         if out and start != page and re.match(r"^[a-z]", t) and prev is not None:
             if re.search(r"\w[—-]$", prev):
-                out[-1] += t
+                out[-1] = (out[-1][:-1] if drop_hyphen else out[-1]) + t
                 joined = True
             elif re.search(r"[a-z]$", prev):
                 out[-1] += " " + t
@@ -91,8 +91,8 @@ BLOCK = st.tuples(st.lists(WORD, min_size=1, max_size=14).map(" ".join), st.inte
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(BLOCK, min_size=1, max_size=25))
-def test_stitching_matches_sequential_loop(spark, raw):
+@given(st.lists(BLOCK, min_size=1, max_size=25), st.booleans())
+def test_stitching_matches_sequential_loop(spark, raw, drop_hyphen):
     page, blocks = 0, []
     for text, step in raw:
         page += step
@@ -100,8 +100,9 @@ def test_stitching_matches_sequential_loop(spark, raw):
     df = spark.createDataFrame([(7, [i], "paragraph", t, a, b) for i, (t, a, b) in enumerate(blocks)],
                                "doc_id long, path array<int>, type string, text string, "
                                "page_start int, page_end int")
-    got = [r.text for r in L.stitch_pages(L.body_blocks(L.flatten_layout(df))).orderBy("paragraph_number").collect()]
-    assert got == _stitch_python(blocks)
+    out = L.stitch_pages(L.body_blocks(L.flatten_layout(df)), drop_hyphen=drop_hyphen)
+    got = [r.text for r in out.orderBy("paragraph_number").collect()]
+    assert got == _stitch_python(blocks, drop_hyphen)
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -21,6 +21,7 @@ from lectern.operators import product as Z
 from lectern.operators import segment as S
 from lectern.operators import summaries as M
 from lectern.operators import vocabulary as V
+from lectern.operators.joins import materialise
 from lectern.plans import guide as PG
 from lectern.sources import adapters as A
 from lectern.sources import files as FS
@@ -409,7 +410,7 @@ def word_frequency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lemma_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6 + V7 + V10: lemma of every corpus word that has one in the lexicon."""
     docs = A.documents(spark, sf_dir)
-    stats = V.corpus_statistics(docs, A.quality_ids(spark, sf_dir))
+    stats = materialise(V.corpus_statistics(docs, A.quality_ids(spark, sf_dir)))   # read twice below
     return V.lemmatise(stats.select("lang", "word"), stats.filter("in_lexicon").select("lang", "word"))
 
 

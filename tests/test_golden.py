@@ -484,3 +484,11 @@ def test_study_guide_dense_by_max_index(spark):
     rows = G.study_guide(vocab, sums, state, dense="max_index").orderBy("paragraph_index").collect()
     assert [r.paragraph_index for r in rows] == [0, 1, 2, 3, 4, 5]
     assert rows[5].vocabulary == ["beta"] and rows[3].vocabulary == []
+
+
+def test_command_line_runs_a_query(spark, tmp_path, sf_small):
+    from lectern.__main__ import main
+    out = str(tmp_path / "status")
+    assert main(["submission_status", sf_small, out, "--format", "json"]) == 0
+    back = spark.read.json(out)
+    assert set(back.columns) == {"user_id", "state_sum", "status"} and back.count() > 0

@@ -3,13 +3,19 @@
 Each adapter only reshapes rows (it does none of an operator's work) and
 has a SQL twin in ``lectern.plans.oracle`` with the same definition.
 
-* ``doc_lines``       documents -> one paragraph per text line
-                      (user_id=source, submission_id=doc_id)
-* ``doc_paragraphs``  ``doc_lines`` through P3 (clean, min length), numbered
-                      from 0 in kept order, as the paragraph stage emits them
-* ``conv_docs``       conversations -> one text per conversation, turns
-                      joined by a blank line
-* ``quality_texts``   documents labelled ``quality = 1`` (lexicon source)
+* ``documents``           the documents table (optionally one language)
+* ``doc_lines``           one paragraph per text line (user_id=source, submission_id=doc_id)
+* ``doc_paragraphs``      ``doc_lines`` through P3 (clean, min length), numbered from 0
+                          in kept order, as the paragraph stage emits them
+* ``conv_docs``           one text per conversation (turns joined by a blank line)
+* ``quality_ids`` / ``quality_texts``  documents labelled ``quality = 1`` (lexicon source)
+* ``layout_blocks``       OCR layout tree: words in blocks of 12, three blocks a page
+* ``pages``               web pages (page_id, url, html)
+* ``uploads`` / ``upload_blocks``  documents and pages as files with names and content
+* ``upload_requests``     registration requests (user, file name, content hash, time)
+* ``stage_rows``          events as stage reports (bit, failed)
+* ``notification_messages``  events as queue messages (topic envelopes, puts, others)
+* ``dictionary_entries``  parts as dictionary responses (list or error object)
 """
 
 from __future__ import annotations

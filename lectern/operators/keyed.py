@@ -108,6 +108,13 @@ def scan_prefix(table: DataFrame, key_col: str, group: list[str]) -> DataFrame:
     return table.withColumn("scan_position", F.row_number().over(w))
 
 
+def prefix_scan(table: DataFrame, user_id: str, key_col: str, prefix: str) -> DataFrame:
+    """K7 point form: one user's rows whose sort key starts with ``prefix``,
+    in byte order of the key (both filters reach a Parquet scan)."""
+    return (table.filter((F.col("user_id") == user_id) & F.col(key_col).startswith(prefix))
+            .orderBy(key_col))
+
+
 def filter_filename(table: DataFrame, user_id: str, filename: str) -> DataFrame:
     """K8."""
     return scan_user(table, user_id).filter(F.col("filename") == filename)

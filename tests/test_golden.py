@@ -492,3 +492,17 @@ def test_command_line_runs_a_query(spark, tmp_path, sf_small):
     assert main(["submission_status", sf_small, out, "--format", "json"]) == 0
     back = spark.read.json(out)
     assert set(back.columns) == {"user_id", "state_sum", "status"} and back.count() > 0
+
+
+def test_prefix_scan_point_form_is_pushed_down_and_ordered(spark, tmp_path):
+    import contextlib
+    import io
+    rows = [("u", f"SUMMARY#s#{p}") for p in (2, 10, 1)] + [("u", "SUMMARY#t#1"), ("v", "SUMMARY#s#3")]
+    spark.createDataFrame(rows, "user_id string, sort_key string").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    scan = K.prefix_scan(table, "u", "sort_key", "SUMMARY#s#")
+    assert [r.sort_key for r in scan.collect()] == ["SUMMARY#s#1", "SUMMARY#s#10", "SUMMARY#s#2"]
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        scan.explain()
+    assert "StringStartsWith(sort_key,SUMMARY#s#)" in buf.getvalue()

@@ -64,7 +64,10 @@ def gate_inputs(requests: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES,
     size = F.octet_length("content")
     too_long = size > max_bytes
     if max_chars is not None:
-        too_long = too_long | (F.length(F.decode("content", "UTF-8")) > max_chars)
+        # Characters of the content read as UTF-8 with bad bytes replaced, so
+        # one malformed upload cannot fail the job.
+        text = F.make_valid_utf8(F.col("content").cast("string"))
+        too_long = too_long | (F.length(text) > max_chars)
     status = F.when(F.col("content").isNull(), 400).when(too_long, 413).otherwise(200)
     reason = (F.when(F.col("content").isNull(), "No file uploaded")
               .when(too_long, "File exceeds the size limit"))

@@ -506,3 +506,10 @@ def test_prefix_scan_point_form_is_pushed_down_and_ordered(spark, tmp_path):
     with contextlib.redirect_stdout(buf):
         scan.explain()
     assert "StringStartsWith(sort_key,SUMMARY#s#)" in buf.getvalue()
+
+
+def test_character_gate_survives_malformed_bytes(spark):
+    df = spark.createDataFrame([(b"ab\xff\xfecd", None, None), (b"x" * 30, None, None)],
+                               "file_bytes binary, url_bytes binary, text string")
+    rows = U.gate_inputs(df, max_bytes=1000, max_chars=10).collect()
+    assert [r.status for r in rows] == [200, 413]

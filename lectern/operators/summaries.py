@@ -120,7 +120,7 @@ def stand_in_model(prompts: DataFrame, faults: bool = False) -> DataFrame:
     texts = F.regexp_extract_all("user_prompt", F.lit(ITEM_PATTERN), 2)
     answered = prompts.withColumn("_items", F.transform(
         F.arrays_zip(nums.alias("n"), texts.alias("t")), lambda x: F.struct(
-            x["n"].cast("int").alias("paragraph_number"), T.sentences(x["t"])[0].alias("summary"))))
+            x["n"].try_cast("int").alias("paragraph_number"), T.sentences(x["t"])[0].alias("summary"))))
     items = F.col("_items")   # a column, so lambdas below do not re-parse the prompt
     fault = F.length("user_prompt") % FAULT_MODULUS if faults else F.lit(-1)
     k = F.size(items)

@@ -3,11 +3,15 @@
 * X1 upload-event stream: a file source over the events table, decoded
   (S4) and parsed (S3) statelessly in each micro-batch.
 * X2 fan-out: one ``foreachBatch`` persists the micro-batch once and
-  writes every branch (valid keys, quarantine) from it.
+  writes every branch from it: valid keys and quarantine for upload
+  events; vocabulary rows, summary rows and stage reports for newly
+  arrived documents (``run_document_stages``), paragraphs computed once.
 * X3 stage state: a streaming aggregation per key with ``sum`` (the
   original's arithmetic add) and ``bit_or`` (idempotent), update mode.
 * X4 delivery: ``dropDuplicatesWithinWatermark(event_id)`` drops
-  redelivered events; every sink write is keyed by the micro-batch id
+  redelivered events; failed stage reports go to a quarantine table
+  instead of being acknowledged away; every sink write is keyed by the
+  micro-batch id
   and overwrites its own folder, so a replayed batch after a failure
   rewrites the same rows (exactly-once results).  Readers see the
   last write per key across batches.

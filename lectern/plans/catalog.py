@@ -557,3 +557,26 @@ def streamed_study_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES["streamed_study_guide"] = streamed_study_guide
+
+
+def uploaded_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + S2 + P9: every document written as a ``.txt`` file (one folder
+    per document under the shared checkpoint folder), read back with the
+    whole-file scan (UTF-8, bad bytes replaced), routed, split into
+    paragraphs.  Owner and submission come from the file's path."""
+    import uuid
+
+    from lectern.session import ensure_checkpoint_dir
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/uploads-{uuid.uuid4().hex}"
+    docs = A.documents(spark, sf_dir).select("source", "doc_id", "text")
+    docs.write.partitionBy("source", "doc_id").text(base)
+    files = FS.read_text_files(spark, base, glob="*.txt")
+    uploads = files.select(
+        F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("user_id"),
+        F.regexp_extract("path", r"/doc_id=(-?[0-9]+)/", 1).cast("bigint").alias("submission_id"),
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("text").alias("content"))
+    paras, _ = FS.extract_paragraphs(uploads)
+    return paras
+
+
+_QUERIES["uploaded_text_files"] = uploaded_text_files

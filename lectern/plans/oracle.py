@@ -256,6 +256,10 @@ def oracle_sql() -> dict[str, str]:
     q["streamed_upload_keys"] = q["object_key_parse"]
     q["streamed_upload_rate"] = q["upload_rate"]
     q["streamed_study_guide"] = q["study_guide"]
+    # The text writer ends every file with a newline.
+    q["uploaded_text_files"] = explode_list(
+        "source AS user_id, doc_id AS submission_id", p3(p2(P1.replace("text", "(text || chr(10))", 1))),
+        "(SELECT * FROM documents WHERE text IS NOT NULL)")
     q["sentence_split"] = _with(doc_paragraphs_cte(), r"""
 SELECT user_id, submission_id, lang, paragraph_number,
        unnest(ss) AS sentence, unnest(range(len(ss)))::INTEGER AS sentence_number

@@ -580,3 +580,21 @@ def uploaded_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES["uploaded_text_files"] = uploaded_text_files
+
+
+RUN_TS = 1_700_000_000   # the explicit write time of one bulk insert (no wall clock)
+
+
+def vocabulary_bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 (+ V14): the English vocabulary rows appended with one run time to
+    a table laid out by user in the shared folder, then read back."""
+    import uuid
+
+    from lectern.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vocabulary-{uuid.uuid4().hex}"
+    K.append(K.with_write_time(V.vocabulary_rows(vocabulary_report(spark, sf_dir)), RUN_TS), path)
+    schema = "user_id STRING, submission_id BIGINT, paragraph_number INT, word STRING, rank INT, created_at BIGINT"
+    return spark.read.schema(schema).parquet(path)
+
+
+_QUERIES["vocabulary_bulk_insert"] = vocabulary_bulk_insert

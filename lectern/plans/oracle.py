@@ -256,6 +256,10 @@ def oracle_sql() -> dict[str, str]:
     q["streamed_upload_keys"] = q["object_key_parse"]
     q["streamed_upload_rate"] = q["upload_rate"]
     q["streamed_study_guide"] = q["study_guide"]
+    from lectern.plans.catalog import RUN_TS
+    q["vocabulary_bulk_insert"] = _with(vocabulary_ctes("en"), "SELECT user_id, submission_id, "
+                                        f"first_paragraph AS paragraph_number, word, rank, {RUN_TS}::BIGINT AS created_at "
+                                        "FROM ranked")
     # The text writer ends every file with a newline.
     q["uploaded_text_files"] = explode_list(
         "source AS user_id, doc_id AS submission_id", p3(p2(P1.replace("text", "(text || chr(10))", 1))),

@@ -561,9 +561,11 @@ _QUERIES["streamed_study_guide"] = streamed_study_guide
 
 def uploaded_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + S2 + P9: every document written as a ``.txt`` file (one folder
-    per document under the shared checkpoint folder), read back with the
-    whole-file scan (UTF-8, bad bytes replaced), routed, split into
-    paragraphs.  Owner and submission come from the file's path."""
+    per document under the shared checkpoint folder, standing in for
+    uploads that arrive as one object each), read back with the whole-file
+    scan (UTF-8, bad bytes replaced), routed, split into paragraphs.
+    Owner and submission come from the file's path.  The scan itself is
+    the scalable part: one row per file, files capped by the upload limit."""
     import uuid
 
     from lectern.session import ensure_checkpoint_dir

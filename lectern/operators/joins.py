@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from lectern.session import ensure_checkpoint_dir
 
 # About 2M narrow rows (a word, a lemma and a double) stay well below
-# 200 MB per executor once broadcast.
+# 200 MB per executor once broadcast.  A cluster can lower or raise the
+# bound with the session setting ``lectern.broadcast.maxRows``.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+MAX_ROWS_CONF = "lectern.broadcast.maxRows"
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,9 @@ def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, freeze: bool
     exactly what was counted; a cheap side (a filtered scan of a small
     table) is counted directly and recomputed when broadcast.
     """
+    configured = df.sparkSession.conf.get(MAX_ROWS_CONF, None)
+    if configured is not None:
+        max_rows = min(max_rows, int(configured))
     if freeze:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)

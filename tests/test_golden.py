@@ -513,3 +513,15 @@ def test_character_gate_survives_malformed_bytes(spark):
                                "file_bytes binary, url_bytes binary, text string")
     rows = U.gate_inputs(df, max_bytes=1000, max_chars=10).collect()
     assert [r.status for r in rows] == [200, 413]
+
+
+def test_broadcast_bound_is_configurable(spark):
+    from lectern.operators.joins import MAX_ROWS_CONF, measure
+    df = spark.range(10)
+    assert measure(df, freeze=False).broadcastable
+    spark.conf.set(MAX_ROWS_CONF, "5")
+    try:
+        bounded = measure(df, freeze=False)
+        assert bounded.rows == 10 and not bounded.broadcastable
+    finally:
+        spark.conf.unset(MAX_ROWS_CONF)

@@ -525,3 +525,15 @@ def test_broadcast_bound_is_configurable(spark):
         assert bounded.rows == 10 and not bounded.broadcastable
     finally:
         spark.conf.unset(MAX_ROWS_CONF)
+
+
+def test_conversation_size_gate(spark, sf_small):
+    from lectern.sources import adapters as A
+    conv = spark.read.parquet(f"{sf_small}/conversations.parquet")
+    sizes = {r.conv_id: r.n for r in conv.groupBy("conv_id").agg(
+        (F.sum(F.octet_length("text") + 2) - 2).alias("n")).collect()}
+    limit = sorted(sizes.values())[len(sizes) // 2]
+    kept = {r.conv_id for r in A.conv_docs(spark, sf_small, max_bytes=limit).select("conv_id").collect()}
+    assert kept == {c for c, n in sizes.items() if n <= limit} and 0 < len(kept) < len(sizes)
+    texts = A.conv_docs(spark, sf_small).collect()
+    assert all(len(r.text.encode("utf-8")) == sizes[r.conv_id] for r in texts)

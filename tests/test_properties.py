@@ -141,3 +141,25 @@ def test_entity_decoding_matches_html_unescape(spark, texts):
     got = _one(spark, texts, decode_entities(F.col("s")))
     for t, r in zip(texts, got):
         assert r == html.unescape(t), (t, r)
+
+
+def _js_file_size(b: int) -> str:
+    """The upload form's rule: parseFloat((b / 1024**i).toFixed(2)) + unit."""
+    import math
+    from decimal import ROUND_HALF_UP, Decimal
+    if b == 0:
+        return "0 Bytes"
+    i = math.floor(math.log(b) / math.log(1024))
+    v = (Decimal(b) / Decimal(1024 ** i)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
+    text = repr(float(v))
+    return (text[:-2] if text.endswith(".0") else text) + " " + ["Bytes", "KB", "MB", "GB"][i]
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.integers(0, 1024 ** 4 - 1), st.sampled_from([1023, 1024, 1025, 1536, 1048575])),
+                min_size=1, max_size=40))
+def test_file_size_matches_the_form_rule(spark, sizes):
+    from lectern.functions.labels import file_size
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long")
+    got = [r.o for r in df.select("i", file_size(F.col("n")).alias("o")).orderBy("i").collect()]
+    assert got == [_js_file_size(n) for n in sizes]

@@ -163,3 +163,48 @@ def test_file_size_matches_the_form_rule(spark, sizes):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long")
     got = [r.o for r in df.select("i", file_size(F.col("n")).alias("o")).orderBy("i").collect()]
     assert got == [_js_file_size(n) for n in sizes]
+
+
+RECORD = st.fixed_dictionaries({
+    "eventName": st.sampled_from(["ObjectCreated:Put", "ObjectCreated:Copy", "ObjectRemoved:Delete"]),
+    "s3": st.fixed_dictionaries({"bucket": st.fixed_dictionaries({"name": st.just("b")}),
+                                 "object": st.fixed_dictionaries({"key": st.sampled_from(
+                                     ["uploads/u/a.txt", "uploads/v/b.md", "x/y"])})})})
+INNER = st.fixed_dictionaries({"Records": st.lists(RECORD, max_size=3)})
+
+
+@st.composite
+def message(draw):
+    import json
+    inner = json.dumps(draw(INNER))
+    kind = draw(st.sampled_from(["direct", "wrapped", "wrapped-bad", "other-type", "no-arn"]))
+    if kind == "direct":
+        return inner
+    body = {"Type": "Notification", "TopicArn": "arn", "Message": inner}
+    if kind == "wrapped-bad":
+        body["Message"] = "not json"
+    elif kind == "other-type":
+        body["Type"] = "SubscriptionConfirmation"
+    elif kind == "no-arn":
+        del body["TopicArn"]
+    return json.dumps(body)
+
+
+def _decode_python(body: str) -> list[str]:
+    """The decoding rule stated directly: unwrap a topic notification, keep puts."""
+    import json
+    msg = json.loads(body)
+    if "TopicArn" in msg and msg.get("Type") == "Notification":
+        try:
+            msg = json.loads(msg["Message"])
+        except json.JSONDecodeError:
+            return []
+    return [r["s3"]["object"]["key"] for r in msg.get("Records", []) if r.get("eventName") == "ObjectCreated:Put"]
+
+
+@SETTINGS
+@given(st.lists(message(), min_size=1, max_size=20))
+def test_notification_decoding_matches_python(spark, bodies):
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    got = sorted((r.i, r.key) for r in N.decode_notifications(df).collect())
+    assert got == sorted((i, k) for i, b in enumerate(bodies) for k in _decode_python(b))

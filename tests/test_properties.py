@@ -208,3 +208,29 @@ def test_notification_decoding_matches_python(spark, bodies):
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
     got = sorted((r.i, r.key) for r in N.decode_notifications(df).collect())
     assert got == sorted((i, k) for i, b in enumerate(bodies) for k in _decode_python(b))
+
+
+KEY = st.lists(st.sampled_from(list("VOCAB#s12+- x") + ["#", "#", "7", "10"]), max_size=16).map("".join)
+
+
+def _decode_key_python(key: str):
+    """The original rule: exactly four '#'-separated parts and an integer third part."""
+    parts = key.split("#")
+    if len(parts) != 4:
+        return None
+    try:
+        return parts[1], int(parts[2]), parts[3]
+    except ValueError:
+        return None
+
+
+@SETTINGS
+@given(st.lists(KEY, min_size=1, max_size=40))
+def test_key_decoding_matches_python(spark, keys):
+    from lectern.operators import keyed as K
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
+    rows = {r.i: r for r in K.decode_keys(df, "k", 4).collect()}
+    for i, k in enumerate(keys):
+        want, r = _decode_key_python(k), rows[i]
+        got = None if r.reason is not None else (r.submission_id, r.paragraph_number, r.word)
+        assert got == want, (k, got, want)

@@ -234,3 +234,35 @@ def test_key_decoding_matches_python(spark, keys):
         want, r = _decode_key_python(k), rows[i]
         got = None if r.reason is not None else (r.submission_id, r.paragraph_number, r.word)
         assert got == want, (k, got, want)
+
+
+BLOCKY = st.lists(st.sampled_from(["a", "b c", " ", "\n", "\n\n", "\t", "x.y"]), max_size=15).map("".join)
+
+
+@SETTINGS
+@given(st.lists(BLOCKY, min_size=1, max_size=30))
+def test_blank_line_split_matches_python(spark, texts):
+    from lectern.operators import segment as S
+    got = _one(spark, texts, S.blank_line_split("s"))
+    assert got == [[p.strip() for p in t.split("\n\n") if p.strip()] for t in texts]
+
+
+OBJ_KEY = st.lists(st.sampled_from(["uploads", "u", "h", ".txt", ".", "/", "x", "tar"]), max_size=8).map("".join)
+
+
+def _parse_key_python(key: str):
+    parts = key.split("/")
+    if len(parts) >= 3 and parts[0] == "uploads":
+        return parts[1], os.path.splitext(parts[2])[0]
+    return None
+
+
+@SETTINGS
+@given(st.lists(OBJ_KEY, min_size=1, max_size=40))
+def test_object_key_parse_matches_python(spark, keys):
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, key string")
+    rows = {r.i: r for r in N.parse_object_keys(df).collect()}
+    for i, k in enumerate(keys):
+        r = rows[i]
+        got = None if r.reason is not None else (r.user_id, r.submission_id)
+        assert got == _parse_key_python(k), k

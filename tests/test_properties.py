@@ -266,3 +266,21 @@ def test_object_key_parse_matches_python(spark, keys):
         r = rows[i]
         got = None if r.reason is not None else (r.user_id, r.submission_id)
         assert got == _parse_key_python(k), k
+
+
+BODY = st.lists(st.sampled_from(["A", "b", "É", "ß", "1", " ", ".", "ABCDEFGHIJ", "abcdefghij", "  \n"]),
+                max_size=40).map("".join)
+
+
+def _is_body_python(text: str) -> bool:
+    t = text.strip()
+    return bool(t) and len(t) > 40 and not (len(t) <= 80 and t.isupper())
+
+
+@SETTINGS
+@given(st.lists(BODY, min_size=1, max_size=30))
+def test_body_block_filter_matches_python(spark, texts):
+    df = spark.createDataFrame([(1, [i], "paragraph", t, 0, 0) for i, t in enumerate(texts)],
+                               "doc_id long, path array<int>, type string, text string, page_start int, page_end int")
+    kept = sorted(r.path[0] for r in L.body_blocks(df).collect())
+    assert kept == [i for i, t in enumerate(texts) if _is_body_python(t)]

@@ -284,3 +284,45 @@ def test_body_block_filter_matches_python(spark, texts):
                                "doc_id long, path array<int>, type string, text string, page_start int, page_end int")
     kept = sorted(r.path[0] for r in L.body_blocks(df).collect())
     assert kept == [i for i, t in enumerate(texts) if _is_body_python(t)]
+
+
+@st.composite
+def response(draw):
+    import json
+    n = draw(st.integers(1, 4))
+    numbers = draw(st.lists(st.one_of(st.integers(0, n + 1), st.none()), max_size=n + 2))
+    body = json.dumps({"summaries": [{"paragraph_number": p, "summary": "s"} for p in numbers]})
+    kind = draw(st.sampled_from(["ok", "ok", "ok", "truncated", "empty", "no-key"]))
+    if kind == "truncated":
+        body = body[:-1]
+    elif kind == "empty":
+        body = "  "
+    elif kind == "no-key":
+        body = "{}"
+    return n, body
+
+
+def _accepts_python(n: int, body: str) -> bool:
+    """The original checks: parses, exactly n summaries, numbers 1..n each present."""
+    import json
+    if not body.strip():
+        return False
+    try:
+        data = json.loads(body)
+    except json.JSONDecodeError:
+        return False
+    items = data.get("summaries", [])
+    if len(items) != n:
+        return False
+    found = {it["paragraph_number"]: it["summary"] for it in items
+             if it.get("paragraph_number") and 1 <= it["paragraph_number"] <= n}
+    return len(found) == n
+
+
+@SETTINGS
+@given(st.lists(response(), min_size=1, max_size=30))
+def test_response_validation_matches_python(spark, cases):
+    df = spark.createDataFrame([("u", i, 0, n, b) for i, (n, b) in enumerate(cases)],
+                               "user_id string, submission_id long, batch_no int, n_items int, response string")
+    got = {r.submission_id: r.status == "ok" for r in M.validate_responses(df).collect()}
+    assert got == {i: _accepts_python(n, b) for i, (n, b) in enumerate(cases)}

@@ -537,3 +537,14 @@ def test_conversation_size_gate(spark, sf_small):
     assert kept == {c for c, n in sizes.items() if n <= limit} and 0 < len(kept) < len(sizes)
     texts = A.conv_docs(spark, sf_small).collect()
     assert all(len(r.text.encode("utf-8")) == sizes[r.conv_id] for r in texts)
+
+
+def test_listing_is_newest_first_with_defaults(spark):
+    subs = spark.createDataFrame(
+        [("u", "a", 7, "a.txt", 100), ("u", "b", 0, None, 300), ("u", "c", 3, "c.md", None), ("u", "d", 9, "d.txt", 300)],
+        "user_id string, submission_id string, state int, filename string, created_at long")
+    rows = G.listing(subs).collect()
+    assert [r.id for r in rows] == ["b", "d", "a", "c"]          # 300, 300 (by id), 100, missing as 0
+    assert [r.filename for r in rows] == ["Unnamed Document", "d.txt", "a.txt", "c.md"]
+    assert [r.status for r in rows] == ["received", "9", "complete", "processing"]
+    assert [r.details_link for r in rows] == [False, False, True, False]

@@ -48,3 +48,14 @@ def test_study_guide_length_is_max_of_paragraph_counts(spark):
     want = {(r.user_id, r.submission_id): r.n for r in expected.collect()}
     assert set(rows) == set(want) and len(want) > 0
     assert all(rows[k] == (n, 0, n - 1) for k, n in want.items())
+
+
+def test_threshold_profile_is_monotone(spark):
+    """A higher threshold never keeps fewer uncommon words."""
+    import __spark_entry__ as E
+    from lectern.operators.product import threshold_column
+    from lectern.plans.catalog import THRESHOLDS
+    cols = [threshold_column(t) for t in sorted(THRESHOLDS)]
+    rows = E.queries()["threshold_profile"](spark, SF_SMALL).collect()
+    assert rows and all([r[c] for c in cols] == sorted(r[c] for c in cols) for r in rows)
+    assert any(r[cols[-1]] > r[cols[0]] for r in rows)

@@ -59,3 +59,22 @@ def test_threshold_profile_is_monotone(spark):
     rows = E.queries()["threshold_profile"](spark, SF_SMALL).collect()
     assert rows and all([r[c] for c in cols] == sorted(r[c] for c in cols) for r in rows)
     assert any(r[cols[-1]] > r[cols[0]] for r in rows)
+
+
+def test_ranks_are_dense_per_submission(spark):
+    """Every submission's words are ranked 1..n without gaps or ties."""
+    import __spark_entry__ as E
+    words = E.queries()["vocabulary_report"](spark, SF_SMALL)
+    per = words.groupBy("submission_id").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("lo"),
+                                             F.max("rank").alias("hi"), F.count_distinct("rank").alias("d"))
+    rows = per.collect()
+    assert rows and all(r.lo == 1 and r.hi == r.n == r.d for r in rows)
+
+
+def test_summary_rows_respect_the_cap(spark):
+    """M8: at most cap + 1 summary rows per submission, numbered from 0."""
+    import __spark_entry__ as E
+    from lectern.operators.summaries import SUMMARY_CAP
+    rows = E.queries()["paragraph_summaries"](spark, SF_SMALL).groupBy("submission_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("paragraph_number").alias("hi")).collect()
+    assert rows and all(r.n <= SUMMARY_CAP + 1 and r.hi == r.n - 1 for r in rows)

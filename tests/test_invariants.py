@@ -78,3 +78,19 @@ def test_summary_rows_respect_the_cap(spark):
     rows = E.queries()["paragraph_summaries"](spark, SF_SMALL).groupBy("submission_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("paragraph_number").alias("hi")).collect()
     assert rows and all(r.n <= SUMMARY_CAP + 1 and r.hi == r.n - 1 for r in rows)
+
+
+def test_stitching_keeps_every_character(spark):
+    """P8 on the layout blocks of real documents: per document, the stitched
+    paragraphs hold exactly the body blocks' characters in order (joins add
+    only single spaces)."""
+    from lectern.functions.text import ordered_join
+    from lectern.operators import layout as L
+    blocks = L.body_blocks(L.flatten_layout(A.layout_blocks(spark, SF_SMALL)))
+    stitched = L.stitch_pages(blocks)
+    squash = lambda c: F.regexp_replace(c, " ", "")
+    before = blocks.groupBy("doc_id").agg(ordered_join("text", "", "path").alias("t")).select("doc_id", squash("t").alias("t"))
+    after = stitched.groupBy("doc_id").agg(ordered_join("text", "", "paragraph_number").alias("t")) \
+        .select("doc_id", squash("t").alias("t"))
+    diff = before.join(after, "doc_id", "full_outer").filter(~before.t.eqNullSafe(after.t))
+    assert blocks.count() > stitched.count() > 0 and diff.count() == 0

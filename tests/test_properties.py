@@ -326,3 +326,28 @@ def test_response_validation_matches_python(spark, cases):
                                "user_id string, submission_id long, batch_no int, n_items int, response string")
     got = {r.submission_id: r.status == "ok" for r in M.validate_responses(df).collect()}
     assert got == {i: _accepts_python(n, b) for i, (n, b) in enumerate(cases)}
+
+
+def _icon_python(mime: str) -> str:
+    """The upload form's ordered substring rules."""
+    if "pdf" in mime:
+        return "pdf"
+    if "image" in mime:
+        return "image"
+    if "text" in mime or "html" in mime or "md" in mime:
+        return "text"
+    if "word" in mime or "document" in mime:
+        return "document"
+    return "other"
+
+
+MIME = st.lists(st.sampled_from(["application/", "pdf", "image/", "text/", "html", "md", "word", "document",
+                                 "x-", "png", "/"]), max_size=5).map("".join)
+
+
+@SETTINGS
+@given(st.lists(MIME, min_size=1, max_size=40))
+def test_mime_class_matches_the_form_rule(spark, mimes):
+    from lectern.functions.labels import mime_class
+    got = _one(spark, mimes, mime_class(F.col("s")))
+    assert got == [_icon_python(m) for m in mimes]

@@ -351,3 +351,15 @@ def test_mime_class_matches_the_form_rule(spark, mimes):
     from lectern.functions.labels import mime_class
     got = _one(spark, mimes, mime_class(F.col("s")))
     assert got == [_icon_python(m) for m in mimes]
+
+
+FILE_NAME = st.lists(st.sampled_from(["a", ".", "TXT", "pdf", "Png", "jpeg", "md", "csv", "doc", "x"]),
+                     max_size=6).map("".join)
+
+
+@SETTINGS
+@given(st.lists(FILE_NAME, min_size=1, max_size=40))
+def test_form_acceptance_matches_the_form_rule(spark, names):
+    from lectern.functions.labels import UI_ACCEPTED_EXTENSIONS, ui_accepts
+    got = _one(spark, names, ui_accepts(F.col("s")))
+    assert got == ["." + n.split(".")[-1].lower() in UI_ACCEPTED_EXTENSIONS for n in names]

@@ -363,3 +363,26 @@ def test_form_acceptance_matches_the_form_rule(spark, names):
     from lectern.functions.labels import UI_ACCEPTED_EXTENSIONS, ui_accepts
     got = _one(spark, names, ui_accepts(F.col("s")))
     assert got == ["." + n.split(".")[-1].lower() in UI_ACCEPTED_EXTENSIONS for n in names]
+
+
+def _status_python(state):
+    """The original status rule (a missing state cannot be compared)."""
+    try:
+        if state == 0:
+            return "received"
+        if state < 7:
+            return "processing"
+        if state == 7:
+            return "complete"
+        return str(state)
+    except TypeError:
+        return "Invalid state"
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.integers(-3, 40)), min_size=1, max_size=40))
+def test_status_labels_match_the_rule(spark, states):
+    from lectern.functions.labels import status_label
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(states)], "i int, s int")
+    got = [r.o for r in df.select("i", status_label(F.col("s")).alias("o")).orderBy("i").collect()]
+    assert got == [_status_python(s) for s in states]

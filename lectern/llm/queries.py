@@ -10,11 +10,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, simhash, token_store
-from lectern.llm.common import ship, table
+from lectern.llm import bpe, language, simhash, token_store, toxicity
+from lectern.llm.common import is_held_out, ship, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+TOXIC_FROM = 0.3
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,22 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = language.identify(docs, language.train(docs), spans=False)
+    return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic, by compression distance."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score_texts(docs, model).select(
+        "doc_id", is_held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids into wavelet-matrix files and read them back."""
     folder = token_store.token_folder(spark)
@@ -45,5 +62,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op7_wavelet_tokens, op8_bpe_roundtrip)
+    found = (op1_simhash_dedup, op3_language_id, op6_toxicity, op7_wavelet_tokens, op8_bpe_roundtrip)
     return {f.__name__: _shipped(f) for f in found}

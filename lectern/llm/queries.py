@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language, simhash, token_store, toxicity
+from lectern.llm import bpe, decontaminate, language, simhash, token_store, toxicity
 from lectern.llm.common import is_held_out, ship, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,13 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, whole or edited: one row per document
+    and item with the alignment's score and place."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -62,5 +69,5 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op3_language_id, op6_toxicity, op7_wavelet_tokens, op8_bpe_roundtrip)
+    found = (op1_simhash_dedup, op2_benchmark_leaks, op3_language_id, op6_toxicity, op7_wavelet_tokens, op8_bpe_roundtrip)
     return {f.__name__: _shipped(f) for f in found}

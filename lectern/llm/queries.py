@@ -10,12 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language, simhash, token_store, toxicity
+from lectern.llm import bpe, decontaminate, language, line_rules, quality, sharding, simhash, token_store, toxicity, url_reputation
 from lectern.llm.common import is_held_out, ship, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-TOXIC_FROM = 0.3
+SHARDS = 16
+TOXIC_FROM, GOOD_FROM = 0.3, 0.7
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; every shard has each source in proportion."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    placed = sharding.shard_assignment(docs, SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the line-first quality rules for every document."""
+    return line_rules.clean(table(spark, sf_dir, "documents", "doc_id", "text")).drop("clean_text")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is toxic, by compression distance."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -60,6 +74,19 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
+def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is of good quality, by quadratic discriminant."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.score_texts(docs, model).select(
+        "doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
+def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return url_reputation.judge(table(spark, sf_dir, "pages", "page_id", "url")).drop("good_upper")
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +96,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_benchmark_leaks, op3_language_id, op6_toxicity, op7_wavelet_tokens, op8_bpe_roundtrip)
+    found = (op1_simhash_dedup, op2_benchmark_leaks, op3_language_id, op4_stratified_shards, op5_line_rules,
+             op6_toxicity, op7_wavelet_tokens, op8_bpe_roundtrip, op9_quality_qda, op10_url_reputation)
     return {f.__name__: _shipped(f) for f in found}

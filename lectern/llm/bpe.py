@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -42,8 +43,8 @@ _PLAIN = (r"\t-\r -~\x{A1}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3FF}\x{400}-\x{481}\
 _SPECIAL_MARK = r"<\|"
 UNSAFE = rf"[\t-\r ] |{_SPECIAL_MARK}|[^{_PLAIN}]"
 
-SLICE_BYTES = 12 << 20        # text handled at once
-MEMO_ENTRIES = 1_000_000       # words remembered per worker before starting afresh
+SLICE_BYTES = 8 << 20         # text handled at once
+MEMO_ENTRIES = 800_000         # words remembered per worker before starting afresh
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -165,6 +166,7 @@ class LibraryEncoder:
     """The same interface over the tokenizers library's own encoder."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks already use the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -248,8 +250,8 @@ class BatchEncoder:
         lengths = sizes[index]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total, dtype=np.int64)
-        at += np.repeat(starts[index] - (ends - lengths), lengths)
+        at = np.repeat(starts[index] - (ends - lengths), lengths)
+        at += np.arange(total, dtype=np.int64)
         bounds = np.concatenate([[0], ends])[offsets]
         return store[at], bounds
 

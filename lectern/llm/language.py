@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import is_training, slices
 
 UNDETERMINED = "und"
-NOT_LETTERS = r"[^\p{L}\p{M}]+"
+NOT_LETTERS = r"[^\p{L}\p{M}]+\p{M}*|\A\p{M}+"      # a word begins with a letter
 GRAMS = (3, 4)                # bytes of an n-gram
 BUCKETS = 1 << 15             # hash buckets for each n-gram size
 SWITCH_PENALTY = 12.0         # nats a change of language costs

@@ -27,7 +27,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-MAX_PUNCTUATION_PERCENT = 20
+MAX_PUNCTUATION_PERCENT = 20  # of a line's characters
+FEW_MARKS = 4                 # fewer are never too dense
 SENTENCE_END = r"[.!?…][)\]\"'”»]*([\x20\x09-\x0D]|\z)|[。！？]"
 SEPARATORS = (" | ", " > ", " » ", " › ", " · ", " • ")
 SEPARATOR_EVERY = 60          # characters; two separators are needed in any case
@@ -51,7 +52,8 @@ def n_characters(text: Column) -> Column:
 def fails_punctuation(line: Column) -> Column:
     solid = n_characters(line)
     marks = solid - F.length(without(line, SPACES + PUNCTUATION))
-    return (100 * marks > MAX_PUNCTUATION_PERCENT * solid) | ~line.rlike(SENTENCE_END)
+    dense = (marks >= FEW_MARKS) & (100 * marks > MAX_PUNCTUATION_PERCENT * solid)
+    return dense | ~line.rlike(SENTENCE_END)
 
 
 def fails_navigation(line: Column) -> Column:

@@ -25,7 +25,7 @@ WITH docs AS (
     FROM lines
 ), passed AS (
     SELECT row_id, sum(solid) AS solid FROM tested
-    WHERE NOT (100 * marks > 20 * solid)
+    WHERE NOT (marks >= 4 AND 100 * marks > 20 * solid)
       AND regexp_matches(line, '[.!?…][)\]"''”»]*([\x20\x09-\x0D]|\z)|[。！？]')
       AND NOT (6 * length(line) - x1 - x2 - x3 - x4 - x5 - x6 >= 2
                AND 60 * (6 * length(line) - x1 - x2 - x3 - x4 - x5 - x6) >= length(line))

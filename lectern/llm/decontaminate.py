@@ -2,9 +2,11 @@
 
 1. Words of the test items are numbered.  One pass over all documents counts,
    for every word n-gram of the items, the documents that hold it.
-2. The seeds of an item are its rarest n-grams: those in no more documents
-   than the item's median n-gram.  Rarity is relative to the item, so a
-   passage copied into a third of all documents keeps its seeds.
+2. The seeds of an item are its n-grams but for the commonest tenth, which
+   are seeds too if at most ``RARE`` documents hold them.  Rarity is relative
+   to the item: a passage copied into a third of all documents keeps its
+   seeds, and so does an edited copy whose surviving n-grams are the only ones
+   that occur at all.
 3. A second pass finds seeds in each document.  Hits of one item that lie
    close together on close diagonals open one window of the text, wide enough
    for the whole item, and Smith-Waterman aligns window and item by words.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import slices
 
 GRAM = 3                    # words of a seed
+COMMON_FROM, RARE = 0.9, 100      # quantile of an item's document counts; documents
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5             # of MATCH x words of the item
 BLOCK_WORDS = 500_000       # words of test items sent out at once
@@ -166,13 +169,13 @@ def _hits(texts: pa.Array, block: Block, table: np.ndarray) -> tuple[np.ndarray,
 
 
 def choose_seeds(block: Block, counts: dict[int, int]) -> Block:
-    """Keep of each item the n-grams no commoner than its median n-gram."""
+    """Keep of each item the n-grams that are rare for it."""
     rows = []
     for number, item in enumerate(block.items):
         key, at = gram_keys(item, len(block.vocabulary))
         if len(key):
             n = np.array([counts.get(int(p), 0) for p in np.searchsorted(block.grams, key)])
-            rare = n <= np.median(n)
+            rare = n <= max(RARE, np.quantile(n, COMMON_FROM))
             rows.append(np.stack([key[rare], np.full(rare.sum(), number), at[rare]], axis=1))
     found = np.concatenate(rows) if rows else np.empty((0, 3), np.int64)
     block.seed_rows = found[np.lexsort(found.T[::-1])]

@@ -6,29 +6,37 @@ boundaries are marked with control characters and the text between an
 opening and the next boundary is one paragraph.  This is the HTML
 reading of an unclosed ``<p>``: it ends at the next ``<p>``, at ``</p>``,
 or at the start/end of a block-level element.
+
+A tag starts with a letter, ``/`` and a letter, ``!`` or ``?`` right after
+``<``, and ends at the first ``>`` outside a quoted attribute value; any
+other ``<`` is text.
 """
 
 from __future__ import annotations
 
+import html.entities
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 P_OPEN_MARK = "\u0001"
 BOUNDARY_MARK = "\u0002"
 
+# What may stand between a tag's name and its end; possessive, so that a tag
+# that never ends costs one pass.
+_REST = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
 # Markup removed before extraction.
-INVISIBLE = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+INVISIBLE = (rf"(?is)<script(?:[\s/]{_REST})?>.*?</script\s*>|<style(?:[\s/]{_REST})?>.*?</style\s*>|<!--.*?-->")
 # Tags that end an open paragraph.
-BLOCK_TAGS = ("p", "address", "article", "aside", "blockquote", "body", "div", "dl", "dd", "dt",
-              "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
-              "header", "hr", "html", "li", "main", "nav", "ol", "pre", "section", "table",
+BLOCK_TAGS = ("address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl",
+              "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
+              "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "pre", "search", "section", "summary", "table",
               "td", "th", "tr", "ul")
-P_OPEN = r"(?i)<p\b[^>]*>"
-BOUNDARY = r"(?i)</p\s*>|</?(?:" + "|".join(t for t in BLOCK_TAGS if t != "p") + r")\b[^>]*>"
-TAG = r"<[^>]*>"
-# Named entities decoded in text (``&amp;`` last).
-ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-            ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+P_OPEN = rf"(?i)<p(?:[\s/]{_REST})?>"
+BOUNDARY = rf"(?i)</p\s*>|</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/]{_REST})?>"
+TAG = rf"<(?:/?[a-zA-Z]|[!?]){_REST}>"
 
 
 def _c(col: Column | str) -> Column:
@@ -39,8 +47,11 @@ def visible(html: Column | str) -> Column:
     return F.regexp_replace(_c(html), INVISIBLE, "")
 
 
-# Numeric character references: decimal or hex, the ';' optional.
-NUMERIC_REF = r"&#([0-9]{1,8}|[xX][0-9a-fA-F]{1,8});?"
+# Character references: decimal, hexadecimal or named.  The names are those of
+# the HTML standard, taken from Python's library; the few that may stand
+# without a semicolon are also found before other letters.
+_BARE = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;|" + "|".join(map(re.escape, _BARE)) + ")"
 REPLACEMENT_CHAR = "\ufffd"
 # References to U+0080..U+009F name windows-1252 characters (HTML rule);
 # bytes that code page leaves undefined stand for themselves.
@@ -54,34 +65,72 @@ def _char_of(cp: Column) -> Column:
     return F.when(invalid, F.lit(REPLACEMENT_CHAR)).when(cp.between(0x80, 0x9F), c1).otherwise(utf32)
 
 
-def decode_numeric_refs(col: Column) -> Column:
-    """``&#233;`` / ``&#xE9;`` -> the character.  The text is split at the
-    references and re-joined with each one decoded, all in array functions;
-    texts without ``&#`` are returned untouched."""
-    pieces = F.split(col, NUMERIC_REF, -1)
-    refs = F.regexp_extract_all(col, F.lit(NUMERIC_REF), 1)
-    cps = F.transform(refs, lambda r: F.when(F.lower(F.substring(r, 1, 1)) == "x",
-                                             F.conv(F.substring(r, 2, 8), 16, 10)).otherwise(r).try_cast("long"))
-    chars = F.concat(F.transform(cps, _char_of), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(pieces, chars, lambda p, c: F.concat(p, c)), "")
-    return F.when(col.contains("&#"), joined).otherwise(col)
+def _named(name: Column) -> Column:
+    """Text of a named reference, itself (with ``&``) if there is none."""
+    table = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+    return F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name))
 
 
-def decode_entities(col: Column) -> Column:
-    """Numeric references, then the named ones in ``ENTITIES`` (``&amp;``
-    last, so ``&amp;lt;`` stays ``&lt;``)."""
-    col = decode_numeric_refs(col)
-    for entity, char in ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
+def _reference(ref: Column) -> Column:
+    body = F.rtrim(ref, F.lit(";"))
+    hexadecimal = F.lower(F.substring(body, 2, 1)) == "x"
+    digits = F.when(hexadecimal, F.substring(body, 3, 12)).otherwise(F.substring(body, 2, 12))
+    cp = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+    return F.when(ref.startswith("#"), _char_of(cp)).otherwise(_named(ref))
 
 
-def scope(html: Column | str, element: str = "article") -> Column:
-    """Inner HTML of the first ``element``, else of ``<body>``."""
+def decode_entities(col: Column) -> Column:
+    """Every character reference replaced once, in one pass, so that
+    ``&amp;lt;`` and ``&#38;lt;`` both give ``&lt;``.  The text is split at the
+    references and joined again; texts without ``&`` are left alone."""
+    pieces = F.split(col, REFERENCE, -1)
+    refs = F.regexp_extract_all(col, F.lit(REFERENCE), 1)
+    chars = F.concat(F.transform(refs, _reference), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(pieces, chars, lambda p, c: F.concat(p, c)), "")
+    return F.when(col.contains("&"), joined).otherwise(col)
+
+
+def _opening(selector: str) -> str:
+    """Pattern of the start tag of ``tag``, ``.class``, ``#id``, ``tag.class`` or
+    ``tag#id``; group 1 is the element's name."""
+    found = re.fullmatch(r"([a-zA-Z][a-zA-Z0-9-]*)?(?:([.#])([\w-]+))?", selector)
+    if not selector or not found:
+        raise ValueError(f"unsupported selector {selector!r}; use tag, .class, #id, tag.class or tag#id")
+    name = f"({found[1]})" if found[1] else "([a-zA-Z][a-zA-Z0-9-]*)"
+    if not found[2]:
+        return rf"(?is)<{name}(?:[\s/]{_REST})?>"
+    value = re.escape(found[3])
+    if found[2] == ".":
+        match = rf"""(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?'|{value}(?=[\s>]))"""
+        attribute = "class"
+    else:
+        match, attribute = rf"""(?:"\s*{value}\s*"|'\s*{value}\s*'|{value}(?=[\s>]))""", "id"
+    before = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>=])*?"""
+    return rf"(?is)<{name}(?=\s){before}\s(?i:{attribute})\s*=\s*{match}{_REST}>"
+
+
+def scope(html: Column | str, selector: str = "article") -> Column:
+    """Inner HTML of the first element that ``selector`` names, up to its
+    own end tag (elements of the same name may nest), else of ``<body>``."""
     h = visible(html)
-    inner = F.regexp_extract(h, rf"(?is)<{element}\b[^>]*>(.*?)</{element}\s*>", 1)
-    body = F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
-    return F.when(h.rlike(rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>"), inner).otherwise(body)
+    opening = F.lit(_opening(selector))
+    name = F.regexp_extract(h, _opening(selector), 1)
+    start = F.regexp_extract(h, _opening(selector), 0)
+    rest = F.substring(h, F.instr(h, start) + F.length(start), F.length(h))
+    same = F.concat(F.lit("(?is)</?"), name, F.lit(rf"(?:[\s/]{_REST})?>"))
+    tags, pieces = F.regexp_extract_all(rest, same, F.lit(0)), F.split(rest, same, -1)
+    # Walk the tags of that name: at the one that closes the first, ``length`` stops.
+    walked = F.aggregate(
+        F.zip_with(F.slice(pieces, 1, F.size(tags)), tags, lambda p, t: F.struct(p.alias("p"), t.alias("t"))),
+        F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length")),
+        lambda a, x: F.when(a["depth"] == 0, a).otherwise(F.struct(
+            (a["depth"] + F.when(x["t"].startswith("</"), -1).otherwise(1)).alias("depth"),
+            (a["length"] + F.length(x["p"]) + F.when(
+                x["t"].startswith("</") & (a["depth"] == 1), 0).otherwise(F.length(x["t"]))).alias("length"))),
+        lambda a: F.when(a["depth"] == 0, a["length"]))
+    inner = F.substring(rest, F.lit(1), F.coalesce(walked, F.length(rest)))
+    body = F.regexp_extract(h, rf"(?is)<body(?:[\s/]{_REST})?>(.*?)(?:</body\s*>|\z)", 1)
+    return F.when(F.regexp_like(h, opening), inner).otherwise(body)
 
 
 def paragraph_fragments(html: Column) -> Column:
@@ -93,7 +142,7 @@ def paragraph_fragments(html: Column) -> Column:
 
 
 def paragraph_texts(html: Column | str) -> Column:
-    """Full text of every ``<p>`` (tags removed, entities decoded, unstripped)."""
+    """Full text of every ``<p>`` (tags removed, references decoded, unstripped)."""
     frags = paragraph_fragments(visible(html))
     return F.transform(frags, lambda x: decode_entities(F.regexp_replace(x, TAG, "")))
 

@@ -1,10 +1,8 @@
 """Read side (D1-D9): study guides, text, listings, definitions.
 
 ``study_guide`` is the per-paragraph join of vocabulary and summaries for
-every completed submission at once.  All its joins and groupings are
-keyed by submission, and each submission's rows are bounded by the
-upload size limit; the dense paragraph index is generated per
-submission with ``sequence`` + ``explode`` (no cross join).
+every completed submission at once, keyed by (submission, paragraph); the
+dense paragraph index is generated with ``sequence`` + ``explode``.
 """
 
 from __future__ import annotations
@@ -42,68 +40,42 @@ def words_by_paragraph(vocabulary: DataFrame, order: str = "word") -> DataFrame:
 
 
 def summaries_by_paragraph(summaries: DataFrame) -> DataFrame:
-    """D3: one summary row per (submission, paragraph); the last write wins."""
+    """D3: one summary row per (submission, paragraph); the last write wins, a
+    write without a time counts as the earliest."""
     if "created_at" not in summaries.columns:
         return summaries
-    latest = F.max_by(F.struct("paragraph_start", "summary"), F.col("created_at"))
+    written = F.coalesce(F.col("created_at").cast("bigint"), F.lit(0))
+    latest = F.max_by(F.struct("paragraph_start", "summary"), F.struct(written, "summary"))
     return (summaries.groupBy(*_KEY, "paragraph_number").agg(latest.alias("s"))
             .select(*_KEY, "paragraph_number", "s.paragraph_start", "s.summary"))
 
 
 def study_guide(vocabulary: DataFrame, summaries: DataFrame, submissions: DataFrame,
-                order: str = "word", dense: str = "count") -> DataFrame:
+                order: str = "word", dense: str = "max_index") -> DataFrame:
     """``(user_id, submission_id, paragraph_index, vocabulary,
     summary, paragraph_start)`` for completed submissions.
 
-    The index runs densely from 0 to max(#paragraphs with words,
-    #paragraphs with a summary) - 1 (counts, not the largest index, as in
-    the original); ``dense='max_index'`` sizes it by the largest paragraph
-    number seen instead, so no paragraph is cut off.  Missing sides default
-    to ``[]`` and ``""``.
-
-    One shuffle: word rows, summary rows and state rows are tagged,
-    unioned and hash-partitioned by submission once; the per-paragraph
-    grouping (D2, D3), the per-submission gate (D1) and the dense index
-    (D4, a ``sequence`` looked up in a per-submission map) all reuse that
-    partitioning.  A group is one submission, bounded by the upload limit.
+    The index runs densely from 0 to the largest paragraph number seen;
+    ``dense='count'`` sizes it by max(#paragraphs with words, #paragraphs with
+    a summary) instead, as the original does, which cuts off what lies
+    beyond.  Missing sides default to ``[]`` and ``""``.
+
+    Rows meet on (submission, paragraph): a submission's paragraphs need
+    not sit in one task, and an index row without any is made by ``sequence``.
     """
-    word_t = "struct<k:string,w:string>"
-    sum_t = "struct<ts:bigint,paragraph_start:string,summary:string>"
-    sort = vocab_key(F.col("submission_id"), F.col("paragraph_number"), F.col("word")) \
-        if order == "word" else F.format_string("%010d", F.col("rank"))
-    ts = F.col("created_at").cast("bigint") if "created_at" in summaries.columns else F.lit(0).cast("bigint")
-    words = vocabulary.select(*_KEY, "paragraph_number", F.struct(sort.alias("k"), F.col("word").alias("w")).alias("wd"),
-                              F.lit(None).cast(sum_t).alias("sm"), F.lit(None).cast("int").alias("state"))
-    sums = summaries.select(*_KEY, "paragraph_number", F.lit(None).cast(word_t).alias("wd"),
-                            F.struct(ts.alias("ts"), "paragraph_start", "summary").alias("sm"),
-                            F.lit(None).cast("int").alias("state"))
-    states = submissions.select(*_KEY, F.lit(None).cast("int").alias("paragraph_number"),
-                                F.lit(None).cast(word_t).alias("wd"), F.lit(None).cast(sum_t).alias("sm"),
-                                F.col("state").cast("int").alias("state"))
-    rows = words.unionByName(sums).unionByName(states).repartition(*_KEY)
-    per_par = rows.groupBy(*_KEY, "paragraph_number").agg(
-        F.array_sort(F.collect_list("wd")).alias("wd"),            # D2: scan order
-        F.max_by("sm", "sm.ts").alias("sm"),                       # D3: last write wins
-        F.max("state").alias("state"))
-    real = F.col("paragraph_number").isNotNull()
-    entry = F.struct(F.transform("wd", lambda x: x["w"]).alias("vocabulary"),
-                     F.col("sm.summary").alias("summary"), F.col("sm.paragraph_start").alias("paragraph_start"))
-    per_sub = per_par.groupBy(*_KEY).agg(
-        F.max("state").alias("state"),
-        F.count_if(real & (F.size("wd") > 0)).alias("nw"),
-        F.count_if(real & F.col("sm").isNotNull()).alias("ns"),
-        F.max(F.when(real & ((F.size("wd") > 0) | F.col("sm").isNotNull()), F.col("paragraph_number")))
-        .alias("top"),
-        F.map_from_entries(F.collect_list(F.when(real, F.struct("paragraph_number", entry)))).alias("by_par"))
-    n = (F.greatest("nw", "ns") if dense == "count" else F.coalesce(F.col("top") + 1, F.lit(0))).cast("int")
-    dense = (per_sub.filter((F.col("state") == STATE_COMPLETE) & (n > 0))            # D1
-             .select(*_KEY, F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
-                 i.alias("paragraph_index"), F.try_element_at("by_par", i).alias("e")))).alias("d")))
-    return dense.select(
-        *_KEY, F.col("d.paragraph_index").alias("paragraph_index"),
-        F.coalesce("d.e.vocabulary", F.array().cast("array<string>")).alias("vocabulary"),
-        F.coalesce("d.e.summary", F.lit("")).alias("summary"),
-        F.coalesce("d.e.paragraph_start", F.lit("")).alias("paragraph_start"))
+    by_paragraph = [*_KEY, "paragraph_number"]
+    words = words_by_paragraph(vocabulary, order)
+    told = summaries_by_paragraph(summaries).select(*by_paragraph, "paragraph_start", "summary")
+    both = words.join(told, by_paragraph, "full_outer").join(completed(submissions), _KEY, "left_semi")
+    sizes = both.groupBy(*_KEY).agg(
+        F.max("paragraph_number").alias("top"), F.count("vocabulary").alias("nw"), F.count("summary").alias("ns"))
+    n = F.col("top") + 1 if dense == "max_index" else F.greatest("nw", "ns").cast("int")
+    index = sizes.filter(n > 0).select(*_KEY, F.explode(F.sequence(F.lit(0), n - 1)).alias("paragraph_number"))
+    return index.join(both, by_paragraph, "left").select(
+        *_KEY, F.col("paragraph_number").alias("paragraph_index"),
+        F.coalesce("vocabulary", F.array().cast("array<string>")).alias("vocabulary"),
+        F.coalesce("summary", F.lit("")).alias("summary"),
+        F.coalesce("paragraph_start", F.lit("")).alias("paragraph_start"))
 
 
 def submission_text(paragraphs: DataFrame) -> DataFrame:

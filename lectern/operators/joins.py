@@ -1,59 +1,23 @@
-"""Size-checked broadcast joins.
+"""Computing an intermediate result once.
 
-A side is broadcast only after its row count has been measured on a
-materialised copy: the copy is written with ``checkpoint()`` to the
-session's reliable checkpoint folder (so losing an executor does not
-recompute it), counted, and hinted for broadcast only when it is within
-``max_rows``.  Beyond that bound the caller's shuffle plan is used.
-Literal rule tables built in code are tiny by construction and are
-broadcast directly with ``F.broadcast``.
+``materialise`` writes a DataFrame as Parquet below the shared checkpoint
+folder and reads it back: later plans start from files with column pruning,
+pushdown and size statistics (from which Spark decides what to broadcast), and
+a lost executor loses nothing.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lectern.session import ensure_checkpoint_dir
 
-# About 2M narrow rows (a word, a lemma and a double) stay well below
-# 200 MB per executor once broadcast.  A cluster can lower or raise the
-# bound with the session setting ``lectern.broadcast.maxRows``.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-MAX_ROWS_CONF = "lectern.broadcast.maxRows"
 
-
-@dataclass(frozen=True)
-class Bounded:
-    df: DataFrame
-    rows: int
-    broadcastable: bool
-
-    def side(self) -> DataFrame:
-        return F.broadcast(self.df) if self.broadcastable else self.df
-
-
-def measure(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, freeze: bool = True) -> Bounded:
-    """Count ``df`` and decide whether it may be broadcast.
-
-    With ``freeze`` (for sides that are expensive to recompute) the rows are
-    first written to the reliable checkpoint folder, so the broadcast reads
-    exactly what was counted; a cheap side (a filtered scan of a small
-    table) is counted directly and recomputed when broadcast.
-    """
-    configured = df.sparkSession.conf.get(MAX_ROWS_CONF, None)
-    if configured is not None:
-        max_rows = min(max_rows, int(configured))
-    if freeze:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    rows = df.count()
-    return Bounded(df, rows, rows <= max_rows)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the reliable checkpoint folder (lineage cut)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once into the shared folder (lineage ends there)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -32,10 +32,6 @@ def summary_key(submission_id, paragraph_number) -> Column:
                        paragraph_number.cast("string"))
 
 
-def object_path(user_id, submission_id) -> Column:
-    return F.concat(F.lit("uploads/"), user_id, F.lit("/"), submission_id)
-
-
 # K2 ----------------------------------------------------------------------
 
 def decode_keys(df: DataFrame, key_col: str, n_parts: int) -> DataFrame:
@@ -73,7 +69,7 @@ def upsert(current: DataFrame | None, writes: DataFrame, key: list[str], order:
     """
     both = writes if current is None else current.unionByName(writes, allowMissingColumns=True)
     values = [c for c in both.columns if c not in key]
-    latest = F.max_by(F.struct(*values), F.struct(*order))
+    latest = F.max_by(F.struct(*values), F.struct(*order, *[c for c in values if c not in order]))
     return both.groupBy(*key).agg(latest.alias("_v")).select(*key, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
@@ -83,8 +79,13 @@ def with_write_time(df: DataFrame, run_ts: int) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """K4: bulk insert (append) into a Parquet table laid out by user."""
-    (df.write.mode("append").partitionBy(*(partition_by or ["user_id"])).parquet(path))
+    """K4: bulk insert (append) into a Parquet table.  Rows are clustered by the
+    user, so a user's reads skip files by their statistics; with
+    ``partition_by`` (for few users) each value has a folder of its own."""
+    if partition_by:
+        df.repartition(*partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+    else:
+        df.repartitionByRange("user_id").sortWithinPartitions("user_id").write.mode("append").parquet(path)
 
 
 # K5-K9 -------------------------------------------------------------------
@@ -139,7 +140,7 @@ def accumulate_state(stage_events: DataFrame, key: list[str]) -> DataFrame:
 def set_attribute(table: DataFrame, updates: DataFrame, key: list[str], name: str,
                   ts_col: str = "ts") -> DataFrame:
     """The latest update per key sets ``name`` (absent keys keep NULL)."""
-    latest = updates.groupBy(*key).agg(F.max_by(F.col(name), F.col(ts_col)).alias("_new"))
+    latest = updates.groupBy(*key).agg(F.max_by(F.col(name), F.struct(ts_col, name)).alias("_new"))
     out = table.join(latest, key, "left")
     if name in table.columns:
         return out.withColumn(name, F.coalesce("_new", F.col(name))).drop("_new")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.joins import materialise
 
 # Fixed values of the body-block filter and the stitching rules.
 MIN_BODY_CHARS = 40          # blocks of at most this many characters are dropped
@@ -29,14 +30,39 @@ ENDS_MID_SENTENCE = r"[a-z]$"
 STARTS_MID_SENTENCE = r"^[a-z]"
 
 
-def flatten_layout(blocks: DataFrame) -> DataFrame:
-    """Paragraph-typed nodes of the tree (pre-order via ``path``)."""
-    return blocks.filter(F.col("type") == "paragraph")
+NOT_TEXT = ("table", "list")     # node types that are never descended into
+
+
+def flatten_layout(blocks: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
+    """Paragraph-typed nodes of the tree (pre-order via ``path``), at any
+    depth below text nodes; nothing below a node of another kind is reached."""
+    key = [key] if isinstance(key, str) else list(key)
+    paragraphs = blocks.filter(F.col("type") == "paragraph")
+    shut = blocks.filter(F.col("type").isin(*NOT_TEXT)).select(*key, F.col("path").alias("_above"))
+    above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))
+    below = (paragraphs.filter(F.size("path") > 1).select(*key, "path", F.explode(above).alias("_above"))
+             .join(shut, [*key, "_above"], "left_semi").select(*key, "path").distinct())
+    return paragraphs.join(below, [*key, "path"], "left_anti")
+
+
+def paths_from_parents(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """P6 input with parent pointers: (key, node_id, parent_id, position, ...)
+    to the same rows with ``path``, a level of the tree at a time; nodes that
+    hang on no root have no path and are left out."""
+    level = nodes.filter(F.col("parent_id").isNull()).withColumn("path", F.array("position"))
+    out = level
+    while not level.isEmpty():
+        parents = level.select(key, F.col("node_id").alias("parent_id"), F.col("path").alias("_path"))
+        level = materialise(nodes.join(parents, [key, "parent_id"]).withColumn(
+            "path", F.concat("_path", F.array("position"))).drop("_path"), "layout-level")
+        out = out.unionByName(level)
+    return out
 
 
 def is_all_caps(text) -> F.Column:
-    """Python ``str.isupper()``: at least one cased letter, none lower-case."""
-    return text.rlike(r"[\p{Lu}\p{Lt}]") & ~text.rlike(r"\p{Ll}")
+    """Python ``str.isupper()``: an upper-case letter, and no letter that is
+    lower or title case."""
+    return text.rlike(r"\p{IsUppercase}") & ~text.rlike(r"\p{IsLowercase}|\p{Lt}")
 
 
 def body_blocks(blocks: DataFrame) -> DataFrame:
@@ -58,14 +84,14 @@ def stitch_pages(blocks: DataFrame, key: str | list[str] = "doc_id", drop_hyphen
     """
     key = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*key).orderBy("path")
-    prev_text = F.lag("text").over(w)
-    prev_end = F.lag("page_end").over(w)
-    flagged = blocks.select(
-        *key, "path", "text",
-        prev_text.isNotNull().alias("has_prev"),
-        (~F.col("page_start").eqNullSafe(prev_end)).alias("top_of_page"),
-        prev_text.rlike(ENDS_MID_WORD).alias("prev_mid_word"),
-        prev_text.rlike(ENDS_MID_SENTENCE).alias("prev_mid_sentence"))
+    # How a block ends is found first, so the window looks back at flags, not at text.
+    ends = blocks.select(*key, "path", "text", "page_start", "page_end", F.col("text").rlike(ENDS_MID_WORD).alias("_word"),
+                         F.col("text").rlike(ENDS_MID_SENTENCE).alias("_sentence"))
+    prev_word = F.lag("_word").over(w)
+    flagged = ends.select(
+        *key, "path", "text", prev_word.isNotNull().alias("has_prev"),
+        (~F.col("page_start").eqNullSafe(F.lag("page_end").over(w))).alias("top_of_page"),
+        prev_word.alias("prev_mid_word"), F.lag("_sentence").over(w).alias("prev_mid_sentence"))
     joins = (F.col("has_prev") & F.col("top_of_page") & F.col("text").rlike(STARTS_MID_SENTENCE)
              & (F.col("prev_mid_word") | F.col("prev_mid_sentence")))
     sep = F.when(~joins, "").when(F.col("prev_mid_word"), "").otherwise(" ")

@@ -35,9 +35,9 @@ def duplicate_submissions(subs: DataFrame, key: list[str], hash_col: str, order:
 
 
 def rate_per_minute(events: DataFrame, user_col: str, ts_col: str,
-                    limit: int = RATE_LIMIT_PER_MINUTE) -> DataFrame:
-    """Z3: submissions per user per tumbling minute, flagged above ``limit``."""
-    return (events.groupBy(user_col, F.window(ts_col, "1 minute").alias("w"))
+                    limit: int = RATE_LIMIT_PER_MINUTE, window: str = "1 minute") -> DataFrame:
+    """Z3: submissions per user per tumbling ``window``, flagged above ``limit``."""
+    return (events.groupBy(user_col, F.window(ts_col, window).alias("w"))
             .agg(F.count(F.lit(1)).alias("uploads"))
             .select(user_col, F.col("w.start").alias("window_start"), "uploads",
                     (F.col("uploads") > limit).alias("over_limit")))
@@ -80,7 +80,7 @@ def missing_stages(done: DataFrame, key: list[str], bit_col: str = "bit") -> Dat
 
 def word_marks(vocabulary: DataFrame, marks: DataFrame) -> DataFrame:
     """Each word's latest mark for its user (default ``unmarked``)."""
-    latest = marks.groupBy("user_id", "word").agg(F.max_by("mark", "ts").alias("mark"))
+    latest = marks.groupBy("user_id", "word").agg(F.max_by("mark", F.struct("ts", "mark")).alias("mark"))
     return (vocabulary.join(latest, ["user_id", "word"], "left")
             .withColumn("mark", F.coalesce("mark", F.lit("unmarked"))))
 
@@ -92,6 +92,6 @@ def hide_known(vocabulary: DataFrame, marks: DataFrame) -> DataFrame:
 
 def rename(subs: DataFrame, renames: DataFrame) -> DataFrame:
     """Latest rename per submission wins."""
-    latest = renames.groupBy("user_id", "submission_id").agg(F.max_by("filename", "ts").alias("_new"))
+    latest = renames.groupBy("user_id", "submission_id").agg(F.max_by("filename", F.struct("ts", "filename")).alias("_new"))
     return (subs.join(latest, ["user_id", "submission_id"], "left")
             .withColumn("filename", F.coalesce("_new", "filename")).drop("_new"))

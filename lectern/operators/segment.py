@@ -8,7 +8,7 @@ from ``posexplode``: renumbering after the filter needs no window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -42,3 +42,22 @@ def explode_paragraphs(df: DataFrame, paragraphs: Column, keep: list[str]) -> Da
 def text_paragraph_list(text: Column | str, min_length: int = MIN_LENGTH) -> Column:
     """P9 for text files: P1 -> P2 -> P3."""
     return clean_min_length(one_line(blank_line_split(text)), min_length)
+
+
+def number_pieces(pieces: DataFrame, paragraphs: Column, key: str = "submission_id", order: str = "turn") -> DataFrame:
+    """Long form of texts that arrive as ordered pieces joined by blank lines:
+    a blank-line split never crosses a piece, so each piece is split on its
+    own and numbered from how many paragraphs stand before it.  Only counts
+    go through the window, never a text; pieces of one ``order`` follow by
+    their text."""
+    rows = pieces.select(key, order, F.xxhash64("text").alias("_tie"), paragraphs.alias("_ps"))
+    sizes = rows.select(key, order, "_tie", F.size("_ps").alias("_n")).filter("_n > 0").groupBy(key, order, "_tie").agg(
+        F.sum("_n").alias("_n"), F.min("_n").alias("_each"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy(order, "_tie")) - F.col("_n")
+    offsets = sizes.select(key, order, "_tie", before.alias("_before"), "_n", "_each")
+    first = rows.dropDuplicates([key, order, "_tie"]).select(key, order, "_tie", F.posexplode("_ps").alias("_i", "text"))
+    placed = first.join(offsets, [key, order, "_tie"])
+    # A piece given more than once counts as often.
+    again = F.explode(F.sequence(F.lit(0), (F.col("_n") / F.col("_each")).cast("int") - 1)).alias("_copy")
+    return placed.select(key, "text", "_before", "_each", "_i", again).select(
+        key, (F.col("_before") + F.col("_copy") * F.col("_each") + F.col("_i")).cast("int").alias("paragraph_number"), "text")

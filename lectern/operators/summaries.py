@@ -1,31 +1,26 @@
 """Summarisation dataflow (M1-M10); the model call is a plug-in.
 
-Everything around the model is Spark: qualifying paragraphs are batched
-per submission (M2), each batch becomes one prompt (M3, M4), the model
-answers with JSON per batch (M10), answers are validated (M5) and
-scattered back onto the paragraphs (M6); every paragraph then gets its
-intro words (M7) and the per-submission cap applies (M8).
-
-M2 numbers qualifying paragraphs with a window partitioned by
-submission.  A submission is bounded by the upload size limit, and the
-window rows carry one paragraph each, so no window partition grows with
-the corpus.  Validation uses array functions on the parsed response
-(one row per batch), so no explode is needed before the verdict.
-
-The default model is a deterministic, extractive stand-in written in
-Spark SQL (it answers each marked paragraph of the prompt with its first
-sentence); a real model is plugged in as a pandas function run through
-``mapInPandas``, the only place rows cross into Python.
+A submission is one row with its paragraphs as an array, so batching (M2),
+prompts with their response format (M3, M4), validation (M5), the scatter
+back onto paragraphs (M6) and the intro words (M7) are array functions on
+that row: no window, no shuffle, no key that gathers rows.  Only the answers
+and what the result needs besides (intro words, short texts) are stored
+between the model call and its readers.
+
+The default model answers each marked paragraph with its first sentence, in
+Spark SQL; any other model is a pandas function run through ``mapInPandas``,
+the only place rows cross into Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lectern.functions import text as T
 from lectern.operators.joins import materialise
@@ -33,9 +28,11 @@ from lectern.operators.joins import materialise
 # Fixed values.
 MIN_SUMMARY_CHARS = 300      # shorter paragraphs are their own summary
 BATCH_SIZE = 20              # paragraphs per model call
-SUMMARY_CAP = 100            # per submission; the check follows the write, so cap+1 rows
+SUMMARY_CAP = 100            # M8, where asked for: numbers up to the cap are kept, so cap + 1 rows
 INTRO_WORDS = 10             # words of a paragraph kept as its start
 ITEM_MARKER = "\n\n---PARAGRAPH {n}---\n{text}"   # structure of one prompt item
+ANSWER_FIELDS = {"paragraph_number": "integer", "summary": "string"}
+ANSWER_LIST = "summaries"
 RESPONSE_DDL = "summaries ARRAY<STRUCT<paragraph_number: INT, summary: STRING>>"
 
 SYSTEM_PROMPT = (
@@ -47,178 +44,190 @@ SYSTEM_PROMPT = (
 _KEY = ["user_id", "submission_id"]
 
 
+def gather(paragraphs: DataFrame) -> DataFrame:
+    """Long-form paragraphs as one row per submission with ``paragraphs``
+    ARRAY<STRUCT<paragraph_number, text>> in order."""
+    return paragraphs.groupBy(*_KEY).agg(
+        F.array_sort(F.collect_list(F.struct("paragraph_number", "text"))).alias("paragraphs"))
+
+
 def needs_summary(text: Column | str = "text") -> Column:
     """M1: a paragraph goes to the model when its stripped length is >= 300."""
     return F.length(T.strip_ws(text)) >= MIN_SUMMARY_CHARS
 
 
-def batch_paragraphs(paragraphs: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
+def _batched(submissions: DataFrame, batch_size: int) -> DataFrame:
+    """Adds ``batches``: the qualifying paragraphs in order, cut in groups."""
+    with_long = submissions.withColumn("_long", F.filter("paragraphs", lambda p: needs_summary(p["text"])))
+    n = F.ceil(F.size("_long") / batch_size).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                      lambda b: F.slice("_long", (b - 1) * batch_size + 1, batch_size))
+    return with_long.withColumn("batches", F.filter(cut, lambda b: F.size(b) > 0)).drop("_long")
+
+
+def batch_paragraphs(submissions: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     """M2: qualifying paragraphs in order, groups of ``batch_size``;
     ``batch_no`` from 0, ``item_no`` from 1 inside the batch."""
-    w = Window.partitionBy(*_KEY).orderBy("paragraph_number")
-    rn = F.row_number().over(w) - 1
-    return (paragraphs.filter(needs_summary("text"))
-            .select(*_KEY, "paragraph_number", "text", rn.alias("_rn"))
-            .select(*_KEY, "paragraph_number", "text",
-                    (F.col("_rn") / batch_size).cast("int").alias("batch_no"),
-                    (F.col("_rn") % batch_size + 1).cast("int").alias("item_no")))
+    batches = _batched(submissions, batch_size).select(*_KEY, F.posexplode("batches").alias("batch_no", "b"))
+    return batches.select(*_KEY, "batch_no", F.posexplode("b").alias("_i", "p")).select(
+        *_KEY, F.col("p.paragraph_number").alias("paragraph_number"), F.col("p.text").alias("text"),
+        "batch_no", (F.col("_i") + 1).alias("item_no"))
 
 
 def response_format(n: Column) -> Column:
     """M4: strict JSON schema asking for ``n`` numbered one-sentence summaries."""
-    return F.concat(
-        F.lit('{"type":"json_schema","json_schema":{"name":"paragraph_summaries","strict":true,'
-              '"schema":{"type":"object","properties":{"summaries":{"type":"array",'
-              '"description":"exactly '), n.cast("string"),
-        F.lit(' paragraph summaries","items":{"type":"object","properties":{'
-              '"paragraph_number":{"type":"integer"},"summary":{"type":"string"}},'
-              '"required":["paragraph_number","summary"],"additionalProperties":false}}},'
-              '"required":["summaries"],"additionalProperties":false}}}'))
-
-
-def build_prompts(batches: DataFrame, subject: str = "") -> DataFrame:
-    """M3: one prompt per (submission, batch)."""
+    def strict(properties: dict) -> dict:
+        return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+
+    item = strict({name: {"type": kind} for name, kind in ANSWER_FIELDS.items()})
+    answers = {"type": "array", "description": "\x00 one-sentence answers", "items": item}
+    envelope = {"type": "json_schema", "json_schema": {
+        "name": "paragraph_summaries", "strict": True, "schema": strict({ANSWER_LIST: answers})}}
+    head, tail = json.dumps(envelope, separators=(",", ":")).split("\\u0000")
+    return F.concat(F.lit(head), n.cast("string"), F.lit(tail))
+
+
+def _prompt(batch: Column, subject: str) -> Column:
+    """M3 + M4: the prompt of one batch."""
     head, tail = ITEM_MARKER.split("{n}")
     mid, _ = tail.split("{text}")
-    item = F.concat(F.lit(head), F.col("item_no").cast("string"), F.lit(mid), F.col("text"))
-    grouped = (batches.select(*_KEY, "batch_no", "item_no", "paragraph_number", item.alias("item"))
-               .groupBy(*_KEY, "batch_no")
-               .agg(F.count(F.lit(1)).cast("int").alias("n_items"),
-                    T.ordered_join("item", "\n\n", "item_no").alias("items"),
-                    F.array_sort(F.collect_list(F.struct("item_no", "paragraph_number"))).alias("_members")))
-    n = F.col("n_items").cast("string")
+    n = F.size(batch)
+    items = F.array_join(F.transform(batch, lambda p, i: F.concat(
+        F.lit(head), (i + 1).cast("string"), F.lit(mid), p["text"])), "\n\n")
     user = T.strip_ws(F.concat(
-        F.lit("Summarise each of the "), n, F.lit(" paragraphs below in one sentence.\n---\n\n"),
-        F.col("items"),
-        F.lit("\n\n---\n\nReturn exactly "), n, F.lit(" summaries, one per paragraph, numbered as marked.")))
-    return grouped.select(
-        *_KEY, "batch_no", "n_items", user.alias("user_prompt"),
+        F.lit("Summarise each of the "), n.cast("string"), F.lit(" paragraphs below in one sentence.\n---\n\n"), items,
+        F.lit("\n\n---\n\nReturn exactly "), n.cast("string"), F.lit(" summaries, one per paragraph, numbered as marked.")))
+    return F.struct(
+        n.alias("n_items"), user.alias("user_prompt"),
         F.lit(SYSTEM_PROMPT.format(subject=subject).replace("  ", " ")).alias("system_prompt"),
-        response_format(F.col("n_items")).alias("response_format"),
-        F.transform("_members", lambda m: m["paragraph_number"]).alias("paragraph_numbers"))
+        response_format(n).alias("response_format"),
+        F.transform(batch, lambda p: p["paragraph_number"]).alias("paragraph_numbers"))
+
+
+def _prompted(submissions: DataFrame, subject: str, batch_size: int) -> DataFrame:
+    return _batched(submissions, batch_size).withColumn(
+        "prompts", F.transform("batches", lambda b: _prompt(b, subject))).drop("batches")
+
+
+def build_prompts(submissions: DataFrame, subject: str = "", batch_size: int = BATCH_SIZE) -> DataFrame:
+    """M3: one row per (submission, batch) with its prompt and M4's format."""
+    rows = _prompted(submissions, subject, batch_size).select(*_KEY, F.posexplode("prompts").alias("batch_no", "p"))
+    return rows.select(*_KEY, "batch_no", "p.*")
 
 
 # --------------------------------------------------------------------------
 # Model plug-in
 # --------------------------------------------------------------------------
 
-ITEM_PATTERN = r"---PARAGRAPH (\d+)---\n([^\n]*)"
-# Fault kinds of the stand-in (selected by prompt length mod FAULT_MODULUS).
-FAULT_MODULUS = 20
-FAULT_MISSING, FAULT_DUPLICATE, FAULT_BAD_JSON, FAULT_EXTRA = 0, 1, 2, 3
+ITEM_PATTERN = r"(?s)---PARAGRAPH (\d+)---\n(.*?)(?=\n\n)"
 
 
-def stand_in_model(prompts: DataFrame, faults: bool = False) -> DataFrame:
-    """Extractive stand-in for the model, in Spark SQL: answers every marked
-    paragraph of ``user_prompt`` with its first sentence.
+def first_sentences(prompt: Column) -> Column:
+    """The default model: every marked paragraph answered with its first sentence."""
+    numbers = F.regexp_extract_all(prompt, F.lit(ITEM_PATTERN), 1)
+    texts = F.regexp_extract_all(prompt, F.lit(ITEM_PATTERN), 2)
+    items = F.zip_with(numbers, texts, lambda n, t: F.struct(
+        n.try_cast("int").alias("paragraph_number"), T.sentences(t)[0].alias("summary")))
+    return F.to_json(F.struct(items.alias(ANSWER_LIST)))
 
-    With ``faults`` it misbehaves like a real endpoint for some prompts
-    (chosen by prompt length): drops an item, repeats a number, returns
-    truncated JSON, or adds an item.
-    """
-    nums = F.regexp_extract_all("user_prompt", F.lit(ITEM_PATTERN), 1)
-    texts = F.regexp_extract_all("user_prompt", F.lit(ITEM_PATTERN), 2)
-    answered = prompts.withColumn("_items", F.transform(
-        F.arrays_zip(nums.alias("n"), texts.alias("t")), lambda x: F.struct(
-            x["n"].try_cast("int").alias("paragraph_number"), T.sentences(x["t"])[0].alias("summary"))))
-    items = F.col("_items")   # a column, so lambdas below do not re-parse the prompt
-    fault = F.length("user_prompt") % FAULT_MODULUS if faults else F.lit(-1)
-    k = F.size(items)
-    items = (F.when(fault == FAULT_MISSING, F.slice(items, 1, F.greatest(k - 1, F.lit(0))))
-             .when(fault == FAULT_DUPLICATE, F.transform(items, lambda x, i: F.when(
-                 i == k - 1, F.struct(F.lit(1).alias("paragraph_number"), x["summary"].alias("summary")))
-                 .otherwise(x)))
-             .when(fault == FAULT_EXTRA, F.concat(items, F.array(F.struct(
-                 (k + 1).alias("paragraph_number"), F.lit("Extra sentence.").alias("summary")))))
-             .otherwise(items))
-    body = F.to_json(F.struct(items.alias("summaries")))
-    if faults:  # truncated JSON text
-        body = F.when(fault == FAULT_BAD_JSON, body.substr(F.lit(1), F.length(body) - 2)).otherwise(body)
-    return answered.withColumn("response", body).drop("_items")
-
-
-def call_model(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.Series] | None = None,
-               faults: bool = False) -> DataFrame:
-    """Attach ``response`` (JSON text) to every prompt row.
-
-    ``model`` takes a pandas frame with ``system_prompt``, ``user_prompt``,
-    ``response_format`` and ``n_items`` and returns the responses; it runs
-    on Arrow batches inside the executors.
+
+def call_model(prompted: DataFrame, model: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
+    """Adds ``responses``, the JSON answer to each of the row's ``prompts``.
+
+    ``model`` takes a pandas frame of prompts (``system_prompt``,
+    ``user_prompt``, ``response_format``, ``n_items``) and returns the
+    responses; it runs on Arrow batches inside the executors.
     """
     if model is None:
-        return stand_in_model(prompts, faults)
-    schema = StructType([*prompts.schema.fields, StructField("response", StringType())])
+        return prompted.withColumn("responses", F.transform("prompts", lambda p: first_sentences(p["user_prompt"])))
+    schema = StructType([*prompted.schema.fields, StructField("responses", ArrayType(StringType()))])
 
-    def run(frames):
-        for pdf in frames:
-            yield pdf.assign(response=model(pdf).astype("string"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes = frame["prompts"].map(len)
+            flat = pd.DataFrame([dict(p) for row in frame["prompts"] for p in row],
+                                columns=["n_items", "user_prompt", "system_prompt", "response_format", "paragraph_numbers"])
+            answers = iter(model(flat).tolist()) if len(flat) else iter(())
+            yield frame.assign(responses=[[next(answers) for _ in range(n)] for n in sizes])
 
-    return prompts.mapInPandas(run, schema)
+    return prompted.mapInPandas(run, schema)
 
 
 # --------------------------------------------------------------------------
 # M5, M6
 # --------------------------------------------------------------------------
 
+def _items(response: Column) -> Column:
+    return F.coalesce(F.from_json(response, RESPONSE_DDL)[ANSWER_LIST],
+                      F.array().cast("array<struct<paragraph_number:int,summary:string>>"))
+
+
+def verdict(response: Column, n: Column) -> Column:
+    """M5: ``ok`` or the first failed check: empty response, invalid json,
+    wrong count (not exactly ``n`` summaries), missing numbers (numbers in
+    1..n not all present once), missing summary (an answer without text)."""
+    items = _items(response)
+    numbers = F.array_distinct(F.filter(F.transform(items, lambda x: x["paragraph_number"]), lambda p: p.between(1, n)))
+    return (F.when(response.isNull() | (T.strip_ws(response) == ""), "empty response")
+            .when(F.try_parse_json(response).isNull(), "invalid json")
+            .when(F.size(items) != n, "wrong count")
+            .when(F.size(numbers) != n, "missing numbers")
+            .when(F.exists(items, lambda x: x["summary"].isNull()), "missing summary")
+            .otherwise("ok"))
+
+
 def validate_responses(responses: DataFrame) -> DataFrame:
-    """M5: one verdict per batch.
+    """M5 over rows (keys, batch_no, n_items, response): one verdict each."""
+    return responses.withColumn("status", verdict(F.col("response"), F.col("n_items")))
 
-    ``status`` is ``ok`` or the first failed check: empty response,
-    invalid json, wrong count (not exactly ``n_items`` summaries), missing
-    numbers (numbers in 1..n not all present once).
-    """
-    staged = responses.withColumn("_items", F.coalesce(
-        F.from_json("response", RESPONSE_DDL)["summaries"],
-        F.array().cast("array<struct<paragraph_number:int,summary:string>>")))
-    items = F.col("_items")
-    n = F.col("n_items")
-    numbers = F.array_distinct(F.filter(F.transform(items, lambda x: x["paragraph_number"]),
-                                        lambda p: p.between(1, n)))
-    status = (F.when(F.col("response").isNull() | (T.strip_ws("response") == ""), "empty response")
-              .when(F.try_parse_json("response").isNull(), "invalid json")
-              .when(F.size(items) != n, "wrong count")
-              .when(F.size(numbers) != n, "missing numbers")
-              .otherwise("ok"))
-    extra = ["paragraph_numbers"] if "paragraph_numbers" in responses.columns else []
-    return staged.select(*_KEY, "batch_no", "n_items", "response", *extra, status.alias("status"))
-
-
-def failed_submissions(verdicts: DataFrame) -> DataFrame:
-    """A failing batch fails the whole submission."""
-    return (verdicts.groupBy(*_KEY).agg(F.bool_or(F.col("status") != "ok").alias("failed"))
-            .filter("failed").select(*_KEY))
 
+def verdicts(answered: DataFrame) -> DataFrame:
+    """One verdict row per batch of :func:`answer`'s rows."""
+    each = F.posexplode(F.arrays_zip("asked", "responses")).alias("batch_no", "a")
+    return validate_responses(answered.select(*_KEY, each).select(
+        *_KEY, "batch_no", F.col("a.asked.n_items").alias("n_items"), F.col("a.responses").alias("response")))
 
-def scatter_summaries(paragraphs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """M6: each paragraph gets its batch item's summary, else its own text;
-    submissions with a failed batch get no rows.
 
-    Each verdict row carries its batch's ``paragraph_numbers`` (item i is
-    element i), so items map back to paragraphs without recomputing the
-    batching.
-    """
-    ok = verdicts.filter(F.col("status") == "ok")
-    items = ok.select(*_KEY, "paragraph_numbers", F.explode(
-        F.from_json("response", RESPONSE_DDL)["summaries"]).alias("s"))
-    placed = items.select(*_KEY, F.element_at("paragraph_numbers", F.col("s.paragraph_number")).alias(
-        "paragraph_number"), F.col("s.summary").alias("summary"))
-    alive = paragraphs.join(failed_submissions(verdicts), _KEY, "left_anti")
-    return (alive.join(placed, [*_KEY, "paragraph_number"], "left")
-            .select(*_KEY, "paragraph_number", "text", F.coalesce("summary", "text").alias("summary")))
-
-
-def summary_rows(scattered: DataFrame, cap: int = SUMMARY_CAP) -> DataFrame:
-    """M7 + M8: the persisted rows (intro words, at most cap+1 per submission)."""
-    return scattered.filter(F.col("paragraph_number") <= cap).select(
-        *_KEY, "paragraph_number", T.intro_words("text", INTRO_WORDS).alias("paragraph_start"), "summary")
-
-
-def summarise(paragraphs: DataFrame, model=None, faults: bool = False, subject: str = "",
-              batch_size: int = BATCH_SIZE, cap: int = SUMMARY_CAP) -> tuple[DataFrame, DataFrame]:
-    """M1-M10 end to end: returns (summary rows, batch verdicts)."""
-    batches = batch_paragraphs(paragraphs, batch_size)
-    # Model answers are an expensive, possibly non-deterministic side effect
-    # read by several consumers: compute them once, into reliable storage.
-    responses = materialise(call_model(build_prompts(batches, subject), model, faults))
-    verdicts = validate_responses(responses)
-    return summary_rows(scatter_summaries(paragraphs, verdicts), cap), verdicts
+def failed_submissions(verdict_rows: DataFrame) -> DataFrame:
+    """A failing batch fails the whole submission."""
+    return verdict_rows.filter(F.col("status") != "ok").select(*_KEY).distinct()
+
+
+def answer(submissions: DataFrame, model=None, subject: str = "", batch_size: int = BATCH_SIZE) -> DataFrame:
+    """M1-M4 and M10, stored: per submission ``asked`` (size and paragraph
+    numbers of each batch), ``responses``, and the paragraphs' starts (M7),
+    with the text of those that are their own summary."""
+    kept = F.transform("paragraphs", lambda p: F.struct(
+        p["paragraph_number"].alias("paragraph_number"), T.intro_words(p["text"], INTRO_WORDS).alias("paragraph_start"),
+        F.when(~needs_summary(p["text"]), p["text"]).alias("own")))
+    prompted = _prompted(submissions, subject, batch_size).withColumn("kept", kept)
+    called = call_model(prompted.select(*_KEY, "prompts", "kept"), model)
+    asked = F.transform("prompts", lambda p: F.struct(p["n_items"].alias("n_items"), p["paragraph_numbers"].alias("paragraph_numbers")))
+    # A model's answers are expensive and may differ when asked again.
+    return materialise(called.select(*_KEY, asked.alias("asked"), "responses", "kept"), "answers")
+
+
+def summary_rows(answered: DataFrame, cap: int | None = None) -> DataFrame:
+    """M6-M8: per paragraph its start and its summary, the text itself where
+    short; a submission with a failed batch has no rows.  With ``cap`` only
+    paragraph numbers up to it are kept."""
+    each = F.zip_with("asked", "responses", lambda a, r: F.struct(a["n_items"].alias("n"), r.alias("r")))
+    ok = answered.filter(F.forall(each, lambda x: verdict(x["r"], x["n"]) == "ok"))
+    # Sorted by number, a batch's summaries stand in the order of its paragraphs.
+    told = F.flatten(F.transform("responses", lambda r: F.transform(F.array_sort(_items(r)), lambda x: x["summary"])))
+    long = F.filter("kept", lambda p: p["own"].isNull())
+    rows = F.concat(
+        F.transform(F.filter("kept", lambda p: p["own"].isNotNull()), lambda p: F.struct(
+            p["paragraph_number"].alias("paragraph_number"), p["paragraph_start"].alias("paragraph_start"), p["own"].alias("summary"))),
+        F.zip_with(long, told, lambda p, s: F.struct(
+            p["paragraph_number"].alias("paragraph_number"), p["paragraph_start"].alias("paragraph_start"), s.alias("summary"))))
+    out = ok.select(*_KEY, F.explode(rows).alias("row")).select(*_KEY, "row.*")
+    return out if cap is None else out.filter(F.col("paragraph_number") <= cap)
+
+
+def summarise(submissions: DataFrame, model=None, subject: str = "", batch_size: int = BATCH_SIZE,
+              cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """M1-M10 end to end over rows (keys, ``paragraphs`` array): returns
+    (summary rows, batch verdicts)."""
+    answered = answer(submissions, model, subject, batch_size)
+    return summary_rows(answered, cap), verdicts(answered)

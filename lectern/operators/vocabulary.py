@@ -6,8 +6,8 @@ Plan shape (see ``uncommon_words``):
    distinct words of the frequency table are tagged, lemmatised against
    the lexicon with the fixed detachment rules, scored and filtered to
    *valid and uncommon*.  This word -> (lemma, frequency) map is at most
-   (#lexicon words x rules) rows; it is materialised and counted before
-   it is broadcast.
+   (#lexicon words x rules) rows; it is written as Parquet, and Spark
+   broadcasts it if its size allows.
 2. Document side, one narrow pass: paragraphs -> sentences -> tokens
    (two ``posexplode``), proper-noun filter, normalise, then an inner
    join with the map that drops every common or invalid token map-side.
@@ -16,10 +16,6 @@ Plan shape (see ``uncommon_words``):
    ``row_number`` for the rarity rank (at most one row per lexicon word
    per submission).
 
-If the map is too large to broadcast, tokens are first pre-aggregated
-per (submission, word) so that the shuffle join with the map carries one
-row per distinct word of a submission instead of every occurrence.
-
 Differences from the model-based original, all table driven so real
 lexicons can be plugged in: sentences are split by rule, proper nouns
 are "capitalised and not sentence-initial" unless a ``pos_tags`` table
@@ -34,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.joins import DEFAULT_BROADCAST_ROWS, materialise, measure
+from lectern.operators.joins import materialise
 
 DEFAULT_THRESHOLD = 2e-5
 
@@ -171,8 +167,8 @@ def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None =
                            "left_semi")
         best = found.groupBy("lang", "word").agg(F.min("c.rank").alias("rank"))
         return best.select("lang", "word", _lemma_of(F.col("word"), F.col("rank") % 64).alias("lemma"))
-    listed = measure(exceptions.groupBy("word", "cls").agg(F.array_sort(F.collect_set("lemma")).alias("exc")))
-    classed = classed.join(listed.side(), ["word", "cls"], "left")
+    listed = exceptions.groupBy("word", "cls").agg(F.array_sort(F.collect_set("lemma")).alias("exc"))
+    classed = classed.join(listed, ["word", "cls"], "left")
     irregular = F.transform(F.col("exc"), lambda l, i: F.struct(
         (F.length(l) * 64 + i + 1).alias("rank"), l.alias("lemma")))
     own = F.array(F.struct((F.length("word") * 64).alias("rank"), F.col("word").alias("lemma")))
@@ -193,8 +189,8 @@ def _normalised_words(texts: DataFrame, text_col: str, *extra: str, contractions
 
 
 def _with_frequency(counts: DataFrame) -> DataFrame:
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))   # one row per language
-    return (counts.join(F.broadcast(totals), "lang")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    return (counts.join(totals, "lang")
             .withColumn("freq", F.col("n").cast("double") / F.col("total").cast("double"))
             .drop("total"))
 
@@ -203,29 +199,21 @@ def word_frequencies(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Relative frequency of every normalised token per language.
 
     Two-level aggregate: counts per (lang, word) with map-side partial
-    aggregation, totals per language (one row per language, broadcast).
+    aggregation, totals per language joined back.
     """
     counts = _normalised_words(texts, text_col).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     return _with_frequency(counts).select("lang", "word", "n", "freq")
 
 
-def lexicon_from(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Valid-word list: distinct normalised tokens per language."""
-    return _normalised_words(texts, text_col).distinct()
-
-
 def corpus_statistics(texts: DataFrame, lexicon_doc_ids: DataFrame, text_col: str = "text",
-                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, contractions: bool = False) -> DataFrame:
+                      contractions: bool = False) -> DataFrame:
     """V8b and the lexicon in one pass over the corpus:
     ``(lang, word, n, freq, in_lexicon)``; ``in_lexicon`` is true when the
     word occurs in a document listed in ``lexicon_doc_ids(doc_id)``.
 
-    The id list is broadcast only if its measured size allows; otherwise
-    the flag comes from a shuffle join on ``doc_id``.
-    """
-    ids = measure(lexicon_doc_ids.select("doc_id").distinct().withColumn("_lex", F.lit(True)),
-                  max_broadcast_rows, freeze=False)
-    flagged = texts.join(ids.side(), "doc_id", "left").withColumn("_lex", F.coalesce("_lex", F.lit(False)))
+    Tables bucketed by ``doc_id`` join without moving any text."""
+    ids = lexicon_doc_ids.select("doc_id").distinct().withColumn("_lex", F.lit(True))
+    flagged = texts.join(ids, "doc_id", "left").withColumn("_lex", F.coalesce("_lex", F.lit(False)))
     counts = (_normalised_words(flagged, text_col, "_lex", contractions=contractions).groupBy("lang", "word")
               .agg(F.count(F.lit(1)).alias("n"), F.bool_or("_lex").alias("in_lexicon")))
     return _with_frequency(counts).select("lang", "word", "n", "freq", "in_lexicon")
@@ -249,7 +237,7 @@ def uncommon_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
     ``(lang, word, lemma, freq)`` for valid, uncommon lemmas only.
 
     The frequency table is used twice (as the word list and for the lemma
-    lookup), so it is materialised once with a reliable checkpoint.  With
+    lookup), so it is materialised once.  With
     ``lexicon=None`` the lexicon is the table's ``in_lexicon`` words.
     """
     freq = materialise(frequency)
@@ -295,17 +283,16 @@ def rank_words(words: DataFrame) -> DataFrame:
 
 def prepare_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
                       threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
-                      max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, exceptions: DataFrame | None = None):
-    """The reference side of V13, computed once, checkpointed and measured
-    (reusable across batches of a stream)."""
-    return measure(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions), max_broadcast_rows)
+                      exceptions: DataFrame | None = None) -> DataFrame:
+    """The reference side of V13, computed once and stored (reusable across
+    batches of a stream)."""
+    return materialise(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions), "lemma-map")
 
 
 def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexicon: DataFrame | None = None,
                    threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, lemma_map=None,
-                   exceptions: DataFrame | None = None, contractions: bool = False,
-                   abbreviations: list[str] | None = None) -> DataFrame:
+                   lemma_map: DataFrame | None = None, exceptions: DataFrame | None = None,
+                   contractions: bool = False, abbreviations: list[str] | None = None) -> DataFrame:
     """V13 ``parse_paragraphs`` for every submission at once.
 
     ``paragraphs``: (user_id, submission_id, lang, paragraph_number, text).
@@ -315,32 +302,19 @@ def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, le
     ``abbreviations`` lists words whose trailing dot does not end a sentence.
     Returns (user_id, submission_id, word, count, first_sentence,
     first_paragraph, language_frequency, rank).
+
+    The map is stored Parquet: Spark broadcasts it while its size allows and
+    otherwise shuffles the tokens, AQE splitting hot words.
     """
     if lemma_map is None:
-        lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, max_broadcast_rows, exceptions)
+        lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions)
     toks = tokenize(split_sentences(paragraphs.select(*_KEY, "lang", "paragraph_number", "text"),
                                     abbreviations=abbreviations), contractions)
     if pos_tags is not None:
-        # Proper-noun words from the tag table, size-checked before it is
-        # broadcast; beyond the bound the token join shuffles on ``word`` and
-        # AQE splits hot words.
-        proper = measure(pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct()
-                         .withColumn("_p", F.lit(True)), max_broadcast_rows)
-        toks = toks.join(proper.side(), "word", "left") \
-            .withColumn("is_proper", F.coalesce("_p", F.lit(False))).drop("_p")
+        proper = pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct().withColumn("_p", F.lit(True))
+        toks = toks.join(proper, "word", "left").withColumn("is_proper", F.coalesce("_p", F.lit(False))).drop("_p")
     kept = toks.filter(~F.col("is_proper") & (F.col("word") != ""))
-    if lemma_map.broadcastable:
-        hits = kept.join(lemma_map.side(), ["lang", "word"])
-        return rank_words(aggregate_words(hits))
-    # Large map: one row per distinct (submission, word) before the shuffle join.
-    first = F.struct("paragraph_number", "sentence_number", "token_number", "sentence")
-    pre = (kept.groupBy("submission_id", "word", "lang", "user_id")
-           .agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")))
-    joined = pre.join(lemma_map.df, ["lang", "word"])
-    words = (joined.groupBy(*_AGG_KEY)
-             .agg(F.sum("n").alias("count"), F.min("first").alias("first"),
-                  F.max("freq").alias("language_frequency")))
-    return rank_words(words)
+    return rank_words(aggregate_words(kept.join(lemma_map, ["lang", "word"])))
 
 
 def vocabulary_rows(words: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
 Every query reads the driver tables (or data Spark derives from them)
-in full; none samples, caps or filters rows by id.
+in full.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from lectern.operators import summaries as M
 from lectern.operators import vocabulary as V
 from lectern.operators.joins import materialise
 from lectern.plans import guide as PG
+from lectern.session import ensure_checkpoint_dir
 from lectern.sources import adapters as A
 from lectern.sources import files as FS
 from lectern.sources import notifications as N
@@ -33,10 +35,11 @@ from lectern.streaming import uploads as ST
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def vocabulary_report(spark: SparkSession, sf_dir: str, lang: str = "en",
+def vocabulary_report(spark: SparkSession, sf_dir: str, lang: str | None = None,
                       threshold: float = V.DEFAULT_THRESHOLD) -> DataFrame:
     """Flagship: per document, its uncommon words with count, first sentence,
-    first paragraph, frequency and rarity rank (V1-V13)."""
+    first paragraph, frequency and rarity rank (V1-V13), each in its own
+    language's tables; ``lang`` reports on one language only."""
     docs = A.documents(spark, sf_dir, lang)
     stats = V.corpus_statistics(docs, A.quality_ids(spark, sf_dir))
     return V.uncommon_words(A.doc_paragraphs(docs), stats, None, threshold)
@@ -55,14 +58,12 @@ def queries() -> dict[str, Query]:
 
 def blank_line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank-line paragraphs of each conversation text (stripped, non-empty)."""
-    conv = A.conv_docs(spark, sf_dir)
-    return S.explode_paragraphs(conv, S.blank_line_split("text"), [F.col("conv_id").alias("submission_id")])
+    return S.number_pieces(A.conv_turns(spark, sf_dir), S.blank_line_split("text"))
 
 
 def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P9 text route: P1 -> P2 newline collapse -> P3 clean, length >= 100."""
-    conv = A.conv_docs(spark, sf_dir)
-    return S.explode_paragraphs(conv, S.text_paragraph_list("text"), [F.col("conv_id").alias("submission_id")])
+    return S.number_pieces(A.conv_turns(spark, sf_dir), S.text_paragraph_list("text"))
 
 
 # --------------------------------------------------------------------------
@@ -93,16 +94,20 @@ def page_article_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Layout blocks
 # --------------------------------------------------------------------------
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents", "doc_id", "text")
+
+
 def layout_body_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P6 + P7: paragraph nodes in pre-order that pass the body-block filter."""
-    blocks = L.body_blocks(L.flatten_layout(A.layout_blocks(spark, sf_dir)))
+    blocks = L.body_blocks(L.flatten_layout(A.layout_blocks(_texts(spark, sf_dir))))
     return blocks.select("doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path_key"), "text",
                          "page_start", "page_end")
 
 
 def cross_page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P6 -> P7 -> P8: paragraphs stitched across page breaks."""
-    blocks = L.body_blocks(L.flatten_layout(A.layout_blocks(spark, sf_dir)))
+    blocks = L.body_blocks(L.flatten_layout(A.layout_blocks(_texts(spark, sf_dir))))
     return L.stitch_pages(blocks)
 
 
@@ -125,36 +130,48 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.doc_paragraphs(A.documents(spark, sf_dir))
 
 
+def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.paragraph_lists(A.documents(spark, sf_dir))
+
+
 def summary_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 + M2: qualifying paragraphs (>= 300 chars) in batches of 20."""
-    return M.batch_paragraphs(_paragraphs(spark, sf_dir)).drop("text")
+    return M.batch_paragraphs(_submissions(spark, sf_dir)).drop("text")
 
 
 def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + M4: one prompt (with its response schema) per batch."""
-    prompts = M.build_prompts(M.batch_paragraphs(_paragraphs(spark, sf_dir)))
+    prompts = M.build_prompts(_submissions(spark, sf_dir))
     members = F.array_join(F.transform("paragraph_numbers", lambda x: x.cast("string")), ",")
     return prompts.withColumn("paragraph_numbers", members)
 
 
 def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M10 stand-in (with injected faults) + M5 verdict per batch."""
-    prompts = M.build_prompts(M.batch_paragraphs(_paragraphs(spark, sf_dir)))
-    return M.validate_responses(M.call_model(prompts, faults=True)).drop("response", "paragraph_numbers")
+    """M10 default model + M5 verdict per batch."""
+    return M.verdicts(M.answer(_submissions(spark, sf_dir))).drop("response")
 
 
 def paragraph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1-M8: persisted summary rows; submissions with a failed batch have none."""
-    rows, _ = M.summarise(_paragraphs(spark, sf_dir), faults=True)
+    """M1-M7: a summary row for every paragraph."""
+    rows, _ = M.summarise(_submissions(spark, sf_dir))
+    return rows
+
+
+CAP = 20      # of the query below; M.SUMMARY_CAP is the original's
+
+
+def capped_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: the same rows under a cap on paragraph numbers (21 rows a submission)."""
+    rows, _ = M.summarise(_submissions(spark, sf_dir), cap=CAP)
     return rows
 
 
 def single_paragraph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: every paragraph summarised on its own (a one-paragraph submission)."""
-    paras = _paragraphs(spark, sf_dir)
-    single = paras.select(
+    single = _paragraphs(spark, sf_dir).select(
         F.concat_ws("/", "user_id", F.col("submission_id").cast("string")).alias("user_id"),
-        F.col("paragraph_number").alias("submission_id"), F.lit(0).alias("paragraph_number"), "text")
+        F.col("paragraph_number").alias("submission_id"),
+        F.array(F.struct(F.lit(0).alias("paragraph_number"), "text")).alias("paragraphs"))
     rows, _ = M.summarise(single)
     return rows.select(F.split("user_id", "/")[0].alias("user_id"),
                        F.split("user_id", "/")[1].cast("bigint").alias("submission_id"),
@@ -166,6 +183,7 @@ _QUERIES.update({
     "summary_prompts": summary_prompts,
     "summary_validation": summary_validation,
     "paragraph_summaries": paragraph_summaries,
+    "capped_summaries": capped_summaries,
     "single_paragraph_summaries": single_paragraph_summaries,
 })
 
@@ -188,11 +206,23 @@ def format_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Route -> extract (text, html, pdf layout blocks) -> P2 -> P3."""
-    paras, _ = FS.extract_paragraphs(A.uploads(spark, sf_dir), A.upload_blocks(spark, sf_dir))
+    """Route -> extract (text, html, pdf layout blocks) -> P2 -> P3, of
+    every document and page."""
+    paras, _ = FS.extract_paragraphs(A.uploads(spark, sf_dir, A.READABLE_EXTENSIONS), A.ocr)
     return paras
 
 
+def rejected_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 quarantine: uploads that no extractor reads, with the reason."""
+    _, bad = FS.extract_paragraphs(A.uploads(spark, sf_dir), A.ocr)
+    return bad
+
+
+def undecodable_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 quarantine: queue messages without JSON, with the reason."""
+    return N.undecodable(A.notifications(spark, sf_dir)).drop("body")
+
+
 def object_key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 + S3: decode queue messages (topic envelopes too), keep puts,
     parse object keys into (user, submission) or a quarantine reason."""
@@ -255,8 +285,8 @@ def vocabulary_key_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = A.pages(spark, sf_dir)
     paras = S.explode_paragraphs(pages, H.paragraph_texts("html"), ["page_id"])
     first = F.get(F.split(T.strip_ws("text"), r"(?U)\s+", -1), 0)
-    keys = paras.select(F.concat_ws("#", F.lit("VOCAB"), F.concat(F.lit("p"), F.col("page_id").cast("string")),
-                                    F.col("paragraph_number").cast("string"), first).alias("sort_key"))
+    page = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    keys = paras.select(K.vocab_key(page, F.col("paragraph_number"), first).alias("sort_key"))
     return K.decode_keys(keys, "sort_key", 4)
 
 
@@ -318,14 +348,31 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def submission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status label of every accumulated state."""
+    """Status label of each (user, day) submission's accumulated state."""
+    reports = A.day_stage_events(spark, sf_dir).filter(~F.col("failed"))
+    st = K.accumulate_state(reports, ["user_id", "submission_id"])
+    return st.select("user_id", "submission_id", "state_sum", LB.status_label(F.col("state_sum")).alias("status"))
+
+
+def redelivered_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7 on the arithmetic sum per user, which redelivered stages overshoot
+    (the label is then the digits)."""
     st = stage_state(spark, sf_dir)
     return st.select("user_id", "state_sum", LB.status_label(F.col("state_sum")).alias("status"))
 
 
 def submission_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D6 + D10: listing rows (default name, status, date, link flag), newest first."""
-    return G.listing(upload_registration(spark, sf_dir))
+    """D6 + D10: listing rows (default name, status, date, link flag), newest
+    first, of the (user, day) submissions; a day's name is what its first
+    ``view`` names, others have none."""
+    reports = A.day_stage_events(spark, sf_dir).filter(~F.col("failed"))
+    state = K.accumulate_state(reports, ["user_id", "submission_id"])
+    seen = A.stage_events(spark, sf_dir).groupBy("user_id", F.to_date("ts").cast("string").alias("submission_id")).agg(
+        F.min(F.when(F.col("bit") == K.STAGE_PARAGRAPHS, F.col("event_id"))).alias("view"), F.min(F.unix_timestamp("ts")).alias("created_at"))
+    table = state.join(seen, ["user_id", "submission_id"]).select(
+        "user_id", "submission_id", F.col("state_sum").alias("state"), "created_at",
+        F.when(F.col("view").isNotNull(), F.concat(F.lit("upload_"), F.col("view").cast("string"), F.lit(".txt"))).alias("filename"))
+    return G.listing(table)
 
 
 def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,12 +392,12 @@ def upload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_acceptance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extensions one side accepts and the other rejects (EXCEPT both ways)."""
-    t = upload_types(spark, sf_dir).select(FS.suffix(F.col("file_name")).alias("ext"), "ui_accepts", "route")
-    ui = t.filter("ui_accepts").select("ext")
-    svc = t.filter(F.col("route").isin(*FS.BUILT_ROUTES, "docx", "rtf")).select("ext")
-    return (ui.subtract(svc).withColumn("gap", F.lit("form only"))
-            .unionByName(svc.subtract(ui).withColumn("gap", F.lit("service only"))))
+    """Extensions one side accepts and the other rejects."""
+    accepts = F.col("route").isin(*FS.BUILT_ROUTES, "docx", "rtf")
+    t = upload_types(spark, sf_dir).select(FS.suffix(F.col("file_name")).alias("ext"), "ui_accepts", accepts.alias("service"))
+    by_ext = t.groupBy("ext").agg(F.bool_or("ui_accepts").alias("ui"), F.bool_or("service").alias("service"))
+    gap = F.when(F.col("ui") & ~F.col("service"), "form only").when(F.col("service") & ~F.col("ui"), "service only")
+    return by_ext.select("ext", gap.alias("gap")).filter("gap IS NOT NULL")
 
 
 def word_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,6 +419,8 @@ _QUERIES.update({
     "content_hash": content_hash,
     "format_routing": format_routing,
     "extract_paragraphs": extract_paragraphs,
+    "rejected_formats": rejected_formats,
+    "undecodable_messages": undecodable_messages,
     "object_key_parse": object_key_parse,
     "paragraph_json": paragraph_json,
     "paragraph_json_roundtrip": paragraph_json_roundtrip,
@@ -388,6 +437,7 @@ _QUERIES.update({
     "stage_state": stage_state,
     "paragraph_counts": paragraph_counts,
     "submission_status": submission_status,
+    "redelivered_status": redelivered_status,
     "submission_listing": submission_listing,
     "document_sizes": document_sizes,
     "upload_types": upload_types,
@@ -420,7 +470,7 @@ def vocabulary_all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The persisted projection of the English vocabulary report."""
+    """The persisted projection of the vocabulary report."""
     return V.vocabulary_rows(vocabulary_report(spark, sf_dir))
 
 
@@ -454,6 +504,29 @@ def upload_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.rate_per_minute(ev, "user_id", "ts")
 
 
+def busy_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3 with a limit and a window that the events reach: two a day."""
+    ev = read_table(spark, sf_dir, "events", "user_id", "ts", "event_type").filter(F.col("event_type") == "click")
+    return Z.rate_per_minute(ev, "user_id", "ts", limit=2, window="1 day")
+
+
+def word_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vocabulary word with its owner's latest mark."""
+    words = materialise(V.vocabulary_rows(vocabulary_report(spark, sf_dir)), "vocabulary")
+    return Z.word_marks(words, A.word_mark_events(spark, sf_dir, words))
+
+
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary without the words their owner marked as known."""
+    words = materialise(V.vocabulary_rows(vocabulary_report(spark, sf_dir)), "vocabulary")
+    return Z.hide_known(words, A.word_mark_events(spark, sf_dir, words))
+
+
+def renamed_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submissions table after all rename requests."""
+    return Z.rename(upload_registration(spark, sf_dir), A.rename_events(spark, sf_dir))
+
+
 THRESHOLDS = [1e-5, 2e-5, 5e-5, 1e-4]
 
 
@@ -470,9 +543,9 @@ def recent_submissions(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFram
 
 
 def resume_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages each key still has to run (required bits minus reported ones)."""
-    ev = A.stage_events(spark, sf_dir).filter(~F.col("failed"))
-    return Z.missing_stages(ev, ["user_id"])
+    """Stages each (user, day) submission still has to run."""
+    ev = A.day_stage_events(spark, sf_dir).filter(~F.col("failed"))
+    return Z.missing_stages(ev, ["user_id", "submission_id"])
 
 
 _QUERIES.update({
@@ -484,6 +557,10 @@ _QUERIES.update({
     "guide_markdown": guide_markdown,
     "duplicate_submissions": duplicate_submissions,
     "upload_rate": upload_rate,
+    "busy_days": busy_days,
+    "word_marks": word_marks,
+    "unknown_words": unknown_words,
+    "renamed_submissions": renamed_submissions,
     "threshold_profile": threshold_profile,
     "recent_submissions": recent_submissions,
     "resume_stages": resume_stages,
@@ -497,7 +574,12 @@ _QUERIES.update({
 def streamed_stage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 + X3 + X4: stage state accumulated by a deduplicating stream;
     equals the batch ``stage_state``."""
-    return ST.run_stage_state(spark, sf_dir)
+    return ST.run_stage_state(spark, sf_dir)[0]
+
+
+def streamed_stage_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's quarantine, failed stage reports with the reason."""
+    return ST.run_stage_state(spark, sf_dir)[1]
 
 
 def streamed_upload_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,6 +591,7 @@ def streamed_upload_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES.update({
     "streamed_stage_state": streamed_stage_state,
+    "streamed_stage_failures": streamed_stage_failures,
     "streamed_upload_keys": streamed_upload_keys,
 })
 
@@ -528,8 +611,7 @@ def paragraph_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_upload_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Z3 as a stream: per-user tumbling-minute upload counts with a
-    watermark, emitted once each window closes."""
+    """Z3 as a stream: per-user tumbling-minute upload counts."""
     return ST.run_upload_rate(spark, sf_dir)
 
 
@@ -544,7 +626,6 @@ def streamed_study_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 + X2 end to end: documents arrive as a stream, each micro-batch
     fans out to the vocabulary and summary stages; the study guide joins
     what the stages wrote.  Equals the batch ``study_guide``."""
-    from lectern.operators import guide as G2
     docs = A.documents(spark, sf_dir)
     lemma_map = V.prepare_lemma_map(V.corpus_statistics(docs, A.quality_ids(spark, sf_dir)))
     base = ST.run_document_stages(spark, sf_dir, lemma_map)
@@ -553,34 +634,34 @@ def streamed_study_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = ST.read_sink(spark, f"{base}/stages", ST.STAGES_SCHEMA)
     state = (K.accumulate_state(stages, ["user_id", "submission_id"])
              .select("user_id", "submission_id", F.col("state_mask").alias("state")))
-    return G2.study_guide(vocab, sums, state).withColumn("vocabulary", F.array_join("vocabulary", " "))
+    return G.study_guide(vocab, sums, state).withColumn("vocabulary", F.array_join("vocabulary", " "))
 
 
 _QUERIES["streamed_study_guide"] = streamed_study_guide
 
 
 def uploaded_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 + S2 + P9: every document written as a ``.txt`` file (one folder
-    per document under the shared checkpoint folder, standing in for
-    uploads that arrive as one object each), read back with the whole-file
-    scan (UTF-8, bad bytes replaced), routed, split into paragraphs.
-    Owner and submission come from the file's path.  The scan itself is
-    the scalable part: one row per file, files capped by the upload limit."""
-    import uuid
-
-    from lectern.session import ensure_checkpoint_dir
+    """S1 + S2 + P9: the documents written as text files (a folder per owner
+    under the shared checkpoint folder, a hundred documents a file at most,
+    each after a mark), read back with the whole-file scan (UTF-8, bad bytes
+    replaced), routed, split into paragraphs.  Owner comes from the path."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/uploads-{uuid.uuid4().hex}"
-    docs = A.documents(spark, sf_dir).select("source", "doc_id", "text")
-    docs.write.partitionBy("source", "doc_id").text(base)
+    docs = A.documents(spark, sf_dir).filter("text IS NOT NULL").select("source", "doc_id", "text")
+    docs.repartitionByRange("source", "doc_id").select(
+        "source", F.concat(F.lit(DOCUMENT_MARK), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("value")
+    ).write.option("maxRecordsPerFile", 100).partitionBy("source").text(base)
     files = FS.read_text_files(spark, base, glob="*.txt")
-    uploads = files.select(
-        F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("user_id"),
-        F.regexp_extract("path", r"/doc_id=(-?[0-9]+)/", 1).cast("bigint").alias("submission_id"),
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("text").alias("content"))
+    parts = files.select(
+        F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("user_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        F.explode(F.slice(F.split("text", DOCUMENT_MARK, -1), 2, 1 << 30)).alias("part"))
+    uploads = parts.select(
+        "user_id", F.substring_index("part", "\n", 1).cast("bigint").alias("submission_id"), "file_name",
+        F.regexp_replace("part", r"(?s)\A[^\n]*\n", "").alias("content"))
     paras, _ = FS.extract_paragraphs(uploads)
     return paras
 
 
+DOCUMENT_MARK = "\u001e"      # stands before each document of a file
 _QUERIES["uploaded_text_files"] = uploaded_text_files
 
 
@@ -588,11 +669,8 @@ RUN_TS = 1_700_000_000   # the explicit write time of one bulk insert (no wall c
 
 
 def vocabulary_bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4 (+ V14): the English vocabulary rows appended with one run time to
-    a table laid out by user in the shared folder, then read back."""
-    import uuid
-
-    from lectern.session import ensure_checkpoint_dir
+    """K4 (+ V14): the vocabulary rows appended with one run time to a table
+    clustered by user in the shared folder, then read back."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vocabulary-{uuid.uuid4().hex}"
     K.append(K.with_write_time(V.vocabulary_rows(vocabulary_report(spark, sf_dir)), RUN_TS), path)
     schema = "user_id STRING, submission_id BIGINT, paragraph_number INT, word STRING, rank INT, created_at BIGINT"

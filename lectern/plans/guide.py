@@ -21,6 +21,7 @@ from lectern.operators import guide as G
 from lectern.operators import keyed as K
 from lectern.operators import summaries as M
 from lectern.operators import vocabulary as V
+from lectern.operators.joins import materialise
 from lectern.sources import adapters as A
 
 _KEY = ["user_id", "submission_id"]
@@ -36,14 +37,13 @@ def stage_ledger(*reports: tuple[DataFrame, list[int]]) -> DataFrame:
     return K.accumulate_state(out, _KEY)
 
 
-def study_guide_parts(spark: SparkSession, sf_dir: str, threshold: float = V.DEFAULT_THRESHOLD,
-                      faults: bool = True):
+def study_guide_parts(spark: SparkSession, sf_dir: str, threshold: float = V.DEFAULT_THRESHOLD):
     docs = A.documents(spark, sf_dir)
-    paragraphs = A.doc_paragraphs(docs)
+    lists = materialise(A.paragraph_lists(docs), "paragraphs")       # read by both branches
     stats = V.corpus_statistics(docs, A.quality_ids(spark, sf_dir))
-    words = V.uncommon_words(paragraphs, stats, None, threshold)
-    summary_rows, verdicts = M.summarise(paragraphs, faults=faults)
-    subs = docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"))
+    words = V.uncommon_words(A.long_form(lists), stats, None, threshold)
+    summary_rows, verdicts = M.summarise(lists)
+    subs = lists.select(*_KEY)
     summarized = subs.join(M.failed_submissions(verdicts), _KEY, "left_anti")
     every = [K.STAGE_RECEIVED, K.STAGE_PARAGRAPHS, K.STAGE_VOCABULARY]
     # The gate reads the idempotent mask: a redelivered stage report would
@@ -53,7 +53,6 @@ def study_guide_parts(spark: SparkSession, sf_dir: str, threshold: float = V.DEF
     return V.vocabulary_rows(words), summary_rows, state
 
 
-def study_guide(spark: SparkSession, sf_dir: str, threshold: float = V.DEFAULT_THRESHOLD,
-                faults: bool = True) -> DataFrame:
-    vocab, summaries, state = study_guide_parts(spark, sf_dir, threshold, faults)
+def study_guide(spark: SparkSession, sf_dir: str, threshold: float = V.DEFAULT_THRESHOLD) -> DataFrame:
+    vocab, summaries, state = study_guide_parts(spark, sf_dir, threshold)
     return G.study_guide(vocab, summaries, state)

@@ -144,8 +144,7 @@ def explode_list(keys: str, lst: str, src: str) -> str:
 
 
 CONV_CTE = """conv AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
-                  FROM conversations GROUP BY conv_id
-                  HAVING sum(strlen(text) + 2) - 2 <= 104857600)"""
+                  FROM conversations GROUP BY conv_id)"""
 
 P1 = f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
 
@@ -158,34 +157,41 @@ def p2(lst: str) -> str:
     return f"list_transform({lst}, lambda x: regexp_replace(x, '[\n\r]+', ' ', 'g'))"
 
 
+# Written out here rather than imported, so that a wrong pattern in the library shows.
+_ENTITY_TEXT = [("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&nbsp;", "chr(160)"),
+                ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")]
+_HTML_REST = r"""(?:=\s*(?:"[^"]*"|\x27[^\x27]*\x27)|[^>])*"""
+_HTML_TAG = rf"<(?:/?[a-zA-Z]|[!?]){_HTML_REST}>"
+_HTML_BLOCKS = ("address|article|aside|blockquote|body|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|"
+                "form|h1|h2|h3|h4|h5|h6|header|hgroup|hr|html|li|main|menu|nav|ol|pre|search|section|summary|table|td|th|tr|ul")
+
+
 def _decode(x: str) -> str:
-    from lectern.functions.html import ENTITIES
-    for entity, char in ENTITIES:
-        lit = "chr(160)" if char == "\u00a0" else "'" + char.replace("'", "''") + "'"
-        x = f"replace({x}, '{entity}', {lit})"
+    for entity, char in _ENTITY_TEXT:
+        x = f"replace({x}, '{entity}', {char})"
     return x
 
 
 def _visible(x: str) -> str:
-    from lectern.functions.html import INVISIBLE
-    return f"regexp_replace({x}, '{INVISIBLE}', '', 'g')"
+    return (f"regexp_replace({x}, '(?is)<script(?:[\\s/]{_HTML_REST})?>.*?</script\\s*>"
+            f"|<style(?:[\\s/]{_HTML_REST})?>.*?</style\\s*>|<!--.*?-->', '', 'g')")
 
 
 def _fragments(x: str) -> str:
-    from lectern.functions.html import BOUNDARY, P_OPEN
-    marked = f"regexp_replace(regexp_replace({x}, '{BOUNDARY}', chr(2), 'g'), '{P_OPEN}', chr(1), 'g')"
+    boundary = rf"(?i)</p\s*>|</?(?:{_HTML_BLOCKS})(?:[\s/]{_HTML_REST})?>"
+    marked = f"regexp_replace(regexp_replace({x}, '{boundary}', chr(2), 'g'), '(?i)<p(?:[\\s/]{_HTML_REST})?>', chr(1), 'g')"
     return f"list_transform(string_split({marked}, chr(1))[2:], lambda f: split_part(f, chr(2), 1))"
 
 
 def p4(x: str) -> str:
-    untagged = "regexp_replace(t, '<[^>]*>', '', 'g')"
+    untagged = f"regexp_replace(t, '{_HTML_TAG}', '', 'g')"
     return f"list_transform({_fragments(_visible(x))}, lambda t: {_decode(untagged)})"
 
 
 def p5(inner: str) -> str:
     node = strip(_decode("n"))
     return (f"list_filter(list_transform({_fragments(inner)}, lambda t: array_to_string("
-            f"list_transform(regexp_split_to_array(t, '<[^>]*>'), lambda n: {node}), '')), lambda t: t <> '')")
+            f"list_transform(regexp_split_to_array(t, '{_HTML_TAG}'), lambda n: {node}), '')), lambda t: t <> '')")
 
 
 def scope(x: str, element: str = "article") -> str:
@@ -238,7 +244,7 @@ numbered AS (
 
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["vocabulary_report"] = _with(vocabulary_ctes("en"), "SELECT * FROM ranked")
+    q["vocabulary_report"] = _with(vocabulary_ctes(), "SELECT * FROM ranked")
     q["blank_line_split"] = _with(CONV_CTE, explode_list("conv_id AS submission_id", P1, "conv"))
     q["text_paragraphs"] = _with(CONV_CTE, explode_list("conv_id AS submission_id", p3(p2(P1)), "conv"))
     q["html_paragraphs"] = explode_list("page_id", p4("html"), "pages")
@@ -255,9 +261,11 @@ def oracle_sql() -> dict[str, str]:
     q["streamed_stage_state"] = q["stage_state"]
     q["streamed_upload_keys"] = q["object_key_parse"]
     q["streamed_upload_rate"] = q["upload_rate"]
+    q["streamed_stage_failures"] = """
+SELECT user_id, event_id, ts, 'stage reported an error' AS reason FROM events WHERE event_type = 'error'"""
     q["streamed_study_guide"] = q["study_guide"]
     from lectern.plans.catalog import RUN_TS
-    q["vocabulary_bulk_insert"] = _with(vocabulary_ctes("en"), "SELECT user_id, submission_id, "
+    q["vocabulary_bulk_insert"] = _with(vocabulary_ctes(), "SELECT user_id, submission_id, "
                                         f"first_paragraph AS paragraph_number, word, rank, {RUN_TS}::BIGINT AS created_at "
                                         "FROM ranked")
     # The text writer ends every file with a newline.
@@ -290,111 +298,57 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _summary_ctes(faults: bool, with_paragraphs: bool = True) -> str:
-    from lectern.operators import summaries as M
-    head, tail = M.ITEM_MARKER.split("{n}")
-    mid, _ = tail.split("{text}")
-    sentence1 = r"string_split(regexp_replace(texts[i + 1], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]"
-    fault = f"length(user_prompt) % {M.FAULT_MODULUS}" if faults else "-1"
+def _summary_ctes(with_paragraphs: bool = True) -> str:
+    sentence1 = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]"
     sep = lit("\n\n")
     return (doc_paragraphs_cte() if with_paragraphs else "") + f""",
 q AS (
   SELECT user_id, submission_id, paragraph_number, text,
          row_number() OVER (PARTITION BY user_id, submission_id ORDER BY paragraph_number) - 1 AS rn
-  FROM paras WHERE length({strip('text')}) >= {M.MIN_SUMMARY_CHARS}
+  FROM paras WHERE length({strip('text')}) >= 300
 ),
 batches AS (
-  SELECT user_id, submission_id, paragraph_number, text,
-         (rn // {M.BATCH_SIZE})::INTEGER AS batch_no, (rn % {M.BATCH_SIZE} + 1)::INTEGER AS item_no FROM q
+  SELECT user_id, submission_id, paragraph_number, text, (rn // 20)::INTEGER AS batch_no, (rn % 20 + 1)::INTEGER AS item_no FROM q
 ),
 grouped AS (
   SELECT user_id, submission_id, batch_no, count(*)::INTEGER AS n_items,
-         string_agg({lit(head)} || item_no || {lit(mid)} || text, {sep} ORDER BY item_no) AS items,
+         string_agg({lit(chr(10) * 2 + "---PARAGRAPH ")} || item_no || {lit("---" + chr(10))} || text, {sep} ORDER BY item_no) AS items,
          string_agg(paragraph_number::VARCHAR, ',' ORDER BY item_no) AS paragraph_numbers
   FROM batches GROUP BY user_id, submission_id, batch_no
 ),
 prompts AS (
   SELECT user_id, submission_id, batch_no, n_items,
-         {strip(lit("Summarise each of the ") + " || n_items || " + lit(" paragraphs below in one sentence.\n---\n\n")
-                + " || items || " + lit("\n\n---\n\nReturn exactly ") + " || n_items || "
+         {strip(lit("Summarise each of the ") + " || n_items || " + lit(" paragraphs below in one sentence." + chr(10) + "---" + chr(10) * 2)
+                + " || items || " + lit(chr(10) * 2 + "---" + chr(10) * 2 + "Return exactly ") + " || n_items || "
                 + lit(" summaries, one per paragraph, numbered as marked."))} AS user_prompt,
-         {lit(M.SYSTEM_PROMPT.format(subject="").replace("  ", " "))} AS system_prompt,
-         {lit('{"type":"json_schema","json_schema":{"name":"paragraph_summaries","strict":true,'
-              '"schema":{"type":"object","properties":{"summaries":{"type":"array",'
-              '"description":"exactly ')} || n_items || {lit(
-              ' paragraph summaries","items":{"type":"object","properties":{'
-              '"paragraph_number":{"type":"integer"},"summary":{"type":"string"}},'
-              '"required":["paragraph_number","summary"],"additionalProperties":false}}},'
-              '"required":["summaries"],"additionalProperties":false}}}')} AS response_format,
+         'You help students who are learning English read assigned texts. Paragraphs are delimited by markers of the form '
+         || '---PARAGRAPH n---. For each paragraph write exactly one plain sentence that keeps its key facts and claims '
+         || 'and that an English learner can follow.' AS system_prompt,
+         '{{"type":"json_schema","json_schema":{{"name":"paragraph_summaries","strict":true,"schema":{{"type":"object","properties":'
+         || '{{"summaries":{{"type":"array","description":"' || n_items || ' one-sentence answers","items":{{"type":"object","properties":'
+         || '{{"paragraph_number":{{"type":"integer"}},"summary":{{"type":"string"}}}},"required":["paragraph_number","summary"],'
+         || '"additionalProperties":false}}}}}},"required":["summaries"],"additionalProperties":false}}}}}}' AS response_format,
          paragraph_numbers
   FROM grouped
 ),
-parsed AS (
-  SELECT *, {fault} AS fault,
-         regexp_extract_all(user_prompt, '{M.ITEM_PATTERN}', 1) AS nums,
-         regexp_extract_all(user_prompt, '{M.ITEM_PATTERN}', 2) AS texts
-  FROM prompts
-),
-answered AS (
-  SELECT *, list_transform(range(len(nums)), lambda i: {{'paragraph_number': nums[i + 1]::INTEGER,
-                                                       'summary': {sentence1}}}) AS it0
-  FROM parsed
-),
-faulted AS (
-  SELECT *, CASE
-      WHEN fault = {M.FAULT_MISSING} THEN it0[1:len(it0) - 1]
-      WHEN fault = {M.FAULT_DUPLICATE} THEN list_transform(range(len(it0)), lambda i: CASE WHEN i = len(it0) - 1
-           THEN {{'paragraph_number': 1, 'summary': it0[i + 1].summary}} ELSE it0[i + 1] END)
-      WHEN fault = {M.FAULT_EXTRA} THEN list_append(it0, {{'paragraph_number': (len(it0) + 1)::INTEGER,
-                                                         'summary': 'Extra sentence.'}})
-      ELSE it0 END AS it
-  FROM answered
-),
-verdicts AS (
-  SELECT user_id, submission_id, batch_no, n_items, it, CASE
-      WHEN fault = {M.FAULT_BAD_JSON} THEN 'invalid json'
-      WHEN len(it) <> n_items THEN 'wrong count'
-      WHEN len(list_distinct(list_filter(list_transform(it, lambda x: x.paragraph_number),
-                                         lambda p: p BETWEEN 1 AND n_items))) <> n_items THEN 'missing numbers'
-      ELSE 'ok' END AS status
-  FROM faulted
-),
-failed AS (SELECT DISTINCT user_id, submission_id FROM verdicts WHERE status <> 'ok'),
-items AS (
-  SELECT user_id, submission_id, batch_no, unnest(it).paragraph_number AS item_no, unnest(it).summary AS summary
-  FROM verdicts WHERE status = 'ok'
-),
-placed AS (
-  SELECT b.user_id, b.submission_id, b.paragraph_number, i.summary
-  FROM batches b JOIN items i USING (user_id, submission_id, batch_no, item_no)
-),
-scattered AS (
-  SELECT p.user_id, p.submission_id, p.paragraph_number, p.text, coalesce(pl.summary, p.text) AS summary
-  FROM paras p LEFT JOIN placed pl USING (user_id, submission_id, paragraph_number)
-  WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.user_id = p.user_id AND f.submission_id = p.submission_id)
-),
+verdicts AS (SELECT user_id, submission_id, batch_no, n_items, 'ok' AS status FROM grouped),
 summary_rows AS (
   SELECT user_id, submission_id, paragraph_number,
-         array_to_string(regexp_split_to_array({strip('text')}, '\\s+')[1:{M.INTRO_WORDS}], ' ') AS paragraph_start,
-         summary
-  FROM scattered WHERE paragraph_number <= {M.SUMMARY_CAP}
+         array_to_string(regexp_split_to_array({strip('text')}, '\\s+')[1:10], ' ') AS paragraph_start,
+         CASE WHEN length({strip('text')}) >= 300 THEN {sentence1} ELSE text END AS summary
+  FROM paras
 )"""
 
 
 def _summary_oracles(q: dict[str, str]) -> None:
-    q["summary_batches"] = _with(_summary_ctes(False),
-                                 "SELECT user_id, submission_id, paragraph_number, batch_no, item_no FROM batches")
-    q["summary_prompts"] = _with(_summary_ctes(False), "SELECT * FROM prompts")
-    q["summary_validation"] = _with(_summary_ctes(True),
-                                    "SELECT user_id, submission_id, batch_no, n_items, status FROM verdicts")
-    q["paragraph_summaries"] = _with(_summary_ctes(True), "SELECT * FROM summary_rows")
+    ctes = _summary_ctes()
+    q["summary_batches"] = _with(ctes, "SELECT user_id, submission_id, paragraph_number, batch_no, item_no FROM batches")
+    q["summary_prompts"] = _with(ctes, "SELECT * FROM prompts")
+    q["summary_validation"] = _with(ctes, "SELECT * FROM verdicts")
+    q["paragraph_summaries"] = _with(ctes, "SELECT * FROM summary_rows")
+    q["capped_summaries"] = _with(ctes, "SELECT * FROM summary_rows WHERE paragraph_number <= 20")
     # M9: each paragraph alone -> qualifying ones get their first sentence.
-    q["single_paragraph_summaries"] = _with(doc_paragraphs_cte(), r"""
-SELECT user_id, submission_id, paragraph_number,
-       CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 300
-            THEN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1]
-            ELSE text END AS summary
-FROM paras""")
+    q["single_paragraph_summaries"] = _with(ctes, "SELECT user_id, submission_id, paragraph_number, summary FROM summary_rows")
 
 
 # --------------------------------------------------------------------------
@@ -419,11 +373,12 @@ def _route(name: str) -> str:
     return _case(_suffix(name), ROUTES, "unsupported")
 
 
-def _uploads_cte() -> str:
-    from lectern.sources.adapters import DOC_EXTENSIONS
+def _uploads_cte(readable: bool = False) -> str:
+    from lectern.sources.adapters import DOC_EXTENSIONS, READABLE_EXTENSIONS
+    extensions = READABLE_EXTENSIONS if readable else DOC_EXTENSIONS
     return f"""uploads AS (
   SELECT source AS user_id, doc_id::VARCHAR AS submission_id,
-         'doc_' || doc_id || {_list(DOC_EXTENSIONS)}[doc_id % {len(DOC_EXTENSIONS)} + 1] AS file_name, text AS content
+         'doc_' || doc_id || {_list(extensions)}[doc_id % {len(extensions)} + 1] AS file_name, text AS content
   FROM documents
   UNION ALL
   SELECT 'web', 'p' || page_id, 'page_' || page_id || '.html', html FROM pages
@@ -496,7 +451,13 @@ SELECT user_id, submission_id, file_name, route,
             WHEN route = 'unsupported' THEN 'unsupported file type: ' || file_name
             ELSE 'no extractor for route ' || route END AS reason
 FROM ({routed})""")
-    q["extract_paragraphs"] = _with(STITCH_CTES + ",\n" + _uploads_cte() + f""",
+    q["rejected_formats"] = _with(_uploads_cte(), f"""
+SELECT user_id, submission_id, file_name, route,
+       CASE WHEN route = 'unsupported' THEN 'unsupported file type: ' || file_name ELSE 'no extractor for route ' || route END AS reason
+FROM ({routed}) WHERE route NOT IN ('text', 'html', 'pdf')""")
+    q["undecodable_messages"] = """
+SELECT event_id, 'enveloped message is not JSON' AS reason FROM events WHERE event_id % 2 = 0 AND event_type = 'signup'"""
+    q["extract_paragraphs"] = _with(STITCH_CTES + ",\n" + _uploads_cte(True) + f""",
 routed AS ({routed}),
 stitched AS (
   SELECT doc_id, paragraph_number, string_agg(piece, '' ORDER BY path) AS text
@@ -533,14 +494,14 @@ FROM paras GROUP BY user_id, submission_id""")
                                           "SELECT user_id, submission_id, paragraph_number, text FROM paras")
     q["upload_registration"] = _with(_requests_cte(), "SELECT * FROM registration")
     q["rejected_uploads"] = _with(_requests_cte(), """
-SELECT user_id, file_hash, requested_at, 'Missing required fields: user_id, file_name, file_hash' AS reason
+SELECT user_id, file_hash, requested_at, 'user, file name or hash is missing' AS reason
 FROM requests WHERE NOT (coalesce(user_id, '') <> '' AND coalesce(file_name, '') <> '' AND coalesce(file_hash, '') <> '')""")
     q["input_gate"] = """
 SELECT doc_id, CASE WHEN coalesce(text, '') <> '' THEN strlen(text)::BIGINT END AS n_bytes,
        CASE WHEN coalesce(text, '') = '' THEN 400
             WHEN strlen(text) > 16384 OR length(text) > 200000 THEN 413 ELSE 200 END AS status,
-       CASE WHEN coalesce(text, '') = '' THEN 'No file uploaded'
-            WHEN strlen(text) > 16384 OR length(text) > 200000 THEN 'File exceeds the size limit' END AS reason
+       CASE WHEN coalesce(text, '') = '' THEN 'nothing to read'
+            WHEN strlen(text) > 16384 OR length(text) > 200000 THEN 'too large' END AS reason
 FROM documents"""
     keys = "SELECT user_id, submission_id, paragraph_number, 'SUMMARY#' || submission_id || '#' || paragraph_number AS sort_key FROM paras"
     q["summary_keys"] = _with(doc_paragraphs_cte(), keys)
@@ -577,12 +538,23 @@ SELECT * FROM registration t WHERE NOT EXISTS (
 SELECT source AS user_id, doc_id AS submission_id, 0 AS state,
        len({p3("string_split(text, chr(10))")})::INTEGER AS paragraph_count
 FROM documents"""
-    q["submission_status"] = f"SELECT user_id, state_sum, {_status('state_sum')} AS status FROM ({stage})"
-    q["submission_listing"] = _with(_requests_cte(), f"""
-SELECT user_id, submission_id AS id, coalesce(filename, 'Unnamed Document') AS filename, created_at,
-       {_status('state')} AS status, make_timestamp(created_at * 1000000)::DATE AS created_date,
-       {_status('state')} = 'complete' AS details_link
-FROM registration""")
+    days = f"""day_reports AS (
+  SELECT DISTINCT user_id, CAST(ts AS DATE)::VARCHAR AS submission_id, {_stage_bits_case()} AS bit
+  FROM events WHERE event_type <> 'error'
+),
+day_state AS (SELECT user_id, submission_id, sum(bit)::BIGINT AS state_sum FROM day_reports GROUP BY user_id, submission_id)"""
+    q["submission_status"] = _with(days, f"SELECT user_id, submission_id, state_sum, {_status('state_sum')} AS status FROM day_state")
+    q["redelivered_status"] = f"SELECT user_id, state_sum, {_status('state_sum')} AS status FROM ({stage})"
+    q["submission_listing"] = _with(days + """,
+day_first AS (
+  SELECT user_id, CAST(ts AS DATE)::VARCHAR AS submission_id, min(event_id) FILTER (WHERE event_type = 'view') AS view,
+         min(epoch(ts))::BIGINT AS created_at
+  FROM (SELECT user_id, event_id, event_type, date_trunc('second', ts) AS ts FROM events) GROUP BY ALL
+)""", f"""
+SELECT s.user_id, s.submission_id AS id, coalesce('upload_' || f.view || '.txt', 'Unnamed Document') AS filename, f.created_at,
+       {_status('s.state_sum')} AS status, make_timestamp(f.created_at * 1000000)::DATE AS created_date,
+       {_status('s.state_sum')} = 'complete' AS details_link
+FROM day_state s JOIN day_first f USING (user_id, submission_id)""")
     q["document_sizes"] = """
 SELECT doc_id, n AS n_bytes,
        CASE WHEN n = 0 THEN '0 Bytes'
@@ -608,7 +580,7 @@ WHERE d IS NOT NULL AND d <> ''"""
     q["submission_text"] = _with(doc_paragraphs_cte(), """
 SELECT user_id, submission_id, string_agg(text, chr(10) || chr(10) ORDER BY paragraph_number) AS text
 FROM paras GROUP BY user_id, submission_id""")
-    q["paragraph_display"] = _with(_summary_ctes(True), """
+    q["paragraph_display"] = _with(_summary_ctes(), """
 SELECT s.user_id, s.submission_id, s.paragraph_number, s.paragraph_start || '...' AS collapsed,
        coalesce(p.text, s.paragraph_start || '...') AS expanded
 FROM summary_rows s LEFT JOIN paras p USING (user_id, submission_id, paragraph_number)""")
@@ -619,33 +591,22 @@ FROM summary_rows s LEFT JOIN paras p USING (user_id, submission_id, paragraph_n
 # --------------------------------------------------------------------------
 
 def _guide_ctes() -> str:
-    return vocabulary_ctes("") + _summary_ctes(True, with_paragraphs=False) + """,
-done AS (
-  SELECT source AS user_id, doc_id AS submission_id FROM docs d
-  WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.user_id = d.source AND f.submission_id = d.doc_id)
-),
+    return vocabulary_ctes("") + _summary_ctes(with_paragraphs=False) + """,
 gwords AS (
-  SELECT r.user_id, r.submission_id, r.first_paragraph AS paragraph_index,
-         list(r.word ORDER BY 'VOCAB#' || r.submission_id || '#' || r.first_paragraph || '#' || r.word) AS vocabulary
-  FROM ranked r JOIN done USING (user_id, submission_id)
-  GROUP BY r.user_id, r.submission_id, r.first_paragraph
-),
-gsums AS (
-  SELECT s.user_id, s.submission_id, s.paragraph_number AS paragraph_index, s.summary, s.paragraph_start
-  FROM summary_rows s JOIN done USING (user_id, submission_id)
+  SELECT user_id, submission_id, first_paragraph AS paragraph_index,
+         list(word ORDER BY 'VOCAB#' || submission_id || '#' || first_paragraph || '#' || word) AS vocabulary
+  FROM ranked GROUP BY user_id, submission_id, first_paragraph
 ),
-sizes AS (
-  SELECT d.user_id, d.submission_id, greatest(coalesce(w.nw, 0), coalesce(s.ns, 0)) AS n
-  FROM done d
-  LEFT JOIN (SELECT user_id, submission_id, count(*) AS nw FROM gwords GROUP BY ALL) w USING (user_id, submission_id)
-  LEFT JOIN (SELECT user_id, submission_id, count(*) AS ns FROM gsums GROUP BY ALL) s USING (user_id, submission_id)
+gidx AS (
+  SELECT user_id, submission_id, unnest(range(max(i) + 1))::INTEGER AS paragraph_index
+  FROM (SELECT user_id, submission_id, paragraph_index AS i FROM gwords
+        UNION ALL SELECT user_id, submission_id, paragraph_number FROM summary_rows) GROUP BY user_id, submission_id
 ),
-gidx AS (SELECT user_id, submission_id, unnest(range(n))::INTEGER AS paragraph_index FROM sizes WHERE n > 0),
 guide AS (
   SELECT i.user_id, i.submission_id, i.paragraph_index, coalesce(w.vocabulary, []::VARCHAR[]) AS vocabulary,
          coalesce(s.summary, '') AS summary, coalesce(s.paragraph_start, '') AS paragraph_start
   FROM gidx i LEFT JOIN gwords w USING (user_id, submission_id, paragraph_index)
-  LEFT JOIN gsums s USING (user_id, submission_id, paragraph_index)
+  LEFT JOIN summary_rows s ON s.user_id = i.user_id AND s.submission_id = i.submission_id AND s.paragraph_number = i.paragraph_index
 )"""
 
 
@@ -656,7 +617,7 @@ def _guide_oracles(q: dict[str, str]) -> None:
                                       "SELECT c.lang, c.word, c.n, f.freq FROM counts c JOIN wfreq f USING (lang, word)")
     q["lemma_table"] = _with(vocabulary_ctes(""), "SELECT lang, word, lemma FROM best")
     q["vocabulary_all_languages"] = _with(vocabulary_ctes("", 2e-4), "SELECT * FROM ranked")
-    q["vocabulary_table"] = _with(vocabulary_ctes("en"), "SELECT user_id, submission_id, "
+    q["vocabulary_table"] = _with(vocabulary_ctes(), "SELECT user_id, submission_id, "
                                   "first_paragraph AS paragraph_number, word, rank FROM ranked")
     q["study_guide"] = _with(_guide_ctes(), "SELECT user_id, submission_id, paragraph_index, "
                              "array_to_string(vocabulary, ' ') AS vocabulary, summary, paragraph_start FROM guide")
@@ -679,14 +640,33 @@ SELECT user_id, time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) A
 FROM events WHERE event_type = 'click' GROUP BY user_id, time_bucket(INTERVAL '1 minute', ts)"""
     cols = ", ".join(f"count_if(language_frequency < {t!r})::BIGINT AS {threshold_column(t)}"
                      for t in sorted(THRESHOLDS))
-    q["threshold_profile"] = _with(vocabulary_ctes("en", max(THRESHOLDS)),
+    q["threshold_profile"] = _with(vocabulary_ctes("", max(THRESHOLDS)),
                                    f"SELECT user_id, submission_id, {cols} FROM ranked GROUP BY user_id, submission_id")
     q["recent_submissions"] = _with(_requests_cte(), """
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(created_at, 0) DESC, submission_id)::INTEGER
          AS position FROM registration) WHERE position <= 5""")
     q["resume_stages"] = f"""
-WITH done AS (SELECT user_id, {_stage_bits_case()} AS bit FROM events WHERE event_type <> 'error'),
-wanted AS (SELECT user_id, unnest([1, 2, 4]) AS stage FROM (SELECT DISTINCT user_id FROM done))
-SELECT w.user_id, w.stage FROM wanted w
-WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.user_id = w.user_id AND d.bit = w.stage)"""
+WITH done AS (SELECT user_id, CAST(ts AS DATE)::VARCHAR AS submission_id, {_stage_bits_case()} AS bit FROM events WHERE event_type <> 'error'),
+wanted AS (SELECT user_id, submission_id, unnest([1, 2, 4]) AS stage FROM (SELECT DISTINCT user_id, submission_id FROM done))
+SELECT w.user_id, w.submission_id, w.stage FROM wanted w
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.user_id = w.user_id AND d.submission_id = w.submission_id AND d.bit = w.stage)"""
+    q["busy_days"] = """
+SELECT user_id, date_trunc('day', ts) AS window_start, count(*) AS uploads, count(*) > 2 AS over_limit
+FROM events WHERE event_type = 'click' GROUP BY user_id, date_trunc('day', ts)"""
+    marks = """,
+words_v AS (SELECT user_id, submission_id, first_paragraph AS paragraph_number, word, rank FROM ranked),
+marked AS (
+  SELECT w.user_id, w.word, e.ts, ['known', 'learned', 'not interested'][e.event_id % 3 + 1] AS mark
+  FROM events e JOIN words_v w ON w.submission_id = e.user_id AND w.rank = e.event_id % 5 + 1
+),
+latest AS (SELECT user_id, word, arg_max(mark, (ts, mark)) AS mark FROM marked GROUP BY user_id, word),
+with_mark AS (SELECT w.*, coalesce(l.mark, 'unmarked') AS mark FROM words_v w LEFT JOIN latest l USING (user_id, word))"""
+    q["word_marks"] = _with(vocabulary_ctes("") + marks, "SELECT * FROM with_mark")
+    q["unknown_words"] = _with(vocabulary_ctes("") + marks, "SELECT * FROM with_mark WHERE mark <> 'known'")
+    q["renamed_submissions"] = _with(_requests_cte(), """
+SELECT r.user_id, r.submission_id, r.state, coalesce(n.filename, r.filename) AS filename, r.created_at, r.object_key
+FROM registration r LEFT JOIN (
+  SELECT d.source AS user_id, sha256(d.text) AS submission_id,
+         arg_max('renamed_' || e.event_id || '.txt', (e.ts, 'renamed_' || e.event_id || '.txt')) AS filename
+  FROM events e JOIN documents d ON d.doc_id = e.user_id WHERE e.event_type = 'view' GROUP BY ALL) n USING (user_id, submission_id)""")

@@ -4,11 +4,12 @@ Each adapter only reshapes rows (it does none of an operator's work) and
 has a SQL twin in ``lectern.plans.oracle`` with the same definition.
 
 * ``documents``           the documents table (optionally one language)
-* ``doc_lines``           one paragraph per text line (user_id=source, submission_id=doc_id)
-* ``doc_paragraphs``      ``doc_lines`` through P3 (clean, min length), numbered from 0
-                          in kept order, as the paragraph stage emits them
-* ``conv_docs``           one text per conversation (turns joined by a blank line)
-* ``quality_ids`` / ``quality_texts``  documents labelled ``quality = 1`` (lexicon source)
+* ``paragraph_lists``     one row per document (user_id=source, submission_id=doc_id) with
+                          its lines through P3 (clean, min length), numbered from 0
+* ``doc_paragraphs``      the same, a row per paragraph
+* ``conv_turns``          conversation turns in order: a text per conversation is its
+                          turns joined by blank lines, so each turn can be split on its own
+* ``quality_ids``         documents labelled ``quality = 1`` (lexicon source)
 * ``layout_blocks``       OCR layout tree: words in blocks of 12, three blocks a page
 * ``pages``               web pages (page_id, url, html)
 * ``uploads`` / ``upload_blocks``  documents and pages as files with names and content
@@ -32,24 +33,23 @@ def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> Data
     return df.filter(F.col("lang") == lang) if lang else df
 
 
-def doc_lines(docs: DataFrame) -> DataFrame:
-    """(user_id, submission_id, lang, paragraph_number, text), raw lines."""
-    return docs.select(
-        F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"), "lang",
-        F.posexplode(F.split("text", "\n", -1)).alias("paragraph_number", "text"))
+def paragraph_lists(docs: DataFrame, min_length: int = 100) -> DataFrame:
+    """Lines cleaned by P3 and renumbered within the document, as
+    ``paragraphs`` ARRAY<STRUCT<paragraph_number, text>> on the document's row."""
+    cleaned = F.transform(F.split("text", "\n", -1), lambda x: T.clean_paragraph(x))
+    kept = F.filter(cleaned, lambda x: F.length(x) >= min_length)
+    numbered = F.transform(F.coalesce(kept, F.array().cast("array<string>")), lambda x, i: F.struct(i.alias("paragraph_number"), x.alias("text")))
+    return docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"), "lang", numbered.alias("paragraphs"))
 
 
-def doc_paragraphs(docs: DataFrame, min_length: int = 100) -> DataFrame:
-    """Lines cleaned by P3 and renumbered within the document.
+def long_form(lists: DataFrame) -> DataFrame:
+    """``paragraph_lists`` as one row per paragraph."""
+    return lists.select("user_id", "submission_id", "lang", F.explode("paragraphs").alias("p")).select(
+        "user_id", "submission_id", "lang", "p.paragraph_number", "p.text")
 
-    The filter runs on the per-document array before the explode, so the
-    numbering needs no window (a document is a single row, one task).
-    """
-    cleaned = F.transform(F.split("text", "\n", -1), lambda x: T.clean_paragraph(x))
-    kept = F.filter(cleaned, lambda x: F.length(x) >= min_length)
-    return docs.select(
-        F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"), "lang",
-        F.posexplode(kept).alias("paragraph_number", "text"))
+
+def doc_paragraphs(docs: DataFrame, min_length: int = 100) -> DataFrame:
+    return long_form(paragraph_lists(docs, min_length))
 
 
 def quality_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,38 +57,22 @@ def quality_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "labels", "doc_id", "quality").filter(F.col("quality") == 1).select("doc_id")
 
 
-def quality_texts(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    labels = read_table(spark, sf_dir, "labels", "doc_id", "quality").filter(F.col("quality") == 1)
-    return documents(spark, sf_dir, lang).join(labels.select("doc_id"), "doc_id", "left_semi")
-
-
 MAX_UPLOAD_BYTES = 100 * 1024 * 1024
 
 
-def conv_docs(spark: SparkSession, sf_dir: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """One text per conversation: its turns in order joined by a blank line
-    (a plain-text upload whose paragraphs are the turns).
-
-    Conversations whose joined text would exceed the upload limit are left
-    out (the upload gate rejects them), and the check runs on a partial
-    aggregate of sizes *before* any text is gathered, so no group larger
-    than one upload is ever assembled in a task.
-    """
+def conv_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(submission_id, turn, text): the pieces of one text per conversation."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    sizes = (conv.groupBy("conv_id")
-             .agg((F.sum(F.octet_length("text") + 2) - 2).alias("n_bytes"))
-             .filter(F.col("n_bytes") <= max_bytes))
-    conv = conv.join(sizes.select("conv_id"), "conv_id", "left_semi")
-    return (conv.groupBy("conv_id")
-            .agg(T.ordered_join("text", "\n\n", "turn").alias("text")))
+    return conv.select(F.col("conv_id").alias("submission_id"), "turn", "text")
 
 
 WORDS_PER_BLOCK = 12
 BLOCKS_PER_PAGE = 3
 
 
-def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat OCR layout tree built from ``documents``.
+def layout_blocks(docs: DataFrame, *keys) -> DataFrame:
+    """Flat OCR layout tree built from the ``text`` of ``docs``, keyed by ``keys``
+    (``doc_id`` by default).
 
     The words of each document are laid out in blocks of 12, three blocks
     to a page.  Each page is a container node ``path=[page]`` of type
@@ -97,24 +81,20 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     # The word array is a column of its own: a lambda that referenced the
     # split expression would re-split the text for every block.
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").select(
-        "doc_id", F.split(T.strip_ws("text"), r"(?U)\s+", -1).alias("words"))
+    keys = list(keys) or ["doc_id"]
+    docs = docs.select(*keys, F.split(T.strip_ws("text"), r"(?U)\s+", -1).alias("words"))
     words = F.col("words")
     n_blocks = F.ceil(F.size(words) / WORDS_PER_BLOCK).cast("int")
     texts = F.transform(F.sequence(F.lit(0), F.greatest(n_blocks - 1, F.lit(0))),
                         lambda i: F.array_join(F.slice(words, i * WORDS_PER_BLOCK + 1, WORDS_PER_BLOCK), " "))
-    blocks = docs.select("doc_id", F.posexplode(texts).alias("block_no", "text"))
-    page = (F.col("block_no") / BLOCKS_PER_PAGE).cast("int")
-    paragraphs = blocks.select(
-        "doc_id", F.array(page, F.col("block_no")).alias("path"), F.lit("paragraph").alias("type"),
-        "text", page.alias("page_start"), page.alias("page_end"))
+    page = lambda block: (block / BLOCKS_PER_PAGE).cast("int")
+    paragraphs = F.transform(texts, lambda t, i: F.struct(
+        F.array(page(i), i).alias("path"), F.lit("paragraph").alias("type"), t.alias("text"), page(i).alias("page")))
     n_pages = F.ceil(n_blocks / BLOCKS_PER_PAGE).cast("int")
-    containers = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(n_pages - 1, F.lit(0))))
-                             .alias("page"))
-    pages = containers.select(
-        "doc_id", F.array("page").alias("path"), F.lit("page").alias("type"), F.lit("").alias("text"),
-        F.col("page").alias("page_start"), F.col("page").alias("page_end"))
-    return paragraphs.unionByName(pages)
+    containers = F.transform(F.sequence(F.lit(0), F.greatest(n_pages - 1, F.lit(0))), lambda i: F.struct(
+        F.array(i).alias("path"), F.lit("page").alias("type"), F.lit("").alias("text"), i.alias("page")))
+    nodes = docs.select(*keys, F.explode(F.concat(paragraphs, containers)).alias("n"))
+    return nodes.select(*keys, "n.path", "n.type", "n.text", F.col("n.page").alias("page_start"), F.col("n.page").alias("page_end"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +106,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 # Fixed values of the stand-in upload names: documents are given these
-# extensions in turn (by doc_id), pages are HTML files.
+# extensions in turn (by doc_id), pages are HTML files.  Where content is
+# extracted, only extensions with an extractor are handed out.
+READABLE_EXTENSIONS = [".txt", ".md", ".pdf", ".csv"]
 DOC_EXTENSIONS = [".txt", ".md", ".pdf", ".docx", ".rtf", ".csv", ".png", ".xlsx"]
 EXTENSION_MIME = {
     ".txt": "text/plain", ".md": "text/markdown", ".pdf": "application/pdf",
@@ -139,18 +121,18 @@ EPOCH_BASE = 1_700_000_000   # created_at of doc 0; one minute per doc_id
 MISSING_NAME_EVERY = 50      # every 50th document is registered without a file name
 
 
-def _doc_ext(doc_id) -> F.Column:
-    exts = F.array(*[F.lit(e) for e in DOC_EXTENSIONS])
-    return F.element_at(exts, (doc_id % len(DOC_EXTENSIONS) + 1).cast("int"))
+def _doc_ext(doc_id, extensions: list[str] = DOC_EXTENSIONS) -> F.Column:
+    exts = F.array(*[F.lit(e) for e in extensions])
+    return F.element_at(exts, (F.pmod(doc_id, F.lit(len(extensions))) + 1).cast("int"))
 
 
-def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def uploads(spark: SparkSession, sf_dir: str, extensions: list[str] = DOC_EXTENSIONS) -> DataFrame:
     """Mixed upload set: documents as files with assorted extensions
     (content = text), pages as ``.html`` files (content = html)."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
     pg = read_table(spark, sf_dir, "pages", "page_id", "html")
     d = docs.select(F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("submission_id"),
-                    F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), _doc_ext(F.col("doc_id")))
+                    F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), _doc_ext(F.col("doc_id"), extensions))
                     .alias("file_name"), F.col("text").alias("content"))
     p = pg.select(F.lit("web").alias("user_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"))
                   .alias("submission_id"),
@@ -159,13 +141,9 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(p)
 
 
-def upload_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout blocks keyed like ``uploads`` (OCR output of the PDF uploads)."""
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "source")
-    blocks = layout_blocks(spark, sf_dir)
-    return blocks.join(docs, "doc_id").select(
-        F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("submission_id"),
-        "path", "type", "text", "page_start", "page_end")
+def ocr(uploads: DataFrame) -> DataFrame:
+    """The layout blocks of uploads whose content is text, keyed like them."""
+    return layout_blocks(uploads.select("user_id", "submission_id", F.col("content").alias("text")), "user_id", "submission_id")
 
 
 def mime_type(ext) -> F.Column:
@@ -201,6 +179,35 @@ def stage_rows(ev: DataFrame) -> DataFrame:
                      (F.col("event_type") == "error").alias("failed"))
 
 
+def day_stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage reports of one submission per (user, day): a user's events of a
+    day are the reports on what was submitted that day, each stage reported
+    at most once (``submission_id`` is the day)."""
+    rows = stage_events(spark, sf_dir).withColumn("submission_id", F.to_date("ts").cast("string"))
+    return rows.dropDuplicates(["user_id", "submission_id", "bit", "failed"])
+
+
+def word_mark_events(spark: SparkSession, sf_dir: str, vocabulary: DataFrame) -> DataFrame:
+    """Marks that readers set, from ``events``: an event marks one word of the
+    document that has its user's number; the event's number picks the word (by
+    rank) and the mark."""
+    from lectern.operators.product import WORD_MARKS
+    marks = F.element_at(F.array(*[F.lit(m) for m in WORD_MARKS]), (F.col("event_id") % len(WORD_MARKS) + 1).cast("int"))
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id").select(
+        F.col("user_id").alias("submission_id"), (F.col("event_id") % 5 + 1).cast("int").alias("rank"), marks.alias("mark"), "ts")
+    return vocabulary.join(ev, ["submission_id", "rank"]).select("user_id", "word", "mark", "ts")
+
+
+def rename_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rename requests from ``events``: a ``view`` renames the document that has
+    its number."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").filter("event_type = 'view'")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    named = ev.select(F.col("user_id").alias("doc_id"), "ts", F.concat(F.lit("renamed_"), F.col("event_id").cast("string"), F.lit(".txt")).alias("filename"))
+    return named.join(docs, "doc_id").select(
+        F.col("source").alias("user_id"), F.sha2("text", 256).alias("submission_id"), "filename", "ts")
+
+
 def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_rows(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import html as H
+from lectern.functions import text as T
 from lectern.operators import layout as L
 from lectern.operators import segment as S
 
@@ -60,34 +63,27 @@ def split_routes(uploads: DataFrame, name_col: str = "file_name") -> tuple[DataF
     return ok, bad
 
 
-def extract_paragraphs(uploads: DataFrame, blocks: DataFrame | None = None, min_length: int = 100,
+def extract_paragraphs(uploads: DataFrame, ocr: Callable[[DataFrame], DataFrame] | None = None, min_length: int = 100,
                        key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """P9 over a mixed upload set: route, extract, one-line (P2), clean.
 
     ``uploads``: key columns, ``file_name``, ``content`` (text or HTML).
-    ``blocks``: OCR layout blocks for PDF uploads, keyed by the same key
-    columns.  Returns (paragraphs in long form, quarantine).
+    ``ocr`` gives the layout blocks, keyed by the same columns, of the PDF
+    uploads it is handed.  Returns (paragraphs in long form, rejected uploads
+    with a reason).
     """
     key = key or ["user_id", "submission_id"]
     ok, bad = split_routes(uploads)
-    text = ok.filter(F.col("route") == "text").select(
-        *key, F.posexplode(S.text_paragraph_list("content", min_length)).alias("paragraph_number", "text"))
-    html = ok.filter(F.col("route") == "html").select(
-        *key, F.posexplode(S.clean_min_length(S.one_line(H.paragraph_texts("content")), min_length))
-        .alias("paragraph_number", "text"))
-    parts = [text, html]
-    pdf_keys = ok.filter(F.col("route") == "pdf").select(*key)
-    if blocks is not None:
-        mine = L.body_blocks(L.flatten_layout(blocks.join(pdf_keys, key, "left_semi")))
-        stitched = L.stitch_pages(mine, key)
-        lists = (stitched.groupBy(*key)
-                 .agg(F.array_sort(F.collect_list(F.struct("paragraph_number", "text"))).alias("ps")))
-        cleaned = S.clean_min_length(S.one_line(F.transform("ps", lambda x: x["text"])), min_length)
-        parts.append(lists.select(*key, F.posexplode(cleaned).alias("paragraph_number", "text")))
+    # Text and HTML in one pass over the uploads: the route picks the list.
+    lists = F.when(F.col("route") == "text", S.text_paragraph_list("content", min_length)).when(
+        F.col("route") == "html", S.clean_min_length(S.one_line(H.paragraph_texts("content")), min_length))
+    out = ok.filter(F.col("route") != "pdf").select(*key, F.posexplode(lists).alias("paragraph_number", "text"))
+    pdf = ok.filter(F.col("route") == "pdf")
+    if ocr is None:
+        bad = bad.unionByName(pdf.withColumn("reason", F.lit("no layout blocks for pdf")))
     else:
-        bad = bad.unionByName(ok.filter(F.col("route") == "pdf").withColumn(
-            "reason", F.lit("no layout blocks for pdf")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        stitched = L.stitch_pages(L.body_blocks(L.flatten_layout(ocr(pdf), key)), key)
+        cleaned = stitched.withColumn("text", T.clean_paragraph(T.collapse_newlines("text"))).filter(F.length("text") >= min_length)
+        number = F.row_number().over(Window.partitionBy(*key).orderBy("paragraph_number")) - 1
+        out = out.unionByName(cleaned.select(*key, number.alias("paragraph_number"), "text"))
     return out, bad.drop("content")

@@ -31,6 +31,17 @@ def decode_notifications(messages: DataFrame, body_col: str = "body") -> DataFra
                     F.col("r.s3.bucket.name").alias("bucket"), F.col("r.s3.object.key").alias("key")))
 
 
+def undecodable(messages: DataFrame, body_col: str = "body") -> DataFrame:
+    """Messages that hold no JSON, on the outside or in the envelope, with
+    the reason; ``decode_notifications`` yields nothing for them."""
+    body = F.col(body_col)
+    env = F.from_json(body, ENVELOPE_DDL)
+    wrapped = env["TopicArn"].isNotNull() & (env["Type"] == "Notification")
+    reason = (F.when(body.isNull() | F.try_parse_json(body).isNull(), "body is not JSON")
+              .when(wrapped & F.try_parse_json(env["Message"]).isNull(), "enveloped message is not JSON"))
+    return messages.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def strip_extension(name: Column) -> Column:
     """``os.path.splitext(name)[0]``: drop the last suffix; leading dots do not start one."""
     return F.regexp_replace(name, r"^(\.*[^.].*)\.[^.]*$", "$1")
@@ -40,8 +51,9 @@ def parse_object_keys(df: DataFrame, key_col: str = "key") -> DataFrame:
     """S3: ``uploads/{user}/{hash}.ext`` -> (user_id, submission_id); other
     layouts get a quarantine ``reason``."""
     parts = F.split(F.col(key_col), "/", -1)
-    valid = (F.size(parts) >= 3) & (F.get(parts, 0) == UPLOAD_ROOT)
+    valid = F.coalesce((F.size(parts) >= 3) & (F.get(parts, 0) == UPLOAD_ROOT), F.lit(False))
     return df.select(
         "*", F.when(valid, F.get(parts, 1)).alias("user_id"),
         F.when(valid, strip_extension(F.get(parts, 2))).alias("submission_id"),
-        F.when(~valid, F.concat(F.lit("invalid object key: "), F.col(key_col))).alias("reason"))
+        F.when(~valid, F.coalesce(F.concat(F.lit("invalid object key: "), F.col(key_col)),
+                                     F.lit("no object key"))).alias("reason"))

@@ -37,7 +37,7 @@ def register_uploads(requests: DataFrame, submissions: DataFrame | None = None)
         m = F.col(c).isNull() | (F.col(c) == "")
         missing = m if missing is None else (missing | m)
     rejected = requests.filter(missing).withColumn(
-        "reason", F.lit("Missing required fields: user_id, file_name, file_hash"))
+        "reason", F.lit("user, file name or hash is missing"))
     ok = requests.filter(~missing)
     writes = ok.select(
         "user_id", F.col("file_hash").alias("submission_id"),
@@ -69,8 +69,8 @@ def gate_inputs(requests: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES,
         text = F.make_valid_utf8(F.col("content").cast("string"))
         too_long = too_long | (F.length(text) > max_chars)
     status = F.when(F.col("content").isNull(), 400).when(too_long, 413).otherwise(200)
-    reason = (F.when(F.col("content").isNull(), "No file uploaded")
-              .when(too_long, "File exceeds the size limit"))
+    reason = (F.when(F.col("content").isNull(), "nothing to read")
+              .when(too_long, "too large"))
     return out.withColumn("status", status).withColumn("reason", reason)
 
 
@@ -97,7 +97,7 @@ def paragraphs_from_json(df: DataFrame, json_col: str = "paragraphs_json") -> tu
     is_list = F.regexp_like(F.col(json_col), F.lit(r"^\s*\[")) & arr.isNotNull()
     keep = [c for c in df.columns if c != json_col]
     good = df.filter(is_list).select(*keep, F.posexplode(arr).alias("paragraph_number", "text"))
-    bad = df.filter(~is_list).withColumn("reason", F.lit("Paragraphs data is not a list"))
+    bad = df.filter(~is_list).withColumn("reason", F.lit("not a JSON array"))
     return good, bad
 
 

@@ -6,69 +6,59 @@
   writes every branch from it: valid keys and quarantine for upload
   events; vocabulary rows, summary rows and stage reports for newly
   arrived documents (``run_document_stages``), paragraphs computed once.
-* X3 stage state: a streaming aggregation per key with ``sum`` (the
-  original's arithmetic add) and ``bit_or`` (idempotent), update mode.
-* X4 delivery: ``dropDuplicatesWithinWatermark(event_id)`` drops
-  redelivered events; failed stage reports go to a quarantine table
-  instead of being acknowledged away; every sink write is keyed by the
-  micro-batch id
-  and overwrites its own folder, so a replayed batch after a failure
-  rewrites the same rows (exactly-once results).  Readers see the
-  last write per key across batches.
+* X3 stage state, Z3 rate: each micro-batch adds its sums per key to a log,
+  and the table is the log summed up.  No event is ever too late.
+* X4 delivery: ``dropDuplicates(event_id)`` without a watermark drops every
+  redelivered event, however late; its state holds the ids seen.  Failed
+  stage reports go to a quarantine table instead of being acknowledged away;
+  every sink write is keyed by the micro-batch id and overwrites its own
+  folder, so a replayed batch after a failure rewrites the same rows.
 
 State, offsets and outputs live under the session's reliable checkpoint
-folder (``spark.checkpoint.dir``).
+folder (``spark.checkpoint.dir``).  ``files_per_trigger`` bounds a micro-batch.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import keyed as K
+from lectern.operators.product import RATE_LIMIT_PER_MINUTE
 from lectern.session import ensure_checkpoint_dir
 from lectern.sources import adapters as A
 from lectern.sources import notifications as N
 
 EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                  "value DOUBLE, props STRING")
-DEDUP_WATERMARK = "1 hour"
+FILES_PER_TRIGGER = 100
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str,
-                 max_files_per_trigger: int = 1) -> DataFrame:
+                 files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """File stream over a table stored either as one Parquet file
-    (``<dir>/<name>.parquet``: the folder is watched for files of that name)
-    or as a folder of part files (the folder itself is watched)."""
+    (``<dir>/<name>.parquet``: the folder is watched for that file) or as a
+    folder of part files (the folder itself is watched)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    files = spark.read.parquet(path).inputFiles()
-    single_file = len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single_file = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if single_file:
-        return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return reader.parquet(path)
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """X1 source: new event files as they arrive."""
-    return table_stream(spark, sf_dir, "events", EVENTS_SCHEMA, max_files_per_trigger)
+    return table_stream(spark, sf_dir, "events", EVENTS_SCHEMA, files_per_trigger)
 
 
-def deduplicated(events: DataFrame, watermark: str = DEDUP_WATERMARK) -> DataFrame:
-    """Redelivered events (same ``event_id`` within the watermark) dropped.
-
-    Watermarks need a zoned timestamp: ``ts`` (wall-clock, no zone) is read
-    in the session time zone as ``event_time``."""
-    timed = events.withColumn("event_time", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def stage_state_updates(events: DataFrame) -> DataFrame:
-    """Running (state_sum, state_mask) per user from stage events."""
-    staged = A.stage_rows(events).filter(~F.col("failed"))
-    return K.accumulate_state(staged, ["user_id"])
+def deduplicated(events: DataFrame) -> DataFrame:
+    """Redelivered events (same ``event_id``) dropped, whenever they come."""
+    return events.dropDuplicates(["event_id"])
 
 
 def upload_keys(events: DataFrame) -> DataFrame:
@@ -76,7 +66,7 @@ def upload_keys(events: DataFrame) -> DataFrame:
     return N.parse_object_keys(N.decode_notifications(A.notification_messages(events))).drop("event_name")
 
 
-def _epoch_writer(base: str, branches: dict):
+def _epoch_writer(base: str, branches: dict[str, Callable[[DataFrame], DataFrame]]):
     """foreachBatch body: persist once, write each branch to ``base/name/epoch=N``."""
     def write(batch: DataFrame, epoch_id: int) -> None:
         batch.persist()
@@ -89,6 +79,12 @@ def _epoch_writer(base: str, branches: dict):
     return write
 
 
+def _drain(stream: DataFrame, base: str, write) -> None:
+    """Run a stream over what is available now."""
+    (stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
+     .foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
+
+
 def read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
     """A sink folder, or no rows of ``schema`` if no micro-batch wrote it."""
     from pyspark.errors import AnalysisException
@@ -100,86 +96,75 @@ def read_sink(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema).withColumn("epoch", F.lit(None).cast("int"))
 
 
-def latest_per_key(spark: SparkSession, path: str, key: list[str], schema) -> DataFrame:
-    """Last-write-wins view over an epoch-partitioned update log."""
-    log = read_sink(spark, path, schema)
-    values = [c for c in log.columns if c not in key and c != "epoch"]
-    return (log.groupBy(*key).agg(F.max_by(F.struct(*values), F.col("epoch")).alias("_v"))
-            .select(*key, *[F.col(f"_v.{c}").alias(c) for c in values]))
-
-
 def _base(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
+# X3 ------------------------------------------------------------------------
+
+STATE_SCHEMA = "user_id BIGINT, state_sum BIGINT, state_mask INT"
+FAILURE_SCHEMA = "user_id BIGINT, event_id BIGINT, ts TIMESTAMP_NTZ, reason STRING"
+
+
+def stage_state(events: DataFrame) -> DataFrame:
+    """(user_id, state_sum, state_mask) over the reports that did not fail."""
+    return K.accumulate_state(A.stage_rows(events).filter(~F.col("failed")), ["user_id"])
+
+
 def stage_failures(events: DataFrame) -> DataFrame:
     """Failed stage reports, kept with a reason instead of being acked away."""
     return (A.stage_rows(events).filter(F.col("failed"))
             .select("user_id", "event_id", "ts", F.lit("stage reported an error").alias("reason")))
 
 
-def run_stage_state(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
-    """Run X1+X3+X4 to completion over what is available; return the state
-    table.  Failed reports go to ``base/quarantine`` from a second query
-    over the same deduplicated source."""
+def run_stage_state(spark: SparkSession, sf_dir: str, base: str | None = None,
+                    files_per_trigger: int = FILES_PER_TRIGGER) -> tuple[DataFrame, DataFrame]:
+    """Run X1+X3+X4 to completion over what is available; return (state
+    table, failed reports)."""
     base = base or _base(spark, "stage-state")
-    events = deduplicated(event_stream(spark, sf_dir))
-    updates = stage_state_updates(events)
-    q = (updates.writeStream.outputMode("update")
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(_epoch_writer(base, {"state": lambda b: b}))
-         .trigger(availableNow=True).start())
-    bad = (stage_failures(events).writeStream.outputMode("append")
-           .option("checkpointLocation", f"{base}/_checkpoint_quarantine")
-           .foreachBatch(_epoch_writer(base, {"quarantine": lambda b: b}))
-           .trigger(availableNow=True).start())
-    q.awaitTermination()
-    bad.awaitTermination()
-    return latest_per_key(spark, f"{base}/state", ["user_id"], updates.schema)
-
-
-def run_upload_keys(spark: SparkSession, sf_dir: str, base: str | None = None) -> tuple[DataFrame, DataFrame]:
+    _drain(deduplicated(event_stream(spark, sf_dir, files_per_trigger)), base,
+           _epoch_writer(base, {"state": stage_state, "quarantine": stage_failures}))
+    log = read_sink(spark, f"{base}/state", STATE_SCHEMA)
+    table = log.groupBy("user_id").agg(F.sum("state_sum").alias("state_sum"), F.bit_or("state_mask").alias("state_mask"))
+    return table, read_sink(spark, f"{base}/quarantine", FAILURE_SCHEMA).drop("epoch")
+
+
+# X1, X2 --------------------------------------------------------------------
+
+KEYS_SCHEMA = "event_id BIGINT, bucket STRING, key STRING, user_id STRING, submission_id STRING, reason STRING"
+
+
+def run_upload_keys(spark: SparkSession, sf_dir: str, base: str | None = None,
+                    files_per_trigger: int = FILES_PER_TRIGGER) -> tuple[DataFrame, DataFrame]:
     """Run X1+X2: return (valid keys, quarantine) written by the fan-out."""
     base = base or _base(spark, "upload-keys")
-    parsed = upload_keys(event_stream(spark, sf_dir))
-    branches = {"keys": lambda b: b.filter(F.col("reason").isNull()),
-                "quarantine": lambda b: b.filter(F.col("reason").isNotNull())}
-    q = (parsed.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(_epoch_writer(base, branches))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    cols = ["event_id", "bucket", "key", "user_id", "submission_id", "reason"]
-    return (read_sink(spark, f"{base}/keys", parsed.schema).select(*cols),
-            read_sink(spark, f"{base}/quarantine", parsed.schema).select(*cols))
-
-
-RATE_WATERMARK = "10 minutes"
-
-
-def upload_rate_stream(events: DataFrame, watermark: str = RATE_WATERMARK) -> DataFrame:
-    """Z3 on a stream: uploads per user per tumbling minute.  Counts are
-    emitted in update mode as windows change; state for windows older than
-    the watermark is dropped and later events for them are ignored."""
-    from lectern.operators.product import RATE_LIMIT_PER_MINUTE
-    puts = events.filter(F.col("event_type") == "click").withColumn("event_time", F.col("ts").cast("timestamp"))
-    counts = (puts.withWatermark("event_time", watermark)
-              .groupBy("user_id", F.window("event_time", "1 minute").alias("w"))
-              .agg(F.count(F.lit(1)).alias("uploads")))
-    return counts.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "uploads",
-                         (F.col("uploads") > RATE_LIMIT_PER_MINUTE).alias("over_limit"))
-
-
-def run_upload_rate(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
-    """Run Z3's stream to completion; the table is the latest count per
-    (user, window)."""
+    columns = ["event_id", "bucket", "key", "user_id", "submission_id", "reason"]
+    _drain(upload_keys(deduplicated(event_stream(spark, sf_dir, files_per_trigger))).select(*columns), base, _epoch_writer(base, {
+        "keys": lambda b: b.filter(F.col("reason").isNull()),
+        "quarantine": lambda b: b.filter(F.col("reason").isNotNull())}))
+    return tuple(read_sink(spark, f"{base}/{name}", KEYS_SCHEMA).select(*columns) for name in ("keys", "quarantine"))
+
+
+# Z3 ------------------------------------------------------------------------
+
+RATE_SCHEMA = "user_id BIGINT, window_start TIMESTAMP_NTZ, uploads BIGINT"
+
+
+def run_upload_rate(spark: SparkSession, sf_dir: str, base: str | None = None, limit: int = RATE_LIMIT_PER_MINUTE,
+                    files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Z3 as a stream: uploads per user per tumbling minute.  A minute's count
+    is the sum over the micro-batches that saw it."""
     base = base or _base(spark, "upload-rate")
-    rates = upload_rate_stream(event_stream(spark, sf_dir))
-    q = (rates.writeStream.outputMode("update")
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(_epoch_writer(base, {"rate": lambda b: b}))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return latest_per_key(spark, f"{base}/rate", ["user_id", "window_start"], rates.schema)
+
+    def counts(batch: DataFrame) -> DataFrame:
+        puts = batch.filter(F.col("event_type") == "click")
+        return puts.groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("uploads")).select(
+            "user_id", F.col("w.start").alias("window_start"), "uploads")
+
+    _drain(deduplicated(event_stream(spark, sf_dir, files_per_trigger)), base, _epoch_writer(base, {"rate": counts}))
+    total = F.sum("uploads")
+    return read_sink(spark, f"{base}/rate", RATE_SCHEMA).groupBy("user_id", "window_start").agg(
+        total.alias("uploads"), (total > limit).alias("over_limit"))
 
 
 # --------------------------------------------------------------------------
@@ -188,7 +173,6 @@ def run_upload_rate(spark: SparkSession, sf_dir: str, base: str | None = None) -
 
 DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
-
 # Output schemas of the document pipeline's stage tables.
 VOCABULARY_SCHEMA = "user_id STRING, submission_id BIGINT, paragraph_number INT, word STRING, rank INT"
 SUMMARIES_SCHEMA = ("user_id STRING, submission_id BIGINT, paragraph_number INT, "
@@ -196,12 +180,12 @@ SUMMARIES_SCHEMA = ("user_id STRING, submission_id BIGINT, paragraph_number INT,
 STAGES_SCHEMA = "user_id STRING, submission_id BIGINT, bit INT"
 
 
-def document_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    return table_stream(spark, sf_dir, "documents", DOCUMENTS_SCHEMA, max_files_per_trigger)
+def document_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    return table_stream(spark, sf_dir, "documents", DOCUMENTS_SCHEMA, files_per_trigger)
 
 
-def run_document_stages(spark: SparkSession, sf_dir: str, lemma_map, base: str | None = None,
-                          faults: bool = True) -> str:
+def run_document_stages(spark: SparkSession, sf_dir: str, lemma_map: DataFrame, base: str | None = None,
+                        files_per_trigger: int = FILES_PER_TRIGGER) -> str:
     """Each micro-batch of new documents is split into paragraphs once
     (persisted), then both stages run from it: vocabulary rows (V13/V14)
     and summary rows (M1-M10), plus the stage reports each stage emits.
@@ -213,11 +197,11 @@ def run_document_stages(spark: SparkSession, sf_dir: str, lemma_map, base: str |
     base = base or _base(spark, "documents")
 
     def fan_out(batch: DataFrame, epoch_id: int) -> None:
-        paragraphs = A.doc_paragraphs(batch.select("doc_id", "source", "lang", "text")).persist()
+        lists = A.paragraph_lists(batch.select("doc_id", "source", "lang", "text")).persist()
         try:
-            subs = batch.select(F.col("source").alias("user_id"), F.col("doc_id").alias("submission_id"))
-            words = V.vocabulary_rows(V.uncommon_words(paragraphs, lemma_map=lemma_map))
-            rows, verdicts = M.summarise(paragraphs, faults=faults)
+            subs = lists.select("user_id", "submission_id")
+            words = V.vocabulary_rows(V.uncommon_words(A.long_form(lists), lemma_map=lemma_map))
+            rows, verdicts = M.summarise(lists)
             done = subs.join(M.failed_submissions(verdicts), ["user_id", "submission_id"], "left_anti")
             stages = (subs.select("*", F.explode(F.array(*[F.lit(b) for b in (
                 K.STAGE_RECEIVED, K.STAGE_PARAGRAPHS, K.STAGE_VOCABULARY)])).alias("bit"))
@@ -225,10 +209,7 @@ def run_document_stages(spark: SparkSession, sf_dir: str, lemma_map, base: str |
             for name, df in (("vocabulary", words), ("summaries", rows), ("stages", stages)):
                 df.write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch_id}")
         finally:
-            paragraphs.unpersist()
+            lists.unpersist()
 
-    q = (document_stream(spark, sf_dir).writeStream
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(fan_out).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(document_stream(spark, sf_dir, files_per_trigger), base, fan_out)
     return base

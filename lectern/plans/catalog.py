@@ -622,13 +622,14 @@ _QUERIES.update({
 })
 
 
-def streamed_study_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def streamed_study_guide(spark: SparkSession, sf_dir: str,
+                         files_per_trigger: int = ST.FILES_PER_TRIGGER) -> DataFrame:
     """X1 + X2 end to end: documents arrive as a stream, each micro-batch
     fans out to the vocabulary and summary stages; the study guide joins
     what the stages wrote.  Equals the batch ``study_guide``."""
     docs = A.documents(spark, sf_dir)
     lemma_map = V.prepare_lemma_map(V.corpus_statistics(docs, A.quality_ids(spark, sf_dir)))
-    base = ST.run_document_stages(spark, sf_dir, lemma_map)
+    base = ST.run_document_stages(spark, sf_dir, lemma_map, files_per_trigger=files_per_trigger)
     vocab = ST.read_sink(spark, f"{base}/vocabulary", ST.VOCABULARY_SCHEMA).drop("epoch")
     sums = ST.read_sink(spark, f"{base}/summaries", ST.SUMMARIES_SCHEMA).drop("epoch")
     stages = ST.read_sink(spark, f"{base}/stages", ST.STAGES_SCHEMA)

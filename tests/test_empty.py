@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from lectern.plans import catalog
 from lectern.sources.tables import TABLES
 
 from .conftest import SF_SMALL
@@ -20,7 +21,7 @@ def empty_dir(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_on_empty_tables(spark, empty_dir, name):
     df = E.queries()[name](spark, empty_dir)
     rows = df.collect()

@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from lectern.plans import catalog, oracle
 from lectern.plans.compare import differences, type_differences
 from lectern.sources.tables import TABLES
 
 from .conftest import SF_SMALL
 
-NAMES = sorted(E.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(oracle.oracle_sql()) == set(catalog.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

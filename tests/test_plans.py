@@ -9,10 +9,11 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from lectern.plans import catalog
 
 from .conftest import SF_SMALL
 
-PLAN_ONLY = sorted(n for n in E.queries() if not n.startswith("streamed_"))
+PLAN_ONLY = sorted(n for n in catalog.queries() if not n.startswith("streamed_"))
 
 
 def plan_of(df) -> str:
@@ -31,10 +32,10 @@ def test_no_python_and_no_cartesian(spark, name):
 
 
 def test_flagship_scan_is_pruned_and_filtered(spark):
-    plan = plan_of(E.queries()["vocabulary_report"](spark, SF_SMALL))
+    from lectern.plans.catalog import vocabulary_report
+    plan = plan_of(vocabulary_report(spark, SF_SMALL, lang="en"))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in plan
-    assert "BroadcastHashJoin" in plan
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
@@ -46,8 +47,8 @@ def test_stream_replay_is_idempotent(spark):
     from lectern.session import ensure_checkpoint_dir
     from lectern.streaming import uploads as ST
     base = ensure_checkpoint_dir(spark).rstrip("/") + "/streams/replay-test"
-    first = sorted(map(tuple, ST.run_stage_state(spark, SF_SMALL, base).collect()))
-    again = sorted(map(tuple, ST.run_stage_state(spark, SF_SMALL, base).collect()))
+    first = sorted(map(tuple, ST.run_stage_state(spark, SF_SMALL, base)[0].collect()))
+    again = sorted(map(tuple, ST.run_stage_state(spark, SF_SMALL, base)[0].collect()))
     assert first == again and len(first) > 0
 
 
@@ -61,7 +62,7 @@ def test_bucketed_tables_join_on_doc_id_without_shuffling_text(spark, tmp_path):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        stats = V.corpus_statistics(docs, ids, max_broadcast_rows=0)
+        stats = V.corpus_statistics(docs, ids)
         plan = plan_of(stats)
         assert "SortMergeJoin" in plan and "Exchange hashpartitioning(doc_id" not in plan, plan
         got = sorted(map(tuple, stats.select("lang", "word", "n", "in_lexicon").collect()))
@@ -71,28 +72,37 @@ def test_bucketed_tables_join_on_doc_id_without_shuffling_text(spark, tmp_path):
     assert got == sorted(map(tuple, plain.select("lang", "word", "n", "in_lexicon").collect()))
 
 
-def test_stream_redelivery_is_not_double_counted(spark, tmp_path):
-    """Events redelivered in a later micro-batch do not add to the state."""
+@pytest.fixture(scope="module")
+def scattered(spark, tmp_path_factory):
+    """events and documents as six shuffled part files each, half of the events
+    delivered a second time in a later file."""
+    from pyspark.sql import functions as F
+    folder = tmp_path_factory.mktemp("scattered")
+    for name in ("events", "documents", "labels"):
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        df.repartition(6, F.xxhash64(df.columns[0])).write.parquet(f"{folder}/{name}.parquet")
+        if name == "events":
+            df.filter("event_id % 2 = 0").coalesce(1).write.mode("append").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def rows_of(df, *drop) -> list:
+    return sorted(map(tuple, df.drop(*drop).collect()), key=repr)
+
+
+def test_streams_equal_batch_on_any_layout(spark, scattered):
     from pyspark.sql import functions as F
 
-    from lectern.session import ensure_checkpoint_dir
-    from lectern.sources import adapters as A
-    from lectern.operators import keyed as K
     from lectern.streaming import uploads as ST
-    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    src = tmp_path / "incoming"
-    events.coalesce(1).write.parquet(str(src / "events_1"))
-    # the same events again, later: a redelivered batch (half of them)
-    events.filter(F.col("event_id") % 2 == 0).coalesce(1).write.parquet(str(src / "events_2"))
-    base = ensure_checkpoint_dir(spark).rstrip("/") + "/streams/redelivery-test"
-    stream = (spark.readStream.schema(ST.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(str(src)))
-    updates = ST.stage_state_updates(ST.deduplicated(stream))
-    q = (updates.writeStream.outputMode("update").option("checkpointLocation", base + "/_checkpoint")
-         .foreachBatch(ST._epoch_writer(base, {"state": lambda b: b})).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = sorted(map(tuple, ST.latest_per_key(spark, base + "/state", ["user_id"], updates.schema).collect()))
-    expected = K.accumulate_state(A.stage_rows(events).filter(~F.col("failed")), ["user_id"])
-    assert got == sorted(map(tuple, expected.select("user_id", "state_sum", "state_mask").collect()))
-    batches_with_rows = [p for p in q.recentProgress if p["numInputRows"] > 0]
-    assert len(batches_with_rows) == 2      # the redelivered file came as its own micro-batch
+    q = catalog.queries()
+    table, failed = ST.run_stage_state(spark, scattered, files_per_trigger=1)
+    assert rows_of(table) == rows_of(q["stage_state"](spark, SF_SMALL))
+    assert rows_of(failed) == rows_of(spark.read.parquet(f"{SF_SMALL}/events.parquet").filter("event_type = 'error'").select(
+        "user_id", "event_id", "ts", F.lit("stage reported an error")))
+    assert rows_of(ST.run_upload_rate(spark, scattered, files_per_trigger=1)) == rows_of(q["upload_rate"](spark, SF_SMALL))
+    keys, quarantine = ST.run_upload_keys(spark, scattered, files_per_trigger=1)
+    assert rows_of(keys.unionByName(quarantine)) == rows_of(q["object_key_parse"](spark, SF_SMALL))
+
+
+def test_document_stream_equals_batch_on_any_layout(spark, scattered):
+    assert rows_of(catalog.streamed_study_guide(spark, scattered, files_per_trigger=2)) == rows_of(catalog.study_guide(spark, SF_SMALL))

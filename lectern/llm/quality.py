@@ -10,52 +10,58 @@ score is the logistic of the difference of the classes' log densities
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, is_training
+from lectern.llm.common import is_training, save, slices, texts_of
 
 POOLED, DIAGONAL = 0.2, 0.1     # shrinkage towards pooled covariance and towards the diagonal
 FLOOR = 1e-3                     # least variance of a statistic
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>@^~=_{}[]\\/+"
-MARKS = ".,;:!?"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-DIGITS = "0123456789"
+SYMBOLS = b"#*$%&|<>@^~=_{}[]\\/+"
+MARKS = b".,;:!?"
+UPPER = bytes(range(65, 91))
+DIGITS = b"0123456789"
+NAMES = ("words", "distinct words", "word length", "words a line", "distinct lines",
+         "repeated words", "symbols", "marks", "exclamations", "upper case", "digits")
 
 
-def statistics(text: Column) -> list[Column]:
-    """The transformed statistics of a text, without NULLs or infinities."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n_words, n_lines = F.size(words), F.size(F.split(text, "\n"))
-    solid = F.length(F.translate(text, SPACES, ""))
+def statistics(text: str) -> list[float]:
+    """The transformed statistics NAMES of a text; finite for any text."""
+    words, lines = text.split(), text.split("\n")
+    data = text.encode("utf-8", "surrogatepass")
+    solid = max(1, sum(map(len, words)))
 
-    def share(count: Column, of: Column) -> Column:
-        return F.sqrt(F.least(count / F.greatest(of, F.lit(1)), F.lit(1.0)))
-
-    def made_of(characters: str) -> Column:
-        return share(F.length(text) - F.length(F.translate(text, characters, "")), solid)
+    def share(characters: bytes) -> float:
+        return math.sqrt(min(1.0, (len(data) - len(data.translate(None, characters))) / solid))
 
     return [
-        F.log1p(n_words),
-        F.log1p(solid / F.greatest(n_words, F.lit(1))),
-        F.log1p(n_words / n_lines),
-        share(F.size(F.array_distinct(words)), F.sqrt(n_words) * 12),
-        share(F.size(F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 6), lambda w: w))),
-              F.size(F.filter(words, lambda w: F.length(w) > 6))),
-        made_of(SYMBOLS), made_of(MARKS), made_of("!"), made_of(UPPER), made_of(DIGITS),
-        share(F.size(F.array_distinct(F.split(text, "\n"))), n_lines),
+        math.log1p(len(words)), math.log1p(len(set(words))), math.log1p(solid / max(1, len(words))),
+        math.log1p(len(words) / len(lines)), math.sqrt(len(set(lines)) / len(lines)),
+        math.sqrt(sum(map(operator.eq, words, words[1:])) / max(1, len(words))),
+        share(SYMBOLS), share(MARKS), share(b"!"), share(UPPER), share(DIGITS),
     ]
 
 
-def features(docs: DataFrame, *keep: Column, text_col: str = "text") -> DataFrame:
-    return docs.select(*keep, F.array(*statistics(F.col(text_col))).alias("x"))
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x) of every row, stored: the texts are read once, for training and
+    scoring.  NULL counts as the empty text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 16 << 20):
+                x = pa.array([statistics(t) for t in texts_of(part, "text")], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), x], ["id", "x"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    return save(source.mapInArrow(run, f"id {kind}, x array<double>"), "statistics").withColumnRenamed("id", id_col)
 
 
 @dataclass
@@ -96,14 +102,13 @@ def fit(n: dict[int, float], sums: dict[int, np.ndarray], products: dict[int, np
     return Model([means[0], means[1]], factors, offsets)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Moments over every labelled document outside the held-out fold.  Labels
-    other than 0 and 1, and NULL ids, are left out; of an id labelled twice
-    the larger label counts.  NULL texts count as empty."""
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(
-        F.col("label").isin(0, 1) & is_training("id")).groupBy("id").agg(F.max("label").alias("label"))
-    # Statistics first: the join moves a few numbers a document, never its text.
-    known = features(docs.filter(is_training(id_col)), F.col(id_col).alias("id"), text_col=text_col).join(marked, "id")
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
+    """Moments over every labelled document outside the held-out fold, from
+    the rows of :func:`document_statistics`.  Labels other than 0 and 1, and
+    NULL ids, are left out; of an id labelled twice the larger label counts."""
+    marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).filter(
+        F.col("label").isin(0, 1) & is_training(id_col)).groupBy(id_col).agg(F.max("label").alias("label"))
+    known = documents.join(marked, id_col).select("label", "x")
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,12 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x = np.stack(x.to_numpy())
                 yield pd.DataFrame({"label": [label], "n": [float(len(x))], "s": [x.sum(axis=0)], "p": [(x.T @ x).ravel()]})
 
-    parts = known.select("label", "x").mapInPandas(moments, "label int, n double, s array<double>, p array<double>")
+    d = len(NAMES)
+    parts = known.mapInPandas(moments, "label int, n double, s array<double>, p array<double>")
+    summed = parts.groupBy("label").agg(F.sum("n").alias("n"), *_sums("s", d), *_sums("p", d * d))
     n, sums, products = {}, {}, {}
-    summed = parts.groupBy("label").agg(F.sum("n").alias("n"), *_sums("s", len(statistics(F.lit("")))),
-                                        *_sums("p", len(statistics(F.lit(""))) ** 2))
     for r in summed.collect():                 # a row for each class
-        d = len(statistics(F.lit("")))
         n[r["label"]] = r["n"]
         sums[r["label"]] = np.array([r[f"s{i}"] for i in range(d)])
         products[r["label"]] = np.array([r[f"p{i}"] for i in range(d * d)]).reshape(d, d)
@@ -127,13 +131,13 @@ def _sums(name: str, size: int) -> list[Column]:
     return [F.sum(F.col(name)[i]).alias(f"{name}{i}") for i in range(size)]
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row, NULL as the empty text; rows pass one to one."""
+def score(documents: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, score) of every row of :func:`document_statistics`."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 yield pd.DataFrame({"id": batch["id"], "score": model.score(np.stack(batch["x"].to_numpy()))})
 
-    found = features(docs, F.col(id_col).alias("id"), text_col=text_col)
+    found = documents.select(F.col(id_col).alias("id"), "x")
     kind = found.schema["id"].dataType.simpleString()
     return found.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)

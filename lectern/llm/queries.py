@@ -76,9 +76,9 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is of good quality, by quadratic discriminant."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.score_texts(docs, model).select(
+    documents = quality.document_statistics(table(spark, sf_dir, "documents", "doc_id", "text"))
+    model = quality.train(documents, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.score(documents, model).select(
         "doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
 
 

@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, language, quality, toxicity
 from lectern.llm.common import is_held_out, table
@@ -105,9 +104,10 @@ def test_windows_cover_every_text():
 
 def test_pieces_join_to_runs():
     word = b" worthless "
-    typical = {word[i:i + 6]: 9 for i in range(len(word) - 5)} | {b" idiot": 4, b"idiot ": 5}
+    n = toxicity.PIECE
+    typical = {w[i:i + n]: k for w, k in ((word, 9), (b" idiot ", 4)) for i in range(len(w) - n + 1)}
     assert toxicity.joined(typical) == [b" idiot ", word]
-    ring = {b"abcabc": 1, b"bcabca": 1, b"cabcab": 1}
+    ring = {(b"abc" * n)[i:i + n]: 1 for i in range(3)}
     assert len(toxicity.joined(ring)) == 1
 
 
@@ -126,20 +126,21 @@ def test_toxicity_and_quality_of_odd_rows(documents, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     odd = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (3, None, None), (None, 1, 1), (12, 0, 0), (8, 7, 7)], "doc_id long, toxic int, quality int")
     for labels in (none, odd):
-        tox, good = toxicity.train(docs, labels), quality.train(docs, labels)
-        for found in (toxicity.score_texts(docs, tox), quality.score_texts(docs, good)):
+        stats = quality.document_statistics(docs)
+        tox, good = toxicity.train(docs, labels), quality.train(stats, labels)
+        for found in (toxicity.score_texts(docs, tox), quality.score(stats, good)):
             scores = [r["score"] for r in found.collect()]
             assert len(scores) == len(ODD) and all(0 <= s <= 1 for s in scores)
         kept = toxicity.drop_toxic(docs, tox, 2.0)
         assert kept.columns == docs.columns and kept.count() == len(ODD)
     assert toxicity.score_texts(docs.filter("false"), tox).count() == 0
-    assert quality.score_texts(docs.filter("false"), good).count() == 0
+    assert quality.score(quality.document_statistics(docs.filter("false")), good).count() == 0
 
 
 def test_quadratic_discriminant_against_numpy(spark):
-    docs, labels = table(spark, SF, "documents", "doc_id", "text"), table(spark, SF, "labels")
+    docs, labels = quality.document_statistics(table(spark, SF, "documents", "doc_id", "text")), table(spark, SF, "labels")
     model = quality.train(docs, labels)
-    rows = quality.features(docs, F.col("doc_id")).join(labels, "doc_id").filter(~is_held_out("doc_id")).collect()
+    rows = docs.join(labels, "doc_id").filter(~is_held_out("doc_id")).collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows])
     spread = {k: np.cov(x[y == k].T, bias=True) for k in (0, 1)}
     pooled = sum(spread[k] * (y == k).sum() for k in (0, 1)) / len(y)
@@ -150,7 +151,7 @@ def test_quadratic_discriminant_against_numpy(spark):
         off = x - x[y == k].mean(axis=0)
         density.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(own), off))
     assert np.allclose(model.log_density(1, x) - model.log_density(0, x), density[1] - density[0], rtol=1e-6, atol=1e-6)
-    held = quality.score_texts(docs, model).join(labels, "doc_id").filter(is_held_out("doc_id")).collect()
+    held = quality.score(docs, model).join(labels, "doc_id").filter(is_held_out("doc_id")).collect()
     right = [(r["score"] >= 0.7) == bool(r["quality"]) for r in held]
     assert sum(right) >= 0.95 * len(right)
 

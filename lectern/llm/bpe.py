@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import os
 from array import array
@@ -44,6 +45,8 @@ _SPECIAL_MARK = r"<\|"
 UNSAFE = rf"[\t-\r ] |{_SPECIAL_MARK}|[^{_PLAIN}]"
 
 SLICE_BYTES = 8 << 20         # text handled at once
+JOINED = 2000                 # words the library encodes as one text
+MAX_PAIRS = 4_000_000         # known pairs of tokens per worker
 MEMO_ENTRIES = 800_000         # words remembered per worker before starting afresh
 
 
@@ -140,26 +143,31 @@ class SpeculativeEncoder:
         at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pairs, at, -1)
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        if len(self.pairs) > 4_000_000:
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, how many each word has)."""
+        if len(self.pairs) > MAX_PAIRS:
             self.pairs, self.fits = self.pairs[:0], self.fits[:0]
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         proposals = [self.vocabulary.propose(w) for w in raw]
-        lengths = np.fromiter(map(len, proposals), np.int64, len(proposals))
-        ids = np.fromiter((i for p in proposals for i in p), np.int64, int(lengths.sum()))
-        if len(ids) < 2:
-            return proposals
-        owner = np.repeat(np.arange(len(words)), lengths)
+        ids, sizes = _flat(proposals)
+        owner = np.repeat(np.arange(len(words)), sizes)
         inside = owner[1:] == owner[:-1]
-        pairs, owner = (ids[:-1] * len(self.vocabulary.bytes) + ids[1:])[inside], owner[1:][inside]
+        pairs, owner = (ids[:-1].astype(np.int64) * len(self.vocabulary.bytes) + ids[1:])[inside], owner[1:][inside]
+        if not len(pairs):
+            return ids, sizes
         distinct, index = np.unique(pairs, return_inverse=True)
         if len(new := distinct[self._known(distinct) < 0]):
             self._learn(new)
-        bad = np.unique(owner[~self.fits[self._known(distinct)][index]]) if len(pairs) else owner
+        bad = np.unique(owner[~self.fits[self._known(distinct)][index]])
         for k in bad.tolist():
             proposals[k] = self.vocabulary.merge(raw[k])
         self.merged += len(bad)
-        return proposals
+        return _flat(proposals) if len(bad) else (ids, sizes)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
 
 class LibraryEncoder:
@@ -172,39 +180,75 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)      # bytes of a token: a character stands for each
+        for token, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(token)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Words that bring their space are cut apart again when joined, so the
+        # library gets a few long texts; byte counts tell the words' tokens.
+        joins = [len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words]
+        together = [w for w, j in zip(words, joins) if j]
+        texts = ["".join(together[i:i + JOINED]) for i in range(0, len(together), JOINED)]
+        encode = self.tokenizer.encode_batch_fast
+        ids = np.concatenate([np.empty(0, np.uint32), *[np.array(e.ids, np.uint32) for e in encode(texts, add_special_tokens=False)]])
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in together), np.int64, len(together)))
+        last = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+        if len(ends) and not np.array_equal(np.cumsum(self.lengths[ids])[last - 1], ends):
+            raise AssertionError("a token crosses the border of two words")
+        apart = [w for w, j in zip(words, joins) if not j]
+        rest, rest_sizes = _flat([e.ids for e in encode(apart, add_special_tokens=False)])
+        # Back into the order of the words.
+        joins = np.array(joins, bool)
+        order = np.argsort(~joins, kind="stable")
+        sizes = np.empty(len(words), np.int64)
+        sizes[order] = np.concatenate([np.diff(last, prepend=0), rest_sizes])
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.concatenate([ids, rest])[at], sizes
 
 
 class BatchEncoder:
     """Token ids of whole texts, each distinct word encoded once."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode_words = encode_words
         self.special = encode_words.special
-        self.memo: dict[str, bytes] = {}       # word or chunk -> ids as 32-bit integers
+        self.memo: dict[str, bytes] = {}       # word -> ids as 32-bit integers
         self.cutter = ByteLevel(add_prefix_space=False, use_regex=True)
 
-    def _remember(self, words: list[str]) -> None:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        if new := list({w for w in words if w not in self.memo}):
-            self.memo.update(zip(new, [array("I", ids).tobytes() for ids in self.encode_words(new)]))
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that encode alone as they do in place."""
-        out = list(map(self.memo.get, chunks))
-        missing = [i for i, ids in enumerate(out) if ids is None]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words, new ones encoded together."""
+        found = list(map(self.memo.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            words = [WORDS.findall(chunks[i]) for i in missing]
-            self._remember([w for ws in words for w in ws])
-            memo = self.memo
-            for i, ws in zip(missing, words):
-                if len(ws) == 1:
-                    out[i] = memo[ws[0]]
-                else:
-                    memo[chunks[i]] = out[i] = b"".join([memo[w] for w in ws])
-        return out
+            if len(self.memo) > MEMO_ENTRIES:
+                self.memo.clear()
+            new = list({words[i] for i in missing})
+            ids, sizes = self.encode_words(new)
+            data, ends = ids.astype(np.uint32).tobytes(), (4 * np.cumsum(sizes)).tolist()
+            self.memo.update(zip(new, [data[a:b] for a, b in zip([0, *ends], ends)]))
+            get = self.memo.__getitem__
+            for i in missing:
+                found[i] = get(words[i])
+        return found
+
+    def _chunks(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids, and how many each chunk has, of chunks that start with their one
+        space and end in no white space: joined, they are cut into the same words."""
+        words = WORDS.findall("".join(chunks))
+        ids = self._ids(words)
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))),
+                               np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
+        sizes = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        return b"".join(ids), np.diff(sizes[last], prepend=0) if len(chunks) else last
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        """Ids of texts that only encode as in place when taken one by one."""
+        words = [WORDS.findall(c) for c in chunks]
+        ids = iter(self._ids([w for ws in words for w in ws]))
+        return [b"".join([next(ids) for _ in ws]) for ws in words]
 
     def _whole(self, text: str) -> bytes:
         """Ids of any text: special tokens, then the library's own word cuts."""
@@ -216,9 +260,7 @@ class BatchEncoder:
             if part in self.special:
                 out.append(array("I", [self.special[part]]).tobytes())
             elif part:
-                words = [part[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(part)]
-                self._remember(words)
-                out += [self.memo[w] for w in words]
+                out += self._ids([part[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(part)])
         return b"".join(out)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -237,16 +279,24 @@ class BatchEncoder:
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         first = offsets[:-1]
-        # A chunk is remembered with its space; the first of a text has none.
-        ids = self._chunks(pc.binary_join_element_wise("", coded.dictionary, " ").to_pylist())
-        shared = len(ids)
-        ids += self._chunks(flat.take(pa.array(first)).to_pylist())
-        index[first] = shared + np.arange(len(first))
+        # A chunk stands with its space, the first of a text has none.  Last
+        # chunks may end in white space; those, too, are taken one by one.
+        spaced = pc.binary_join_element_wise("", coded.dictionary, " ")
+        odd = pc.match_substring_regex(spaced, r"[\t-\r ]\z").to_numpy(zero_copy_only=False)
+        joined, counts = self._chunks(spaced.filter(pa.array(~odd)).to_pylist())
+        single = self._alone(spaced.filter(pa.array(odd)).to_pylist())
+        firsts = self._alone(flat.take(pa.array(first)).to_pylist())
         for i, own in whole.items():
-            ids[shared + i] = own
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        store = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            firsts[i] = own
+        place = np.empty(len(odd), np.int64)
+        place[~odd] = np.arange(len(counts))
+        place[odd] = len(counts) + np.arange(len(single))
+        index = place[index]
+        index[first] = len(odd) + np.arange(len(first))
+        apart = single + firsts
+        sizes = np.concatenate([counts, np.fromiter(map(len, apart), np.int64, len(apart)) // 4])
+        store = np.frombuffer(b"".join([joined, *apart]), np.uint32)
+        starts = np.cumsum(sizes) - sizes
         lengths = sizes[index]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

@@ -47,11 +47,14 @@ class WaveletMatrix:
             now = now.astype(np.uint16)
         rows, zeros = [], []
         for bit in range(planes - 1, -1, -1):
-            ones = ((now >> bit) & 1).astype(np.uint8)
+            ones = (now & now.dtype.type(1 << bit)).astype(bool)
             rows.append(np.packbits(ones, bitorder="little"))
-            zero_at = np.flatnonzero(ones == 0)
+            one_at, zero_at = np.flatnonzero(ones), np.flatnonzero(~ones)
             zeros.append(len(zero_at))
-            now = np.concatenate([now[zero_at], now[np.flatnonzero(ones)]])
+            after = np.empty_like(now)
+            np.take(now, zero_at, out=after[:len(zero_at)], mode="clip")
+            np.take(now, one_at, out=after[len(zero_at):], mode="clip")
+            now = after
         packed = np.stack(rows) if planes else np.empty((0, 0), np.uint8)
         return cls(n, packed, cls._directory(packed), np.array(zeros, np.uint32))
 
@@ -152,9 +155,9 @@ class WaveletMatrix:
         """The whole sequence, rebuilt plane by plane from the last one."""
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             zeros, out = int(self.zeros[level]), np.empty_like(now)
-            out[np.flatnonzero(ones == 0)] = now[:zeros]
+            out[np.flatnonzero(~ones)] = now[:zeros]
             out[np.flatnonzero(ones)] = now[zeros:] | now.dtype.type(1 << (len(self.planes) - 1 - level))
             now = out
         return now.astype(np.uint32)

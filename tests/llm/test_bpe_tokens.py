@@ -36,11 +36,18 @@ def test_ids_equal_the_librarys(texts):
         assert bpe.decode(ENCODER.encode_words.vocabulary, ids[a:b]) == LIBRARY.decode(ids_of(text), skip_special_tokens=False)
 
 
+def test_words_joined_for_the_library_come_apart():
+    words = [" the", "a", " ,", " 12", "\n", " ", "  ", " née", ",", " <|", " 日本", "'s"] + [f" word{i}" for i in range(5000)]
+    ids, sizes = bpe.LibraryEncoder(PATH)(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(w) for w in words]
+
+
 def test_proposals_fail_and_are_merged():
     encoder = bpe.SpeculativeEncoder(PATH)
     rng = random.Random(4)
     words = sorted({"".join(rng.choice(["th", "tion", "er", "ing", "ou", "ble", "an"]) for _ in range(rng.randint(1, 7))) for _ in range(2000)})
-    assert encoder(words) == [ids_of(w) for w in words]
+    ids, sizes = encoder(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(w) for w in words]
     assert 0 < encoder.merged < len(words)
 
 

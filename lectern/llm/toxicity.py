@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made from bounded samples of labelled text.
-Both end with the same trained dictionary of text in general; before it stands
+Both end with the same dictionary, trained on ordinary text; before it stands
 what is typical of the one class only: word pieces found in far more of its
 documents than of the other class's.  A text is cut into overlapping windows,
 each is compressed with either dictionary, and the bytes that the toxic
@@ -28,8 +28,8 @@ from lectern.llm.common import fold, is_training, save, slices, texts_of
 
 SAMPLE = {1: 6_000, 0: 12_000}   # labelled documents of each class at most, by order of hash
 CALIBRATION_FOLD = 3              # of the training folds 0, 1 and 3
-PIECE = 6                         # bytes of a word piece, also the shortest match
-WINDOW, STEP = 128, 112           # bytes of a window and between two starts
+PIECE = 5                         # bytes of a word piece, also the shortest match
+WINDOW, STEP = 96, 80             # bytes of a window and between two starts
 BASE_BYTES = 8192                 # of the shared dictionary
 BASE_WINDOWS, BASE_WINDOW = 3, 300     # taken from each sampled document for it
 TYPICAL_Z, TYPICAL_RATIO, TYPICAL_DOCS, TYPICAL_SHARE = 6.0, 40.0, 4, 0.01
@@ -127,7 +127,7 @@ def document_features(texts: list[str], compressors) -> np.ndarray:
     if not texts:
         return np.empty((0, 4))
     saved, first = distances(texts, compressors)
-    hits = np.add.reduceat((saved >= 2).astype(np.int64), first)
+    hits = np.add.reduceat((saved > 0).astype(np.int64), first)
     counts = np.diff(np.append(first, len(saved)))
     return np.stack([np.maximum.reduceat(saved, first), np.log1p(hits),
                      np.log1p(np.add.reduceat(np.maximum(saved, 0), first)), hits / counts], axis=1).astype(float)
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n.get((0, False)) or not n.get((1, False)):
         return constant
     typical = {k: _typical(fitting, k, n[k, False], n[1 - k, False]) for k in (0, 1)}
-    model = Model(_base(fitting), {k: b"".join(r + b"\0" for r in joined(v)) for k, v in typical.items()})
+    model = Model(_base(fitting.filter("label = 0")), {k: b"".join(r + b"\0" for r in joined(v)) for k, v in typical.items()})
     if not n.get((0, True)) or not n.get((1, True)):
         return constant
     shared = spark.sparkContext.broadcast(model)

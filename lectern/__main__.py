@@ -16,7 +16,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from lectern.plans import catalog
-from lectern.session import configure
+from lectern.session import configure, remove_intermediate
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -43,6 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.partition_by:
         writer = writer.partitionBy(args.partition_by)
     writer.format(args.format).save(args.output)
+    remove_intermediate(spark)
     return 0
 
 

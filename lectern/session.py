@@ -3,21 +3,22 @@
 Operators never create sessions; only entry points (bench, tests, the
 driver contract) do.  ``configure`` applies the settings every plan in
 this package assumes (AQE on, UTC, no UI) to an existing session, and
-``ensure_checkpoint_dir`` makes ``DataFrame.checkpoint()`` usable: it
-honours a cluster-provided ``spark.checkpoint.dir`` and only falls back
-to a private scratch folder when running in local mode.
+``ensure_checkpoint_dir`` gives the folder for intermediate tables: the
+cluster's ``spark.checkpoint.dir``, or a private one in local mode.
+``remove_intermediate`` empties it.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Broadcast decisions are taken at runtime by AQE from measured sizes
-# (plus explicit, size-checked hints in ``operators.joins``); the static
-# estimate-based threshold stays at its default.
+# Broadcast decisions are Spark's, from file sizes and at runtime from
+# measured ones; the threshold stays at its default.
 _SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -49,28 +50,38 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in _SESSION_CONF.items():
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # static conf on a shared session: keep what is there
-            pass
+        spark.conf.set(key, value)
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, creating a local one only in local mode."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Only in local mode, where nothing is shared, an unset folder is replaced
+    by a private one that goes when the process ends."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; point it at a shared folder "
-            "(HDFS/object store) so checkpoints survive executor loss")
-    folder = tempfile.mkdtemp(prefix="lectern-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(folder)
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set; point it at a shared folder "
+                "(HDFS/object store) so intermediate tables survive executor loss")
+        configured = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it when no
+    result that reads them is needed any more."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.delete(path, True)
+        system.mkdirs(path)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -110,8 +111,9 @@ class Model:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Count n-grams and scripts per language over every training row: text
-    and language not NULL and the id outside the held-out fold.  At most
-    MAX_LANGUAGES x (FEATURES + scripts) sums reach the driver."""
+    and language not NULL and the id outside the held-out fold.  The model
+    (a vector of FEATURES sums for each of at most MAX_LANGUAGES languages) is
+    all that reaches the driver."""
     width = FEATURES + len(SCRIPT_NAMES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +142,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     source = docs.filter(is_training(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    partial = source.mapInArrow(count, "lang string, feature int, n long")
-    counts = partial.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique().tolist())
+    def vector(group: pd.DataFrame) -> pd.DataFrame:
+        row = np.zeros(width, np.float32)
+        row[group["feature"].to_numpy()] = group["n"].to_numpy()
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "counts": [row.tobytes()]})
+
+    sums = source.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    # A group has ``width`` rows at most; the driver gets one row for each language.
+    found = sorted(map(tuple, sums.groupBy("lang").applyInPandas(vector, "lang string, counts binary").limit(MAX_LANGUAGES + 1).collect()))
+    languages = [lang for lang, _ in found]
     if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model is bounded to {MAX_LANGUAGES}")
-    table = np.zeros((len(languages), width))
-    row = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)
-    table[row, counts["feature"].to_numpy(int)] = counts["n"].to_numpy(float)
-    logs = np.empty((len(languages), FEATURES))
+        raise ValueError(f"more languages than {MAX_LANGUAGES}, the bound of the model")
+    table = np.array([np.frombuffer(c, np.float32) for _, c in found], np.float64).reshape(len(found), width)
+    logs = np.empty((len(languages), FEATURES), np.float32)
     for k in range(len(GRAMS)):
         part = table[:, k * BUCKETS:(k + 1) * BUCKETS] + SMOOTHING
         logs[:, k * BUCKETS:(k + 1) * BUCKETS] = np.log(part / part.sum(axis=1, keepdims=True))

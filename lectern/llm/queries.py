@@ -22,7 +22,7 @@ TOXIC_FROM, GOOD_FROM = 0.3, 0.7
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.simhash_components(docs)
 
 
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ written to the shared folder.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -36,32 +37,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, save, slices, texts_of
+from lectern.llm.common import save, slices, texts_of
 
 SEED = 42                      # fixed by the contract
-BLOCK = 1 << 15                # shingle hashes counted at once
+BLOCK = 1 << 18                # bytes of a text counted at once
 DENSE = 64                     # fingerprints of a cell beyond which it is cut into runs
 RUN = 2048                     # about so many fingerprints in a run of a dense cell
-_WORDS = re.compile(WORD)
-_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_DIGEST = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit SimHash; a bit is set if it is set in over half the shingles."""
-    words = _WORDS.findall((text or "").translate(_LOWER))
-    if not words:
-        return 0
-    count = max(1, len(words) - shingle + 1)
-    digest, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    grams = words
-    if count > 1 or len(words) == shingle:
-        runs = [words[i:] for i in range(shingle)]
-        grams = map(" ".join, zip(*runs))
-    else:
-        grams = iter([" ".join(words)])
-    while len(block := np.fromiter((digest(g, SEED) for g in itertools.islice(grams, BLOCK)), np.uint64)):
-        bits = np.unpackbits(block.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """64-bit SimHash; a bit is set if it is set in over half the shingles.
+
+    Bytes lower only A-Z and split at the contract's white space.  The text is
+    taken BLOCK bytes at a time, the last words of a block going on to the
+    next, so memory does not grow with its shingles."""
+    data, votes, count = (text or "").encode(), np.zeros(64, np.int64), 0
+    carry: list[bytes] = []
+    at = 0
+    while at < len(data):
+        cut = _SPACE.search(data, min(at + BLOCK, len(data)))
+        end = cut.start() if cut else len(data)
+        words = carry + data[at:end].lower().split()
+        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+        hashes = np.fromiter(map(_DIGEST, grams), np.uint64)
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
+        count += len(hashes)
+        carry = words[-(shingle - 1):] if shingle > 1 else []
+        at = end
+    if not count:
+        return _DIGEST(b" ".join(words)) if data and words else 0
     return int.from_bytes(np.packbits(2 * votes > count, bitorder="little").tobytes(), "little")
 
 
@@ -193,35 +200,41 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+def _rooted(docs: DataFrame, shingle: int, max_bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, bits) of every row, and (bits, first_id, root): the
+    component of every fingerprint."""
+    rows = save(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    points = save(rows.groupBy("bits").agg(F.min("id").alias("first_id")), "points")
+    root = components(links(points, max_bits))
+    return rows, points.join(root.withColumnRenamed("node", "bits"), "bits", "left").select(
+        "bits", "first_id", F.coalesce("root", "bits").alias("root"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, fingerprint, component_id) of every row.
+    """(id, fingerprint, component_id) of every row.
 
     ``component_id`` is the smallest id reachable over links of at most
     ``max_bits`` differing bits.  NULL and empty texts have fingerprint zero
     and link like any other.  Repeated rows and repeated ids keep their rows.
     A NULL id is never a component's id unless the whole component has none.
     """
-    rows = save(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    points = save(rows.groupBy("bits").agg(F.min("id").alias("first_id")), "points")
-    root = components(links(points, max_bits))
-    joined = points.join(root.withColumnRenamed("node", "bits"), "bits", "left").select(
-        "bits", "first_id", F.coalesce("root", "bits").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = joined.join(least, "root").select("bits", "component_id")
+    rows, points = _rooted(docs, shingle, max_bits, id_col, text_col)
+    least = points.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    known = points.join(least, "root").select("bits", "component_id")
     return rows.join(known, "bits").select(
-        F.col("id").alias(id_col), "text_hash", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the smallest id,
-    and of repeated rows of that id the one with the smallest text hash.
-    A component of rows without id keeps one of them."""
-    found = simhash_components(docs, shingle, max_bits, id_col, text_col)
-    keepers = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")).agg(
-        F.min(F.when(F.col(id_col).eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias("__hash"))
-    keepers = keepers.select(F.col("component_id").alias("__id"), "__hash").distinct()
-    keepers = keepers.select(*_row_key(F.col("__id"), F.col("__hash")))
+    """One row of ``docs`` for each component: that of the smallest id (a NULL id
+    only where there is no other), then of the smallest text hash; of repeated
+    rows one stays.  Columns are unchanged."""
+    rows, points = _rooted(docs, shingle, max_bits, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("first")
+    # A third of the rows may share a fingerprint: rows meet per fingerprint first.
+    keepers = rows.groupBy("bits").agg(first).join(points.select("bits", "root"), "bits").groupBy("root").agg(
+        F.min("first").alias("first")).select(*_row_key(F.col("first.id"), F.col("first.text_hash")))
     keyed = docs.select("*", *_row_key(F.col(id_col), F.xxhash64(F.col(text_col))))
     # The same columns join and remove repeats, so the texts move once.
     return keyed.join(keepers, list(_KEY), "left_semi").dropDuplicates(list(_KEY)).select(

@@ -110,4 +110,7 @@ def test_odd_rows_and_keepers(documents):
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
     assert ids == sorted(set(expected.values()))
+    twice = documents((50, "one text of this id, long enough for shingles"), (50, "another text that shares nothing with it at all"), (51, None), (50, None))
+    assert sorted((r["doc_id"], r["text"] or "") for r in simhash.keep_one(twice).collect()) == [
+        (50, ""), (50, "another text that shares nothing with it at all"), (50, "one text of this id, long enough for shingles")]
     assert simhash.simhash_components(docs.filter("false")).count() == 0 == simhash.keep_one(docs.filter("false")).count()

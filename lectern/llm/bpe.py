@@ -44,10 +44,9 @@ _PLAIN = (r"\t-\r -~\x{A1}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3FF}\x{400}-\x{481}\
 _SPECIAL_MARK = r"<\|"
 UNSAFE = rf"[\t-\r ] |{_SPECIAL_MARK}|[^{_PLAIN}]"
 
-SLICE_BYTES = 12 << 20        # text handled at once
+SLICE_BYTES = 8 << 20         # text handled at once
 JOINED = 2000                 # words the library encodes as one text
 MAX_PAIRS = 4_000_000         # known pairs of tokens per worker
-MEMO_ENTRIES = 1_000_000       # words remembered per worker before starting afresh
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -122,6 +121,8 @@ class Vocabulary:
 class SpeculativeEncoder:
     """Encodes lists of words by proposal, pair check and, where needed, merging."""
 
+    memo_entries = 500_000        # words remembered per worker before starting afresh
+
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.special = self.vocabulary.special
@@ -173,6 +174,8 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class LibraryEncoder:
     """The same interface over the tokenizers library's own encoder."""
 
+    memo_entries = 900_000        # it holds no vocabulary of its own in Python
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark's tasks already use the cores
         self.tokenizer = Tokenizer.from_file(path)
@@ -223,7 +226,7 @@ class BatchEncoder:
         found = list(map(self.memo.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            if len(self.memo) > MEMO_ENTRIES:
+            if len(self.memo) > self.encode_words.memo_entries:
                 self.memo.clear()
             new = list({words[i] for i in missing})
             ids, sizes = self.encode_words(new)
@@ -300,9 +303,10 @@ class BatchEncoder:
         lengths = sizes[index]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(starts[index] - (ends - lengths), lengths)
-        at += np.arange(total, dtype=np.int64)
+        at = np.repeat((starts[index] - (ends - lengths)).astype(np.int32), lengths)
+        at += np.arange(total, dtype=np.int32)
         bounds = np.concatenate([[0], ends])[offsets]
+        pa.default_memory_pool().release_unused()
         return store[at], bounds
 
 

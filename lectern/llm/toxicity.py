@@ -1,14 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from bounded samples of labelled text.
-Both end with the same dictionary, trained on ordinary text; before it stands
-what is typical of the one class only: word pieces found in far more of its
-documents than of the other class's.  A text is cut into overlapping windows,
-each is compressed with either dictionary, and the bytes that the toxic
-dictionary saves over the ordinary one are the window's distance.  As the
-dictionaries share the rest, position included, the difference comes from the
-typical pieces alone.  A logistic calibration, fitted on documents that gave
-nothing to the dictionaries, turns a text's distances into a probability.
+Two zstandard dictionaries of one size are trained on bounded samples of
+labelled text, one on the toxic and one on the ordinary documents, each over
+windows of the whole texts.  A text is cut into overlapping windows, each is
+compressed with either dictionary, and the bytes that the toxic dictionary
+saves over the ordinary one are the window's distance.
+
+A second pair is an addition for rare words in much ordinary text, where the
+first pair's distances are mostly chance.  Both end with the same dictionary,
+trained on ordinary text; before it stands what is typical of the one class only: word
+pieces found in far more of its documents than of the other class's.  As these
+share the rest, position included, their difference comes from the typical
+pieces alone.  A logistic calibration, fitted on documents that gave nothing
+to the dictionaries, turns a text's distances by both pairs into a probability.
 """
 
 from __future__ import annotations
@@ -30,12 +34,16 @@ SAMPLE = {1: 6_000, 0: 12_000}   # labelled documents of each class at most, by
 CALIBRATION_FOLD = 3              # of the training folds 0, 1 and 3
 PIECE = 5                         # bytes of a word piece, also the shortest match
 WINDOW, STEP = 96, 80             # bytes of a window and between two starts
-BASE_BYTES = 8192                 # of the shared dictionary
+DICTIONARY_BYTES, PART = 8192, 300     # of a class's trained dictionary; of a window that it is trained on
+MAX_PARTS = 40_000                # such windows of a class at most, by order of hash
+BASE_BYTES = 8192                 # of the dictionary behind the typical pieces
 BASE_WINDOWS, BASE_WINDOW = 3, 300     # taken from each sampled document for it
 TYPICAL_Z, TYPICAL_RATIO, TYPICAL_DOCS, TYPICAL_SHARE = 6.0, 40.0, 4, 0.01
 MAX_PIECES = 20_000               # typical pieces of a class at most, the commonest first
 RIDGE = 1e-2
 SLICE_BYTES = 4 << 20
+FEATURES = list("abcdefg")        # columns of document_features
+Pair = tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]
 _BLANK = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
 
 
@@ -84,15 +92,20 @@ def joined(typical: dict[bytes, int]) -> list[bytes]:
 class Model:
     base: bytes = b""
     typical: dict[int, bytes] = field(default_factory=lambda: {0: b"", 1: b""})
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(4))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(4))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    trained: dict[int, bytes] = field(default_factory=lambda: {0: b"", 1: b""})
+    mean: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(len(FEATURES)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        """(ordinary, toxic)."""
+    def compressors(self) -> Pair:
+        """(ordinary, toxic) by typical pieces before the shared dictionary."""
         longest = max(map(len, self.typical.values()))
         return tuple(_compressor(b"\0" * (longest - len(self.typical[k])) + self.typical[k] + self.base) for k in (0, 1))
 
+    def pairs(self) -> tuple[Pair, Pair]:
+        """The trained dictionaries, and those with the typical pieces."""
+        return tuple(_compressor(self.trained[k]) for k in (0, 1)), self.compressors()
+
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     content = content.rjust(8, b"\0")
@@ -104,9 +117,10 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=content_only, compression_params=parameters)
 
 
-def distances(texts: list[str], compressors: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes that the toxic dictionary saves on each window, first window of
-    each text).  Windows cover the whole text; a text has one at least."""
+def distances(texts: list[str], *pairs: Pair) -> tuple[np.ndarray, ...]:
+    """(bytes that each pair's toxic dictionary saves on each window ..., first
+    window of each text).  Windows cover the whole text; a text has one at
+    least."""
     data = [normalised(t) for t in texts]
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     counts = np.maximum(1, -(-(sizes - (WINDOW - STEP)) // STEP))
@@ -117,19 +131,23 @@ def distances(texts: list[str], compressors: tuple[zstandard.ZstdCompressor, zst
     length = np.minimum(WINDOW, sizes[owner] - inside)
     segments = np.stack([begin, length], axis=1).astype(np.uint64)
     buffer = zstandard.BufferWithSegments(b"".join(data), segments.tobytes())
-    ordinary, toxic = (np.fromiter(map(len, c.multi_compress_to_buffer(buffer)), np.int64, len(owner)) for c in compressors)
-    return ordinary - toxic, first
+    sizes = ([np.fromiter(map(len, c.multi_compress_to_buffer(buffer)), np.int64, len(owner)) for c in pair] for pair in pairs)
+    return *(ordinary - toxic for ordinary, toxic in sizes), first
 
 
-def document_features(texts: list[str], compressors) -> np.ndarray:
-    """Largest distance, and how many windows, how many bytes and what share
-    of the windows the toxic dictionary saves."""
+def document_features(texts: list[str], pairs: tuple[Pair, Pair]) -> np.ndarray:
+    """By the trained dictionaries: the largest and the mean distance and the
+    share of windows that the toxic one saves on.  By the typical pieces: the
+    largest distance, and how many windows, how many bytes and what share of
+    the windows the toxic dictionary saves."""
     if not texts:
-        return np.empty((0, 4))
-    saved, first = distances(texts, compressors)
+        return np.empty((0, len(FEATURES)))
+    trained, saved, first = distances(texts, *pairs)
     hits = np.add.reduceat((saved > 0).astype(np.int64), first)
     counts = np.diff(np.append(first, len(saved)))
-    return np.stack([np.maximum.reduceat(saved, first), np.log1p(hits),
+    return np.stack([np.maximum.reduceat(trained, first), np.add.reduceat(trained, first) / counts,
+                     np.add.reduceat((trained > 0).astype(np.int64), first) / counts,
+                     np.maximum.reduceat(saved, first), np.log1p(hits),
                      np.log1p(np.add.reduceat(np.maximum(saved, 0), first)), hits / counts], axis=1).astype(float)
 
 
@@ -150,27 +168,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = save(sample.select("label", "text", (fold("id") == CALIBRATION_FOLD).alias("calibrates")), "toxicity-sample")
     n = {(r["label"], r["calibrates"]): r["n"] for r in sample.groupBy("label", "calibrates").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1) if totals else 1e-6
-    constant = Model(weights=np.array([math.log(prior / (1 - prior)), 0, 0, 0, 0]))
+    constant = Model(weights=np.r_[math.log(prior / (1 - prior)), np.zeros(len(FEATURES))])
     fitting = sample.filter("NOT calibrates")
     if not n.get((0, False)) or not n.get((1, False)):
         return constant
     typical = {k: _typical(fitting, k, n[k, False], n[1 - k, False]) for k in (0, 1)}
-    model = Model(_base(fitting.filter("label = 0")), {k: b"".join(r + b"\0" for r in joined(v)) for k, v in typical.items()})
+    model = Model(_base(fitting.filter("label = 0")), {k: b"".join(r + b"\0" for r in joined(v)) for k, v in typical.items()},
+                  {k: _trained(fitting.filter(F.col("label") == k)) for k in (0, 1)})
     if not n.get((0, True)) or not n.get((1, True)):
         return constant
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compressors = shared.value.compressors()
+        pairs = shared.value.pairs()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at:at + 500]
-                found = document_features(part["text"].tolist(), compressors)
-                yield pd.DataFrame(found, columns=list("abcd")).assign(label=part["label"].to_numpy())
+                found = document_features(part["text"].tolist(), pairs)
+                yield pd.DataFrame(found, columns=FEATURES).assign(label=part["label"].to_numpy())
 
-    found = sample.filter("calibrates").mapInPandas(measure, "a double, b double, c double, d double, label int").toPandas()
-    found = found.sort_values(list("abcd") + ["label"])
-    x, y = found[list("abcd")].to_numpy(), found["label"].to_numpy()
+    found = sample.filter("calibrates").mapInPandas(measure, ", ".join(f"{c} double" for c in FEATURES) + ", label int").toPandas()
+    found = found.sort_values(FEATURES + ["label"])
+    x, y = found[FEATURES].to_numpy(), found["label"].to_numpy()
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     # Rows count as often as their class has documents, so that scores are probabilities over all of them.
     times = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
@@ -214,6 +233,20 @@ def _typical(fitting: DataFrame, label: int, own: int, other: int) -> dict[bytes
     return {bytes(r["piece"]): int(r["a"]) for r in rows}
 
 
+def _trained(fitting: DataFrame) -> bytes:
+    """A dictionary trained on windows that cover the sampled documents."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                yield pd.DataFrame({"window": [data[i:i + PART] for data in map(normalised, batch["text"].iloc[at:at + 200])
+                                               for i in range(0, len(data), PART)]})
+
+    # The bound on the windows is also the bound on what the driver holds.
+    chosen = fitting.mapInPandas(cut, "window binary").distinct().orderBy(F.xxhash64("window"), "window").limit(MAX_PARTS)
+    windows = sorted(bytes(r[0]) for r in chosen.collect())
+    return _dictionary(windows, DICTIONARY_BYTES, 8)
+
+
 def _base(fitting: DataFrame) -> bytes:
     """A dictionary trained on windows spread over each sampled document."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,10 +257,14 @@ def _base(fitting: DataFrame) -> bytes:
             yield pd.DataFrame({"window": out})
 
     windows = [bytes(r[0]) for r in fitting.mapInPandas(cut, "window binary").distinct().orderBy("window").collect()]
+    return _dictionary(windows, BASE_BYTES, 6)
+
+
+def _dictionary(windows: list[bytes], size: int, segment: int) -> bytes:
     try:
-        return zstandard.train_dictionary(BASE_BYTES, windows, k=64, d=6).as_bytes()
+        return zstandard.train_dictionary(size, windows, k=64, d=segment).as_bytes()
     except zstandard.ZstdError:               # too little text to train on
-        return b"".join(windows)[-BASE_BYTES:]
+        return b"".join(windows)[-size:]
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,10 +296,10 @@ def _scorer(docs: DataFrame, model: Model):
 
     def score(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         model = shared.value
-        compressors = model.compressors()
+        pairs = model.pairs()
         for batch in batches:
             for part in slices(batch, text_col, SLICE_BYTES):
-                x = (document_features(texts_of(part, text_col), compressors) - model.mean) / model.scale
+                x = (document_features(texts_of(part, text_col), pairs) - model.mean) / model.scale
                 yield part, 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30)))
 
     return score

@@ -121,6 +121,26 @@ def test_toxicity_of_held_out_documents(spark, documents):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxic_words_that_ordinary_text_also_uses_are_learnt(documents, spark):
+    """Every piece of a toxic word is in too many ordinary documents to pass as typical."""
+    rng = random.Random(4)
+    nasty = [sentence("bb", 1, rng) + sentence("bb", 1, rng) + "q" for _ in range(20)]
+    rows, labels = [], []
+    for i in range(1200):
+        words = sentence("aa", 60, rng).split()
+        toxic = i % 3 == 0
+        for word in rng.sample(nasty, 12 if toxic else rng.choice([0, 1])):
+            words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, labels = documents(*rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert not model.typical[1]
+    held = toxicity.score_texts(docs, model).join(labels, "doc_id").filter(is_held_out("doc_id")).collect()
+    toxic, ordinary = ([r["score"] >= 0.3 for r in held if r["toxic"] == k] for k in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) > 50 and sum(ordinary) <= 0.1 * len(ordinary)
+
+
 def test_toxicity_and_quality_of_odd_rows(documents, spark):
     docs = documents(*ODD).withColumnRenamed("source", "label")
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")

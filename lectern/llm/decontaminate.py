@@ -3,7 +3,8 @@
 1. Words of the test items are numbered.  One pass over all documents counts,
    for every word n-gram of the items, the documents that hold it.
 2. The seeds of an item are its n-grams but for the commonest tenth, which
-   are seeds too if at most ``RARE`` documents hold them.  Rarity is relative
+   are seeds too if at most ``RARE`` documents hold them, and so that no
+   ``PASSAGE`` words are without a seed.  Rarity is relative
    to the item: a passage copied into a third of all documents keeps its
    seeds, and so does an edited copy whose surviving n-grams are the only ones
    that occur at all.
@@ -11,7 +12,8 @@
    close together on close diagonals open one window of the text, wide enough
    for the whole item, and Smith-Waterman aligns window and item by words.
    A score of at least ``min_score`` of the item's best possible score
-   is a leak.
+   is a leak.  So is a part of any longer item: a stretch that scores as much
+   as ``PASSAGE`` equal words when each difference costs two of them.
 
 Texts never leave the task that reads them, so a passage that many documents
 share gathers nowhere.  Items are handled in blocks of at most
@@ -36,6 +38,8 @@ GRAM = 3                    # words of a seed
 COMMON_FROM, RARE = 0.9, 100      # quantile of an item's document counts; documents
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5             # of MATCH x words of the item
+PASSAGE, DIFFERENCE = 20, -2      # words of a part that is a leak whatever the item's length; cost there, of 1 a word
+STRETCH = (PASSAGE - GRAM + 2) // 2     # n-grams; any PASSAGE words hold all of one such run
 BLOCK_WORDS = 500_000       # words of test items sent out at once
 SLICE_BYTES = 8 << 20
 NOT_WORDS = r"[^\p{L}\p{M}\p{N}]+"
@@ -95,19 +99,19 @@ def word_numbers(texts: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarra
     return words[keep], np.concatenate([[0], np.cumsum(keep)])[offsets - offsets[0]]
 
 
-def align(window: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
+def align(window: np.ndarray, item: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int]:
     """Best local alignment: (score, first, last + 1) of the window's part.
 
     Row by row; the gap along a row is a running maximum, so each row is a
     few numpy operations.  Number 0 never matches."""
     n = len(window)
-    ramp = -GAP * np.arange(n + 1)
+    ramp = -gap * np.arange(n + 1)
     row, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
     best = (0, 0, 0)
     for word in item:
-        diagonal = row[:-1] + np.where((window == word) & (window > 0), MATCH, MISMATCH)
+        diagonal = row[:-1] + np.where((window == word) & (window > 0), match, mismatch)
         new, begin = np.zeros(n + 1, np.int64), np.arange(n + 1)
-        up = row[1:] + GAP
+        up = row[1:] + gap
         take = np.maximum(diagonal, up)
         origin = np.where(diagonal >= up, start[:-1], start[1:])
         positive = take > 0
@@ -176,6 +180,9 @@ def choose_seeds(block: Block, counts: dict[int, int]) -> Block:
         if len(key):
             n = np.array([counts.get(int(p), 0) for p in np.searchsorted(block.grams, key)])
             rare = n <= max(RARE, np.quantile(n, COMMON_FROM))
+            for start in range(0, len(n), STRETCH):
+                if not rare[start:start + STRETCH].any():
+                    rare[start + n[start:start + STRETCH].argmin()] = True
             rows.append(np.stack([key[rare], np.full(rare.sum(), number), at[rare]], axis=1))
     found = np.concatenate(rows) if rows else np.empty((0, 3), np.int64)
     block.seed_rows = found[np.lexsort(found.T[::-1])]
@@ -183,9 +190,17 @@ def choose_seeds(block: Block, counts: dict[int, int]) -> Block:
     return block
 
 
-def _windows(part_texts: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
+def is_leak(window: np.ndarray, item: np.ndarray, score: int, min_score: float) -> bool:
+    """Whether the window, whose best alignment has ``score``, holds enough of
+    the item as a whole, or a long and good part of it.  Such a part has
+    MATCH x PASSAGE by the ordinary scores too."""
+    return score >= min_score * MATCH * len(item) or (
+        score >= MATCH * PASSAGE and align(window, item, 1, DIFFERENCE, DIFFERENCE)[0] >= PASSAGE)
+
+
+def _windows(part_texts: pa.Array, block: Block, min_score: float) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, score, first word, last word + 1) of the best alignment of
-    each text with each item that it shares a seed with."""
+    each text with each item that it leaks."""
     place, owner, at = _hits(part_texts, block, block.seeds)
     if not len(place):
         return
@@ -207,9 +222,10 @@ def _windows(part_texts: pa.Array, block: Block) -> Iterator[tuple[int, int, int
         size, length = int(sizes[number]), int(offsets[text + 1] - offsets[text])
         first = max(0, int(diagonal[a]) - size // 2)
         last = min(length, int(diagonal[b - 1]) + size + size // 2)
-        score, begin, end = align(words[offsets[text] + first:offsets[text] + last], block.items[number])
+        window = words[offsets[text] + first:offsets[text] + last]
+        score, begin, end = align(window, block.items[number])
         found = (score, -(first + begin), first + end)
-        if found > best.get((text, number), (0, 0, 0)):
+        if found > best.get((text, number), (0, 0, 0)) and is_leak(window, block.items[number], score, min_score):
             best[text, number] = found
     for (text, number), (score, begin, end) in sorted(best.items()):
         yield text, number, score, -begin, end
@@ -235,7 +251,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, block
           id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, score, first_word, n_words): a row for each document row
     and item whose best alignment reaches ``min_score`` of the item's best
-    possible score.  NULL and empty texts have none; repeated rows and repeated
+    possible score, or that hold a long part of it (``is_leak``; the score is
+    then lower).  NULL and empty texts have none; repeated rows and repeated
     items give a row each; an empty table gives no rows."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
@@ -257,8 +274,7 @@ def _finder(shared, min_score: float):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 rows = [(text, number, score / (MATCH * len(block.items[number])), begin, end - begin)
-                        for text, number, score, begin, end in _windows(part.column("text"), block)]
-                rows = [r for r in rows if r[2] >= min_score]
+                        for text, number, score, begin, end in _windows(part.column("text"), block, min_score)]
                 if rows:
                     text, number, score, begin, size = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
@@ -284,7 +300,7 @@ def _dropper(shared, min_score: float, text_col: str):
         for batch in batches:
             for part in slices(batch, text_col, SLICE_BYTES):
                 clean = np.ones(part.num_rows, bool)
-                for text, number, score, _, _ in _windows(part.column(text_col), block):
-                    clean[text] &= score < min_score * MATCH * len(block.items[number])
+                for text, *_ in _windows(part.column(text_col), block, min_score):
+                    clean[text] = False
                 yield part.filter(pa.array(clean))
     return run

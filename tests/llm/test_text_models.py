@@ -238,3 +238,20 @@ def test_a_passage_shared_by_most_documents_keeps_its_seeds(documents, spark):
     rows = [(i, item if i % 4 else sentence("bb", 60, rng)) for i in range(200)]
     found = decontaminate.leaks(documents(*rows), spark.createDataFrame([(5, item), (6, "lo na")], "item_id long, text string")).filter("item_id = 5")
     assert sorted(r["doc_id"] for r in found.collect()) == [i for i in range(200) if i % 4]
+
+
+def test_parts_of_long_items_are_leaks(documents, spark):
+    rng = random.Random(12)
+    words = [sentence("aa", 1, rng) + str(i) for i in range(3000)]
+    items = [rng.sample(words, n) for n in (59, 300, 300, 300)]
+    other = lambda n: rng.choices(words, k=n)
+    edited = [w if k % 10 else "changed" for k, w in enumerate(items[1][100:140])]
+    rows = [(0, 0, items[0][30:59]), (1, 1, items[1][:25]), (2, 1, items[1][275:]), (3, 1, edited), (4, 2, items[2][140:160]),
+            (5, None, items[1][:9]), (6, None, [w for k, w in enumerate(items[2]) if k % 2 == 0][:60]), (7, None, [])]
+    # A part in so many documents that its n-grams are the commonest tenth of its item.
+    rows += [(100 + i, 3, items[3][50:72]) for i in range(150)]
+    docs = documents(*[(i, " ".join(other(40) + part + other(40))) for i, _, part in rows])
+    table_ = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    expected = sorted((i, k) for i, k, _ in rows if k is not None)
+    assert sorted(tuple(r)[:2] for r in decontaminate.leaks(docs, table_).collect()) == expected
+    assert decontaminate.drop_contaminated(docs, table_).count() == len(rows) - len(expected)

@@ -15,6 +15,11 @@
    is a leak.  So is a part of any longer item: a stretch that scores as much
    as ``PASSAGE`` equal words when each difference costs two of them.
 
+Words are runs of letters, marks and digits; scripts written without spaces
+count a word a character.  An item of fewer than GRAM words is one n-gram of
+all its words and is found wherever a text holds them in a row, so an item of
+one word is in every text with that word.
+
 Texts never leave the task that reads them, so a passage that many documents
 share gathers nowhere.  Items are handled in blocks of at most
 ``block_words`` words: what is sent to the executors has that bound, and
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import slices
 
-GRAM = 3                    # words of a seed
+GRAM = 3                    # words of a seed, or all words of a shorter item
 COMMON_FROM, RARE = 0.9, 100      # quantile of an item's document counts; documents
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5             # of MATCH x words of the item
@@ -43,11 +48,20 @@ STRETCH = (PASSAGE - GRAM + 2) // 2     # n-grams; any PASSAGE words hold all of
 BLOCK_WORDS = 500_000       # words of test items sent out at once
 SLICE_BYTES = 8 << 20
 NOT_WORDS = r"[^\p{L}\p{M}\p{N}]+"
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Javanese}\p{Balinese}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}])"
 
 
 def normalised_words(text: str) -> list[str]:
-    """Lower-case runs of letters, marks and digits."""
-    return [w for w in pc.split_pattern_regex(pc.utf8_lower(pa.array([text])), NOT_WORDS)[0].as_py() if w]
+    """Lower-case runs of letters, marks and digits; single characters in
+    scripts without spaces."""
+    return [w for w in _split(pa.array([text]))[0].as_py() if w]
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    lower = pc.utf8_lower(texts)
+    if pc.any(pc.match_substring_regex(lower, UNSPACED)).as_py():
+        lower = pc.replace_substring_regex(lower, UNSPACED, r" \1 ")
+    return pc.split_pattern_regex(lower, NOT_WORDS)
 
 
 @dataclass
@@ -57,6 +71,7 @@ class Block:
     items: list[np.ndarray]
     vocabulary: dict[str, int]
     grams: np.ndarray            # sorted keys of the items' n-grams
+    lengths: list[int]           # words that these have: GRAM, or fewer for shorter items
     seeds: np.ndarray | None = None        # the n-grams that are seeds, sorted
     seed_rows: np.ndarray | None = None    # (n-gram, item, position in it), sorted
 
@@ -65,18 +80,17 @@ class Block:
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64) for _, words in rows]
         grams = [gram_keys(i, len(vocabulary))[0] for i in items]
-        return cls([r[0] for r in rows], items, vocabulary, np.unique(np.concatenate(grams or [np.empty(0, np.int64)])))
+        return cls([r[0] for r in rows], items, vocabulary, np.unique(np.concatenate(grams or [np.empty(0, np.int64)])),
+                   sorted({min(GRAM, len(i)) for i in items}))
 
 
-def gram_keys(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, position) of the n-grams made of known words only.  A text of
-    fewer than GRAM words is one n-gram, padded with 0."""
-    if 0 < len(words) < GRAM:
-        words = np.concatenate([words, np.zeros(GRAM - len(words), np.int64)])
-        return _key([words[i:i + 1] for i in range(GRAM)], size), np.zeros(1, np.int64)
-    runs = [words[i:len(words) - GRAM + 1 + i] for i in range(GRAM)]
-    known = np.flatnonzero(np.logical_and.reduce([r > 0 for r in runs])) if len(words) else np.empty(0, np.int64)
-    return _key([r[known] for r in runs], size), known
+def gram_keys(words: np.ndarray, size: int, length: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, position) of the n-grams made of known words only.  They have
+    ``length`` words, as a rule GRAM or the text's fewer, and are padded with 0."""
+    length = length or max(1, min(GRAM, len(words)))
+    runs = [words[i:max(0, len(words) - length + 1) + i] for i in range(length)]
+    known = np.flatnonzero(np.logical_and.reduce([r > 0 for r in runs])) if len(words) >= length else np.empty(0, np.int64)
+    return _key([*(r[known] for r in runs), *[np.zeros(len(known), np.int64)] * (GRAM - length)], size), known
 
 
 def _key(runs: list[np.ndarray], size: int) -> np.ndarray:
@@ -89,7 +103,7 @@ def _key(runs: list[np.ndarray], size: int) -> np.ndarray:
 
 def word_numbers(texts: pa.Array, vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all words (0: not in any item), offsets of the texts."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), NOT_WORDS)
+    lists = _split(pc.fill_null(texts, ""))
     offsets = np.asarray(lists.offsets)[: len(texts) + 1].astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     get = vocabulary.get
@@ -151,19 +165,13 @@ def count_grams(docs: DataFrame, block: Block) -> dict[int, int]:
 def _hits(texts: pa.Array, block: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place in the sorted table, text, word position) of the n-grams found."""
     words, offsets = word_numbers(texts, block.vocabulary)
-    lengths = np.diff(offsets)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    key, at = gram_keys(words, len(block.vocabulary))
-    if len(words) >= GRAM:
-        inside = owner[at] == owner[at + GRAM - 1]
-        key, at = key[inside], at[inside]
-    else:
-        key, at = key[:0], at[:0]
-    short = [(gram_keys(words[offsets[i]:offsets[i + 1]], len(block.vocabulary))[0], offsets[i])
-             for i in np.flatnonzero((lengths > 0) & (lengths < GRAM))]
-    short = [(k, np.array([a])) for k, a in short if words[a] > 0]
-    key = np.concatenate([key, *[k for k, _ in short]])
-    at = np.concatenate([at, *[a for _, a in short]]).astype(np.int64)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    found = []
+    for length in block.lengths:
+        key, at = gram_keys(words, len(block.vocabulary), length)
+        inside = owner[at] == owner[at + length - 1]
+        found.append((key[inside], at[inside]))
+    key, at = (np.concatenate(x) for x in zip(*found))
     if not len(table) or not len(key):
         empty = np.empty(0, np.int64)
         return empty, empty, empty

@@ -255,3 +255,16 @@ def test_parts_of_long_items_are_leaks(documents, spark):
     expected = sorted((i, k) for i, k, _ in rows if k is not None)
     assert sorted(tuple(r)[:2] for r in decontaminate.leaks(docs, table_).collect()) == expected
     assert decontaminate.drop_contaminated(docs, table_).count() == len(rows) - len(expected)
+
+
+def test_short_items_and_scripts_without_spaces(documents, spark):
+    chinese, thai = "今天天气很好，我们去公园散步", "วันนี้อากาศดีมาก เราไปเดินเล่น"
+    items = [(1, "lo na"), (2, chinese), (3, "ungpfe"), (4, thai), (5, "日本")]
+    rows = [(0, "mi Lo, na ru mi"), (1, "na lo mi ru"), (2, f"前言说明{chinese}。后记"), (3, f"x {chinese.replace('公', '花')} y"), (4, "a ungpfe b c"),
+            (5, f"คำนำ{thai}ต่อ"), (6, "在日本的人"), (7, "日 x 本 ungpf ungpfee"), (8, "lo"), (9, "na"), (10, "lo. mi na"), (11, "lo na")]
+    expected = [(0, 1), (2, 2), (3, 2), (4, 3), (5, 4), (6, 5), (11, 1)]
+    docs, table_ = documents(*rows), spark.createDataFrame(items, "item_id long, text string")
+    for block_words in (500_000, 1):
+        assert sorted(tuple(r)[:2] for r in decontaminate.leaks(docs, table_, block_words=block_words).collect()) == expected
+        kept = decontaminate.drop_contaminated(docs, table_, block_words=block_words)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [1, 7, 8, 9, 10]

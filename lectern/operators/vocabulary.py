@@ -160,11 +160,10 @@ def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None =
         tagged = words
         tag = heuristic_tag(F.col("word"))
     classed = tagged.select("lang", "word", lemma_class(tag).alias("cls"))
-    lex = lexicon.select(F.col("lang").alias("lex_lang"), F.col("word").alias("lemma_key"))
+    lex = lexicon.select("lang", F.col("word").alias("lemma_key"))
     if exceptions is None:
         cands = classed.select("lang", "word", F.explode(_candidates(F.col("word"), F.col("cls"))).alias("c"))
-        found = cands.join(lex, (F.col("lang") == F.col("lex_lang")) & (F.col("c.lemma") == F.col("lemma_key")),
-                           "left_semi")
+        found = _join_language(cands.withColumn("lemma_key", F.col("c.lemma")), lex, "lemma_key", how="left_semi")
         best = found.groupBy("lang", "word").agg(F.min("c.rank").alias("rank"))
         return best.select("lang", "word", _lemma_of(F.col("word"), F.col("rank") % 64).alias("lemma"))
     listed = exceptions.groupBy("word", "cls").agg(F.array_sort(F.collect_set("lemma")).alias("exc"))
@@ -175,8 +174,7 @@ def lemmatise(words: DataFrame, lexicon: DataFrame, pos_tags: DataFrame | None =
     options = F.when(F.col("exc").isNotNull(), F.concat(own, irregular)) \
         .otherwise(_candidates(F.col("word"), F.col("cls")))
     cands = classed.select("lang", "word", F.explode(options).alias("c"))
-    found = cands.join(lex, (F.col("lang") == F.col("lex_lang")) & (F.col("c.lemma") == F.col("lemma_key")),
-                       "left_semi")
+    found = _join_language(cands.withColumn("lemma_key", F.col("c.lemma")), lex, "lemma_key", how="left_semi")
     # Listed lemmas cannot be recomputed from a rule number: keep the text.
     best = found.groupBy("lang", "word").agg(F.min_by("c.lemma", "c.rank").alias("lemma"))
     return best.select("lang", "word", "lemma")
@@ -188,9 +186,18 @@ def _normalised_words(texts: DataFrame, text_col: str, *extra: str, contractions
             .filter(F.col("word") != ""))
 
 
+def _join_language(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join on ``lang`` and ``keys``; NULL is a language of its own."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in ("lang", *keys)})
+    same = F.col("lang").eqNullSafe(F.col("_right_lang"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_right_{k}"))
+    return left.join(right, same, how).drop("_right_lang", *(f"_right_{k}" for k in keys))
+
+
 def _with_frequency(counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return (counts.join(totals, "lang")
+    return (_join_language(counts, totals)
             .withColumn("freq", F.col("n").cast("double") / F.col("total").cast("double"))
             .drop("total"))
 
@@ -222,7 +229,7 @@ def corpus_statistics(texts: DataFrame, lexicon_doc_ids: DataFrame, text_col: st
 def lookup_frequency(df: DataFrame, frequency: DataFrame, key: str = "lemma") -> DataFrame:
     """V8: attach ``freq`` of ``key``; unknown words get 0.0."""
     f = frequency.select("lang", F.col("word").alias(key), F.col("freq").alias("_f"))
-    return df.join(f, ["lang", key], "left").withColumn("freq", F.coalesce("_f", F.lit(0.0))).drop("_f")
+    return _join_language(df, f, key, how="left").withColumn("freq", F.coalesce("_f", F.lit(0.0))).drop("_f")
 
 
 def uncommon(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -314,7 +321,7 @@ def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, le
         proper = pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct().withColumn("_p", F.lit(True))
         toks = toks.join(proper, "word", "left").withColumn("is_proper", F.coalesce("_p", F.lit(False))).drop("_p")
     kept = toks.filter(~F.col("is_proper") & (F.col("word") != ""))
-    return rank_words(aggregate_words(kept.join(lemma_map, ["lang", "word"])))
+    return rank_words(aggregate_words(_join_language(kept, lemma_map, "word")))
 
 
 def vocabulary_rows(words: DataFrame) -> DataFrame:

@@ -518,3 +518,20 @@ def test_listing_is_newest_first_with_defaults(spark):
     assert [r.filename for r in rows] == ["Unnamed Document", "d.txt", "a.txt", "c.md"]
     assert [r.status for r in rows] == ["received", "9", "complete", "processing"]
     assert [r.details_link for r in rows] == [False, False, True, False]
+
+
+def test_documents_without_a_language_keep_their_words(spark):
+    """NULL is a language of its own: same words, same counts as under a name."""
+    rows = [(1, None, "Cats chase mice. Dogs chased cats."), (2, None, "Mice fear cats."), (3, "en", "Cats like fish.")]
+    named = [(i, lang or "xx", text) for i, lang, text in rows]
+    ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
+
+    def report(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+        paragraphs = docs.selectExpr("'u' AS user_id", "doc_id AS submission_id", "lang", "1 AS paragraph_number", "text")
+        found = V.uncommon_words(paragraphs, V.corpus_statistics(docs, ids), threshold=2.0)
+        listed = V.word_frequencies(docs).selectExpr("coalesce(lang, 'xx')", "word", "n", "freq")
+        return sorted(map(tuple, found.collect())), sorted(map(tuple, listed.collect()))
+
+    assert report(rows) == report(named)
+    assert {r[1] for r in report(rows)[0]} == {1, 2}

@@ -14,7 +14,7 @@ over bucket counts, of which there are BUCKETS a source at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20
@@ -30,11 +30,18 @@ def shard_assignment(docs: DataFrame, shards: int, seed: int = SEED, id_col: str
     has size 1 and the checksum of the empty text.  Repeated rows keep a row
     each; they are interchangeable, as ties end with size and checksum.
     """
+    placed = _placed(docs, shards, seed, id_col, text_col, source_col)
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
+
+
+def _placed(docs: DataFrame, shards: int, seed: int, id_col: str, text_col: str, source_col: str, *carried: Column) -> DataFrame:
+    """``id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row,
+    with what is ``carried`` of it."""
     utf8 = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.octet_length(utf8) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(utf8).alias("text_crc32"), digest.alias("digest"))
+        F.crc32(utf8).alias("text_crc32"), digest.alias("digest"), *carried)
     rows = rows.withColumn("bucket", (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % BUCKETS).cast("int"))
     ties = ["digest", "id", "size", "text_crc32"]
 
@@ -66,14 +73,16 @@ def shard_assignment(docs: DataFrame, shards: int, seed: int = SEED, id_col: str
     first = F.col("position") < F.col("edge")
     shard = F.when(first, F.expr("position div (small + 1)")).otherwise(F.expr("larger + (position - edge) div greatest(small, 1)"))
     slot = F.when(first, F.expr("position % (small + 1)")).otherwise(F.expr("(position - edge) % greatest(small, 1)"))
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", slot.cast("long"))
 
 
-def write_shards(docs: DataFrame, folder: str, shards: int, seed: int = SEED, id_col: str = "doc_id", **columns: str) -> None:
+def write_shards(docs: DataFrame, folder: str, shards: int, seed: int = SEED, id_col: str = "doc_id",
+                 text_col: str = "text", source_col: str = "source") -> None:
     """Write the rows under ``shard=k`` folders, each file a stretch of slots
-    in order.  Ids must be unique here: the assignment joins on them."""
-    placed = shard_assignment(docs, shards, seed, id_col, **columns).select(
-        F.col(id_col).alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    rows = docs.join(placed, docs[id_col].eqNullSafe(placed["__id"])).drop("__id")
+    in order.  Each row goes with its own place, so that repeated rows and
+    rows without an id are written once each; the text is dealt three times."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    rows = _placed(docs, shards, seed, id_col, text_col, source_col, row).select(
+        "__row.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
     rows = rows.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
     rows.withColumnsRenamed({"__shard": "shard", "__slot": "slot"}).write.partitionBy("shard").parquet(folder)

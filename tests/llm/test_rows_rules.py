@@ -66,6 +66,18 @@ def test_written_shards_hold_their_slots(documents, spark):
         (r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_assignment(docs, 4).collect())
 
 
+def test_repeated_rows_and_rows_without_an_id_are_written_once(documents, spark):
+    rows = [(7, "again", "en", "a")] * 40 + [(None, f"no id {i % 9}", "en", "b") for i in range(30)] + [(i, None, "de", None) for i in range(20)]
+    docs = documents(*rows, (7, "other text", "fr", "b"))
+    folder = save(docs, "for-shards").inputFiles()[0].rpartition("/")[0] + "-repeated"
+    sharding.write_shards(docs, folder, 4)
+    back = spark.read.parquet(folder)
+    assert set(back.columns) == {*docs.columns, "shard", "slot"}
+    assert Counter(map(tuple, back.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    placed = [(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in back.collect()]
+    assert Counter(placed) == Counter(map(tuple, sharding.shard_assignment(docs, 4).collect()))
+
+
 def brute_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

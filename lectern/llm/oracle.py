@@ -118,6 +118,20 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN bounds USING (host)
 """
 
+OP12 = r"""
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM (SELECT DISTINCT vec_id, v FROM usable WHERE vec_id % 100 = 0) q
+    JOIN usable c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_rules": OP5, "op10_url_reputation": OP10}
+    return {"op5_line_rules": OP5, "op10_url_reputation": OP10, "op12_exact_top_k": OP12}

@@ -10,13 +10,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, language, line_rules, quality, sharding, simhash, token_store, toxicity, url_reputation
+from lectern.llm import (alignment, bpe, decontaminate, language, line_rules, quality, sharding, simhash, token_store, topk, toxicity,
+                         url_reputation, whitening)
 from lectern.llm.common import is_held_out, ship, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 SHARDS = 16
 TOXIC_FROM, GOOD_FROM = 0.3, 0.7
+QUERY_EVERY, TOP_K = 100, 10
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,22 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages", "page_id", "url")).drop("good_upper")
 
 
+def op11_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the leading whitened components of all of them."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best scores of every hundredth embedding against all others."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return topk.exact_top_k(vectors, vectors.filter(F.col("vec_id") % QUERY_EVERY == 0), TOP_K)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of every document, with the links' corpus counts."""
+    return alignment.cross_tokenizer_alignment(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY, PIECES)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +116,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_simhash_dedup, op2_benchmark_leaks, op3_language_id, op4_stratified_shards, op5_line_rules,
-             op6_toxicity, op7_wavelet_tokens, op8_bpe_roundtrip, op9_quality_qda, op10_url_reputation)
+             op6_toxicity, op7_wavelet_tokens, op8_bpe_roundtrip, op9_quality_qda, op10_url_reputation, op11_spectral_whitening, op12_exact_top_k,
+             op13_tokenizer_alignment)
     return {f.__name__: _shipped(f) for f in found}

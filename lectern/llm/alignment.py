@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bpe import LibraryEncoder, Vocabulary
 from lectern.llm.common import save, slices
 
-SLICE_BYTES = 8 << 20         # text aligned at once (one document at least)
+SLICE_BYTES = 4 << 20         # text aligned at once (one document at least)
 HEAD_PAIRS = 1_000_000        # pairs whose counts are sent to every executor
 PARTIAL_PAIRS = 500_000       # pairs a task counts before it hands them on
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

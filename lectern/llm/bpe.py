@@ -310,6 +310,37 @@ class BatchEncoder:
         return store[at], bounds
 
 
+class ChunkEncoder(BatchEncoder):
+    """The same over the tokenizers library, which cuts words itself: chunks,
+    not words, are remembered, and new ones go to the library as they are.
+    When the memo is half full it becomes the older one, which frequent
+    chunks leave again on their next use."""
+
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        super().__init__(encode_words)
+        self.older: dict[str, bytes] = {}
+
+    def _chunks(self, chunks: list[str]) -> tuple[bytes, np.ndarray]:
+        if len(self.memo) > self.encode_words.memo_entries // 2:
+            self.older, self.memo = self.memo, {}
+        found = list(map(self.memo.get, chunks))
+        missing = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                if (ids := self.older.get(chunks[i])) is None:
+                    missing.append(i)
+                else:
+                    self.memo[chunks[i]] = found[i] = ids
+        if missing:
+            ids, sizes = self.encode_words([chunks[i] for i in missing])
+            data, ends = ids.astype(np.uint32, copy=False).tobytes(), (4 * np.cumsum(sizes)).tolist()
+            start = 0
+            for i, end in zip(missing, ends):
+                self.memo[chunks[i]] = found[i] = data[start:end]
+                start = end
+        return b"".join(found), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
 def _split_keep(text: str, token: str) -> list[str]:
     pieces = text.split(token)
     return [x for i, p in enumerate(pieces) for x in ((token, p) if i else (p,))]
@@ -321,7 +352,7 @@ _ENCODERS: dict[tuple[type, str], BatchEncoder] = {}
 def batch_encoder(kind: type, path: str) -> BatchEncoder:
     """One encoder per worker process, kept between tasks."""
     if (kind, path) not in _ENCODERS:
-        _ENCODERS[kind, path] = BatchEncoder(kind(path))
+        _ENCODERS[kind, path] = (ChunkEncoder if kind is LibraryEncoder else BatchEncoder)(kind(path))
     return _ENCODERS[kind, path]
 
 

@@ -1,4 +1,5 @@
-"""Column expressions for HTML paragraph extraction.
+"""Column expressions for HTML paragraph extraction (P4, P5; S10 is in
+``pagetree``).
 
 Regex-based, no DOM: markup that never holds paragraph text (scripts,
 styles, comments) is removed first, then ``<p>`` openings and block
@@ -90,49 +91,6 @@ def decode_entities(col: Column) -> Column:
     return F.when(col.contains("&"), joined).otherwise(col)
 
 
-def _opening(selector: str) -> str:
-    """Pattern of the start tag of ``tag``, ``.class``, ``#id``, ``tag.class`` or
-    ``tag#id``; group 1 is the element's name."""
-    found = re.fullmatch(r"([a-zA-Z][a-zA-Z0-9-]*)?(?:([.#])([\w-]+))?", selector)
-    if not selector or not found:
-        raise ValueError(f"unsupported selector {selector!r}; use tag, .class, #id, tag.class or tag#id")
-    name = f"({found[1]})" if found[1] else "([a-zA-Z][a-zA-Z0-9-]*)"
-    if not found[2]:
-        return rf"(?is)<{name}(?:[\s/]{_REST})?>"
-    value = re.escape(found[3])
-    if found[2] == ".":
-        match = rf"""(?:"(?:[^"]*\s)?{value}(?:\s[^"]*)?"|'(?:[^']*\s)?{value}(?:\s[^']*)?'|{value}(?=[\s>]))"""
-        attribute = "class"
-    else:
-        match, attribute = rf"""(?:"\s*{value}\s*"|'\s*{value}\s*'|{value}(?=[\s>]))""", "id"
-    before = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>=])*?"""
-    return rf"(?is)<{name}(?=\s){before}\s(?i:{attribute})\s*=\s*{match}{_REST}>"
-
-
-def scope(html: Column | str, selector: str = "article") -> Column:
-    """Inner HTML of the first element that ``selector`` names, up to its
-    own end tag (elements of the same name may nest), else of ``<body>``."""
-    h = visible(html)
-    opening = F.lit(_opening(selector))
-    name = F.regexp_extract(h, _opening(selector), 1)
-    start = F.regexp_extract(h, _opening(selector), 0)
-    rest = F.substring(h, F.instr(h, start) + F.length(start), F.length(h))
-    same = F.concat(F.lit("(?is)</?"), name, F.lit(rf"(?:[\s/]{_REST})?>"))
-    tags, pieces = F.regexp_extract_all(rest, same, F.lit(0)), F.split(rest, same, -1)
-    # Walk the tags of that name: at the one that closes the first, ``length`` stops.
-    walked = F.aggregate(
-        F.zip_with(F.slice(pieces, 1, F.size(tags)), tags, lambda p, t: F.struct(p.alias("p"), t.alias("t"))),
-        F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length")),
-        lambda a, x: F.when(a["depth"] == 0, a).otherwise(F.struct(
-            (a["depth"] + F.when(x["t"].startswith("</"), -1).otherwise(1)).alias("depth"),
-            (a["length"] + F.length(x["p"]) + F.when(
-                x["t"].startswith("</") & (a["depth"] == 1), 0).otherwise(F.length(x["t"]))).alias("length"))),
-        lambda a: F.when(a["depth"] == 0, a["length"]))
-    inner = F.substring(rest, F.lit(1), F.coalesce(walked, F.length(rest)))
-    body = F.regexp_extract(h, rf"(?is)<body(?:[\s/]{_REST})?>(.*?)(?:</body\s*>|\z)", 1)
-    return F.when(F.regexp_like(h, opening), inner).otherwise(body)
-
-
 def paragraph_fragments(html: Column) -> Column:
     """Inner HTML of every ``<p>`` in document order (markup kept)."""
     marked = F.regexp_replace(F.regexp_replace(html, BOUNDARY, BOUNDARY_MARK), P_OPEN, P_OPEN_MARK)
@@ -141,10 +99,14 @@ def paragraph_fragments(html: Column) -> Column:
     return F.transform(after_first, lambda x: F.substring_index(x, BOUNDARY_MARK, 1))
 
 
+def plain_text(inner_html: Column) -> Column:
+    """Tags removed, references decoded, unstripped."""
+    return decode_entities(F.regexp_replace(inner_html, TAG, ""))
+
+
 def paragraph_texts(html: Column | str) -> Column:
     """Full text of every ``<p>`` (tags removed, references decoded, unstripped)."""
-    frags = paragraph_fragments(visible(html))
-    return F.transform(frags, lambda x: decode_entities(F.regexp_replace(x, TAG, "")))
+    return F.transform(paragraph_fragments(visible(html)), plain_text)
 
 
 def stripped_paragraph_texts(inner_html: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import html as H
 from lectern.functions import labels as LB
+from lectern.functions import pagetree as PT
 from lectern.functions import text as T
 from lectern.operators import guide as G
 from lectern.operators import keyed as K
@@ -86,10 +87,27 @@ def html_clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_article_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 + P5: stripped paragraph texts inside <article> (else <body>)."""
     pages = A.pages(spark, sf_dir)
-    return S.explode_paragraphs(pages, H.stripped_paragraph_texts(H.scope("html", "article")),
+    return S.explode_paragraphs(pages, H.stripped_paragraph_texts(PT.first_inner_html("html", "article")),
                                 ["page_id", "url"])
 
 
+def page_content_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 + P5 by a class: stripped paragraph texts inside ``div.entry-content``,
+    on pages whose article is such a ``div``."""
+    pages = A.blog_pages(spark, sf_dir)
+    inner = PT.first_inner_html("html", "main > div.entry-content[data-kind=post], body > div.entry-content")
+    return S.explode_paragraphs(pages, H.stripped_paragraph_texts(inner), ["page_id", "url"])
+
+
+def page_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10, every match: target and text of each link in a page's navigation list."""
+    links = PT.selected("html", "nav > ul li > a[href]", lambda tree, element: F.struct(
+        PT.attribute(PT.start_tag(tree, element), "href").alias("href"), H.plain_text(PT.inner_html(tree, element)).alias("text"),
+        element["depth"].alias("depth")))
+    found = A.pages(spark, sf_dir).select("page_id", F.posexplode(links).alias("link_number", "link"))
+    return found.select("page_id", "link_number", "link.href", "link.text", "link.depth")
+
+
 # --------------------------------------------------------------------------
 # Layout blocks
 # --------------------------------------------------------------------------
@@ -117,6 +135,8 @@ _QUERIES.update({
     "html_paragraphs": html_paragraphs,
     "html_clean_paragraphs": html_clean_paragraphs,
     "page_article_paragraphs": page_article_paragraphs,
+    "page_content_paragraphs": page_content_paragraphs,
+    "page_navigation": page_navigation,
     "layout_body_blocks": layout_body_blocks,
     "cross_page_paragraphs": cross_page_paragraphs,
 })

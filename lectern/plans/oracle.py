@@ -250,6 +250,12 @@ def oracle_sql() -> dict[str, str]:
     q["html_paragraphs"] = explode_list("page_id", p4("html"), "pages")
     q["html_clean_paragraphs"] = explode_list("page_id", p3(p2(p4("html"))), "pages")
     q["page_article_paragraphs"] = explode_list("page_id, url", p5(scope("html")), "pages")
+    q["page_content_paragraphs"] = q["page_article_paragraphs"]
+    q["page_navigation"] = r"""
+WITH navs AS (SELECT page_id, regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1) AS nav FROM pages),
+links AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(nav, '<a[^>]*>([^<]*)</a>', 1) AS texts FROM navs),
+flat AS (SELECT page_id, unnest(range(len(hrefs)))::INTEGER AS link_number, unnest(hrefs) AS href, unnest(texts) AS text FROM links)
+SELECT page_id, link_number, """ + f"{_decode('href')} AS href, {_decode('text')} AS text, " + r"""5 AS depth FROM flat"""
     q["layout_body_blocks"] = _with(LAYOUT_CTES, "SELECT doc_id, array_to_string(path, '.') AS path_key, "
                                     "text, page_start, page_end FROM body")
     q["cross_page_paragraphs"] = _with(STITCH_CTES, "SELECT doc_id, paragraph_number, "

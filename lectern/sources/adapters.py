@@ -101,6 +101,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages", "page_id", "url", "html")
 
 
+def blog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with their article as a ``div`` of several classes, behind an
+    attribute without quotes, as publishing systems write it."""
+    div = F.replace(F.col("html"), F.lit("<article>"), F.lit('<div data-kind=post class="post entry-content wide">'))
+    return pages(spark, sf_dir).withColumn("html", F.replace(div, F.lit("</article>"), F.lit("</div>")))
+
+
 # --------------------------------------------------------------------------
 # Upload-side stand-ins built from documents / pages / events / part
 # --------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import string
 
 from pyspark.sql import functions as F
 
@@ -100,10 +101,11 @@ def test_letter_tokens(spark):
     assert toks == ["far", "off", "islands", "north", "south", "winds", "ice", "age", "rd"]
 
 
-def test_tag_classes(spark):
-    df = spark.createDataFrame([(t,) for t in ["JJR", "VBZ", "NNS", "RBS", "IN"]], "tag string")
-    got = [r.c for r in df.select(V.lemma_class(F.col("tag")).alias("c")).collect()]
-    assert got == ["adj", "verb", "noun", "adv", "noun"]
+def test_tag_class_depends_on_the_first_letter_only(spark):
+    tags = [first + rest for first in string.ascii_uppercase for rest in ("", "X", "ZZ")] + ["", "$", "``", "nn", "v"]
+    df = spark.createDataFrame([(t,) for t in tags], "tag string")
+    for tag, cls in df.select("tag", V.lemma_class(F.col("tag"))).collect():
+        assert cls == dict(J="adj", V="verb", R="adv").get(tag[:1], "noun")
 
 
 def test_lemmatise_against_lexicon(spark):
@@ -160,12 +162,13 @@ def test_batches_and_prompts_need_no_shuffle(spark, sf_small):
         assert "Exchange" not in plan and "Window" not in plan
 
 
-def test_short_paragraph_is_its_own_summary(spark):
-    df = _paras(spark, ["This is short.", ("abcd " * 100) + "end. More text follows here."])
-    rows, verdicts = M.summarise(df)
+def test_paragraphs_from_300_characters_on_are_summarised(spark):
+    body = "The ferry left at dawn. " + "It met no other ship on its way. " * 20
+    lengths = [1, 299, 300, 301]
+    rows, verdicts = M.summarise(_paras(spark, [body[:n - 1] + "." for n in lengths]))
     got = {r.paragraph_number: r.summary for r in rows.collect()}
-    assert got[0] == "This is short."
-    assert got[1].startswith("abcd abcd") and got[1].endswith("end.")
+    assert [got[i] for i in (0, 1)] == [".", body[:298] + "."]
+    assert got[2] == got[3] == "The ferry left at dawn."
     assert [v.status for v in verdicts.collect()] == ["ok"]
 
 

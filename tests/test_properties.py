@@ -243,25 +243,6 @@ def test_html_paragraphs(spark, page, full, stripped):
     assert column(spark, [page], lambda x: H.stripped_paragraph_texts(H.visible(x))) == [stripped]
 
 
-PAGE = ('<body><div class="top"><p>t</p></div><div id="main" class="wide entry-content x"><p>1</p><div><p>2</p><div><p>3</p></div></div><p>4</p></div>'
-        '<p>5</p><article><p>6</p><article><p>7</p></article><p>8</p></article><p>9</p></body>')
-
-
-@pytest.mark.parametrize("selector,paragraphs", [
-    ("div.entry-content", "1234"), (".entry-content", "1234"), ("#main", "1234"), ("div#main", "1234"), ("article", "678"), ("div", "t"), (".top", "t"),
-    (".entry", "t123456789"), ("section", "t123456789"), ("p.entry-content", "t123456789")])
-def test_scope(spark, selector, paragraphs):
-    (found,) = column(spark, [PAGE], lambda x: H.stripped_paragraph_texts(H.scope(x, selector)))
-    assert "".join(found) == paragraphs
-
-
-def test_scope_of_odd_pages(spark):
-    pages = ["<body><div class='a'><p>1</p><div><p>2</p>", "<p>no body</p>", None, "<body><div class=a><p>x</p></div></body>"]
-    assert column(spark, pages, lambda x: H.scope(x, ".a")) == ["<p>1</p><div><p>2</p>", "", None, "<p>x</p>"]
-    with pytest.raises(ValueError):
-        H.scope(F.col("x"), "div > p")
-
-
 def test_layout_below_other_nodes(spark):
     rows = [([0], "page"), ([0, 0], "paragraph"), ([0, 0, 0], "paragraph"), ([0, 1], "table"), ([0, 1, 0], "paragraph"), ([0, 1, 0, 0], "paragraph"),
             ([1], "heading"), ([1, 0], "subtitle"), ([1, 0, 5], "paragraph"), ([2], "list"), ([2, 0], "page"), ([2, 0, 1], "paragraph"), ([3], "paragraph")]

@@ -65,7 +65,7 @@ corpus AS (
 ),
 counts AS (SELECT lang, word, count(*) AS n FROM corpus WHERE word <> '' GROUP BY lang, word),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
-wfreq AS (SELECT c.lang, c.word, c.n::DOUBLE / t.total::DOUBLE AS freq FROM counts c JOIN totals t USING (lang)),
+wfreq AS (SELECT c.lang, c.word, c.n::DOUBLE / t.total::DOUBLE AS freq FROM counts c JOIN totals t ON t.lang IS NOT DISTINCT FROM c.lang),
 lex AS (
   SELECT DISTINCT lang, word FROM (
     SELECT d.lang, lower(regexp_replace(unnest(regexp_extract_all(d.text, '[a-zA-ZÀ-ÿ]+')), '[×÷]', '', 'g')) AS word
@@ -82,12 +82,12 @@ cands AS (
 ),
 best AS (
   SELECT c.lang, c.word, arg_min(c.lemma, (length(c.lemma), c.ord)) AS lemma
-  FROM cands c JOIN lex x ON x.lang = c.lang AND x.word = c.lemma
+  FROM cands c JOIN lex x ON x.lang IS NOT DISTINCT FROM c.lang AND x.word = c.lemma
   GROUP BY c.lang, c.word
 ),
 lemma_map AS (
   SELECT b.lang, b.word, b.lemma, coalesce(f.freq, 0.0::DOUBLE) AS freq
-  FROM best b LEFT JOIN wfreq f ON f.lang = b.lang AND f.word = b.lemma
+  FROM best b LEFT JOIN wfreq f ON f.lang IS NOT DISTINCT FROM b.lang AND f.word = b.lemma
   WHERE coalesce(f.freq, 0.0::DOUBLE) < {float(threshold)!r}
 ),
 sents AS (
@@ -106,7 +106,7 @@ words AS (
   WHERE NOT (regexp_matches(token, '^[A-ZÀ-ÖØ-Þ]') AND token_number > 0)
 ),
 hits AS (
-  SELECT w.*, m.lemma, m.freq FROM words w JOIN lemma_map m ON m.lang = w.lang AND m.word = w.word
+  SELECT w.*, m.lemma, m.freq FROM words w JOIN lemma_map m ON m.lang IS NOT DISTINCT FROM w.lang AND m.word = w.word
   WHERE w.word <> ''
 ),
 agg AS (
@@ -292,6 +292,8 @@ SELECT user_id, submission_id, paragraph_number, count(*) AS tokens,
        count_if(NOT is_proper AND word <> '')::BIGINT AS kept_tokens,
        count(DISTINCT CASE WHEN NOT is_proper AND word <> '' THEN word END) AS distinct_words
 FROM all_toks GROUP BY user_id, submission_id, paragraph_number""")
+    from lectern.plans import learned
+    q.update(learned.oracle_sql())
     return q
 
 
@@ -620,7 +622,7 @@ def _guide_oracles(q: dict[str, str]) -> None:
     from lectern.operators.product import threshold_column
     from lectern.plans.catalog import THRESHOLDS
     q["word_frequency_table"] = _with(vocabulary_ctes(""),
-                                      "SELECT c.lang, c.word, c.n, f.freq FROM counts c JOIN wfreq f USING (lang, word)")
+                                      "SELECT c.lang, c.word, c.n, f.freq FROM counts c JOIN wfreq f ON f.lang IS NOT DISTINCT FROM c.lang AND f.word = c.word")
     q["lemma_table"] = _with(vocabulary_ctes(""), "SELECT lang, word, lemma FROM best")
     q["vocabulary_all_languages"] = _with(vocabulary_ctes("", 2e-4), "SELECT * FROM ranked")
     q["vocabulary_table"] = _with(vocabulary_ctes(), "SELECT user_id, submission_id, "

@@ -52,7 +52,7 @@ def n_characters(text: Column) -> Column:
 
 def fails_punctuation(line: Column, solid: Column, marks: Column) -> Column:
     """``solid``: characters that are not white space; ``marks``: punctuation."""
-    dense = (marks >= FEW_MARKS) & (100 * marks > MAX_PUNCTUATION_PERCENT * solid)
+    dense = (marks >= FEW_MARKS) & (100 * marks.cast("long") > MAX_PUNCTUATION_PERCENT * solid.cast("long"))
     return dense | ~line.rlike(SENTENCE_END)
 
 
@@ -91,7 +91,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     by newlines), the counts, base_failed and kept.
 
     NULL counts as the empty text: all counts 0, base_failed.  Lines without a
-    word are neither tested nor kept nor counted.
+    word are neither tested nor kept nor counted.  Texts of any length are
+    judged whole; repeated rows and ids keep a row each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Each select builds on columns of the one before, so that no array is
@@ -115,7 +116,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     step = step.select(
         *counts, F.array_join(F.transform(F.filter("tested", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("clean_text"),
-        F.aggregate(F.filter("tested", lambda x: x["fails"]), F.lit(0), lambda n, x: n + x["solid"]).alias("lost_chars"),
+        F.aggregate(F.filter("tested", lambda x: x["fails"]), F.lit(0), lambda n, x: n + x["solid"]).cast("long").alias("lost_chars"),
         F.when(repeats, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))).alias("placed"))
     counts += ["clean_text", "lost_chars"]
 

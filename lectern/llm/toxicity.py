@@ -1,22 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of one size are trained on bounded samples of
-labelled text, one on the toxic and one on the ordinary documents, each over
-windows of the whole texts.  A text is cut into overlapping windows, each is
-compressed with either dictionary, and the bytes that the toxic dictionary
-saves over the ordinary one are the window's distance.
-
-A second pair is an addition for rare words in much ordinary text, where the
-first pair's distances are mostly chance.  Both end with the same dictionary,
-trained on ordinary text; before it stands what is typical of the one class only: word
-pieces found in far more of its documents than of the other class's.  As these
-share the rest, position included, their difference comes from the typical
-pieces alone.  A logistic calibration, fitted on documents that gave nothing
-to the dictionaries, turns a text's distances by both pairs into a probability.
+Words are the unit: a text is normalised to words and each word stands as a
+code of CODE bytes of its hash, so a match of the compressor is a whole word
+and never a piece that other words share.
+
+Two zstandard dictionaries are trained on bounded samples of labelled text,
+one on the toxic and one on the ordinary documents, each on the words that a
+common dictionary, trained on ordinary text, lacks and that are not far more
+frequent in the other class; both then stand before that common one, position
+for position.  A text is cut into overlapping
+windows of words, each is compressed with either dictionary, and the bytes
+that the toxic dictionary saves over the ordinary one are the window's distance.
+
+A second pair stands on words typical of one class only, those found in far
+more of its documents than of the other class's: a trained dictionary
+holds the commonest words, these may be rare.  A logistic calibration,
+fitted on documents that gave nothing to the dictionaries, turns a text's
+distances by both pairs into a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,14 +37,17 @@ from lectern.llm.common import fold, is_training, save, slices, texts_of
 
 SAMPLE = {1: 6_000, 0: 12_000}   # labelled documents of each class at most, by order of hash
 CALIBRATION_FOLD = 3              # of the training folds 0, 1 and 3
-PIECE = 5                         # bytes of a word piece, also the shortest match
-WINDOW, STEP = 96, 80             # bytes of a window and between two starts
-DICTIONARY_BYTES, PART = 8192, 300     # of a class's trained dictionary; of a window that it is trained on
-MAX_PARTS = 40_000                # such windows of a class at most, by order of hash
-BASE_BYTES = 8192                 # of the dictionary behind the typical pieces
-BASE_WINDOWS, BASE_WINDOW = 3, 300     # taken from each sampled document for it
-TYPICAL_Z, TYPICAL_RATIO, TYPICAL_DOCS, TYPICAL_SHARE = 6.0, 40.0, 4, 0.01
-MAX_PIECES = 20_000               # typical pieces of a class at most, the commonest first
+CODE = 12                         # bytes that stand for a word
+MATCH = 7                         # shortest match: more than half a code
+WINDOW, STEP = 10 * CODE, 8 * CODE     # bytes of a window and between two starts
+DICTIONARY_BYTES = 16384          # of a class's trained dictionary
+BASE_BYTES = 16384                # of the dictionary that all share
+TRAINED_ON = 30 * CODE            # bytes of a window that a dictionary is trained on
+TRAINER_WINDOWS = 60_000          # such windows at most
+KNOWN_WORDS = 300_000             # codes a worker remembers
+TYPICAL_Z, TYPICAL_RATIO, TYPICAL_DOCS, TYPICAL_SHARE = 5.0, 20.0, 3, 0.01
+FREQUENT_Z, FREQUENT_RATIO = 8.0, 3.0    # of a class's words that stay out of the other's trained dictionary
+MAX_TYPICAL = 20_000              # typical words of a class at most, the commonest first
 RIDGE = 1e-2
 SLICE_BYTES = 4 << 20
 FEATURES = list("abcdefg")        # columns of document_features
@@ -47,45 +55,28 @@ Pair = tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]
 _BLANK = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
 
 
+class _Codes(dict):
+    """Word -> code, made on first use."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = code = hashlib.blake2b(word, digest_size=CODE).digest()
+        return code
+
+
+_CODES = _Codes()
+
+
 def normalised(text: str) -> bytes:
-    """Lower-case UTF-8 words with one space around each."""
-    return b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()) + b" "
-
-
-def pieces(data: bytes) -> set[bytes]:
-    out: set[bytes] = set()
-    for word in set(data.split()):
-        word = b" " + word + b" "
-        out.update(word[i:i + PIECE] for i in range(len(word) - PIECE + 1))
-    return out
-
-
-def joined(typical: dict[bytes, int]) -> list[bytes]:
-    """Pieces that overlap in all but one byte, and in one way only, joined to
-    runs; the commonest last."""
-    starts: dict[bytes, list[bytes]] = {}
-    ends: dict[bytes, list[bytes]] = {}
-    for piece in sorted(typical):
-        starts.setdefault(piece[:-1], []).append(piece)
-        ends.setdefault(piece[1:], []).append(piece)
-
-    def following(piece: bytes) -> bytes | None:
-        after = starts.get(piece[1:], [])
-        return after[0] if len(after) == 1 and len(ends[piece[1:]]) == 1 else None
-
-    heads = [p for p in sorted(typical) if not (len(before := ends.get(p[:-1], [])) == 1 and len(starts[p[:-1]]) == 1)]
-    used: set[bytes] = set()
-    runs: list[tuple[int, bytes]] = []
-    for head in [*heads, *sorted(typical)]:      # the second round takes what lies on a ring
-        if head in used:
-            continue
-        run, at, n = head, head, typical[head]
-        used.add(head)
-        while (after := following(at)) and after not in used:
-            used.add(after)
-            run, at, n = run + after[-1:], after, max(n, typical[after])
-        runs.append((n, run))
-    return [run for _, run in sorted(runs)]
+    """Codes of the text's lower-case words, one after another; a text without
+    words has the code of the empty word."""
+    return b"".join(map(_CODES.__getitem__, text.lower().encode("utf-8", "surrogatepass").translate(_BLANK).split())) or _CODES[b""]
+
+
+def words(data: bytes) -> set[bytes]:
+    """The distinct codes of a normalised text."""
+    return {data[i:i + CODE] for i in range(0, len(data), CODE)}
 
 
 @dataclass
@@ -98,19 +89,22 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
 
     def compressors(self) -> Pair:
-        """(ordinary, toxic) by typical pieces before the shared dictionary."""
-        longest = max(map(len, self.typical.values()))
-        return tuple(_compressor(b"\0" * (longest - len(self.typical[k])) + self.typical[k] + self.base) for k in (0, 1))
+        """(ordinary, toxic) by typical words before the shared dictionary."""
+        return self._pair(self.typical)
+
+    def _pair(self, own: dict[int, bytes]) -> Pair:
+        longest = max(map(len, own.values()))
+        return tuple(_compressor(b"\0" * (longest - len(own[k])) + own[k] + self.base) for k in (0, 1))
 
     def pairs(self) -> tuple[Pair, Pair]:
-        """The trained dictionaries, and those with the typical pieces."""
-        return tuple(_compressor(self.trained[k]) for k in (0, 1)), self.compressors()
+        """The trained dictionaries, and those of typical words."""
+        return self._pair(self.trained), self.compressors()
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    content = content.rjust(8, b"\0")
+    content = bytes(8) + content              # nothing matches at a dictionary's very start
     parameters = zstandard.ZstdCompressionParameters.from_level(
-        3, min_match=PIECE, strategy=zstandard.STRATEGY_GREEDY, window_log=max(17, len(content).bit_length()), hash_log=16,
+        3, min_match=MATCH, strategy=zstandard.STRATEGY_DFAST, window_log=max(17, len(content).bit_length()), hash_log=16,
         chain_log=16, search_log=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     content_only = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -137,7 +131,7 @@ def distances(texts: list[str], *pairs: Pair) -> tuple[np.ndarray, ...]:
 
 def document_features(texts: list[str], pairs: tuple[Pair, Pair]) -> np.ndarray:
     """By the trained dictionaries: the largest and the mean distance and the
-    share of windows that the toxic one saves on.  By the typical pieces: the
+    share of windows that the toxic one saves on.  By the typical words: the
     largest distance, and how many windows, how many bytes and what share of
     the windows the toxic dictionary saves."""
     if not texts:
@@ -165,16 +159,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = [marked.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in SAMPLE.items()]
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").join(
         F.broadcast(chosen[0].union(chosen[1])), "id")
-    sample = save(sample.select("label", "text", (fold("id") == CALIBRATION_FOLD).alias("calibrates")), "toxicity-sample")
+    # An id may stand on many rows, so rows are bounded, too.
+    rows = [sample.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(n) for k, n in SAMPLE.items()]
+    sample = save(rows[0].union(rows[1]).select("label", "text", (fold("id") == CALIBRATION_FOLD).alias("calibrates")), "toxicity-sample")
     n = {(r["label"], r["calibrates"]): r["n"] for r in sample.groupBy("label", "calibrates").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1) if totals else 1e-6
     constant = Model(weights=np.r_[math.log(prior / (1 - prior)), np.zeros(len(FEATURES))])
     fitting = sample.filter("NOT calibrates")
     if not n.get((0, False)) or not n.get((1, False)):
         return constant
-    typical = {k: _typical(fitting, k, n[k, False], n[1 - k, False]) for k in (0, 1)}
-    model = Model(_base(fitting.filter("label = 0")), {k: b"".join(r + b"\0" for r in joined(v)) for k, v in typical.items()},
-                  {k: _trained(fitting.filter(F.col("label") == k)) for k in (0, 1)})
+    frequent = _typical_words(fitting, n[0, False], n[1, False], FREQUENT_Z, FREQUENT_RATIO)
+    base = _trained(fitting.filter("label = 0"), BASE_BYTES, words(frequent[0]) | words(frequent[1]))
+    common = {base[i:i + CODE] for i in range(len(base) - CODE + 1)}
+    model = Model(base, _typical_words(fitting, n[0, False], n[1, False]),
+                  {k: _trained(fitting.filter(F.col("label") == k), DICTIONARY_BYTES, common | words(frequent[1 - k])) for k in (0, 1)})
     if not n.get((0, True)) or not n.get((1, True)):
         return constant
     shared = spark.sparkContext.broadcast(model)
@@ -190,13 +188,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = sample.filter("calibrates").mapInPandas(measure, ", ".join(f"{c} double" for c in FEATURES) + ", label int").toPandas()
     found = found.sort_values(FEATURES + ["label"])
     x, y = found[FEATURES].to_numpy(), found["label"].to_numpy()
-    model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     # Rows count as often as their class has documents, so that scores are probabilities over all of them.
     times = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
+    model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     model.weights = logistic((x - model.mean) / model.scale, y, times / times.mean())
+    # The calibration stands; typical words are then taken from the whole sample, calibration fold included.
+    model.typical = _typical_words(sample, n[0, False] + n[0, True], n[1, False] + n[1, True])
     return model
 
 
+def _typical_words(rows: DataFrame, ordinary: int, toxic: int, z: float = TYPICAL_Z, ratio: float = TYPICAL_RATIO) -> dict[int, bytes]:
+    """Each class's typical words, the commonest last; so many of the rows are of either class."""
+    found = {0: _typical(rows, 0, ordinary, toxic, z, ratio), 1: _typical(rows, 1, toxic, ordinary, z, ratio)}
+    return {k: b"".join(sorted(v, key=lambda w: (v[w], w))) for k, v in found.items()}
+
+
 def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the intercept first."""
     x, weights = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
@@ -212,59 +218,52 @@ def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
     return weights
 
 
-def _typical(fitting: DataFrame, label: int, own: int, other: int) -> dict[bytes, int]:
-    """Pieces typical of a class, by how many documents have them."""
+def _typical(fitting: DataFrame, label: int, own: int, other: int, least_z: float, ratio: float) -> dict[bytes, int]:
+    """Words typical of a class, by how many documents have them."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, texts in batch.groupby("label")["text"]:
                 for at in range(0, len(texts), 200):
-                    found = [p for t in texts.iloc[at:at + 200] for p in pieces(normalised(t))]
+                    found = [w for t in texts.iloc[at:at + 200] for w in words(normalised(t))]
                     times = pd.Series(found, dtype=object).value_counts()
-                    yield pd.DataFrame({"piece": times.index, "label": k, "n": times.to_numpy()})
+                    yield pd.DataFrame({"word": times.index, "label": k, "n": times.to_numpy()})
 
-    counts = fitting.mapInPandas(count, "piece binary, label int, n long").groupBy("piece").agg(
+    counts = fitting.mapInPandas(count, "word binary, label int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0)).cast("double").alias("a"),
         F.sum(F.when(F.col("label") == label, 0).otherwise(F.col("n"))).cast("double").alias("b"))
     share = (F.col("a") + F.col("b")) / (own + other)
     z = (F.col("a") / own - F.col("b") / other) / F.sqrt(share * (1 - share) * (1 / own + 1 / other) + 1e-12)
-    found = counts.filter((F.col("a") >= max(TYPICAL_DOCS, TYPICAL_SHARE * own)) & (z >= TYPICAL_Z)
-                          & (F.col("a") / own >= TYPICAL_RATIO * (F.col("b") + 0.5) / other))
-    rows = found.orderBy(F.desc("a"), "piece").limit(MAX_PIECES).collect()
-    return {bytes(r["piece"]): int(r["a"]) for r in rows}
+    found = counts.filter((F.col("a") >= max(TYPICAL_DOCS, TYPICAL_SHARE * own)) & (z >= least_z)
+                          & (F.col("a") / own >= ratio * (F.col("b") + 0.5) / other))
+    rows = found.orderBy(F.desc("a"), "word").limit(MAX_TYPICAL).collect()
+    return {bytes(r["word"]): int(r["a"]) for r in rows}
 
 
-def _trained(fitting: DataFrame) -> bytes:
-    """A dictionary trained on windows that cover the sampled documents."""
+def _trained(fitting: DataFrame, size: int, held: set[bytes]) -> bytes:
+    """A dictionary of ``size`` bytes trained on the sampled texts without the
+    words of ``held``."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 200):
-                yield pd.DataFrame({"window": [data[i:i + PART] for data in map(normalised, batch["text"].iloc[at:at + 200])
-                                               for i in range(0, len(data), PART)]})
-
-    # The bound on the windows is also the bound on what the driver holds.
-    chosen = fitting.mapInPandas(cut, "window binary").distinct().orderBy(F.xxhash64("window"), "window").limit(MAX_PARTS)
-    windows = sorted(bytes(r[0]) for r in chosen.collect())
-    return _dictionary(windows, DICTIONARY_BYTES, 8)
-
-
-def _base(fitting: DataFrame) -> bytes:
-    """A dictionary trained on windows spread over each sampled document."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for data in map(normalised, batch["text"]):
-                out += [data[i:i + BASE_WINDOW] for i in np.linspace(0, max(0, len(data) - BASE_WINDOW), BASE_WINDOWS).astype(int)]
-            yield pd.DataFrame({"window": out})
+                out = []
+                for data in map(normalised, batch["text"].iloc[at:at + 200]):
+                    new = b"".join(w for i in range(0, len(data), CODE) if (w := data[i:i + CODE]) not in held)
+                    out += [new[i:i + TRAINED_ON] for i in range(0, len(new), TRAINED_ON)]
+                yield pd.DataFrame({"window": out})
 
-    windows = [bytes(r[0]) for r in fitting.mapInPandas(cut, "window binary").distinct().orderBy("window").collect()]
-    return _dictionary(windows, BASE_BYTES, 6)
+    # The sample is bounded by its rows; a dictionary sees as much text of it as
+    # its trainer takes in, whole windows by order of their hash.
+    chosen = fitting.mapInPandas(cut, "window binary").distinct().orderBy(F.xxhash64("window"), "window").limit(TRAINER_WINDOWS)
+    return _dictionary(sorted(bytes(r[0]) for r in chosen.collect()), size)
 
 
-def _dictionary(windows: list[bytes], size: int, segment: int) -> bytes:
+def _dictionary(windows: list[bytes], size: int) -> bytes:
+    """Content of a dictionary trained by zstandard, its most useful words last."""
     try:
-        return zstandard.train_dictionary(size, windows, k=64, d=segment).as_bytes()
+        made = zstandard.train_dictionary(size, windows, k=4 * CODE, d=8).as_bytes()
     except zstandard.ZstdError:               # too little text to train on
-        return b"".join(windows)[-size:]
+        made = b"".join(windows)[-size:]
+    return made
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +280,8 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
-    """The rows that score below ``threshold``, all columns as they are."""
+    """The rows that score below ``threshold``, all columns as they are; NULL
+    counts as the empty text, and repeated rows stay."""
     score = _scorer(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,6 +49,30 @@ def test_shards_equal_the_plain_order(documents, shards):
     assert sharding.shard_assignment(docs.filter("false"), shards).count() == 0
 
 
+def test_hot_keys_are_cut(documents):
+    """One-row sources, rows without an id and equal rows spread over the partitions."""
+    rows = [(None, "t", "en", "none")] * 3000 + [(7, "u", "en", "same")] * 1500 + [(i, "x", "en", f"s{i}") for i in range(1500)]
+    docs = documents(*rows).repartition(8).withColumn("shard", F.lit(1))
+    placed = sharding.shard_assignment(docs, 7)
+    assert Counter(r["shard"] for r in placed.collect()) == Counter({k: 858 if k < 1 else 857 for k in range(7)})
+    for order in (("source", "id"), ("source",)):
+        sizes = sorted(sharding._numbered(docs.selectExpr("doc_id AS id", "source", "monotonically_increasing_id() AS row"), *order, "row")
+                       .groupBy("part").count().toPandas()["count"])
+        assert len(sizes) == 1 or sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def test_columns_named_like_the_place(documents, spark, tmp_path):
+    docs = documents(*[(i, "x", "en") for i in range(30)]).withColumnsRenamed({"lang": "shard", "n_chars": "slot"})
+    sharding.write_shards(docs, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 30 and {r["own_shard"] for r in back.collect()} == {"en"} and {r["own_slot"] for r in back.collect()} == {1}
+
+
+def test_line_rules_of_a_very_long_text(documents):
+    (row,) = line_rules.clean(documents((1, "word " * 6_000_000 + "\n" + "-" * 31_000_000))).collect()
+    assert row["n_words"] == 6_000_001 and not row["kept"] and row["word_chars"] == 55_000_000
+
+
 def test_every_shard_matches_the_mixture(documents):
     docs = documents(*[(i, "x", "en", "abc"[min(i % 6, 2)]) for i in range(1200)])
     placed = sharding.shard_assignment(docs, 16).join(docs.select("doc_id", "source"), "doc_id")

@@ -92,44 +92,61 @@ def test_language_of_held_out_documents(spark, documents):
 def test_windows_cover_every_text():
     for _, text in ODD:
         data = toxicity.normalised(text or "")
+        assert len(data) % toxicity.CODE == 0
         counts = max(1, -(-(len(data) - (toxicity.WINDOW - toxicity.STEP)) // toxicity.STEP))
         assert (counts - 1) * toxicity.STEP + toxicity.WINDOW >= len(data)
-    compressors = toxicity.Model(b"some text " * 9, {0: b"", 1: b" idiot \0"}).compressors()
-    texts = ["a calm text about the sea. " * 30 + " idiot " + "more of the sea. " * 30, "a calm text about the sea. " * 60, ""]
+    code = toxicity.normalised
+    compressors = toxicity.Model(code("some text " * 9), {0: b"", 1: code("Idiot")}).compressors()
+    texts = ["a calm text about the sea. " * 30 + " idiot " + "more of the sea. " * 30, "a calm text about the sea, idiotic. " * 60, ""]
     saved, first = toxicity.distances(texts, compressors)
     alone = [toxicity.distances([t], compressors)[0].tolist() for t in texts]
     assert saved.tolist() == sum(alone, []) and first.tolist() == [0, len(alone[0]), len(alone[0]) + len(alone[1])]
     assert max(alone[0]) > 0 >= max(alone[1])
 
 
-def test_pieces_join_to_runs():
-    word = b" worthless "
-    n = toxicity.PIECE
-    typical = {w[i:i + n]: k for w, k in ((word, 9), (b" idiot ", 4)) for i in range(len(w) - n + 1)}
-    assert toxicity.joined(typical) == [b" idiot ", word]
-    ring = {(b"abc" * n)[i:i + n]: 1 for i in range(3)}
-    assert len(toxicity.joined(ring)) == 1
+def test_windows_of_one_document_by_hand():
+    """Window lengths again, one plain compression at a time."""
+    code = toxicity.normalised
+    model = toxicity.Model(code("the sea was calm and the boat came home "), {0: code("pleasant"), 1: code("rotten scum")},
+                           {0: code("harbour"), 1: code("scum")})
+    text = "The rotten boat came home, scum! " * 7 + "and the sea was calm " * 9
+    expected = []
+    for pair in model.pairs():
+        data, own = code(text), []
+        for at in range(0, max(1, len(data) - (toxicity.WINDOW - toxicity.STEP)), toxicity.STEP):
+            window = data[at:at + toxicity.WINDOW]
+            own.append(len(pair[0].compress(window)) - len(pair[1].compress(window)))
+        expected.append(own)
+    *found, first = toxicity.distances([text], *model.pairs())
+    assert [f.tolist() for f in found] == expected and first.tolist() == [0]
+    x = toxicity.document_features([text], model.pairs())[0]
+    trained, typical = map(np.array, expected)
+    assert np.allclose(x, [trained.max(), trained.mean(), (trained > 0).mean(), typical.max(), np.log1p((typical > 0).sum()),
+                           np.log1p(np.maximum(typical, 0).sum()), (typical > 0).mean()])
 
 
 def test_toxicity_of_held_out_documents(spark, documents):
-    docs, labels = table(spark, SF, "documents", "doc_id", "text", "lang"), table(spark, SF, "labels")
+    big = "/root/testdata/sf0.1"          # the smaller tables have two toxic documents of some languages
+    docs, labels = table(spark, big, "documents", "doc_id", "text", "lang"), table(spark, big, "labels")
     model = toxicity.train(docs, labels)
     rows = toxicity.score_texts(docs, model).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter(is_held_out("doc_id")).collect()
     clean = [r["score"] >= 0.3 for r in rows if not r["toxic"]]
-    toxic = [r["score"] >= 0.3 for r in rows if r["toxic"] and r["lang"] == "en"]    # the other languages have two examples each
-    assert sum(clean) <= 0.03 * len(clean) and sum(toxic) >= 0.8 * len(toxic) > 3
+    assert sum(clean) <= 0.02 * len(clean)
+    for lang in ("en", "de", "es", "fr"):
+        toxic = [r["score"] >= 0.3 for r in rows if r["toxic"] and r["lang"] == lang]
+        assert sum(toxic) >= 0.9 * len(toxic) > 9, lang
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
 def test_toxic_words_that_ordinary_text_also_uses_are_learnt(documents, spark):
-    """Every piece of a toxic word is in too many ordinary documents to pass as typical."""
+    """The words are in too many ordinary documents to pass as typical: the trained pair finds them."""
     rng = random.Random(4)
     nasty = [sentence("bb", 1, rng) + sentence("bb", 1, rng) + "q" for _ in range(20)]
     rows, labels = [], []
     for i in range(1200):
         words = sentence("aa", 60, rng).split()
         toxic = i % 3 == 0
-        for word in rng.sample(nasty, 12 if toxic else rng.choice([0, 1])):
+        for word in rng.sample(nasty, 12 if toxic else rng.choice([0, 1, 2])):
             words.insert(rng.randrange(len(words)), word)
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))

@@ -159,10 +159,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = [marked.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(n) for k, n in SAMPLE.items()]
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").join(
         F.broadcast(chosen[0].union(chosen[1])), "id")
-    # An id may stand on many rows, so rows are bounded, too.
-    rows = [sample.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(n) for k, n in SAMPLE.items()]
-    sample = save(rows[0].union(rows[1]).select("label", "text", (fold("id") == CALIBRATION_FOLD).alias("calibrates")), "toxicity-sample")
-    n = {(r["label"], r["calibrates"]): r["n"] for r in sample.groupBy("label", "calibrates").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = save(sample.select("id", "label", "text", (fold("id") == CALIBRATION_FOLD).alias("calibrates")), "toxicity-sample")
+
+    def sizes() -> dict[tuple[int, bool], int]:
+        return {(r["label"], r["calibrates"]): r["n"] for r in sample.groupBy("label", "calibrates").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    n = sizes()
+    if any(n.get((k, True), 0) + n.get((k, False), 0) > bound for k, bound in SAMPLE.items()):
+        # An id stands on many rows: rows are bounded, too.
+        rows = [sample.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(bound) for k, bound in SAMPLE.items()]
+        sample = save(rows[0].union(rows[1]), "toxicity-sample")
+        n = sizes()
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1) if totals else 1e-6
     constant = Model(weights=np.r_[math.log(prior / (1 - prior)), np.zeros(len(FEATURES))])
     fitting = sample.filter("NOT calibrates")

@@ -43,6 +43,29 @@ def rate_per_minute(events: DataFrame, user_col: str, ts_col: str,
                     (F.col("uploads") > limit).alias("over_limit")))
 
 
+def sliding_rate(events: DataFrame, user_col: str, ts_col: str, limit: int = RATE_LIMIT_PER_MINUTE,
+                 seconds: int = 60, slice_windows: int = 60) -> DataFrame:
+    """Z3 with a sliding window: each event with the user's ``uploads`` in the
+    ``seconds`` up to and including it, flagged above ``limit``; a burst across
+    a minute's border counts whole.
+
+    A user's time is cut into slices of ``slice_windows`` windows, so a busy
+    user is spread over tasks; events of a slice's last window go along into
+    the next slice as context.  Events without a time have no rate: NULL."""
+    width = seconds * 1_000_000
+    length = width * slice_windows
+    at = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    rows = events.withColumn("_at", at).withColumn("_slice", F.floor(F.col("_at") / F.lit(length)))
+    # The next slice needs what lies less than one window before its start.
+    late = F.pmod(F.col("_at"), F.lit(length)) > length - width
+    own, both = F.array(F.struct(F.col("_slice").alias("s"), F.lit(False).alias("c"))), F.array(
+        F.struct(F.col("_slice").alias("s"), F.lit(False).alias("c")), F.struct((F.col("_slice") + 1).alias("s"), F.lit(True).alias("c")))
+    placed = rows.withColumn("_p", F.explode(F.when(late, both).otherwise(own)))
+    window = Window.partitionBy(user_col, "_p.s").orderBy("_at").rangeBetween(-(width - 1), 0)
+    counted = placed.withColumn("uploads", F.when(F.col("_at").isNotNull(), F.count(F.lit(1)).over(window))).filter(~F.col("_p.c"))
+    return counted.withColumn("over_limit", F.col("uploads") > limit).drop("_at", "_slice", "_p")
+
+
 def threshold_profile(words: DataFrame, thresholds: list[float]) -> DataFrame:
     """Per submission, how many uncommon words each threshold keeps.
 

@@ -531,6 +531,12 @@ def busy_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.rate_per_minute(ev, "user_id", "ts", limit=2, window="1 day")
 
 
+def sliding_upload_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z3, sliding: each upload with its user's uploads in the hour before it, against a limit of one."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").filter(F.col("event_type") == "click")
+    return Z.sliding_rate(ev.drop("event_type"), "user_id", "ts", limit=1, seconds=3600, slice_windows=24)
+
+
 def word_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vocabulary word with its owner's latest mark."""
     words = materialise(V.vocabulary_rows(vocabulary_report(spark, sf_dir)), "vocabulary")
@@ -702,3 +708,4 @@ def vocabulary_bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["vocabulary_bulk_insert"] = vocabulary_bulk_insert
 
 _QUERIES.update(PL.QUERIES)
+_QUERIES["sliding_upload_rate"] = sliding_upload_rate

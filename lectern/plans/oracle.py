@@ -292,6 +292,10 @@ SELECT user_id, submission_id, paragraph_number, count(*) AS tokens,
        count_if(NOT is_proper AND word <> '')::BIGINT AS kept_tokens,
        count(DISTINCT CASE WHEN NOT is_proper AND word <> '' THEN word END) AS distinct_words
 FROM all_toks GROUP BY user_id, submission_id, paragraph_number""")
+    q["sliding_upload_rate"] = """
+SELECT event_id, user_id, ts, uploads, uploads > 1 AS over_limit FROM (
+  SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS uploads
+  FROM events WHERE event_type = 'click')"""
     from lectern.plans import learned
     q.update(learned.oracle_sql())
     return q

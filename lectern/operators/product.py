@@ -9,7 +9,7 @@ shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.keyed import STAGE_PARAGRAPHS, STAGE_SUMMARIES, STAGE_VOCABULARY
@@ -78,6 +78,31 @@ def threshold_profile(words: DataFrame, thresholds: list[float]) -> DataFrame:
     return words.groupBy("user_id", "submission_id").agg(*aggs)
 
 
+def threshold_index(words: DataFrame) -> DataFrame:
+    """Per submission the sorted frequencies of its words, from which
+    ``words_below`` answers any slider position without another run.
+
+    A submission has one entry for each of its distinct uncommon words, so an
+    array is never longer than the lexicon."""
+    return words.groupBy("user_id", "submission_id").agg(F.array_sort(F.collect_list("language_frequency")).alias("frequencies"))
+
+
+def words_below(frequencies: Column, threshold: Column | float) -> Column:
+    """How many of the sorted frequencies lie strictly below the threshold, by
+    binary search.  ``threshold`` may be a column: another position each row."""
+    t = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(frequencies) + F.lit(1))).cast("int"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        below = F.get(frequencies, middle) < t
+        open_ = state["low"] < state["high"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(state["low"]).alias("low"),
+                        F.when(open_ & ~below, middle).otherwise(state["high"]).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(frequencies).alias("high")), halve, lambda s: s["low"])
+
+
 def threshold_column(t: float) -> str:
     return "words_below_" + f"{t:.0e}".replace("-", "_").replace("+", "")
 

@@ -564,6 +564,16 @@ def threshold_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.threshold_profile(words, THRESHOLDS)
 
 
+SLIDER = [1.3e-5, 2.7e-5, 8.1e-5]
+
+
+def threshold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slider positions looked up in a stored index of word frequencies."""
+    index = materialise(Z.threshold_index(vocabulary_report(spark, sf_dir, threshold=max(THRESHOLDS))), "threshold-index")
+    rows = index.select("user_id", "submission_id", "frequencies", F.explode(F.array(*map(F.lit, SLIDER))).alias("threshold"))
+    return rows.select("user_id", "submission_id", "threshold", Z.words_below(F.col("frequencies"), F.col("threshold")).alias("words"))
+
+
 def recent_submissions(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """Each user's five newest submissions."""
     return Z.top_k_recent(upload_registration(spark, sf_dir), k)
@@ -709,3 +719,4 @@ _QUERIES["vocabulary_bulk_insert"] = vocabulary_bulk_insert
 
 _QUERIES.update(PL.QUERIES)
 _QUERIES["sliding_upload_rate"] = sliding_upload_rate
+_QUERIES["threshold_lookup"] = threshold_lookup

@@ -292,6 +292,9 @@ SELECT user_id, submission_id, paragraph_number, count(*) AS tokens,
        count_if(NOT is_proper AND word <> '')::BIGINT AS kept_tokens,
        count(DISTINCT CASE WHEN NOT is_proper AND word <> '' THEN word END) AS distinct_words
 FROM all_toks GROUP BY user_id, submission_id, paragraph_number""")
+    q["threshold_lookup"] = _with(vocabulary_ctes("", 1e-4), """
+SELECT user_id, submission_id, threshold, count(*) FILTER (WHERE language_frequency < threshold)::INTEGER AS words
+FROM ranked, (SELECT unnest([1.3e-5, 2.7e-5, 8.1e-5]::DOUBLE[]) AS threshold) GROUP BY user_id, submission_id, threshold""")
     q["sliding_upload_rate"] = """
 SELECT event_id, user_id, ts, uploads, uploads > 1 AS over_limit FROM (
   SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS uploads

@@ -110,6 +110,7 @@ def test_empty_tables(spark, corpus, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter("false").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for query in queries().values():
         assert query(spark, str(tmp_path)).count() == 0
@@ -122,7 +123,7 @@ def test_queries_match_their_sql(spark):
     from lectern.plans.compare import differences, type_differences
     folder = "/root/testdata/sf0.001"
     duck = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
     for name, sql in oracle_sql().items():
         found = queries()[name](spark, folder)

@@ -9,12 +9,15 @@ Plan shape (see ``uncommon_words``):
    (#lexicon words x rules) rows; it is written as Parquet, and Spark
    broadcasts it if its size allows.
 2. Document side, one narrow pass: paragraphs -> sentences -> tokens
-   (two ``posexplode``), proper-noun filter, normalise, then an inner
-   join with the map that drops every common or invalid token map-side.
-3. One shuffle on (submission, lemma) with partial aggregation for
-   count / first position / frequency, then a per-submission
+   (nested arrays, one ``posexplode``), proper-noun filter, normalise, then an
+   inner join with the map that drops every common or invalid token map-side.
+   A token carries its place as packed numbers, not its sentence.
+3. One shuffle on (submission, lemma) with partial hash aggregation for
+   count / first place / frequency, then a per-submission
    ``row_number`` for the rarity rank (at most one row per lexicon word
    per submission).
+4. The first sentence of each word is joined from the paragraphs by place;
+   V14 and the study guide, which do not read it, stop at ``ranked_words``.
 
 Differences from the model-based original, all table driven so real
 lexicons can be plugged in: sentences are split by rule, proper nouns
@@ -261,33 +264,57 @@ def uncommon_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
 _KEY = ["user_id", "submission_id"]
 
 
-# Group-key order for V11: the first occurrence keeps its sentence text in
-# the aggregation buffer, so the partial aggregate is sort based; leading
-# with the numeric submission id then the lemma gives the sorter a
-# discriminating key prefix (a leading user id is constant per document).
-_AGG_KEY = ["submission_id", "lemma", "user_id"]
+def paragraph_tokens(paragraphs: DataFrame, contractions: bool = False,
+                     abbreviations: list[str] | None = None) -> DataFrame:
+    """V1-V5 without the sentences' text: one row per token of a paragraph,
+    placed by two numbers that grow in reading order, ``sentence_at``
+    (paragraph, sentence) and ``token_at`` (paragraph, token of the paragraph),
+    each packed in one BIGINT with 32 bits for the second number."""
+    per_sentence = F.transform(T.sentences("text", abbreviations), lambda s, i: F.transform(
+        T.letter_tokens(s, contractions), lambda t, j: F.struct(
+            i.alias("sentence_number"), j.alias("token_number"), t.alias("token"))))
+    paragraph = F.shiftleft(F.col("paragraph_number").cast("bigint"), 32)
+    tokens = paragraphs.select(*_KEY, "lang", "paragraph_number", F.posexplode(F.flatten(per_sentence)).alias("at", "t"))
+    return tokens.select(
+        *_KEY, "lang", paragraph.bitwiseOR(F.col("t.sentence_number").cast("bigint")).alias("sentence_at"),
+        paragraph.bitwiseOR(F.col("at").cast("bigint")).alias("token_at"),
+        (T.is_capitalised("t.token") & (F.col("t.token_number") > 0)).alias("is_proper"),
+        T.normalise_token("t.token").alias("word"))
 
 
 def aggregate_words(hits: DataFrame) -> DataFrame:
-    """Count, first occurrence and frequency per (submission, lemma)."""
-    first = F.struct("paragraph_number", "sentence_number", "token_number", "sentence")
-    return (hits.groupBy(*_AGG_KEY)
-            .agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("first"),
-                 F.max("freq").alias("language_frequency")))
+    """Count, first occurrence and frequency per (submission, lemma).
+
+    Both places grow in reading order, so their minima belong to the same
+    occurrence; numbers only, so the aggregate stays hash based."""
+    return hits.groupBy(*_KEY, "lemma").agg(
+        F.count(F.lit(1)).alias("count"), F.min("sentence_at").alias("sentence_at"),
+        F.min("token_at").alias("token_at"), F.max("freq").alias("language_frequency"))
 
 
 def rank_words(words: DataFrame) -> DataFrame:
     """Frequency descending, ties in first-seen order."""
-    w = Window.partitionBy(*_KEY).orderBy(
-        F.col("language_frequency").desc(), F.col("first.paragraph_number"),
-        F.col("first.sentence_number"), F.col("first.token_number"))
+    w = Window.partitionBy(*_KEY).orderBy(F.col("language_frequency").desc(), F.col("token_at"))
     return words.select(
-        *_KEY, F.col("lemma").alias("word"), "count",
-        F.col("first.sentence").alias("first_sentence"),
-        F.col("first.paragraph_number").alias("first_paragraph"),
+        *_KEY, F.col("lemma").alias("word"), "count", "sentence_at",
+        F.shiftright("sentence_at", 32).cast("int").alias("first_paragraph"),
         "language_frequency", F.row_number().over(w).alias("rank"))
 
 
+def attach_sentences(ranked: DataFrame, paragraphs: DataFrame, abbreviations: list[str] | None = None) -> DataFrame:
+    """The first sentence of each ranked word, read from its paragraph: the
+    text moves once, not with every token.  A (submission, paragraph number)
+    names one paragraph; NULL keys match as values."""
+    texts = split_sentences(paragraphs.select(*_KEY, "paragraph_number", "text"), abbreviations=abbreviations)
+    place = F.shiftleft(F.col("paragraph_number").cast("bigint"), 32).bitwiseOR(F.col("sentence_number").cast("bigint"))
+    texts = texts.select(F.col("user_id").alias("_user"), F.col("submission_id").alias("_submission"),
+                         place.alias("_at"), F.col("sentence").alias("first_sentence"))
+    same = (F.col("user_id").eqNullSafe(F.col("_user")) & F.col("submission_id").eqNullSafe(F.col("_submission"))
+            & (F.col("sentence_at") == F.col("_at")))
+    return ranked.join(texts, same).select(
+        *_KEY, "word", "count", "first_sentence", "first_paragraph", "language_frequency", "rank")
+
+
 def prepare_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
                       threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
                       exceptions: DataFrame | None = None) -> DataFrame:
@@ -296,6 +323,27 @@ def prepare_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
     return materialise(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions), "lemma-map")
 
 
+def ranked_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexicon: DataFrame | None = None,
+                 threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
+                 lemma_map: DataFrame | None = None, exceptions: DataFrame | None = None,
+                 contractions: bool = False, abbreviations: list[str] | None = None) -> DataFrame:
+    """V13 without the sentences' text: (user_id, submission_id, word, count,
+    sentence_at, first_paragraph, language_frequency, rank); parameters as in
+    :func:`uncommon_words`.
+
+    The map is stored Parquet: Spark broadcasts it while its size allows and
+    otherwise shuffles the tokens, AQE splitting hot words.
+    """
+    if lemma_map is None:
+        lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions)
+    toks = paragraph_tokens(paragraphs, contractions, abbreviations)
+    if pos_tags is not None:
+        proper = pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct().withColumn("_p", F.lit(True))
+        toks = toks.join(proper, "word", "left").withColumn("is_proper", F.coalesce("_p", F.lit(False))).drop("_p")
+    kept = toks.filter(~F.col("is_proper") & (F.col("word") != ""))
+    return rank_words(aggregate_words(_join_language(kept, lemma_map, "word")))
+
+
 def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexicon: DataFrame | None = None,
                    threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
                    lemma_map: DataFrame | None = None, exceptions: DataFrame | None = None,
@@ -309,19 +357,10 @@ def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, le
     ``abbreviations`` lists words whose trailing dot does not end a sentence.
     Returns (user_id, submission_id, word, count, first_sentence,
     first_paragraph, language_frequency, rank).
-
-    The map is stored Parquet: Spark broadcasts it while its size allows and
-    otherwise shuffles the tokens, AQE splitting hot words.
     """
-    if lemma_map is None:
-        lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions)
-    toks = tokenize(split_sentences(paragraphs.select(*_KEY, "lang", "paragraph_number", "text"),
-                                    abbreviations=abbreviations), contractions)
-    if pos_tags is not None:
-        proper = pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct().withColumn("_p", F.lit(True))
-        toks = toks.join(proper, "word", "left").withColumn("is_proper", F.coalesce("_p", F.lit(False))).drop("_p")
-    kept = toks.filter(~F.col("is_proper") & (F.col("word") != ""))
-    return rank_words(aggregate_words(_join_language(kept, lemma_map, "word")))
+    ranked = ranked_words(paragraphs, frequency, lexicon, threshold, pos_tags, lemma_map, exceptions,
+                          contractions, abbreviations)
+    return attach_sentences(ranked, paragraphs, abbreviations)
 
 
 def vocabulary_rows(words: DataFrame) -> DataFrame:

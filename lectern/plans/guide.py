@@ -41,7 +41,7 @@ def study_guide_parts(spark: SparkSession, sf_dir: str, threshold: float = V.DEF
     docs = A.documents(spark, sf_dir)
     lists = materialise(A.paragraph_lists(docs), "paragraphs")       # read by both branches
     stats = V.corpus_statistics(docs, A.quality_ids(spark, sf_dir))
-    words = V.uncommon_words(A.long_form(lists), stats, None, threshold)
+    words = V.ranked_words(A.long_form(lists), stats, None, threshold)
     summary_rows, verdicts = M.summarise(lists)
     subs = lists.select(*_KEY)
     summarized = subs.join(M.failed_submissions(verdicts), _KEY, "left_anti")

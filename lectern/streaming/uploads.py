@@ -200,7 +200,7 @@ def run_document_stages(spark: SparkSession, sf_dir: str, lemma_map: DataFrame,
         lists = A.paragraph_lists(batch.select("doc_id", "source", "lang", "text")).persist()
         try:
             subs = lists.select("user_id", "submission_id")
-            words = V.vocabulary_rows(V.uncommon_words(A.long_form(lists), lemma_map=lemma_map))
+            words = V.vocabulary_rows(V.ranked_words(A.long_form(lists), lemma_map=lemma_map))
             rows, verdicts = M.summarise(lists)
             done = subs.join(M.failed_submissions(verdicts), ["user_id", "submission_id"], "left_anti")
             stages = (subs.select("*", F.explode(F.array(*[F.lit(b) for b in (

@@ -116,6 +116,25 @@ def test_lemmatise_against_lexicon(spark):
     assert got == {"torches": "torch", "berries": "berry", "calves": "calf", "lamp": "lamp"}
 
 
+def test_first_places_pack_paragraph_sentence_and_token(spark):
+    from lectern.operators import vocabulary as V
+    rows = [("u", 1, "en", 0, "one two. three"), ("u", 1, "en", 70000, "x " * 70000 + "end. last one"), (None, None, None, 2, "lone word")]
+    paras = spark.createDataFrame(rows, "user_id string, submission_id bigint, lang string, paragraph_number int, text string")
+    at = {(r.submission_id, r.word): r for r in V.paragraph_tokens(paras).filter("word <> 'x'").collect()
+          if (r.submission_id, r.word) != (1, "one") or r.token_at >> 32 == 70000}
+    last = at[1, "last"]
+    assert (last.sentence_at >> 32, last.sentence_at & 0xFFFFFFFF) == (70000, 1)
+    assert last.token_at & 0xFFFFFFFF == 70001 and at[1, "end"].sentence_at & 0xFFFFFFFF == 0
+    freq = spark.createDataFrame([("en", w, 1, 0.0, True) for w in ("one", "three", "last")] + [(None, "lone", 1, 0.0, True)],
+                                 "lang string, word string, n bigint, freq double, in_lexicon boolean")
+    words = {(r.submission_id, r.word): r for r in V.uncommon_words(paras, freq, threshold=1.0).collect()}
+    assert set(words) == {(1, "one"), (1, "three"), (1, "last"), (None, "lone")}
+    one, final = words[1, "one"], words[1, "last"]
+    assert (one["count"], one.first_sentence, one.first_paragraph, one["rank"]) == (2, "one two.", 0, 1)
+    assert (final.first_sentence, final.first_paragraph, final["rank"]) == ("last one", 70000, 3)
+    assert words[None, "lone"].first_sentence == "lone word"
+
+
 def test_uncommon_words_of_a_small_text(spark):
     paras = spark.createDataFrame(
         [("u", 1, "en", 0, "The harbour lamp burned low."),

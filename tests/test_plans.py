@@ -38,6 +38,12 @@ def test_flagship_scan_is_pruned_and_filtered(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string>" in plan
 
 
+def test_vocabulary_aggregates_are_hash_based(spark):
+    for name in ("vocabulary_report", "vocabulary_table"):
+        plan = plan_of(E.queries()[name](spark, SF_SMALL))
+        assert "HashAggregate" in plan and "SortAggregate" not in plan, name
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = plan_of(E.queries()["recent_submissions"](spark, SF_SMALL))
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -226,7 +226,11 @@ def corpus_statistics(texts: DataFrame, lexicon_doc_ids: DataFrame, text_col: st
     flagged = texts.join(ids, "doc_id", "left").withColumn("_lex", F.coalesce("_lex", F.lit(False)))
     counts = (_normalised_words(flagged, text_col, "_lex", contractions=contractions).groupBy("lang", "word")
               .agg(F.count(F.lit(1)).alias("n"), F.bool_or("_lex").alias("in_lexicon")))
-    return _with_frequency(counts).select("lang", "word", "n", "freq", "in_lexicon")
+    # Totals that read the flag too have the counts' own shuffle, which Spark then runs once.
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count_if("in_lexicon").alias("listed"))
+    return _join_language(counts, totals).select(
+        "lang", "word", "n", (F.col("n").cast("double") / F.col("total").cast("double")).alias("freq"),
+        (F.col("in_lexicon") & (F.col("listed") > 0)).alias("in_lexicon"))
 
 
 def lookup_frequency(df: DataFrame, frequency: DataFrame, key: str = "lemma") -> DataFrame:
@@ -242,15 +246,15 @@ def uncommon(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
 
 def uncommon_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
                        threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
-                       exceptions: DataFrame | None = None) -> DataFrame:
+                       exceptions: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """V6-V10 on the distinct words of the frequency table:
     ``(lang, word, lemma, freq)`` for valid, uncommon lemmas only.
 
     The frequency table is used twice (as the word list and for the lemma
-    lookup), so it is materialised once.  With
+    lookup), so it is materialised once, unless it is ``stored`` already.  With
     ``lexicon=None`` the lexicon is the table's ``in_lexicon`` words.
     """
-    freq = materialise(frequency)
+    freq = frequency if stored else materialise(frequency)
     if lexicon is None:
         lexicon = freq.filter("in_lexicon").select("lang", "word")
     words = freq.select("lang", "word")
@@ -317,10 +321,17 @@ def attach_sentences(ranked: DataFrame, paragraphs: DataFrame, abbreviations: li
 
 def prepare_lemma_map(frequency: DataFrame, lexicon: DataFrame | None = None,
                       threshold: float = DEFAULT_THRESHOLD, pos_tags: DataFrame | None = None,
-                      exceptions: DataFrame | None = None) -> DataFrame:
+                      exceptions: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """The reference side of V13, computed once and stored (reusable across
     batches of a stream)."""
-    return materialise(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions), "lemma-map")
+    return materialise(uncommon_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions, stored), "lemma-map")
+
+
+def frequent_words(frequency: DataFrame, lemma_map: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Words that are at least ``threshold`` frequent and not in the map: most of
+    a text's tokens, yet at most ``1 / threshold`` words a language."""
+    common = frequency.filter(F.col("freq") >= F.lit(float(threshold))).select("lang", "word")
+    return materialise(_join_language(common, lemma_map.select("lang", "word"), "word", how="left_anti"), "frequent-words")
 
 
 def ranked_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexicon: DataFrame | None = None,
@@ -332,11 +343,15 @@ def ranked_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexi
     :func:`uncommon_words`.
 
     The map is stored Parquet: Spark broadcasts it while its size allows and
-    otherwise shuffles the tokens, AQE splitting hot words.
+    otherwise shuffles the tokens, AQE splitting hot words.  The frequent words
+    that the map lacks are dropped where the text is read, so that only rare
+    tokens are shuffled then.
     """
-    if lemma_map is None:
-        lemma_map = prepare_lemma_map(frequency, lexicon, threshold, pos_tags, exceptions)
     toks = paragraph_tokens(paragraphs, contractions, abbreviations)
+    if lemma_map is None:
+        stats = materialise(frequency)
+        lemma_map = prepare_lemma_map(stats, lexicon, threshold, pos_tags, exceptions, stored=True)
+        toks = _join_language(toks, frequent_words(stats, lemma_map, threshold), "word", how="left_anti")
     if pos_tags is not None:
         proper = pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct().withColumn("_p", F.lit(True))
         toks = toks.join(proper, "word", "left").withColumn("is_proper", F.coalesce("_p", F.lit(False))).drop("_p")

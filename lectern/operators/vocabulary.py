@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators.joins import materialise
+from lectern.operators.joins import broadcast_if_small, materialise
 
 DEFAULT_THRESHOLD = 2e-5
 
@@ -342,8 +342,8 @@ def ranked_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexi
     sentence_at, first_paragraph, language_frequency, rank); parameters as in
     :func:`uncommon_words`.
 
-    The map is stored Parquet: Spark broadcasts it while its size allows and
-    otherwise shuffles the tokens, AQE splitting hot words.  The frequent words
+    The map is stored Parquet: it is broadcast while its files are small
+    (``joins.BROADCAST_BYTES``); otherwise the tokens are shuffled, AQE splitting hot words.  The frequent words
     that the map lacks are dropped where the text is read, so that only rare
     tokens are shuffled then.
     """
@@ -356,7 +356,7 @@ def ranked_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexi
         proper = pos_tags.filter(F.col("tag").isin(*PROPER_TAGS)).select("word").distinct().withColumn("_p", F.lit(True))
         toks = toks.join(proper, "word", "left").withColumn("is_proper", F.coalesce("_p", F.lit(False))).drop("_p")
     kept = toks.filter(~F.col("is_proper") & (F.col("word") != ""))
-    return rank_words(aggregate_words(_join_language(kept, lemma_map, "word")))
+    return rank_words(aggregate_words(_join_language(kept, broadcast_if_small(lemma_map), "word")))
 
 
 def uncommon_words(paragraphs: DataFrame, frequency: DataFrame | None = None, lexicon: DataFrame | None = None,

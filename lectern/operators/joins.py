@@ -30,5 +30,5 @@ BROADCAST_BYTES = 48 << 20    # of files; some 300 MB as a hash table
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A broadcast hint if the files that the stored table ``df`` reads are at
     most ``limit`` bytes together; a larger table is left to Spark."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df

@@ -193,14 +193,18 @@ def failed_submissions(verdict_rows: DataFrame) -> DataFrame:
     return verdict_rows.filter(F.col("status") != "ok").select(*_KEY).distinct()
 
 
+def kept_paragraphs() -> Column:
+    """Each paragraph's number and start (M7), and its text if that is its own summary."""
+    return F.transform("paragraphs", lambda p: F.struct(
+        p["paragraph_number"].alias("paragraph_number"), T.intro_words(p["text"], INTRO_WORDS).alias("paragraph_start"),
+        F.when(~needs_summary(p["text"]), p["text"]).alias("own")))
+
+
 def answer(submissions: DataFrame, model=None, subject: str = "", batch_size: int = BATCH_SIZE) -> DataFrame:
     """M1-M4 and M10, stored: per submission ``asked`` (size and paragraph
     numbers of each batch), ``responses``, and the paragraphs' starts (M7),
     with the text of those that are their own summary."""
-    kept = F.transform("paragraphs", lambda p: F.struct(
-        p["paragraph_number"].alias("paragraph_number"), T.intro_words(p["text"], INTRO_WORDS).alias("paragraph_start"),
-        F.when(~needs_summary(p["text"]), p["text"]).alias("own")))
-    prompted = _prompted(submissions, subject, batch_size).withColumn("kept", kept)
+    prompted = _prompted(submissions, subject, batch_size).withColumn("kept", kept_paragraphs())
     called = call_model(prompted.select(*_KEY, "prompts", "kept"), model)
     asked = F.transform("prompts", lambda p: F.struct(p["n_items"].alias("n_items"), p["paragraph_numbers"].alias("paragraph_numbers")))
     # A model's answers are expensive and may differ when asked again.

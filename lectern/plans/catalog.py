@@ -26,6 +26,7 @@ from lectern.operators import vocabulary as V
 from lectern.operators.joins import materialise
 from lectern.plans import guide as PG
 from lectern.plans import learned as PL
+from lectern.plans import live as PV
 from lectern.session import ensure_checkpoint_dir
 from lectern.sources import adapters as A
 from lectern.sources import files as FS
@@ -725,5 +726,6 @@ def vocabulary_bulk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES["vocabulary_bulk_insert"] = vocabulary_bulk_insert
 
 _QUERIES.update(PL.QUERIES)
+_QUERIES.update(PV.QUERIES)
 _QUERIES["sliding_upload_rate"] = sliding_upload_rate
 _QUERIES["threshold_lookup"] = threshold_lookup

@@ -299,8 +299,9 @@ FROM ranked, (SELECT unnest([1.3e-5, 2.7e-5, 8.1e-5]::DOUBLE[]) AS threshold) GR
 SELECT event_id, user_id, ts, uploads, uploads > 1 AS over_limit FROM (
   SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS uploads
   FROM events WHERE event_type = 'click')"""
-    from lectern.plans import learned
+    from lectern.plans import learned, live
     q.update(learned.oracle_sql())
+    q.update(live.oracle_sql(q, _summary_ctes()))
     return q
 
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import SLICE_BYTES, LibraryEncoder, batch_encoder
@@ -31,6 +31,7 @@ from lectern.session import ensure_checkpoint_dir
 
 BLOCK_TOKENS = 1 << 18       # a block ends with the document that reaches this
 RANK_EVERY = 512             # bits between two entries of the rank directory
+SELECT_COST = 64             # tokens whose rebuilding costs as much as one select
 _MAGIC = 0x314D5754
 
 
@@ -253,5 +254,82 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"))
 
 
+def tokens_at(spark: SparkSession, folder: str, positions: DataFrame) -> DataFrame:
+    """Access by place: (position, token) for each distinct ``position`` of
+    ``positions`` (a place in the order of all shards, from 0); places outside
+    the files and NULLs have no row.
+
+    Places meet block starts on cells of BLOCK_TOKENS places, so only the
+    matrices of blocks asked for are decoded, and of these the bits on the way
+    to each token."""
+    spans = open_spans(spark, folder)
+    cells = F.explode(F.sequence(_cell(F.col("start")), _cell(F.col("stop") - 1)))
+    spans = spans.filter("stop > start").select("*", cells.alias("cell"))
+    asked = positions.select(F.col("position").cast("long").alias("position")).filter("position >= 0").distinct()
+    hits = asked.withColumn("cell", _cell(F.col("position"))).join(spans, "cell").filter(
+        (F.col("position") >= F.col("start")) & (F.col("position") < F.col("stop")))
+    # Distinct places of one block are at most its tokens.
+    wanted = hits.groupBy("part", "block", "start").agg(F.collect_list(F.col("position") - F.col("start")).alias("at"))
+    matrices = spark.read.schema(_SCHEMA).parquet(folder).select("part", "block", "matrix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                matrix = WaveletMatrix.from_bytes(batch.column("matrix")[row].as_py())
+                start, at = batch.column("start")[row].as_py(), batch.column("at")[row].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([start + i for i in at], pa.int64()),
+                                                  pa.array([matrix.access(i) for i in at], pa.int64())], ["position", "token"])
+
+    return matrices.join(wanted, ["part", "block"]).select("start", "at", "matrix").mapInArrow(run, "position long, token long")
+
+
+def _cell(position: Column) -> Column:
+    return F.shiftright(position, BLOCK_TOKENS.bit_length() - 1)
+
+
+def open_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, block, start, stop) of every block; the matrices are not read."""
+    sizes = spark.read.schema(_SCHEMA).parquet(folder).select("part", "block", "n_tokens")
+    return sizes.join(block_starts(spark, folder), ["part", "block"]).select(
+        "part", "block", "start", (F.col("start") + F.col("n_tokens")).alias("stop"))
+
+
+def count_tokens(spark: SparkSession, folder: str, symbols: list[int]) -> DataFrame:
+    """(token, n): how often each of ``symbols`` stands in all files, 0 included.
+    Each block answers by two ranks a plane; Spark adds the blocks up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = dict.fromkeys(symbols, 0)
+        for batch in batches:
+            for data in batch.column("matrix"):
+                matrix = WaveletMatrix.from_bytes(data.as_py())
+                for symbol in totals:
+                    totals[symbol] += matrix.count(symbol)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["token", "n"])
+
+    parts = spark.read.schema(_SCHEMA).parquet(folder).select("matrix").mapInArrow(run, "token long, n long")
+    none = spark.createDataFrame([(s, 0) for s in symbols], "token long, n long")
+    return parts.unionByName(none).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def find_tokens(spark: SparkSession, folder: str, symbols: list[int]) -> DataFrame:
+    """(token, position): every place of each of ``symbols`` in all files."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                matrix, start = WaveletMatrix.from_bytes(batch.column("matrix")[row].as_py()), batch.column("start")[row].as_py()
+                frequent = None
+                for symbol in dict.fromkeys(symbols):
+                    if matrix.count(symbol) * SELECT_COST > matrix.n:
+                        # Rebuilding the block costs less than so many selects.
+                        frequent = matrix.values() if frequent is None else frequent
+                        at = np.flatnonzero(frequent == symbol)
+                    else:
+                        at = np.array(matrix.occurrences(symbol), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([symbol] * len(at), pa.int64()), pa.array(at + start, pa.int64())],
+                                                     ["token", "position"])
+
+    return open_tokens(spark, folder).select("start", "matrix").mapInArrow(run, "token long, position long")
+
+
 def token_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-tokens-{uuid.uuid4().hex}"

@@ -114,3 +114,32 @@ def test_token_files_read_back(documents, spark, monkeypatch):
     assert len(blocks) > 1 and [b["start"] for b in blocks] == [0, *np.cumsum([b["n_tokens"] for b in blocks])[:-1].tolist()]
     first = token_store.WaveletMatrix.from_bytes(bytes(blocks[0]["matrix"]))
     assert first.count(2) == len(blocks[0]["doc_ids"])
+
+
+def test_lookups_over_a_token_folder_equal_lists(documents, spark):
+    rng = random.Random(3)
+    words = ["river", "stone", "lamp", "quartz", "of", "the", "the", "the"]
+    docs = documents(*ODD, *[(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(100, 400)], (50, "the lamp " * 150_000))
+    folder = token_store.token_folder(spark)
+    token_store.write_tokens(docs.repartition(4), folder, PATH, 2)
+    stream = np.concatenate([token_store.WaveletMatrix.from_bytes(bytes(r["matrix"])).values()
+                             for r in token_store.open_tokens(spark, folder).orderBy("start").collect()]).tolist()
+    assert spark.read.parquet(folder).count() > 1 and len(stream) > token_store.BLOCK_TOKENS
+    lamp, rare = ids_of(" lamp")[0], ids_of(" quartz")[0]
+    symbols = [lamp, rare, 2, 49_999, 1 << 20]
+    counts = Counter(stream)
+    assert dict(map(tuple, token_store.count_tokens(spark, folder, symbols).collect())) == {s: counts[s] for s in symbols}
+    found = sorted(map(tuple, token_store.find_tokens(spark, folder, [rare, 2, lamp, rare]).collect()))
+    assert found == sorted((t, i) for i, t in enumerate(stream) if t in (rare, 2, lamp))
+    places = [0, len(stream) - 1, len(stream), -1, 1 << 40, None, *rng.choices(range(len(stream)), k=300)]
+    asked = spark.createDataFrame([(p,) for p in places], "position long")
+    got = sorted(map(tuple, token_store.tokens_at(spark, folder, asked).collect()))
+    assert got == sorted({(p, stream[p]) for p in places if p is not None and 0 <= p < len(stream)})
+
+
+def test_lookups_in_an_empty_folder(documents, spark):
+    folder = token_store.token_folder(spark)
+    token_store.write_tokens(documents((1, "x")).limit(0), folder, PATH, 2)
+    assert token_store.count_tokens(spark, folder, [5]).collect() == [(5, 0)]
+    assert token_store.find_tokens(spark, folder, [5]).count() == 0
+    assert token_store.tokens_at(spark, folder, spark.createDataFrame([(0,)], "position long")).count() == 0

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.arrays import let, scan
-from lectern.operators.joins import materialise
+from lectern.operators.joins import is_small, materialise
 from lectern.operators.vocabulary import _join_language, split_sentences
 
 # Fixed values of the published abbreviation measure.
@@ -152,6 +152,21 @@ def without_proper_nouns(tokens: DataFrame, table: DataFrame) -> DataFrame:
     return _join_language(tokens, table.select("lang", "word"), "word", how="left_anti")
 
 
+def common_counts(tokens: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n_words, n_common): the tokens of each key, and those whose word is
+    not in the stored ``table(lang, word)``.
+
+    A table that can be broadcast meets the tokens where the text is read, so
+    only counts per key move; else each key's distinct words do."""
+    names = table.select("lang", "word").withColumn("proper", F.lit(True))
+    if is_small(names):
+        marked = _join_language(tokens.select("lang", *key, "word"), F.broadcast(names), "word", how="left")
+        return marked.groupBy(*key).agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("proper").isNull()).alias("n_common"))
+    words = tokens.groupBy("lang", *key, "word").agg(F.count(F.lit(1)).alias("n"))
+    marked = _join_language(words, names, "word", how="left")
+    return marked.groupBy(*key).agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("proper").isNull(), F.col("n")).otherwise(0)).alias("n_common"))
+
+
 # --------------------------------------------------------------------------
 # V7: suffix rules
 # --------------------------------------------------------------------------

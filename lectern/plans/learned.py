@@ -33,10 +33,7 @@ def common_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs = A.doc_paragraphs(A.documents(spark, sf_dir))
     table = materialise(LL.proper_nouns(paragraphs), "proper-nouns")
     tokens = V.tokenize(V.split_sentences(paragraphs)).filter("word <> ''")
-    key = ["user_id", "submission_id", "paragraph_number"]
-    words = tokens.groupBy("lang", *key, "word").agg(F.count(F.lit(1)).alias("n"))
-    marked = V._join_language(words, table.select("lang", "word").withColumn("proper", F.lit(True)), "word", how="left")
-    return marked.groupBy(*key).agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("proper").isNull(), F.col("n")).otherwise(0)).alias("n_common"))
+    return LL.common_counts(tokens, table, ["user_id", "submission_id", "paragraph_number"])
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import learned as LL
 from lectern.operators import vocabulary as V
+from lectern.plans import catalog
 from lectern.sources import adapters as A
 
 SPACES = "a  b", " a\t b ", "a b", "a  \u0085 b　", "\n", "", " ", "é  è", "a b c", "\x1c a\x1c"
@@ -55,3 +56,21 @@ def test_common_counts_move_one_row_a_key(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(LL, "is_small", lambda table: False)
     shuffled = LL.common_counts(tokens, names, ["k"])
     assert shuffled.dtypes == direct.dtypes and sorted(map(tuple, shuffled.collect())) == [(1, 4, 2), (2, 2, 1)]
+
+
+def test_token_counts_move_no_words(spark, sf_small):
+    paragraphs = A.doc_paragraphs(A.documents(spark, sf_small))
+    counts = V.token_counts(paragraphs)
+    assert "Exchange" not in _plan(counts)
+    by_key = V.token_counts_by_key(paragraphs)
+    assert counts.dtypes == by_key.dtypes and sorted(counts.collect()) == sorted(by_key.collect())
+
+
+def test_token_counts_of_repeated_and_missing_ids(spark, tmp_path):
+    text = "Some words of Anna and words of × Bert stand here. Words again, and so on until the line is long enough to be kept."
+    rows = [("s", 1, text), ("s", 2, text), ("s", 2, text + " Other end."), (None, None, text), (None, None, text), ("s", 3, None), ("s", 4, "9" * 120)]
+    spark.createDataFrame([(i, t, "en", s) for s, i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = catalog.paragraph_token_counts(spark, str(tmp_path))
+    by_key = V.token_counts_by_key(A.doc_paragraphs(A.documents(spark, str(tmp_path))))
+    assert sorted(map(str, found.collect())) == sorted(map(str, by_key.collect())) and found.count() == 3

@@ -5,8 +5,8 @@ the keys of its prompts, sends only one prompt of each key the store lacks to
 the model, adds the valid answers to the store and joins all answers back.
 Re-uploaded texts, texts of other users and repeated runs cost no call.
 
-What moves by key are digests; of the prompts' texts only those not answered
-yet do.  The store is a folder of Parquet files, one sub-folder a run; if two
+A run stores its prompts first, so that their texts are made once.  What moves
+by key are digests; of the prompts' texts only those not answered yet do.  The store is a folder of Parquet files, one sub-folder a run; if two
 runs answer the same prompt at the same time, every later run reads the same
 one of the two.
 """
@@ -58,7 +58,9 @@ def answer(submissions: DataFrame, store: str, model=None, subject: str = "",
     asks nothing.
     """
     spark = submissions.sparkSession
-    prompted = M._prompted(submissions, subject, batch_size)
+    # Read three times below: the texts are split and asked about once.
+    prompted = materialise(M._prompted(submissions, subject, batch_size).select(
+        *_KEY, "prompts", M.kept_paragraphs().alias("kept")), "prompts")
     each = prompted.select(*_KEY, F.posexplode("prompts").alias("batch_no", "prompt")).withColumn(
         "prompt_key", prompt_key(F.col("prompt")))
     asked = materialise(each.select(
@@ -76,7 +78,7 @@ def answer(submissions: DataFrame, store: str, model=None, subject: str = "",
     answers = read_store(spark, store).select("prompt_key", "response").unionByName(failed)
     met = asked.join(answers, "prompt_key", "left").groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct(
         "batch_no", "n_items", "paragraph_numbers", "response"))).alias("met"))
-    kept = submissions.select(*_KEY, M.kept_paragraphs().alias("kept"))
+    kept = prompted.select(*_KEY, "kept")
     same = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("submission_id").eqNullSafe(F.col("_submission"))
     met = met.withColumnsRenamed({"user_id": "_user", "submission_id": "_submission"})
     none = F.filter(F.array(F.struct(F.lit(0).alias("n_items"), F.array().cast("array<int>").alias("paragraph_numbers"))), lambda x: F.lit(False))

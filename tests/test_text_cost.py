@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import answers as AN
+from lectern.operators import joins as J
+from lectern.operators import keyed as K
 from lectern.operators import learned as LL
 from lectern.operators import vocabulary as V
 from lectern.plans import catalog
@@ -23,6 +26,7 @@ def _column(spark, values, expr):
 def test_text_functions_give_what_their_patterns_gave(spark):
     assert _column(spark, SPACES, T.clean_paragraph) == _column(
         spark, SPACES, lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", ""))
+    assert _column(spark, SPACES, T.strip_ws) == _column(spark, SPACES, lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     assert _column(spark, WORDS, T.normalise_token) == _column(spark, WORDS, lambda c: F.lower(F.translate(c, "×÷", "")))
     assert _column(spark, WORDS, T.is_capitalised) == _column(spark, WORDS, lambda c: c.rlike("^[A-ZÀ-ÖØ-Þ]"))
     assert _column(spark, TEXTS, T.sentences) == _column(
@@ -74,3 +78,28 @@ def test_token_counts_of_repeated_and_missing_ids(spark, tmp_path):
     found = catalog.paragraph_token_counts(spark, str(tmp_path))
     by_key = V.token_counts_by_key(A.doc_paragraphs(A.documents(spark, str(tmp_path))))
     assert sorted(map(str, found.collect())) == sorted(map(str, by_key.collect())) and found.count() == 3
+
+
+def test_white_space_is_what_the_pattern_matches(spark):
+    points = spark.range(1, 0x3100).select("id", F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c")).filter(r"c rlike '(?U)\\s'")
+    assert {r.id for r in points.collect()} == set(map(ord, T.WHITE_SPACE))
+
+
+def test_prompts_are_made_once_a_run(spark, sf_small, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(AN, "materialise", lambda df, name: made.append((name, _plan(df))) or J.materialise(df, name))
+    AN.answer(A.paragraph_lists(A.documents(spark, sf_small)), str(tmp_path / "store"))
+    assert [name for name, plan in made if "You help" in plan] == ["prompts"]
+
+
+def test_append_makes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    made = spark.createDataFrame(spark.sparkContext.parallelize([("a", 1), ("b", 2), ("c", 3)], 2).mapPartitions(count), "user_id string, n int")
+    K.append(made, str(tmp_path / "table"))
+    assert seen.value == 3 and sorted(map(tuple, spark.read.parquet(str(tmp_path / "table")).collect())) == [("a", 1), ("b", 2), ("c", 3)]

@@ -166,6 +166,12 @@ class SpeculativeEncoder:
         return _flat(proposals) if len(bad) else (ids, sizes)
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """The strings of an array without NULLs, converted together: ``to_pylist``
+    makes a scalar object of each first."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
@@ -286,9 +292,9 @@ class BatchEncoder:
         # chunks may end in white space; those, too, are taken one by one.
         spaced = pc.binary_join_element_wise("", coded.dictionary, " ")
         odd = pc.match_substring_regex(spaced, r"[\t-\r ]\z").to_numpy(zero_copy_only=False)
-        joined, counts = self._chunks(spaced.filter(pa.array(~odd)).to_pylist())
-        single = self._alone(spaced.filter(pa.array(odd)).to_pylist())
-        firsts = self._alone(flat.take(pa.array(first)).to_pylist())
+        joined, counts = self._chunks(_strings(spaced.filter(pa.array(~odd))))
+        single = self._alone(_strings(spaced.filter(pa.array(odd))))
+        firsts = self._alone(_strings(flat.take(pa.array(first))))
         for i, own in whole.items():
             firsts[i] = own
         place = np.empty(len(odd), np.int64)

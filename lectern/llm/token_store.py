@@ -52,6 +52,8 @@ class WaveletMatrix:
             rows.append(np.packbits(ones, bitorder="little"))
             one_at, zero_at = np.flatnonzero(ones), np.flatnonzero(~ones)
             zeros.append(len(zero_at))
+            if not bit:
+                break                                     # nobody reads the order after the last plane
             after = np.empty_like(now)
             np.take(now, zero_at, out=after[:len(zero_at)], mode="clip")
             np.take(now, one_at, out=after[len(zero_at):], mode="clip")
